@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import mixing, urlfilter
+from paperloom.llm import ann, audio, mixing, packing, urlfilter, warc
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +23,46 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audio.features(audio.store(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    feature = F.format_string("frames=%d;active=%d;tensors=%s", "n_frames", F.size("segments"), F.hex(F.xxhash64("tensors", "spans", "segments")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
+    "op5_packing": op5_packing,
+    "op8_audio": op8_audio,
+    "op9_ann": op9_ann,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_warc": """
+WITH heads AS (
+  SELECT page_id, coalesce(strlen(html), 0)::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+tops AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS top FROM heads)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top > page_id THEN top END AS refers_to
+FROM tops
+""",
     "op3_mixing": """
 WITH docs AS (
   SELECT doc_id, source, coalesce(length(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
