@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, audio, mixing, packing, urlfilter, warc
+from paperloom.llm import ann, audio, mixing, packing, toxicity, urlfilter, warc
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.score(docs, toxicity.fit(docs, labels)).drop("hits")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mixing.mix(docs).select(
@@ -45,6 +50,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
