@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, audio, mixing, packing, toxicity, urlfilter, warc
+from paperloom.llm import ann, audio, linededup, mixing, packing, toxicity, urlfilter, warc
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["to_line"] - r["from_line"] + 1)
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("runs").cast("long").alias("n_runs"),
+        removed.cast("long").alias("n_removed"),
+        F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audio.features(audio.store(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     feature = F.format_string("frames=%d;active=%d;tensors=%s", "n_frames", F.size("segments"), F.hex(F.xxhash64("tensors", "spans", "segments")))
@@ -54,6 +66,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op8_audio": op8_audio,
     "op9_ann": op9_ann,
 }
@@ -94,5 +107,35 @@ placed AS (
 SELECT doc_id, size, source_size, target,
        CASE WHEN size = 0 THEN 0 ELSE size * least(3, floor(place * (target / source_size) + u) - floor((place - 1) * (target / source_size) + u))::BIGINT END AS taken
 FROM placed
+""",
+    "op6_line_dedup": """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM documents),
+worded AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS seq
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+pairs AS (
+  SELECT *, lead(line) OVER w AS next_line, lead(line_no) OVER w AS last_no
+  FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+copies AS (
+  SELECT doc_id, seq, line_no, last_no FROM (
+    SELECT *, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, seq) AS nth FROM pairs WHERE next_line IS NOT NULL)
+  WHERE nth > 1),
+opened AS (
+  SELECT *, CASE WHEN seq <= lag(seq) OVER (PARTITION BY doc_id ORDER BY seq) + 2 THEN 0 ELSE 1 END AS opens FROM copies),
+runs AS (
+  SELECT doc_id, min(line_no) AS from_line, max(last_no) AS to_line
+  FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM opened) GROUP BY doc_id, run),
+gone AS (
+  SELECT doc_id, unnest(generate_series(from_line, to_line)) AS line_no FROM runs),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed,
+         string_agg(CASE WHEN g.line_no IS NULL THEN line END, chr(10) ORDER BY l.line_no) AS kept
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_runs, 0)::BIGINT AS n_runs,
+       coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n_runs FROM runs GROUP BY doc_id) r ON d.doc_id = r.doc_id
 """,
 }
