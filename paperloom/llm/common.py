@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,3 +46,9 @@ def ascii_lower(text: Column) -> Column:
 def null_key(col: Column) -> Column:
     """A join key that tells null from every string."""
     return F.when(col.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), col.cast("string")))
+
+
+def release(spark: SparkSession) -> None:
+    """Asks the driver to drop what it no longer refers to, so that shuffle files of written tables go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
