@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, audio, linededup, mixing, packing, substrings, toxicity, urlfilter, warc
+from paperloom.llm import ann, audio, jaccard, linededup, mixing, packing, substrings, toxicity, urlfilter, warc
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audio.features(audio.store(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     feature = F.format_string("frames=%d;active=%d;tensors=%s", "n_frames", F.size("segments"), F.hex(F.xxhash64("tensors", "spans", "segments")))
@@ -73,6 +77,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op8_audio": op8_audio,
     "op9_ann": op9_ann,
     "op10_substring_dedup": op10_substring_dedup,
