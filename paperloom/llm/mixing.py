@@ -33,7 +33,8 @@ def targets(per_size: DataFrame, weights: tuple[int, ...], cap: int) -> DataFram
     """(mix_key, source_size, target) from (mix_key, mix_source, mix_size, n).
 
     Water filling in closed form: with sources in order of cap over weight, the first one whose cap
-    isn't reached fixes the common level; a source gets the level times its weight, or its cap.
+    isn't reached fixes the common level; a source gets the level times its weight, or its cap. Levels
+    fall from that source on, so it has the greatest of those that stay below their cap.
     """
     sources = per_size.groupBy("mix_key", "mix_source").agg(F.sum(F.col("mix_size") * F.col("n")).alias("source_size"))
     place = (F.row_number().over(Window.orderBy(F.col("mix_source").asc_nulls_last())) - 1) % len(weights)
@@ -46,7 +47,7 @@ def targets(per_size: DataFrame, weights: tuple[int, ...], cap: int) -> DataFram
         ((total - before) / F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))).alias("level"),
         (F.col("source_size") * cap / F.col("weight")).alias("full_at"),
     )
-    common = F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(Window.partitionBy())
+    common = F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(Window.partitionBy())
     return level.select(
         "mix_key",
         "source_size",

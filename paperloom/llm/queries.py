@@ -109,7 +109,7 @@ levels AS (
          source_size * 3 / weight AS full_at
   FROM weighed),
 goals AS (
-  SELECT source, source_size, least((SELECT min(level) FROM levels WHERE level <= full_at) * weight, (source_size * 3)::DOUBLE) AS target
+  SELECT source, source_size, least((SELECT max(level) FROM levels WHERE level <= full_at) * weight, (source_size * 3)::DOUBLE) AS target
   FROM levels),
 placed AS (
   SELECT d.*, g.source_size, g.target,
