@@ -3,7 +3,8 @@
 Every document of a source expects ``target / source size`` copies. The copies are laid end to end
 in an order by size, one offset per source is added, and a document is emitted once for each whole
 number that its stretch crosses. As sizes ascend along the order, the words taken from a source miss
-its target by at most about one of its longest documents.
+its target by at most about one of its longest documents; of ``OFFSETS`` random offsets, the one that misses least
+is taken, which is seen from the counts of each size alone.
 
 The order inside a source is (size, digest prefix of doc_id, doc_id). Positions come from three small
 prefix sums (sizes in a source, digest prefixes in a size, rows in a prefix), so no task ever sorts a
@@ -23,6 +24,7 @@ from paperloom.llm.common import WORD, null_key
 
 #: Offsets are multiples of this, so that adding them to an exact product stays exact enough.
 OFFSET_STEPS = 65536
+OFFSETS = 24
 
 
 def word_count(text: Column) -> Column:
@@ -55,6 +57,25 @@ def targets(per_size: DataFrame, weights: tuple[int, ...], cap: int) -> DataFram
     )
 
 
+def crossed(start: Column, end: Column, offset: Column) -> Column:
+    """Whole numbers crossed from place ``start`` to ``end``, at the copies a document of the source."""
+    each = F.try_divide(F.col("target"), F.col("source_size").cast("double"))
+    return F.floor(end.cast("double") * each + offset) - F.floor(start.cast("double") * each + offset)
+
+
+def offset_of(sized: DataFrame, seed: int) -> DataFrame:
+    """``sized`` with the offset whose words come nearest to the target of the source."""
+
+    def drawn(j: int) -> Column:
+        digest = F.md5(F.concat(F.lit(f"{seed}|{j}|"), F.col("mix_key")).cast("binary"))
+        return F.conv(F.substring(digest, 1, 4), 16, 10).cast("double") / OFFSET_STEPS
+
+    taken = [F.sum(F.col("mix_size") * crossed(F.col("size_start"), F.col("size_start") + F.col("size_n"), drawn(j))).alias(f"taken{j}") for j in range(OFFSETS)]
+    sums = sized.groupBy("mix_key").agg(F.first("target").alias("goal"), *taken)
+    misses = F.array(*[F.struct(F.abs(F.coalesce(F.col(f"taken{j}"), F.lit(0)) - F.col("goal")).alias("miss"), drawn(j).alias("offset")) for j in range(OFFSETS)])
+    return sized.join(sums.select("mix_key", F.array_min(misses)["offset"].alias("offset")), "mix_key")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target and mix_copies (0 to ``cap``)."""
     key = ["mix_key", "mix_size", "mix_slot"]
@@ -68,16 +89,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     slots = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first(source_col).alias("mix_source"))
     per_size = slots.groupBy("mix_key", "mix_size").agg(F.sum("n").alias("n"), F.first("mix_source").alias("mix_source"))
     by_size = Window.partitionBy("mix_key").orderBy("mix_size")
-    sized = per_size.select("mix_key", "mix_size", (F.sum("n").over(by_size) - F.col("n")).alias("size_start"))
-    sized = sized.join(targets(per_size, weights, cap), "mix_key")
+    sized = per_size.select("mix_key", "mix_size", F.col("n").alias("size_n"), (F.sum("n").over(by_size) - F.col("n")).alias("size_start"))
+    sized = offset_of(sized.join(targets(per_size, weights, cap), "mix_key"), seed)
     by_slot = Window.partitionBy("mix_key", "mix_size").orderBy("mix_slot")
     starts = slots.select(*key, (F.sum("n").over(by_slot) - F.col("n")).alias("slot_start")).join(sized, ["mix_key", "mix_size"])
     placed = rows.withColumn("mix_row", F.row_number().over(Window.partitionBy(*key).orderBy(id_col))).join(starts, key)
-    each = F.try_divide(F.col("target"), F.col("source_size").cast("double"))
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col("mix_key")).cast("binary"))
-    offset = F.conv(F.substring(digest, 1, 4), 16, 10).cast("double") / OFFSET_STEPS
     end = F.col("size_start") + F.col("slot_start") + F.col("mix_row")
-    copies = F.floor(end.cast("double") * each + offset) - F.floor((end - 1).cast("double") * each + offset)
+    copies = crossed(end - 1, end, F.col("offset"))
     out = placed.withColumns(
         {
             "mix_copies": F.when(F.col("mix_size") > 0, F.least(F.coalesce(copies, F.lit(0)), F.lit(cap))).otherwise(0).cast("int"),

@@ -112,13 +112,20 @@ goals AS (
   SELECT source, source_size, least((SELECT max(level) FROM levels WHERE level <= full_at) * weight, (source_size * 3)::DOUBLE) AS target
   FROM levels),
 placed AS (
-  SELECT d.*, g.source_size, g.target,
-         (row_number() OVER (PARTITION BY d.source ORDER BY size, slot, doc_id))::DOUBLE AS place,
-         ('0x' || substr(md5('0|' || CASE WHEN d.source IS NULL THEN 'n' ELSE 's' || d.source END), 1, 4))::INT / 65536.0::DOUBLE AS u
-  FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
+  SELECT d.*, g.source_size, g.target, target / source_size AS each,
+         (row_number() OVER (PARTITION BY d.source ORDER BY size, slot, doc_id))::DOUBLE AS place
+  FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
+offsets AS (
+  SELECT source, ('0x' || substr(md5('0|' || j || '|' || CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END), 1, 4))::INT / 65536.0::DOUBLE AS u
+  FROM sources, generate_series(0, 23) AS s(j)),
+tried AS (
+  SELECT p.source, u, abs(sum(size * (floor(place * each + u) - floor((place - 1) * each + u))) - any_value(target)) AS miss
+  FROM placed p JOIN offsets o ON p.source IS NOT DISTINCT FROM o.source GROUP BY p.source, u),
+chosen AS (
+  SELECT source, u FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss, u) AS nth FROM tried) WHERE nth = 1)
 SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE size * least(3, floor(place * (target / source_size) + u) - floor((place - 1) * (target / source_size) + u))::BIGINT END AS taken
-FROM placed
+       CASE WHEN size = 0 THEN 0 ELSE size * least(3, floor(place * each + u) - floor((place - 1) * each + u))::BIGINT END AS taken
+FROM placed p JOIN chosen c ON p.source IS NOT DISTINCT FROM c.source
 """,
     "op6_line_dedup": """
 WITH lines AS (
