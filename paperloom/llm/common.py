@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +50,11 @@ def null_key(col: Column) -> Column:
 
 
 def release(spark: SparkSession) -> None:
-    """Asks the driver to drop what it no longer refers to, so that shuffle files of written tables go."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Asks the driver to drop what it no longer refers to, so that shuffle files of written tables go.
+
+    The cleaner learns of plans in one collection and of their shuffles in the next.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
