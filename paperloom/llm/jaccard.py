@@ -3,15 +3,15 @@
 A document is its set of word n-grams. Two documents link if 100 * |both| >= ``PERCENT`` * |either|. Under any
 global order of tokens, linked sets share a token among their first n - ceil(n * PERCENT / 100) + 1. Three orders are
 used: all put common tokens last, by how many prefixes hold them, and shuffle equals by different hashes. Pairs
-are found by the first order, must share prefix tokens under the two others as well, and are then
-verified on whole sets.
+are found by the first order, pass its bound on what can be common, must share prefix tokens under the two
+others as well, and are then verified on whole sets.
 
 Equal sets are one entity from the start. The tokens of a common passage are last in every order, so
 documents that share little else don't meet. Where many sets are alike indeed, a prefix token has a large block.
 All pairs of a block are never made there: a block's smallest component sends one member, which is compared with
-the members of other components and then leaves the block, until each block is inside one component. No link
-between components can be lost so, since the pairs left out join what is joined already. Pairs of small blocks are
-made at once.
+the members of other components and then leaves the block, until the pairs between components are about as many
+as the rows; these are made. No link between components can be lost so, since the pairs left out join what is
+joined already.
 
 The list of common tokens is bounded by ``COMMON``; which tokens are on it changes the work, not the result.
 
@@ -37,11 +37,10 @@ from paperloom.llm.shingles import Words, chunks, mix
 
 GRAM, PERCENT = 5, 80
 #: Tokens in at least this many prefixes are common; at most COMMON are listed (16 bytes each).
-COMMON_FROM, COMMON = 16, 1 << 18
-#: Blocks of at most this many entities make all their pairs.
-SMALL = 24
-#: Rounds of comparing large blocks' smallest components, before all pairs between components left are made.
-ROUNDS = 16
+COMMON_FROM, COMMON = 3, 1 << 20
+#: All pairs between components are made at once when they are at most this many a row of the blocks. Until
+#: then, rounds thin out the blocks of more than SMALL entities; after ROUNDS, what is left is made in any case.
+PAIRS_A_ROW, SMALL, ROUNDS = 16, 24, 24
 ORDERS = (11, 12, 13)
 
 
@@ -71,8 +70,8 @@ class Sets:
         #: Equal sets have equal marks; those of different sets differ but for a chance of 2**-64.
         self.marks = mix(sums[self.starts + self.sizes] - sums[self.starts] + self.sizes.astype(np.uint64), 21).view(np.int64)
 
-    def prefixes(self, seed: int, common: tuple[np.ndarray, np.ndarray], percent: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(doc, token) of the prefixes under the order of ``seed``; only: a mask of texts."""
+    def prefixes(self, seed: int, common: tuple[np.ndarray, np.ndarray], percent: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, token, place) of the prefixes under the order of ``seed``; only: a mask of texts."""
         doc, token = self.doc, self.token
         if only is not None:
             keep = only[doc]
@@ -84,9 +83,9 @@ class Sets:
             count = np.where(tokens[at] == token, counts[at], 0)
         order = np.lexsort((mix(token, seed), count, doc))
         doc, token = doc[order], token[order]
-        first = np.searchsorted(doc, doc)
-        head = np.arange(len(doc)) - first < (self.sizes - -(-self.sizes * percent // 100) + 1)[doc]
-        return doc[head], token[head]
+        place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        head = place < (self.sizes - -(-self.sizes * percent // 100) + 1)[doc]
+        return doc[head], token[head], place[head]
 
 
 NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -127,16 +126,16 @@ def common_tokens(docs: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray
 
 
 def blocks_of(docs: DataFrame, common, percent: int) -> DataFrame:
-    """(token, f, n, size): the entities of each prefix token of the first order that has two or more."""
+    """(token, f, n, place): the entities of each prefix token of the first order that has two or more."""
 
     def make(_, sets: Sets):
-        doc, token = sets.prefixes(ORDERS[0], common.value, percent, _distinct(sets))
-        return token.view(np.int64), sets.marks[doc], sets.sizes[doc]
+        doc, token, place = sets.prefixes(ORDERS[0], common.value, percent, _distinct(sets))
+        return token.view(np.int64), sets.marks[doc], sets.sizes[doc], place
 
     by_token = Window.partitionBy("token")
-    rows = _map(docs, "token long, f long, n long", make).repartition("token")
+    rows = _map(docs, "token long, f long, n long, place long", make).repartition("token")
     shared = rows.withColumns({"lo": F.min("f").over(by_token), "hi": F.max("f").over(by_token)}).where("lo < hi")
-    return shared.groupBy("token", "f").agg(F.first("n").alias("n")).withColumn("size", F.count(F.lit(1)).over(by_token))
+    return shared.groupBy("token", "f").agg(F.min("n").alias("n"), F.min("place").alias("place"))
 
 
 def sets_of(docs: DataFrame, entities: DataFrame, common, percent: int) -> DataFrame:
@@ -147,11 +146,12 @@ def sets_of(docs: DataFrame, entities: DataFrame, common, percent: int) -> DataF
         raw, bounds = sets.token.astype("<u8"), np.append(sets.starts, len(sets.token))
         out = [sets.marks, pa.array([raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())]
         for seed in ORDERS[1:]:
-            doc, token = sets.prefixes(seed, common.value, percent)
+            doc, token, _ = sets.prefixes(seed, common.value, percent)
             out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(sets.sizes) + 1)).astype(np.int32)), pa.array(cut(token))))
         return out
 
-    return _map(docs.join(entities, "doc_id").select("doc_id", "text"), "f long, tokens binary, second array<int>, third array<int>", make).dropDuplicates(["f"])
+    rows = docs.withColumn("text_hash", F.xxhash64("text")).join(entities, ["doc_id"]).where("text_hash = own_hash")
+    return _map(rows.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text"), "f long, tokens binary, second array<int>, third array<int>", make)
 
 
 def _may_link(n1: Column, n2: Column, percent: int) -> Column:
@@ -185,6 +185,19 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(merged, "component", "left").select("f", F.coalesce("least", "component").alias("component")))
 
 
+def candidates(now: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of different components that share tokens enough in their prefixes.
+
+    Behind the last token that two prefixes share, at most the shorter rest of the two sets can be common.
+    """
+    a = now.toDF("token", "a", "na", "pa", "ca")
+    b = now.toDF("token", "b", "nb", "pb", "cb")
+    met = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(F.col("na"), F.col("nb"), percent))
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    most = F.col("shared") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    return pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+
+
 def link_groups(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(f, component) of the entities that met another."""
     spark = docs.sparkSession
@@ -193,33 +206,33 @@ def link_groups(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     blocks = written(blocks_of(docs, common, percent))
     release(spark)
     met = blocks.select("f").distinct()
-    entities = members.join(met, "f").groupBy("f").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    entities = members.join(met, "f").groupBy("f").agg(F.min(F.struct("doc_id", F.col("text_hash").alias("own_hash"))).alias("row")).select("row.*")
     sets = written(sets_of(docs, entities, common, percent))
-    release(spark)
-    small = blocks.where(F.col("size") <= SMALL)
-    a, b = small.select("token", F.col("f").alias("a"), F.col("n").alias("na")), small.select("token", F.col("f").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & _may_link(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
     labels = written(met.select("f", F.col("f").alias("component")))
-    labels = _relabel(labels, written(verified(pairs, sets, percent)))
-    large = written(blocks.where(F.col("size") > SMALL).select("token", "f", "n"))
+    release(spark)
     for turn in range(ROUNDS + 1):
-        now = large.join(labels, "f")
+        now = blocks.join(labels, "f")
         open_ = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        now = written(now.join(open_, "token").select("token", "f", "n", "component"))
-        if now.isEmpty():
+        now = written(now.join(open_, "token").select("token", "f", "n", "place", "component"))
+        sent = F.min_by(F.struct("f", "n"), F.xxhash64("f", F.lit(turn))).alias("sent")
+        each = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), sent)
+        head = F.min_by(F.struct("sent", "component"), F.struct("k", F.xxhash64("component", F.lit(turn)))).alias("head")
+        tokens = written(each.groupBy("token").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("squares"), head))
+        rows, pairs = tokens.agg(F.sum("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("squares")) / 2)).first()
+        if not rows:
             break
-        if turn < ROUNDS:
-            each = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("f", "n"), F.xxhash64("f", F.lit(turn))).alias("sent"))
-            heads = each.groupBy("token").agg(F.min_by(F.struct("sent", "component"), F.struct("k", F.xxhash64("component", F.lit(turn)))).alias("head"))
-            heads = heads.select("token", F.col("head.sent.f").alias("a"), F.col("head.sent.n").alias("na"), F.col("head.component").alias("ca"))
+        last = turn == ROUNDS or pairs <= PAIRS_A_ROW * rows
+        if last:
+            pairs = candidates(now, percent)
         else:
-            heads = now.select("token", F.col("f").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        meet = now.join(heads, "token").where((F.col("component") != F.col("ca")) & _may_link(F.col("n"), F.col("na"), percent))
-        pairs = meet.select(F.least("a", "f").alias("a"), F.greatest("a", "f").alias("b")).distinct()
-        labels = _relabel(labels, written(verified(pairs, sets, percent)))
-        if turn < ROUNDS:
-            large = written(now.join(heads.select("token", F.col("a").alias("f")), ["token", "f"], "left_anti").select("token", "f", "n"))
+            heads = tokens.where(F.col("rows") > SMALL).select("token", F.col("head.sent.f").alias("a"), F.col("head.sent.n").alias("na"), F.col("head.component").alias("ca"))
+            meet = now.join(heads, "token").where((F.col("component") != F.col("ca")) & _may_link(F.col("n"), F.col("na"), percent))
+            pairs = meet.select(F.least("a", "f").alias("a"), F.greatest("a", "f").alias("b")).distinct()
+            blocks = now.join(heads.select("token", F.col("a").alias("f")), ["token", "f"], "left_anti").select("token", "f", "n", "place")
+        labels = _relabel(labels, written(verified(written(pairs), sets, percent)))
         release(spark)
+        if last:
+            break
     return labels
 
 
@@ -236,7 +249,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
 
     marked = _map(rows.withColumn("text_hash", F.xxhash64("text")), f"doc_id {kind}, text_hash long, n long, f long", make)
     members = written(marked)
-    labels = link_groups(rows, members.where("n > 0"), percent)
+    labels = link_groups(rows, members.where("n > 0 and doc_id is not null"), percent)
     named = members.join(labels, "f", "left").withColumn("component", F.coalesce("component", "f"))
     full, empty = named.where("n > 0"), named.where("n = 0")
     first = full.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
