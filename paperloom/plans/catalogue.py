@@ -1,12 +1,392 @@
-"""The named queries and their SQL twins."""
+"""The named queries over the tables of a folder, and their SQL twins.
+
+There are no topic distributions among the tables; two stand-ins take their place. Memberships: a document's
+words of three or more letters among the 45 with the highest document frequency. Distributions: squared components of
+an embedding over their sum.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from paperloom.functions import html, text, vectors
+from paperloom.operators import explore, features, graph, similarity, topics
+from paperloom.session import cut_lineage
+from paperloom.sources import readers, sinks
+
+THRESHOLD, CHI, TIGHT_CHI, TOPICS = 0.045, 19.5, 300.0, 45
+LABELS = [(0, "Text Mining"), (1, "Clustering"), (2, "Graph"), (3, "Deep Learning"), (4, "information retrieval")]
+ABSTRACTS = [(1, "Title Abstract foo\nbar [abs]"), (2, "no markers"), (3, "ABSTRACT  x [ABS] y"), (4, "abstract without end")]
+BOXES = [(1, 0, "a\n"), (1, 1, "b"), (2, 0, "one"), (2, 1, "\n\ntwo"), (2, 2, "three")]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark, sf_dir):
+    return _table(spark, sf_dir, "documents")
+
+
+def _worded(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", text.clean_tokens(F.col("text")).alias("words"))
+
+
+def _counts(spark, sf_dir):
+    return features.term_counts(_worded(spark, sf_dir))
+
+
+def _frequencies(spark, sf_dir):
+    return features.document_frequencies(_counts(spark, sf_dir))
+
+
+def _memberships(spark, sf_dir):
+    """(doc_id, topics): the stand-in memberships, as numbers of the 45 terms."""
+    words = F.array_distinct(F.filter(text.regex_tokens(F.col("text")), lambda w: F.length(w) > 2))
+    docs = _documents(spark, sf_dir)
+    held = docs.select("doc_id", F.explode(words).alias("term"))
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(TOPICS)
+    numbered = df.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).alias("topic"))
+    found = held.join(F.broadcast(numbered), "term").groupBy("doc_id").agg(F.collect_list("topic").alias("found"))  # TOPICS rows
+    return cut_lineage(docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("found", F.array().cast("array<int>")).alias("topics")))
+
+
+def _distributions(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), vectors.simplex(F.col("embedding")).alias("topics"))
+
+
+def tokenize_regex(spark, sf_dir):
+    words = text.regex_tokens(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.md5(F.array_join(words, " ").cast("binary")).alias("tokens_md5"))
+
+
+def tokens_letters_filter(spark, sf_dir):
+    words = text.letter_tokens(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.md5(F.array_join(words, " ").cast("binary")).alias("tokens_md5"))
+
+
+def stopwords_removed(spark, sf_dir):
+    return _worded(spark, sf_dir).select("doc_id", F.size("words").cast("long").alias("n_tokens"), F.md5(F.array_join("words", " ").cast("binary")).alias("tokens_md5"))
+
+
+def lemmas_by_rules(spark, sf_dir):
+    words = text.lemmatize(text.regex_tokens(F.col("text")), "rules")
+    return _documents(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("n_tokens"))
+
+
+def term_doc_frequency(spark, sf_dir):
+    return _frequencies(spark, sf_dir)
+
+
+def inverse_doc_frequency(spark, sf_dir):
+    inverse = features.inverse_frequencies(_frequencies(spark, sf_dir), _documents(spark, sf_dir))
+    return inverse.select("term", F.round("idf", 6).alias("idf"))
+
+
+def tfidf_top_terms(spark, sf_dir):
+    counts = _counts(spark, sf_dir)
+    inverse = features.inverse_frequencies(features.document_frequencies(counts), _documents(spark, sf_dir))
+    rounded = features.tfidf(counts, inverse).withColumn("tfidf", F.round("tfidf", 6))
+    return features.top_terms(rounded, 5).select("doc_id", F.col("rank").cast("long").alias("rank"), "term", "tf", "tfidf")
+
+
+def cosine_topk(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings")
+    query = rows.where("vec_id = 0").select(vectors.doubles(F.col("embedding"))).scalar()
+    return similarity.nearest(rows, query, "embedding", "vec_id", 10).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+def major_topics(spark, sf_dir):
+    rows = _distributions(spark, sf_dir).select("doc_id", F.explode(graph.major_topics(F.col("topics"), THRESHOLD)).alias("topic"))
+    return rows.select("doc_id", F.col("topic").cast("long").alias("topic"))
+
+
+def topic_doc_counts(spark, sf_dir):
+    return graph.topic_counts(_memberships(spark, sf_dir)).select(F.col("topic").cast("long").alias("topic"), "docs")
+
+
+def topic_pair_counts(spark, sf_dir):
+    return graph.pair_counts(_memberships(spark, sf_dir)).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "cnt")
+
+
+def _edges(spark, sf_dir):
+    return graph.chi_square_edges(_memberships(spark, sf_dir))
+
+
+def chi_square_edges(spark, sf_dir):
+    return _edges(spark, sf_dir).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "cnt", F.round("chi", 4).alias("chi"))
+
+
+def interesting_edges(spark, sf_dir):
+    return graph.interesting(_edges(spark, sf_dir), CHI).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.round("chi", 4).alias("chi"))
+
+
+def degree(spark, sf_dir):
+    kept = graph.degrees(graph.interesting(_edges(spark, sf_dir), TIGHT_CHI))
+    return kept.select(F.col("topic").cast("long").alias("topic"), "degree")
+
+
+def degree_stats(spark, sf_dir):
+    found = graph.statistics(graph.degrees(graph.interesting(_edges(spark, sf_dir), CHI)), "degree")
+    return found.select("n", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"), "max", "min")
+
+
+def _components(spark, sf_dir):
+    rows = _memberships(spark, sf_dir)
+    return graph.connected_components(graph.topic_counts(rows), graph.interesting(graph.chi_square_edges(rows), TIGHT_CHI))
+
+
+def connected_components(spark, sf_dir):
+    return _components(spark, sf_dir).select(F.col("topic").cast("long").alias("topic"), F.col("component").cast("long").alias("component"))
+
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+def component_sizes(spark, sf_dir):
+    return graph.component_sizes(_components(spark, sf_dir)).select(F.col("component").cast("long").alias("component"), "size")
+
+
+def eigenvector_centrality(spark, sf_dir):
+    rows = _memberships(spark, sf_dir)
+    return graph.centrality(graph.topic_counts(rows), graph.interesting(graph.chi_square_edges(rows), CHI))
+
+
+def graph_table(spark, sf_dir):
+    found = sinks.graph_table(graph.interesting(_edges(spark, sf_dir), CHI).withColumn("chi", F.round("chi", 4)), "chi")
+    return found.select(F.col("Source").cast("long").alias("Source"), F.col("Target").cast("long").alias("Target"), "Weight", "Type")
+
+
+def corpus_topic_share(spark, sf_dir):
+    found = explore.corpus_share(_distributions(spark, sf_dir))
+    return found.select(F.col("topic").cast("long").alias("topic"), F.round("total", 6).alias("total"), F.round("percent", 6).alias("percent"))
+
+
+def topic_weight_percentiles(spark, sf_dir):
+    found = explore.weight_percentiles(_distributions(spark, sf_dir))
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
+
+
+def topic_weight_histogram(spark, sf_dir):
+    found = explore.weight_histogram(_distributions(spark, sf_dir))
+    return found.select("bin", "n", F.round("density", 4).alias("density"))
+
+
+def browse_topic_top10(spark, sf_dir):
+    found = explore.documents_of_topic(_distributions(spark, sf_dir), 3)
+    return found.select(F.col("number").cast("long").alias("number"), "doc_id", F.round("percent", 6).alias("percent"))
+
+
+def doc_top5_topics(spark, sf_dir):
+    found = explore.topics_of_documents(_distributions(spark, sf_dir))
+    return found.select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("topic").cast("long").alias("topic"), F.round("weight", 9).alias("weight"))
+
+
+def _labels(spark):
+    return spark.createDataFrame(LABELS, "Id int, Label string")
+
+
+def topic_label_lookup(spark, sf_dir):
+    found = explore.labelled(explore.corpus_share(_distributions(spark, sf_dir)), _labels(spark)).where("label is not null")
+    return found.select(F.col("topic").cast("long").alias("topic"), "label", F.round("percent", 6).alias("percent"))
+
+
+def label_index(spark, sf_dir):
+    return explore.label_index(_labels(spark)).select(F.col("number").cast("long").alias("number"), F.col("Id").cast("long").alias("Id"), "Label")
+
+
+def document_key_hash(spark, sf_dir):
+    title = F.substring("text", 1, 60)
+    return _documents(spark, sf_dir).select("doc_id", text.document_key(title).alias("key"))
+
+
+def abstract_between_markers(spark, sf_dir):
+    rows = spark.createDataFrame(ABSTRACTS, "id long, t string")
+    return rows.select("id", text.between_markers(F.col("t")).alias("abstract"))
+
+
+def pdf_text_join(spark, sf_dir):
+    rows = spark.createDataFrame(BOXES, "id long, i int, t string")
+    boxes = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("b"))
+    return boxes.select("id", text.joined_boxes(F.col("b.t")).alias("text"))
+
+
+def page_title(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+def page_links(spark, sf_dir):
+    found = F.posexplode(html.hrefs(F.col("html"))).alias("place", "href")
+    return _table(spark, sf_dir, "pages").select("page_id", found).select("page_id", F.col("place").cast("long").alias("place"), "href")
+
+
+def page_link_absolute(spark, sf_dir):
+    rows = _table(spark, sf_dir, "pages").select("page_id", "url", F.explode(html.hrefs(F.col("html"))).alias("href")).where("href like '/%'")
+    return rows.select("page_id", html.rooted(F.col("url"), F.col("href")).alias("link")).distinct()
+
+
+def page_headings(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.try_element_at(html.select(F.col("html"), "h1"), F.lit(1)).alias("heading"))
+
+
+def upsert_documents(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select("doc_id", "lang", "source")
+    fresh = docs.where("doc_id % 3 = 0").select((F.col("doc_id") + 1).alias("doc_id"), F.lit("xx").alias("lang"), "source")
+    return sinks.merged(docs, fresh, "doc_id")
+
+
+def edge_text_roundtrip(spark, sf_dir):
+    lines = sinks.edge_lines(graph.pair_counts(_memberships(spark, sf_dir)), "cnt")
+    part = lambda i: F.regexp_extract("value", r"Edge\((\d+),(\d+),([^)]*)\)", i)
+    return lines.select(part(1).cast("long").alias("src"), part(2).cast("long").alias("dst"), part(3).cast("double").alias("weight"))
+
+
+def seed_urls(spark, sf_dir):
+    return readers.seeds(spark, "http://journal.example.org/papers/v%d/", 13, 18)
+
+
+def _pipeline(spark, sf_dir, k=5):
+    docs = _documents(spark, sf_dir)
+    return docs, topics.train(docs, (k,), iterations=5, vocabulary_size=5000, least_docs=2)
+
+
+def lda_doc_topics(spark, sf_dir):
+    docs, (pipeline, _) = _pipeline(spark, sf_dir)
+    return pipeline.infer(docs).select("doc_id", "topics")
+
+
+def lda_topic_words(spark, sf_dir):
+    return topics.word_weights(topics.topic_words(_pipeline(spark, sf_dir)[1][0]))
+
+
+def lda_model_selection(spark, sf_dir):
+    _, scores = topics.train(_documents(spark, sf_dir), (2, 5), iterations=5, vocabulary_size=5000, least_docs=2)
+    return spark.createDataFrame(scores, "k int, log_likelihood double, log_perplexity double")
+
+
+def lda_search(spark, sf_dir):
+    docs, (pipeline, _) = _pipeline(spark, sf_dir)
+    found = similarity.search(pipeline, pipeline.infer(docs), "the than thing and with from", 10)
+    return found.select("doc_id", "source", "similarity", "understood")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return lda_search(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        tokenize_regex, tokens_letters_filter, stopwords_removed, lemmas_by_rules, term_doc_frequency, inverse_doc_frequency,
+        tfidf_top_terms, cosine_topk, major_topics, topic_doc_counts, topic_pair_counts, chi_square_edges, interesting_edges,
+        degree, degree_stats, connected_components, component_sizes, eigenvector_centrality, graph_table, corpus_topic_share,
+        topic_weight_percentiles, topic_weight_histogram, browse_topic_top10, doc_top5_topics, topic_label_lookup, label_index,
+        document_key_hash, abstract_between_markers, pdf_text_join, page_title, page_links, page_link_absolute, page_headings,
+        upsert_documents, edge_text_roundtrip, seed_urls, lda_doc_topics, lda_topic_words, lda_model_selection, lda_search,
+    )
+}
+
+_REGEX = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda w: length(w) >= 1)"
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in [*text.ENGLISH, *text.DOMAIN])
+_CLEAN = f"list_filter({_REGEX}, lambda w: length(w) > 1 AND w NOT IN ({_STOP}))"
+_WORDS = f"words AS (SELECT doc_id, {_CLEAN} AS w FROM documents)"
+_COUNTS = f"{_WORDS}, counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY ALL)"
+_DF = f"{_COUNTS}, df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM counts GROUP BY term)"
+_HELD = (
+    f"held AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({_REGEX}) AS term FROM documents) WHERE length(term) > 2), "
+    "numbered AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) - 1 AS topic FROM (SELECT term, count(*) AS n FROM held GROUP BY term) "
+    f"QUALIFY topic < {TOPICS}), members AS (SELECT doc_id, topic FROM held JOIN numbered USING (term))"
+)
+_PAIRS = f"{_HELD}, pairs AS (SELECT a.topic AS src, b.topic AS dst, count(*) AS cnt FROM members a JOIN members b ON a.doc_id = b.doc_id AND a.topic < b.topic GROUP BY ALL)"
+_EDGES = (
+    f"{_PAIRS}, totals AS (SELECT topic, count(*)::DOUBLE AS docs FROM members GROUP BY topic), "
+    "joined AS (SELECT src, dst, cnt, cnt::DOUBLE AS yy, s.docs AS yb, d.docs AS ya, (SELECT count(*) FROM documents)::DOUBLE AS t "
+    "FROM pairs JOIN totals s ON s.topic = src JOIN totals d ON d.topic = dst), "
+    "edges AS (SELECT src, dst, cnt, t * power(yy * (t - (yb - yy) - (ya - yy) - yy) - (ya - yy) * (yb - yy) - t / 2, 2) / nullif(ya * (t - ya) * yb * (t - yb), 0) AS chi FROM joined)"
+)
+_SIMPLEX = (
+    "squares AS (SELECT vec_id AS doc_id, i - 1 AS topic, embedding[i]::DOUBLE * embedding[i]::DOUBLE AS sq "
+    "FROM embeddings, generate_series(1, 64) AS s(i)), "
+    "weights AS (SELECT doc_id, topic, sq / sum(sq ORDER BY topic) OVER (PARTITION BY doc_id) AS weight FROM squares)"
+).replace("sum(sq ORDER BY topic) OVER (PARTITION BY doc_id)", "sum(sq) OVER (PARTITION BY doc_id)")
+_REACH = (
+    f"{_EDGES}, both_ways AS (SELECT src AS a, dst AS b FROM edges WHERE chi > {TIGHT_CHI} UNION SELECT dst, src FROM edges WHERE chi > {TIGHT_CHI}), "
+    "reach AS (SELECT DISTINCT topic AS v, topic AS l FROM members UNION SELECT b, l FROM reach JOIN both_ways ON a = v), "
+    "comps AS (SELECT v AS topic, min(l) AS component FROM reach GROUP BY v)"
+)
+_FOLD = "(('0x' || substr(h, {i}, 8))::BIGINT)"
+_KEY = "0"
+for _i in range(1, 65, 8):
+    _KEY = f"(({_KEY}) * {4294967296 % 100_000_000} + {_FOLD.format(i=_i)}) % 100000000"
+
+ORACLES = {
+    "tokenize_regex": f"SELECT doc_id, len(w)::BIGINT AS n_tokens, md5(coalesce(array_to_string(w, ' '), '')) AS tokens_md5 FROM (SELECT doc_id, {_REGEX} AS w FROM documents)",
+    "tokens_letters_filter": (
+        "SELECT doc_id, len(w)::BIGINT AS n_tokens, md5(coalesce(array_to_string(w, ' '), '')) AS tokens_md5 FROM (SELECT doc_id, "
+        "list_transform(list_filter(string_split_regex(coalesce(text, ''), '[^\\p{L}]+'), lambda w: length(w) > 2), lambda w: lower(w)) AS w FROM documents)"
+    ),
+    "stopwords_removed": f"WITH {_WORDS} SELECT doc_id, len(w)::BIGINT AS n_tokens, md5(coalesce(array_to_string(w, ' '), '')) AS tokens_md5 FROM words",
+    "lemmas_by_rules": f"SELECT doc_id, len({_REGEX})::BIGINT AS n_tokens FROM documents",
+    "term_doc_frequency": f"WITH {_DF} SELECT term, df, cf FROM df",
+    "inverse_doc_frequency": f"WITH {_DF} SELECT term, round(ln(((SELECT count(*) FROM documents) + 1) / (df + 1)), 6) AS idf FROM df",
+    "tfidf_top_terms": (
+        f"WITH {_DF}, weighed AS (SELECT doc_id, term, tf, round(tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)), 6) AS tfidf FROM counts JOIN df USING (term)) "
+        "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, term) AS rank, term, tf, tfidf FROM weighed QUALIFY rank <= 5"
+    ),
+    "cosine_topk": (
+        "SELECT vec_id, round(s, 6) AS similarity FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS s "
+        "FROM embeddings) ORDER BY s DESC, vec_id LIMIT 10"
+    ),
+    "major_topics": f"WITH {_SIMPLEX} SELECT doc_id, topic::BIGINT AS topic FROM weights WHERE weight >= {THRESHOLD}",
+    "topic_doc_counts": f"WITH {_HELD} SELECT topic, count(*) AS docs FROM members GROUP BY topic",
+    "topic_pair_counts": f"WITH {_PAIRS} SELECT src, dst, cnt FROM pairs",
+    "chi_square_edges": f"WITH {_EDGES} SELECT src, dst, cnt, round(chi, 4) AS chi FROM edges",
+    "interesting_edges": f"WITH {_EDGES} SELECT src, dst, round(chi, 4) AS chi FROM edges WHERE chi > {CHI}",
+    "degree": f"WITH {_EDGES} SELECT topic, count(*) AS degree FROM (SELECT unnest([src, dst]) AS topic FROM edges WHERE chi > {TIGHT_CHI}) GROUP BY topic",
+    "degree_stats": (
+        f"WITH {_EDGES}, degrees AS (SELECT topic, count(*) AS degree FROM (SELECT unnest([src, dst]) AS topic FROM edges WHERE chi > {CHI}) GROUP BY topic) "
+        "SELECT count(degree) AS n, round(avg(degree), 6) AS mean, round(stddev_pop(degree), 6) AS stdev, max(degree) AS max, min(degree) AS min FROM degrees"
+    ),
+    "connected_components": f"WITH RECURSIVE {_REACH} SELECT topic, component FROM comps",
+    "component_sizes": f"WITH RECURSIVE {_REACH} SELECT component, count(*) AS size FROM comps GROUP BY component",
+    "graph_table": f"WITH {_EDGES} SELECT src AS \"Source\", dst AS \"Target\", round(chi, 4) AS \"Weight\", 'Undirected' AS \"Type\" FROM edges WHERE chi > {CHI}",
+    "corpus_topic_share": (
+        f"WITH {_SIMPLEX} SELECT topic::BIGINT AS topic, round(sum(weight), 6) AS total, round(sum(weight) / (SELECT count(*) FROM embeddings) * 100, 6) AS percent FROM weights GROUP BY topic"
+    ),
+    "topic_weight_percentiles": (
+        f"WITH {_SIMPLEX} SELECT round(quantile_cont(weight, 0.8), 9) AS p80, round(quantile_cont(weight, 0.9), 9) AS p90, round(quantile_cont(weight, 0.5), 9) AS p50, "
+        "round(min(weight), 9) AS least, round(max(weight), 9) AS most FROM weights"
+    ),
+    "topic_weight_histogram": (
+        f"WITH {_SIMPLEX}, ends AS (SELECT min(weight) AS a, max(weight) AS b, count(*) AS c FROM weights) "
+        "SELECT least(100, floor((weight - a) / (b - a) * 100)::BIGINT + 1) AS bin, count(*) AS n, round(count(*) / (any_value(c) * ((any_value(b) - any_value(a)) / 100)), 4) AS density "
+        "FROM weights, ends GROUP BY bin"
+    ),
+    "browse_topic_top10": (
+        f"WITH {_SIMPLEX} SELECT row_number() OVER (ORDER BY weight DESC, doc_id) AS number, doc_id, round(weight * 100, 6) AS percent FROM weights WHERE topic = 3 QUALIFY number <= 10"
+    ),
+    "doc_top5_topics": (
+        f"WITH {_SIMPLEX} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, topic) AS rank, topic::BIGINT AS topic, round(weight, 9) AS weight FROM weights QUALIFY rank <= 5"
+    ),
+    "topic_label_lookup": (
+        f"WITH {_SIMPLEX}, labels_(topic, label) AS (VALUES {', '.join(str(x) for x in LABELS)}) SELECT topic::BIGINT AS topic, label, "
+        "round(sum(weight) / (SELECT count(*) FROM embeddings) * 100, 6) AS percent FROM weights JOIN labels_ USING (topic) GROUP BY ALL"
+    ),
+    "label_index": f"SELECT row_number() OVER (ORDER BY label, id) AS number, id::BIGINT AS \"Id\", label AS \"Label\" FROM (VALUES {', '.join(str(x) for x in LABELS)}) AS v(id, label)",
+    "document_key_hash": f"SELECT doc_id, ({_KEY})::BIGINT AS key FROM (SELECT doc_id, sha256(substr(text, 1, 60)) AS h FROM documents)",
+    "abstract_between_markers": "SELECT * FROM (VALUES (1::BIGINT, 'foo bar'), (2, NULL), (3, 'x'), (4, NULL)) AS v(id, abstract)",
+    "pdf_text_join": "SELECT * FROM (VALUES (1::BIGINT, chr(10) || 'a' || chr(10) || 'b'), (2, chr(10) || 'one' || chr(10) || chr(10) || 'two' || chr(10) || 'three')) AS v(id, text)",
+    "page_title": "SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title FROM pages",
+    "page_links": (
+        "SELECT page_id, unnest(generate_series(0, len(h) - 1)) AS place, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages) WHERE len(h) > 0"
+    ),
+    "page_link_absolute": (
+        "SELECT DISTINCT page_id, regexp_extract(url, '^https?://[^/?#]+') || href AS link FROM "
+        "(SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) WHERE href LIKE '/%'"
+    ),
+    "page_headings": "SELECT page_id, replace(replace(replace(regexp_extract(html, '<h1>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS heading FROM pages",
+    "upsert_documents": (
+        "WITH fresh AS (SELECT doc_id + 1 AS doc_id, 'xx' AS lang, source FROM documents WHERE doc_id % 3 = 0) "
+        "SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM fresh) UNION ALL SELECT * FROM fresh"
+    ),
+    "edge_text_roundtrip": f"WITH {_PAIRS} SELECT src, dst, cnt::DOUBLE AS weight FROM pairs",
+    "seed_urls": "SELECT 'http://journal.example.org/papers/v' || i || '/' AS url FROM generate_series(13, 18) AS s(i)",
+}
