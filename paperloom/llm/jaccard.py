@@ -158,13 +158,18 @@ def _may_link(n1: Column, n2: Column, percent: int) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that link: both other orders' prefixes meet, and the whole sets are alike enough."""
-    heads = sets.select("f", "second", "third")
-    left, right = heads.toDF("a", "second", "third"), heads.toDF("b", "second_b", "third_b")
-    near = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("second", "second_b") & F.arrays_overlap("third", "third_b")).select("a", "b")
-    whole = sets.select("f", "tokens")
-    both = near.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b").select("a", "b", "x", "y")
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, common, percent: int) -> DataFrame:
+    """The (a, b) of the written ``pairs`` that link: both other orders' prefixes meet, and the whole sets are alike enough.
+
+    Sets are made of the entities in ``pairs`` only; ``reps`` names a row (doc_id, own_hash) of each.
+    """
+    wanted = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f"))).distinct()
+    sets = written(sets_of(docs, reps.join(wanted, "f").select("doc_id", "own_hash"), common, percent))
+    release(docs.sparkSession)
+    names = ["tokens", "second", "third"]
+    left, right = sets.toDF("a", *names), sets.toDF("b", *[f"{n}_b" for n in names])
+    near = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("second", "second_b") & F.arrays_overlap("third", "third_b"))
+    both = near.select("a", "b", F.col("tokens").alias("x"), F.col("tokens_b").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,8 +211,8 @@ def link_groups(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     blocks = written(blocks_of(docs, common, percent))
     release(spark)
     met = blocks.select("f").distinct()
-    entities = members.join(met, "f").groupBy("f").agg(F.min(F.struct("doc_id", F.col("text_hash").alias("own_hash"))).alias("row")).select("row.*")
-    sets = written(sets_of(docs, entities, common, percent))
+    reps = members.join(met, "f").groupBy("f").agg(F.min(F.struct("doc_id", F.col("text_hash").alias("own_hash"))).alias("row"))
+    reps = written(reps.select("f", "row.*"))
     labels = written(met.select("f", F.col("f").alias("component")))
     release(spark)
     for turn in range(ROUNDS + 1):
@@ -229,7 +234,7 @@ def link_groups(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             meet = now.join(heads, "token").where((F.col("component") != F.col("ca")) & _may_link(F.col("n"), F.col("na"), percent))
             pairs = meet.select(F.least("a", "f").alias("a"), F.greatest("a", "f").alias("b")).distinct()
             blocks = now.join(heads.select("token", F.col("a").alias("f")), ["token", "f"], "left_anti").select("token", "f", "n", "place")
-        labels = _relabel(labels, written(verified(written(pairs), sets, percent)))
+        labels = _relabel(labels, written(verified(written(pairs), docs, reps, common, percent)))
         release(spark)
         if last:
             break
