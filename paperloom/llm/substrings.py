@@ -226,14 +226,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = written(hits(rows))
     release(docs.sparkSession)
-    # Texts are dealt by doc_id once: both joins below read the same exchange.
-    marked = rows.withColumn("text_hash", F.hash("text"))
+    # Texts are dealt by doc_id once: both joins below have the same left side and read the same exchange.
+    every = rows.withColumn("text_hash", F.hash("text"))
+    marked, bare = every.where("doc_id is not null"), every.where("doc_id is null")
     merge = lambda c: F.flatten(F.collect_list(c)).alias(c)
     near = marked.join(found.groupBy("doc_id").agg(merge("later"), merge("earlier")), "doc_id")
     windows = near.select("doc_id", "text", "text_hash", "later", "earlier").mapInArrow(_windows, "doc_id long, text_hash int, place int, later boolean, hash long")
     least = windows.where("not later").groupBy("hash").agg(F.min("doc_id").alias("least"))
     copies = windows.where("later").drop("later").join(least, "hash").where("least < doc_id")
     per_doc = copies.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "place")).alias("copies"))
-    return marked.join(per_doc, "doc_id", "left").select("doc_id", "text", "text_hash", "copies").mapInArrow(
-        _cut, "doc_id long, n_words long, removed array<struct<start:int,stop:int>>, kept string"
-    )
+    cut = lambda d: d.select("doc_id", "text", "text_hash", "copies").mapInArrow(_cut, "doc_id long, n_words long, removed array<struct<start:int,stop:int>>, kept string")
+    none = F.lit(None).cast("array<struct<text_hash:int,place:int>>")
+    return cut(marked.join(per_doc, "doc_id", "left")).unionByName(cut(bare.withColumn("copies", none)))
