@@ -8,8 +8,8 @@ others as well, and are then verified on whole sets.
 
 Equal sets are one entity from the start. The tokens of a common passage are last in every order, so
 documents that share little else don't meet. Where many sets are alike indeed, a prefix token has a large block.
-All pairs of a block are never made there: a block's smallest component sends one member, which is compared with
-the members of other components and then leaves the block, until the pairs between components are about as many
+All pairs of a block are never made there: a block's largest component sends some members, which are compared
+with the members of other components and then leave the block, until the pairs between components are about as many
 as the rows; these are made. No link between components can be lost so, since the pairs left out join what is
 joined already.
 
@@ -40,7 +40,9 @@ GRAM, PERCENT = 5, 80
 COMMON_FROM, COMMON = 3, 1 << 20
 #: All pairs between components are made at once when they are at most this many a row of the blocks. Until
 #: then, rounds thin out the blocks of more than SMALL entities; after ROUNDS, what is left is made in any case.
-PAIRS_A_ROW, SMALL, ROUNDS = 16, 24, 24
+PAIRS_A_ROW, SMALL, ROUNDS = 16, 24, 2
+#: Members that a block sends a round.
+SENT = 12
 ORDERS = (11, 12, 13)
 
 
@@ -219,9 +221,12 @@ def link_groups(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         now = blocks.join(labels, "f")
         open_ = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
         now = written(now.join(open_, "token").select("token", "f", "n", "place", "component"))
-        sent = F.min_by(F.struct("f", "n"), F.xxhash64("f", F.lit(turn))).alias("sent")
-        each = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), sent)
-        head = F.min_by(F.struct("sent", "component"), F.struct("k", F.xxhash64("component", F.lit(turn)))).alias("head")
+        sent = F.array(*[F.min_by(F.struct(F.col("f").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), F.xxhash64("f", F.lit(turn * SENT + j))) for j in range(SENT)])
+        each = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), sent.alias("sent"))
+        if turn:  # members of the largest component; at first, while all are alone, any
+            head = F.max_by("sent", F.struct("k", F.xxhash64("component"))).alias("heads")
+        else:
+            head = F.array(*[F.min_by(F.col("sent")[j], F.xxhash64("component", F.lit(j))) for j in range(SENT)]).alias("heads")
         tokens = written(each.groupBy("token").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("squares"), head))
         rows, pairs = tokens.agg(F.sum("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("squares")) / 2)).first()
         if not rows:
@@ -230,10 +235,13 @@ def link_groups(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         if last:
             pairs = candidates(now, percent)
         else:
-            heads = tokens.where(F.col("rows") > SMALL).select("token", F.col("head.sent.f").alias("a"), F.col("head.sent.n").alias("na"), F.col("head.component").alias("ca"))
-            meet = now.join(heads, "token").where((F.col("component") != F.col("ca")) & _may_link(F.col("n"), F.col("na"), percent))
+            heads = tokens.where(F.col("rows") > SMALL).select("token", F.array_distinct("heads").alias("heads"))
+            meet = now.join(heads, "token").groupBy("f", "n", "component").agg(F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))
+            meet = meet.select("f", "n", "component", F.explode("heads").alias("head")).select("f", "n", "component", "head.*")
+            meet = meet.where((F.col("component") != F.col("ca")) & _may_link(F.col("n"), F.col("na"), percent))
             pairs = meet.select(F.least("a", "f").alias("a"), F.greatest("a", "f").alias("b")).distinct()
-            blocks = now.join(heads.select("token", F.col("a").alias("f")), ["token", "f"], "left_anti").select("token", "f", "n", "place")
+            gone = heads.select("token", F.explode("heads.a").alias("f")).distinct()
+            blocks = now.join(gone, ["token", "f"], "left_anti").select("token", "f", "n", "place")
         labels = _relabel(labels, written(verified(written(pairs), docs, reps, common, percent)))
         release(spark)
         if last:
