@@ -3,7 +3,7 @@
 A document is its set of word n-grams. Two documents link if 100 * |both| >= ``PERCENT`` * |either|. Under any
 global order of tokens, linked sets share a token among their first n - ceil(n * PERCENT / 100) + 1. Three orders are
 used: all put common tokens last, by how many prefixes hold them, and shuffle equals by different hashes. Pairs
-are found by the first order, pass its bound on what can be common, must share prefix tokens under the two
+are found by the first order, pass its bound on what can be common and that of 256-bit bitmaps, must share prefix tokens under the two
 others as well, and are then verified on whole sets.
 
 Equal sets are one entity from the start. The tokens of a common passage are last in every order, so
@@ -44,6 +44,8 @@ PAIRS_A_ROW, SMALL, ROUNDS = 16, 24, 2
 #: Members that a block sends a round.
 SENT = 12
 ORDERS = (11, 12, 13)
+#: Longs of a set's bitmap, in which each token flips one bit: bits that differ are at most the tokens that differ.
+BITS = ["s0", "s1", "s2", "s3"]
 
 
 class Sets:
@@ -72,6 +74,17 @@ class Sets:
         #: Equal sets have equal marks; those of different sets differ but for a chance of 2**-64.
         self.marks = mix(sums[self.starts + self.sizes] - sums[self.starts] + self.sizes.astype(np.uint64), 21).view(np.int64)
 
+    def bits(self) -> list[np.ndarray]:
+        """The BITS of each set."""
+        place = mix(self.token, 30) & np.uint64(64 * len(BITS) - 1)
+        bit, full, out = np.uint64(1) << (place & np.uint64(63)), self.sizes > 0, []
+        for i in range(len(BITS)):
+            word = np.zeros(len(self.sizes), np.uint64)
+            if full.any():
+                word[full] = np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == i, bit, np.uint64(0)), self.starts[full])
+            out.append(word.view(np.int64))
+        return out
+
     def prefixes(self, seed: int, common: tuple[np.ndarray, np.ndarray], percent: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(doc, token, place) of the prefixes under the order of ``seed``; only: a mask of texts."""
         doc, token = self.doc, self.token
@@ -128,16 +141,16 @@ def common_tokens(docs: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray
 
 
 def blocks_of(docs: DataFrame, common, percent: int) -> DataFrame:
-    """(token, f, n, place): the entities of each prefix token of the first order that has two or more."""
+    """(token, f, n, place, BITS): the entities of each prefix token of the first order that has two or more."""
 
     def make(_, sets: Sets):
         doc, token, place = sets.prefixes(ORDERS[0], common.value, percent, _distinct(sets))
-        return token.view(np.int64), sets.marks[doc], sets.sizes[doc], place
+        return token.view(np.int64), sets.marks[doc], sets.sizes[doc], place, *[w[doc] for w in sets.bits()]
 
     by_token = Window.partitionBy("token")
-    rows = _map(docs, "token long, f long, n long, place long", make).repartition("token")
+    rows = _map(docs, "token long, f long, n long, place long, " + ", ".join(f"{w} long" for w in BITS), make).repartition("token")
     shared = rows.withColumns({"lo": F.min("f").over(by_token), "hi": F.max("f").over(by_token)}).where("lo < hi")
-    return shared.groupBy("token", "f").agg(F.min("n").alias("n"), F.min("place").alias("place"))
+    return shared.groupBy("token", "f", "n", *BITS).agg(F.min("place").alias("place"))
 
 
 def sets_of(docs: DataFrame, entities: DataFrame, common, percent: int) -> DataFrame:
@@ -156,8 +169,10 @@ def sets_of(docs: DataFrame, entities: DataFrame, common, percent: int) -> DataF
     return _map(rows.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text"), "f long, tokens binary, second array<int>, third array<int>", make)
 
 
-def _may_link(n1: Column, n2: Column, percent: int) -> Column:
-    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+def _may_link(n1: Column, n2: Column, bits1: list[str], bits2: list[str], percent: int) -> Column:
+    """Whether sizes and bitmaps leave two sets alike enough."""
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(bits1, bits2)), F.lit(0))
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (differ * (100 + percent) <= (n1 + n2) * (100 - percent))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, common, percent: int) -> DataFrame:
@@ -197,9 +212,10 @@ def candidates(now: DataFrame, percent: int) -> DataFrame:
 
     Behind the last token that two prefixes share, at most the shorter rest of the two sets can be common.
     """
-    a = now.toDF("token", "a", "na", "pa", "ca")
-    b = now.toDF("token", "b", "nb", "pb", "cb")
-    met = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(F.col("na"), F.col("nb"), percent))
+    a_bits, b_bits = [f"a_{w}" for w in BITS], [f"b_{w}" for w in BITS]
+    a = now.select("token", "f", "n", "place", "component", *BITS).toDF("token", "a", "na", "pa", "ca", *a_bits)
+    b = now.select("token", "f", "n", "place", "component", *BITS).toDF("token", "b", "nb", "pb", "cb", *b_bits)
+    met = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(F.col("na"), F.col("nb"), a_bits, b_bits, percent))
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     most = F.col("shared") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
     return pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
@@ -220,8 +236,8 @@ def link_groups(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     for turn in range(ROUNDS + 1):
         now = blocks.join(labels, "f")
         open_ = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        now = written(now.join(open_, "token").select("token", "f", "n", "place", "component"))
-        sent = F.array(*[F.min_by(F.struct(F.col("f").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), F.xxhash64("f", F.lit(turn * SENT + j))) for j in range(SENT)])
+        now = written(now.join(open_, "token").select("token", "f", "n", "place", "component", *BITS))
+        sent = F.array(*[F.min_by(F.struct(F.col("f").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), *[F.col(w).alias(f"a_{w}") for w in BITS]), F.xxhash64("f", F.lit(turn * SENT + j))) for j in range(SENT)])
         each = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), sent.alias("sent"))
         if turn:  # members of the largest component; at first, while all are alone, any
             head = F.max_by("sent", F.struct("k", F.xxhash64("component"))).alias("heads")
@@ -236,12 +252,11 @@ def link_groups(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             pairs = candidates(now, percent)
         else:
             heads = tokens.where(F.col("rows") > SMALL).select("token", F.array_distinct("heads").alias("heads"))
-            meet = now.join(heads, "token").groupBy("f", "n", "component").agg(F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))
-            meet = meet.select("f", "n", "component", F.explode("heads").alias("head")).select("f", "n", "component", "head.*")
-            meet = meet.where((F.col("component") != F.col("ca")) & _may_link(F.col("n"), F.col("na"), percent))
+            meet = now.join(heads, "token").select("f", "n", "component", *BITS, F.explode("heads").alias("head")).select("f", "n", "component", *BITS, "head.*")
+            meet = meet.where((F.col("component") != F.col("ca")) & _may_link(F.col("n"), F.col("na"), BITS, [f"a_{w}" for w in BITS], percent))
             pairs = meet.select(F.least("a", "f").alias("a"), F.greatest("a", "f").alias("b")).distinct()
             gone = heads.select("token", F.explode("heads.a").alias("f")).distinct()
-            blocks = now.join(gone, ["token", "f"], "left_anti").select("token", "f", "n", "place")
+            blocks = now.join(gone, ["token", "f"], "left_anti").select("token", "f", "n", "place", *BITS)
         labels = _relabel(labels, written(verified(written(pairs), docs, reps, common, percent)))
         release(spark)
         if last:
