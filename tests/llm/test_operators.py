@@ -289,6 +289,18 @@ def near_copies(rng, n, length, changes):
     return out
 
 
+def test_bitmaps_never_differ_more_than_sets():
+    rng = np.random.default_rng(5)
+    texts = [b"", b"one two", *[t.encode() for t in near_copies(rng, 40, 90, 30)]]
+    sets = jaccard.Sets(texts, 5)
+    tokens = [set(sets.token[a : a + n].tolist()) for a, n in zip(sets.starts, sets.sizes)]
+    bits = np.stack(sets.bits(), 1).view(np.uint64)
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert int(np.bitwise_count(bits[i] ^ bits[j]).sum()) <= len(tokens[i] ^ tokens[j])
+    assert not bits[0].any() and bits[1].any()
+
+
 def test_jaccard_groups(spark):
     rng = np.random.default_rng(3)
     texts = TEXTS + near_copies(rng, 70, 120, 5) + ["common passage of seven words here now " + " ".join(f"u{k}_{i}" for i in range(20)) for k in range(40)] + ["A b C d", "a B c D", "a b c"]
