@@ -1,7 +1,7 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage gets all that the one before kept, and its decisions take effect: toxic documents go, later copies of
-line runs are cut (documents with nothing left go), one document of each near-duplicate group stays, sources are
+line runs and of lines of more than 50 words are cut (documents with nothing left go), one document of each near-duplicate group stays, sources are
 drawn to their target weights (a document may come up to three times), and what is left is packed into sequences.
 All stages but the last return the columns of ``documents``.
 """
@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.deduped(docs)
+    return linededup.deduped(docs, long_words=linededup.LONG_WORDS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

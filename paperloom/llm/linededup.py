@@ -12,11 +12,14 @@ ones that start at each of its lines, and their union is the maximal repeated ru
 ``least`` and runs are merged from overlapping or touching copies in a document. Blank lines inside a
 deleted run go with it, others stay.
 
+With ``long_words``, a line of at least that many words is a run by itself: the suffixes of its rank after one line
+are an interval too, and all but the first are later copies, whatever stands around them.
+
 Only built-in functions are used. Hot lines are counted map-side; joins to ranks have one row a rank on one
 side, and adaptive execution splits the other. Windows hold one document.
 
 Defined cases: null text has no line and stays null; an empty text is one blank line; one-line documents have
-no run of two lines and stay; rows repeated under one id with equal text are the same place, so neither removes the
+no run of two lines and stay, unless ``long_words`` is given and the line is that long; rows repeated under one id with equal text are the same place, so neither removes the
 other; rows of one id with different texts follow the hash of the text; an empty table gives an empty result;
 names of further columns can't clash, as they are carried as one struct.
 """
@@ -26,10 +29,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import written
+from paperloom.llm.common import WORD, written
 
 #: Lines a repeated run has at least.
 LEAST = 2
+#: Words from which one line is a passage of its own, where ``long_words`` is asked for: more than 50.
+LONG_WORDS = 51
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -37,15 +42,19 @@ def _text_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, seq, line_no, a, b): lines with a word; a and b are two hashes of a line."""
+def lines_of(docs: DataFrame, id_col: str, text_col: str, words: int = 1) -> DataFrame:
+    """(doc, seq, line_no, a, b): lines of at least ``words`` words; a and b are two hashes of a line.
+
+    seq numbers the lines with a word, whatever ``words`` is.
+    """
     text = F.col(text_col)
     numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("x")))
     worded = F.filter(numbered, lambda s: s["x"].rlike(HAS_WORD))
-    hashed = F.transform(worded, lambda s: F.struct(s["line_no"].alias("line_no"), F.xxhash64(s["x"]).alias("a"), F.xxhash64(F.lit(1), s["x"]).alias("b")))
+    enough = lambda x: F.when(F.length(x) >= 2 * words - 1, F.regexp_count(x, F.lit(WORD)) >= words).otherwise(False)
+    hashed = F.transform(worded, lambda s: F.struct(s["line_no"].alias("line_no"), F.xxhash64(s["x"]).alias("a"), F.xxhash64(F.lit(1), s["x"]).alias("b"), *([enough(s["x"]).alias("long")] if words > 1 else [])))
     doc = F.struct(F.col(id_col).alias("id"), _text_hash(text).alias("text_hash"))
     spread = docs.where(text.isNotNull()).select(doc.alias("doc"), F.posexplode(hashed).alias("seq", "line"))
-    return spread.select("doc", "seq", "line.line_no", "line.a", "line.b")
+    return (spread.where("line.long") if words > 1 else spread).select("doc", "seq", "line.line_no", "line.a", "line.b")
 
 
 def _ranked(keys: DataFrame, order: list[str]) -> DataFrame:
@@ -74,18 +83,32 @@ def repeated_suffixes(lines: DataFrame, least: int = LEAST) -> DataFrame:
     return suffixes
 
 
-def repeated_runs(lines: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc, from_line, to_line): maximal runs of lines that are later copies, by line number."""
-    copies = repeated_suffixes(lines, least).where(F.struct("doc", "seq") != F.col("first")).select("doc", "seq", "line_no", "last_no")
+def repeated_lines(lines: DataFrame) -> DataFrame:
+    """(doc, seq, line_no, first): lines that stand more than once; first is the earliest (doc, seq)."""
+    ids = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "seq")).alias("first")).where("n > 1").drop("n")
+    return lines.join(ids, ["a", "b"]).select("doc", "seq", "line_no", "first")
+
+
+def repeated_runs(lines: DataFrame, least: int = LEAST, long_lines: DataFrame | None = None) -> DataFrame:
+    """(doc, from_line, to_line): maximal runs of lines that are later copies, by line number.
+
+    Each of ``long_lines``, if given, is a run of one line.
+    """
+    found = repeated_suffixes(lines, least).withColumn("last_seq", F.col("seq") + (least - 1))
+    if long_lines is not None:
+        found = found.drop("rank").unionByName(repeated_lines(long_lines).withColumns({"last_no": F.col("line_no"), "last_seq": F.col("seq")}))
+    copies = found.where(F.struct("doc", "seq") != F.col("first")).groupBy("doc", "seq", "line_no").agg(F.max("last_no").alias("last_no"), F.max("last_seq").alias("last_seq"))
     by_seq = Window.partitionBy("doc").orderBy("seq")
-    opens = F.coalesce(F.col("seq") > F.lag("seq").over(by_seq) + least, F.lit(True)).cast("int")
-    islands = copies.distinct().withColumn("opens", opens).withColumn("run", F.sum("opens").over(by_seq))
+    before = F.max("last_seq").over(by_seq.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("seq") > before + 1, F.lit(True)).cast("int")
+    islands = copies.withColumn("opens", opens).withColumn("run", F.sum("opens").over(by_seq))
     return islands.groupBy("doc", "run").agg(F.min("line_no").alias("from_line"), F.max("last_no").alias("to_line")).drop("run")
 
 
-def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """(row, n_lines, runs, kept): the row as it was, its deleted runs, and the text without them."""
-    runs = repeated_runs(lines_of(docs, id_col, text_col), least)
+    long_lines = lines_of(docs, id_col, text_col, long_words) if long_words else None
+    runs = repeated_runs(lines_of(docs, id_col, text_col), least, long_lines)
     per_doc = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("from_line", "to_line"))).alias("runs"))
     per_doc = per_doc.select(F.col("doc.id").alias("run_id"), F.col("doc.text_hash").alias("run_hash"), "runs")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), _text_hash(F.col(text_col)).alias("text_hash"))
@@ -100,9 +123,9 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
     return joined.select("row", F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce("runs", F.array().cast("array<struct<from_line:int,to_line:int>>")).alias("runs"), kept.alias("kept"))
 
 
-def deduped(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+def deduped(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", long_words: int | None = None) -> DataFrame:
     """``docs`` without later copies of runs; documents that had a word and have none left go."""
-    found = dedup(docs, least, id_col, text_col).where(~(F.size("runs") > 0) | F.col("kept").rlike(HAS_WORD))
+    found = dedup(docs, least, id_col, text_col, long_words).where(~(F.size("runs") > 0) | F.col("kept").rlike(HAS_WORD))
     changed = F.size("runs") > 0
     columns = {c: F.col("row")[c] for c in docs.columns} | {text_col: F.col("kept")}
     if size_col in columns:

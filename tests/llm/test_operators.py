@@ -251,6 +251,15 @@ def test_line_dedup(spark, docs, least):
     assert [found[i]["n_lines"] for i in range(3)] == [0, 1, 2]
 
 
+def test_line_dedup_cuts_long_single_lines(spark):
+    long, short = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("p", 51), ("q", 50)))
+    texts = [f"a\n{long}\nb", long, f"c\n\n{long}\nd", f"e\n{long}\n{short}\nf\n{long}", f"{short}\nf\n{long}\ng", short, f"h\n{long}\nc\n{long}\nd"]
+    found = {r["doc_id"]: r["text"] for r in linededup.deduped(documents(spark, texts), long_words=linededup.LONG_WORDS).collect()}
+    assert found == {0: texts[0], 2: "c\n\nd", 3: f"e\n{short}\nf", 4: "g", 5: short, 6: "h"}
+    plain = {r["doc_id"]: r["text"] for r in linededup.deduped(documents(spark, texts)).collect()}
+    assert plain[1] == long and plain[2] == texts[2]
+
+
 def test_line_dedup_drops_what_is_left_empty(docs, none):
     left = linededup.deduped(docs)
     assert left.columns == docs.columns
