@@ -72,6 +72,50 @@ def test_url_models_are_distributions():
     assert np.allclose(model.score(["http://a.b/c", None]), 0)
 
 
+def exact_scores(urls, ok):
+    """Scores by dicts over whole contexts: Witten-Bell, both sides trained on what isn't in the left-out fold."""
+    coded = lambda u: [*["^"] * urlfilter.ORDER, *u, "$"]
+    sides = []
+    for side in (True, False):
+        counts = defaultdict(lambda: defaultdict(int))
+        for u, y in zip(urls, ok):
+            if y is side and zlib.crc32(u.encode()) % urlfilter.FOLDS:
+                c = coded(u)
+                for i in range(urlfilter.ORDER, len(c)):
+                    for k in range(urlfilter.ORDER + 1):
+                        counts[tuple(c[i - k : i])][c[i]] += 1
+        sides.append(counts)
+
+    def chance(counts, c, i):
+        p = 1 / urlfilter.SYMBOLS
+        for k in range(urlfilter.ORDER + 1):
+            seen = counts.get(tuple(c[i - k : i]))
+            if seen:
+                below = sum(seen.values()) + len(seen)
+                p = seen.get(c[i], 0) / below + len(seen) / below * p
+        return p
+
+    out = []
+    for u in urls:
+        c = coded(u)
+        at = range(urlfilter.ORDER, len(c))
+        out.append(sum(np.log(chance(sides[0], c, i)) - np.log(chance(sides[1], c, i)) for i in at) / len(at))
+    return out
+
+
+def test_url_scores_are_of_exact_contexts(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    name = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 12))
+    urls = [f"https://{name()}.{('com', 'net', 'org')[i % 3]}/fr/{name()}" for i in range(900)]
+    urls += urls[:40]
+    want = exact_scores(urls, [(True, False, None)[("com", "net", "org").index(u.split("/")[2][-3:])] for u in urls])
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    for rows in (500_000, 1000):
+        monkeypatch.setattr(urlfilter, "BUCKET_ROWS", rows, raising=False)
+        found = {r["page_id"]: r["score"] for r in urlfilter.judge(pages).collect()}
+        assert np.allclose([found[i] for i in range(len(urls))], want, rtol=0, atol=1e-8)
+
+
 # 2
 
 
