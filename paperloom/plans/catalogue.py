@@ -245,7 +245,7 @@ def seed_urls(spark, sf_dir):
 
 def _pipeline(spark, sf_dir, k=5):
     docs = _documents(spark, sf_dir)
-    return docs, topics.train(docs, (k,), iterations=5, vocabulary_size=5000, least_docs=2)
+    return docs, topics.train(docs, (k,))
 
 
 def lda_doc_topics(spark, sf_dir):
@@ -258,7 +258,7 @@ def lda_topic_words(spark, sf_dir):
 
 
 def lda_model_selection(spark, sf_dir):
-    _, scores = topics.train(_documents(spark, sf_dir), (2, 5), iterations=5, vocabulary_size=5000, least_docs=2)
+    _, scores = topics.train(_documents(spark, sf_dir), (2, 5))
     return spark.createDataFrame(scores, "k int, log_likelihood double, log_perplexity double")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import html, text, vectors
 from paperloom.operators import explore, features, graph, similarity, topics
-from paperloom.plans import jobs
+from paperloom.plans import catalogue, jobs
 from paperloom.sources import readers, sinks
 
 CAFE = "  Café Naïve über-Deep learning3models the cid 42 a I"
@@ -192,6 +192,16 @@ def test_train_save_search_relate(spark, corpus, tmp_path):
     assert "topic_distribution" in spark.read.parquet(str(tmp_path / "store")).columns
 
 
+def test_registered_topic_queries_keep_every_term(spark, tmp_path):
+    letters = "bcdfghjklmnpqrstvwxz"
+    terms = [f"qq{a}{b}{c}" for a in letters for b in letters for c in letters][:5100]
+    rows = [(i, " ".join(terms[i::60]), f"s{i % 2}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    pipeline, scores = catalogue._pipeline(spark, str(tmp_path))[1]
+    assert sorted(pipeline.counter.vocabulary) == sorted(terms) and [k for k, *_ in scores] == [5]
+    assert pipeline.model.getMaxIter() == 100
+
+
 def test_nearest_breaks_ties_by_id(spark):
     rows = spark.createDataFrame([(2, [1.0, 0.0]), (1, [1.0, 0.0]), (3, [0.0, 1.0])], "id long, v array<double>")
     assert [r["id"] for r in similarity.nearest(rows, doubles([1, 0]), "v", "id", 2).collect()] == [1, 2]
