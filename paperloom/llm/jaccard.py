@@ -165,7 +165,8 @@ def sets_of(docs: DataFrame, entities: DataFrame, common, percent: int) -> DataF
             out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(sets.sizes) + 1)).astype(np.int32)), pa.array(cut(token))))
         return out
 
-    rows = docs.withColumn("text_hash", F.xxhash64("text")).join(entities, ["doc_id"]).where("text_hash = own_hash")
+    own = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))
+    rows = docs.withColumn("text_hash", F.xxhash64("text")).join(entities, own)
     return _map(rows.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text"), "f long, tokens binary, second array<int>, third array<int>", make)
 
 
@@ -178,10 +179,10 @@ def _may_link(n1: Column, n2: Column, bits1: list[str], bits2: list[str], percen
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, common, percent: int) -> DataFrame:
     """The (a, b) of the written ``pairs`` that link: both other orders' prefixes meet, and the whole sets are alike enough.
 
-    Sets are made of the entities in ``pairs`` only; ``reps`` names a row (doc_id, own_hash) of each.
+    Sets are made of the entities in ``pairs`` only; ``reps`` names a row (own_id, own_hash) of each.
     """
     wanted = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f"))).distinct()
-    sets = written(sets_of(docs, reps.join(wanted, "f").select("doc_id", "own_hash"), common, percent))
+    sets = written(sets_of(docs, reps.join(wanted, "f").select("own_id", "own_hash"), common, percent))
     release(docs.sparkSession)
     names = ["tokens", "second", "third"]
     left, right = sets.toDF("a", *names), sets.toDF("b", *[f"{n}_b" for n in names])
@@ -229,8 +230,8 @@ def link_groups(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     blocks = written(blocks_of(docs, common, percent))
     release(spark)
     met = blocks.select("f").distinct()
-    reps = members.join(met, "f").groupBy("f").agg(F.min(F.struct("doc_id", F.col("text_hash").alias("own_hash"))).alias("row"))
-    reps = written(reps.select("f", "row.*"))
+    reps = members.join(met, "f").groupBy("f").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"))).alias("row"))
+    reps = written(reps.select("f", "row.own_id", "row.own_hash"))
     labels = written(met.select("f", F.col("f").alias("component")))
     release(spark)
     for turn in range(ROUNDS + 1):
@@ -277,7 +278,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
 
     marked = _map(rows.withColumn("text_hash", F.xxhash64("text")), f"doc_id {kind}, text_hash long, n long, f long", make)
     members = written(marked)
-    labels = link_groups(rows, members.where("n > 0 and doc_id is not null"), percent)
+    labels = link_groups(rows, members.where("n > 0"), percent)
     named = members.join(labels, "f", "left").withColumn("component", F.coalesce("component", "f"))
     full, empty = named.where("n > 0"), named.where("n = 0")
     first = full.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))

@@ -372,6 +372,18 @@ def test_jaccard_rounds_thin_out_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == groups_brute(texts)
 
 
+def test_jaccard_links_rows_without_an_id(spark):
+    base = [f"b{i}" for i in range(100)]
+    changed = lambda *at: " ".join(f"z{i}" if i in at else w for i, w in enumerate(base))
+    texts = [changed(50), changed(), changed(0, 99), " ".join(f"u{i}" for i in range(40))]
+    far = changed(20, 50), changed(50, 80)
+    for ids, texts, want in (((1, None), texts[:2], {1}), ((1, None, 3), (far[0], texts[0], far[1]), {1}), ((None, None), texts[1:3], {None}), ((4, None), texts[2:], {4, None})):
+        rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        found = jaccard.groups(rows).collect()
+        assert {r["component_id"] for r in found} == want and sum(r["stays"] for r in found) == len(want)
+        assert sorted(str(r["doc_id"]) for r in jaccard.one_of_each(rows).collect()) == sorted(map(str, want))
+
+
 def test_one_of_each(docs, none):
     kept = jaccard.one_of_each(docs.unionByName(docs.where("doc_id = 5")))
     assert kept.columns == docs.columns
