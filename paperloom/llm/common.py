@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,12 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a query go when it ends, where this is set; of a written table they are of no more use.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = shared_dir(spark), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -47,14 +63,3 @@ def ascii_lower(text: Column) -> Column:
 def null_key(col: Column) -> Column:
     """A join key that tells null from every string."""
     return F.when(col.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), col.cast("string")))
-
-
-def release(spark: SparkSession) -> None:
-    """Asks the driver to drop what it no longer refers to, so that shuffle files of written tables go.
-
-    The cleaner learns of plans in one collection and of their shuffles in the next.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)

@@ -1,24 +1,31 @@
 """N-gram Jaccard join by several global token orders, and the groups that its links make.
 
 A document is its set of word n-grams. Two documents link if 100 * |both| >= ``PERCENT`` * |either|. Under any
-global order of tokens, linked sets share a token among their first n - ceil(n * PERCENT / 100) + 1. Three orders are
-used: all put common tokens last, by how many prefixes hold them, and shuffle equals by different hashes. Pairs
-are found by the first order, pass its bound on what can be common and that of 256-bit bitmaps, must share prefix tokens under the two
-others as well, and are then verified on whole sets.
-
-Equal sets are one entity from the start. The tokens of a common passage are last in every order, so
-documents that share little else don't meet. Where many sets are alike indeed, a prefix token has a large block.
-All pairs of a block are never made there: a block's largest component sends some members, which are compared
-with the members of other components and then leave the block, until the pairs between components are about as many
-as the rows; these are made. No link between components can be lost so, since the pairs left out join what is
-joined already.
-
-The list of common tokens is bounded by ``COMMON``; which tokens are on it changes the work, not the result.
+global order of tokens, linked sets share a token among their first n - ceil(n * PERCENT / 100) + 1. Three orders
+are used: all put tokens of few sets first, by exact counts over the whole corpus, and shuffle equals by different
+hashes.
+
+Tokens are looked up once, in packed rows dealt to buckets by their hashes: a bucket first folds what holds each
+token, then lets through the tokens that two or more different sets hold. What one set holds alone can't be common
+to a pair and stands first in every order, so it takes up the prefix: a set of n tokens of which e are shared has
+e - ceil(n * PERCENT / 100) + 1 tokens left in it, and none at all if too few are shared. Such sets link with
+nothing and go. From here on sets are their shared tokens, their size, and their three prefixes; texts are read no more.
+
+Candidates share a prefix token under the first order, pass bounds from their sizes, their shared sizes, the place
+of the token and 256-bit parity bitmaps, and must share prefix tokens under the two other orders as well; these
+filters are intersected on prefixes alone, and only survivors meet with whole sets.
+
+Equal sets are one entity from the start. The entities of a prefix token are a block; all pairs of a large block are
+never made. A turn compares some members (heads) with those of other components, links are closed to
+components, and heads leave the block, until each block is one component or used up: what isn't compared is
+joined already. The first turn's head is the member with the least tokens of its own, to which near copies of one
+original all link. Heads quadruple from turn to turn; small blocks are finished in the second one. So pairs stay in proportion
+to rows as long as blocks fall into few components, and none is lost in any case.
 
 Defined cases: null text, or text without a word, has an empty set and links with nothing; fewer words than an
-n-gram are one token; rows repeated under one id, with any text, are rows each; a component's id is its least
-non-null doc_id; an empty table gives an empty result; texts of any length count whole; names of further columns
-can't clash, as only id and text are read.
+n-gram are one token; rows repeated under one id, with any text, are rows each, and so are rows without an id; a
+component's id is its least non-null doc_id; an empty table gives an empty result; texts of any length count whole;
+names of further columns can't clash, as they are carried as one struct.
 """
 
 from __future__ import annotations
@@ -29,23 +36,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from paperloom.llm.common import release, written
+from paperloom.llm.common import discard, written
 from paperloom.llm.components import components
 from paperloom.llm.shingles import Words, chunks, mix
 
 GRAM, PERCENT = 5, 80
-#: Tokens in at least this many prefixes are common; at most COMMON are listed (16 bytes each).
-COMMON_FROM, COMMON = 3, 1 << 20
-#: All pairs between components are made at once when they are at most this many a row of the blocks. Until
-#: then, rounds thin out the blocks of more than SMALL entities; after ROUNDS, what is left is made in any case.
-PAIRS_A_ROW, SMALL, ROUNDS = 16, 24, 2
-#: Members that a block sends a round.
-SENT = 12
 ORDERS = (11, 12, 13)
-#: Longs of a set's bitmap, in which each token flips one bit: bits that differ are at most the tokens that differ.
+#: Longs of a set's bitmap, in which each shared token flips one bit: bits that differ are at most the tokens that differ.
 BITS = ["s0", "s1", "s2", "s3"]
+#: Tokens of a chunk a bucket, and tokens a bucket at most on average.
+ROW, BUCKET_TOKENS = 1000, 1_500_000
+FOLD, PROBE = 0, 1
+#: Token and set pairs among which a bucket drops repeated ones at once.
+REPEATS = 300_000
+#: Blocks of at most SMALL entities make all their pairs in the second turn; others send HEADS, four times as many every turn.
+#: All pairs are made as soon as they are at most PAIRS_A_ROW a row of the blocks that are left.
+SMALL, HEADS, PAIRS_A_ROW = 16, 8, 16
+
+PACKED = "bucket int, kind int, sets binary, sizes binary, counts binary, low binary, high binary"
+SHARED = "f long, n long, token long, df long"
+ENTITY = "f long, n long, e long, tokens binary, first array<long>, second array<int>, third array<int>, " + ", ".join(f"{w} long" for w in BITS)
 
 
 class Sets:
@@ -74,128 +85,229 @@ class Sets:
         #: Equal sets have equal marks; those of different sets differ but for a chance of 2**-64.
         self.marks = mix(sums[self.starts + self.sizes] - sums[self.starts] + self.sizes.astype(np.uint64), 21).view(np.int64)
 
-    def bits(self) -> list[np.ndarray]:
-        """The BITS of each set."""
-        place = mix(self.token, 30) & np.uint64(64 * len(BITS) - 1)
-        bit, full, out = np.uint64(1) << (place & np.uint64(63)), self.sizes > 0, []
-        for i in range(len(BITS)):
-            word = np.zeros(len(self.sizes), np.uint64)
-            if full.any():
-                word[full] = np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == i, bit, np.uint64(0)), self.starts[full])
-            out.append(word.view(np.int64))
-        return out
-
-    def prefixes(self, seed: int, common: tuple[np.ndarray, np.ndarray], percent: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(doc, token, place) of the prefixes under the order of ``seed``; only: a mask of texts."""
-        doc, token = self.doc, self.token
-        if only is not None:
-            keep = only[doc]
-            doc, token = doc[keep], token[keep]
-        tokens, counts = common
-        count = np.zeros(len(token), np.int64)
-        if len(tokens):
-            at = np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)
-            count = np.where(tokens[at] == token, counts[at], 0)
-        order = np.lexsort((mix(token, seed), count, doc))
-        doc, token = doc[order], token[order]
-        place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-        head = place < (self.sizes - -(-self.sizes * percent // 100) + 1)[doc]
-        return doc[head], token[head], place[head]
+    def distinct(self) -> np.ndarray:
+        """A mask of the first text with each mark; empty sets are left out."""
+        first = np.zeros(len(self.marks), bool)
+        first[np.unique(self.marks, return_index=True)[1]] = True
+        return first & (self.sizes > 0)
 
 
-NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where groups of equal, neighbouring keys begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
 
 
-def _map(docs: DataFrame, schema: str, make) -> DataFrame:
-    """mapInArrow over chunks of (doc_id, text, ...): make(chunk of the batch, Sets) gives columns or None."""
-    names = [x.split()[0] for x in schema.split(", ")]
+def members_of(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n, f) of (doc_id, text): the size and mark of each row's set."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, stop, texts in chunks(batch.column("text")):
-                made = make(batch.slice(first, stop - first), Sets(texts, GRAM))
-                if made is not None:
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in made], names)
-
-    return docs.mapInArrow(run, schema)
+                sets, part = Sets(texts, GRAM), batch.slice(first, stop - first)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(sets.sizes), pa.array(sets.marks)], ["doc_id", "text_hash", "n", "f"])
 
+    return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, text_hash long, n long, f long")
 
-def _distinct(sets: Sets) -> np.ndarray:
-    """A mask of the first text with each mark; empty sets are left out."""
-    first = np.zeros(len(sets.marks), bool)
-    first[np.unique(sets.marks, return_index=True)[1]] = True
-    return first & (sets.sizes > 0)
 
+def packed_tokens(rows: DataFrame, buckets: int) -> DataFrame:
+    """PACKED rows: what a chunk of texts has in one bucket, as lower halves to fold and as whole tokens to look up."""
+    names = [x.split()[0] for x in PACKED.split(", ")]
+    kinds = [pa.int32()] * 2 + [pa.binary()] * 5
 
-def common_tokens(docs: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, counts): at most COMMON tokens of most hash-order prefixes, by token."""
-
-    def make(_, sets: Sets):
-        return (sets.prefixes(ORDERS[0], NONE, percent, _distinct(sets))[1].view(np.int64),)
-
-    counts = _map(docs, "token long", make).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_FROM)
-    found = counts.orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
-    tokens = found["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], found["n"].to_numpy(np.int64)[order]
-
-
-def blocks_of(docs: DataFrame, common, percent: int) -> DataFrame:
-    """(token, f, n, place, BITS): the entities of each prefix token of the first order that has two or more."""
-
-    def make(_, sets: Sets):
-        doc, token, place = sets.prefixes(ORDERS[0], common.value, percent, _distinct(sets))
-        return token.view(np.int64), sets.marks[doc], sets.sizes[doc], place, *[w[doc] for w in sets.bits()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = min(1 << 20, max(1 << 18, ROW * buckets * 6))
+        for batch in batches:
+            for _, _, texts in chunks(batch.column("text"), size):
+                sets = Sets(texts, GRAM)
+                keep = sets.distinct()[sets.doc]
+                token, doc = sets.token[keep], sets.doc[keep]
+                high = (token >> np.uint64(32)).astype("<u4")
+                bucket = high % np.uint32(buckets)
+                order = np.argsort(bucket, kind="stable")
+                bucket, doc, low, high = bucket[order], doc[order], token[order].astype("<u4"), high[order]
+                groups, cuts = _starts(bucket, doc), _starts(bucket)
+                counts, marks, sizes = np.diff(np.append(groups, len(doc))).astype("<u4"), sets.marks[doc[groups]].astype("<i8"), sets.sizes[doc[groups]].astype("<u4")
+                ends, group_cuts = np.append(cuts, len(doc)), np.searchsorted(groups, np.append(cuts, len(doc)))
+                out = []
+                for i, b in enumerate(bucket[cuts].tolist()):
+                    a, z, c, d = ends[i], ends[i + 1], group_cuts[i], group_cuts[i + 1]
+                    own = marks[c:d].tobytes(), counts[c:d].tobytes(), low[a:z].tobytes()
+                    out.append((b, FOLD, own[0], None, *own[1:], None))
+                    out.append((b, PROBE, own[0], sizes[c:d].tobytes(), *own[1:], high[a:z].tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    return rows.select("text").mapInArrow(run, PACKED)
+
+
+class Bucket:
+    """For each lower half of a token: a set that holds it, whether another one does, and how often it was counted."""
+
+    def __init__(self):
+        none = np.zeros(0, np.int64)
+        self.low, self.mark, self.many, self.count = none.astype("<u4"), none, none.astype(bool), none
+        self.parts, self.held = [], 0
+
+    def fold(self, low: np.ndarray, mark: np.ndarray) -> None:
+        self.parts.append((low, mark))
+        self.held += len(low)
+        if self.held > max(500_000, len(self.low)):
+            self.close()
+
+    def close(self) -> None:
+        if not self.parts:
+            return
+        low, mark = (np.concatenate([own, *new]) for own, new in zip((self.low, self.mark), zip(*self.parts)))
+        many, count = np.zeros(len(low), bool), np.ones(len(low), np.int64)
+        many[: len(self.low)], count[: len(self.low)] = self.many, self.count
+        order = np.argsort(low, kind="stable")
+        low, mark, starts = low[order], mark[order], _starts(low[order])
+        differs = mark != np.repeat(mark[starts], np.diff(np.append(starts, len(low))))
+        self.low, self.mark = low[starts], mark[starts]
+        self.many, self.count = np.logical_or.reduceat(differs | many[order], starts), np.add.reduceat(count[order], starts)
+        self.parts, self.held = [], 0
+
+    def shared(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens two sets hold, and how often each of these was counted."""
+        at = np.searchsorted(self.low, low)
+        hit = self.many[at]
+        return hit, self.count[at[hit]]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHARED rows of packed ones that come bucket by bucket, first those to fold."""
+    number, bucket, parts, held = None, Bucket(), [], 0
+
+    def emit() -> pa.RecordBatch:
+        f, n, token, df = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((f, token))
+        order = order[_starts(token[order], f[order])]
+        return pa.RecordBatch.from_arrays([pa.array(c[order]) for c in (f, n, token.view(np.int64), df)], ["f", "n", "token", "df"])
+
+    for batch in batches:
+        for b, kind, sets, sizes, counts, low, high in zip(*[c.to_pylist() for c in batch.columns]):
+            if b != number:
+                number, bucket = b, Bucket()
+            counts, low = np.frombuffer(counts, "<u4"), np.frombuffer(low, "<u4")
+            mark = np.repeat(np.frombuffer(sets, "<i8"), counts)
+            if kind == FOLD:
+                bucket.fold(low, mark)
+                continue
+            bucket.close()
+            hit, df = bucket.shared(low)
+            if not len(df):
+                continue
+            token = np.frombuffer(high, "<u4")[hit].astype(np.uint64) << np.uint64(32) | low[hit]
+            parts.append((mark[hit], np.repeat(np.frombuffer(sizes, "<u4"), counts)[hit].astype(np.int64), token, df))
+            held += len(df)
+            if held > REPEATS:
+                yield emit()
+                parts, held = [], 0
+    if parts:
+        yield emit()
+
+
+def _bitmaps(token: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """The BITS of each of the sets that begin at ``starts``."""
+    place = mix(token, 30) & np.uint64(64 * len(BITS) - 1)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    return [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == i, bit, np.uint64(0)), starts).view(np.int64) for i in range(len(BITS))]
+
+
+def entity_batch(f: np.ndarray, n: np.ndarray, token: np.ndarray, df: np.ndarray, percent: int) -> pa.RecordBatch | None:
+    """ENTITY rows of whole sets' SHARED rows: those that have a token left in their prefixes."""
+    order = np.lexsort((token, f))
+    order = order[_starts(f[order], token[order])]
+    f, n, token, df = f[order], n[order], token[order], df[order]
+    starts = _starts(f)
+    e = np.diff(np.append(starts, len(f)))
+    head = e + (n[starts] * -percent // 100) + 1
+    kept = np.flatnonzero(head > 0)
+    if not len(kept):
+        return None
+    rows = np.repeat(head > 0, e)
+    token, df, head, e = token[rows], df[rows], head[kept], e[kept]
+    names, sizes, starts = f[starts[kept]], n[starts[kept]], np.cumsum(e) - e
+    group = np.repeat(np.arange(len(kept)), e)
+    place = np.arange(len(token)) - starts[group]
+    bounds, prefixes = pa.array(np.concatenate([[0], np.cumsum(head)]).astype(np.int32)), []
+    for seed in ORDERS:
+        ordered = token[np.lexsort((mix(token, seed), df, group))][place < head[group]]
+        own = ordered.view(np.int64) if seed == ORDERS[0] else ordered.astype("<u4").view(np.int32)
+        prefixes.append(pa.ListArray.from_arrays(bounds, pa.array(own)))
+    raw, ends = token.astype("<u8"), np.append(starts, len(token))
+    tokens = pa.array([raw[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+    columns = [pa.array(names), pa.array(sizes), pa.array(e), tokens, *prefixes, *[pa.array(w) for w in _bitmaps(token, starts)]]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ENTITY.split(", ")])
+
+
+def entities(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """ENTITY rows, written: the different sets that may link with another one."""
+    spark = rows.sparkSession
+    total = members.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
+    dealt = packed_tokens(rows, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    shared = written(dealt.mapInArrow(_shared, SHARED))
 
-    by_token = Window.partitionBy("token")
-    rows = _map(docs, "token long, f long, n long, place long, " + ", ".join(f"{w} long" for w in BITS), make).repartition("token")
-    shared = rows.withColumns({"lo": F.min("f").over(by_token), "hi": F.max("f").over(by_token)}).where("lo < hi")
-    return shared.groupBy("token", "f", "n", *BITS).agg(F.min("place").alias("place"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            rest = [np.concatenate([own, c.to_numpy()]) for own, c in zip(rest, batch.columns)]
+            if len(rest[0]) > 100_000 and (starts := _starts(rest[0]))[-1]:
+                made = entity_batch(*(c[: starts[-1]].view(np.uint64 if i == 2 else np.int64) for i, c in enumerate(rest)), percent)
+                rest = [c[starts[-1] :] for c in rest]
+                if made is not None:
+                    yield made
+        if len(rest[0]) and (made := entity_batch(rest[0], rest[1], rest[2].view(np.uint64), rest[3], percent)) is not None:
+            yield made
 
+    found = written(shared.repartition("f").sortWithinPartitions("f").mapInArrow(run, ENTITY))
+    discard(shared)
+    return found
 
-def sets_of(docs: DataFrame, entities: DataFrame, common, percent: int) -> DataFrame:
-    """(f, tokens, second, third): whole sets, and prefixes under the other orders cut to 32 bits."""
 
-    def make(part: pa.RecordBatch, sets: Sets):
-        cut = lambda x: (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-        raw, bounds = sets.token.astype("<u8"), np.append(sets.starts, len(sets.token))
-        out = [sets.marks, pa.array([raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())]
-        for seed in ORDERS[1:]:
-            doc, token, _ = sets.prefixes(seed, common.value, percent)
-            out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(sets.sizes) + 1)).astype(np.int32)), pa.array(cut(token))))
-        return out
+def blocks_of(found: DataFrame) -> DataFrame:
+    """(token, f, place, n, e, BITS), written: the entities of each prefix token of the first order that has two or more."""
+    rows = found.select(F.posexplode("first").alias("place", "token"), "f", "n", "e", *BITS)
+    several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+    return written(rows.join(several, "token").select("token", "f", "place", "n", "e", *BITS))
 
-    own = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))
-    rows = docs.withColumn("text_hash", F.xxhash64("text")).join(entities, own)
-    return _map(rows.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text"), "f long, tokens binary, second array<int>, third array<int>", make)
 
+def _may_link(percent: int) -> Column:
+    """Whether what two rows of a block (the second one's names end in _b) tell leaves their sets alike enough."""
+    a, b = F.col, lambda c: F.col(f"{c}_b")
+    both = a("n") + b("n")
+    shared = F.least(a("place"), b("place")) + F.least(a("e") - a("place"), b("e") - b("place"))
+    differ = sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in BITS), both - a("e") - b("e"))
+    return (shared * (100 + percent) >= both * percent) & (differ * (100 + percent) <= both * (100 - percent))
 
-def _may_link(n1: Column, n2: Column, bits1: list[str], bits2: list[str], percent: int) -> Column:
-    """Whether sizes and bitmaps leave two sets alike enough."""
-    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(bits1, bits2)), F.lit(0))
-    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (differ * (100 + percent) <= (n1 + n2) * (100 - percent))
 
+def candidates(now: DataFrame, percent: int) -> DataFrame:
+    """The different (a, b), of blocks' rows ``now`` with component and head: heads, and members of other components that may link."""
+    heads = now.where("head").select("token", *[F.col(c).alias(f"{c}_b") for c in now.columns if c not in ("token", "head")])
+    once = ~F.col("head") | (F.col("f") < F.col("f_b"))
+    met = now.join(heads, "token").where((F.col("component") != F.col("component_b")) & once & _may_link(percent))
+    return met.select(F.least("f", "f_b").alias("a"), F.greatest("f", "f_b").alias("b")).distinct()
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, common, percent: int) -> DataFrame:
-    """The (a, b) of the written ``pairs`` that link: both other orders' prefixes meet, and the whole sets are alike enough.
 
-    Sets are made of the entities in ``pairs`` only; ``reps`` names a row (own_id, own_hash) of each.
-    """
-    wanted = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f"))).distinct()
-    sets = written(sets_of(docs, reps.join(wanted, "f").select("own_id", "own_hash"), common, percent))
-    release(docs.sparkSession)
-    names = ["tokens", "second", "third"]
-    left, right = sets.toDF("a", *names), sets.toDF("b", *[f"{n}_b" for n in names])
-    near = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("second", "second_b") & F.arrays_overlap("third", "third_b"))
-    both = near.select("a", "b", F.col("tokens").alias("x"), F.col("tokens_b").alias("y"))
+def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that link: both other orders' prefixes meet, and the whole sets are alike enough."""
+    ends = found.select("f", "second", "third")
+    near = pairs.join(ends.toDF("a", "second", "third"), "a").join(ends.toDF("b", "second_b", "third_b"), "b")
+    near = near.where(F.arrays_overlap("second", "second_b") & F.arrays_overlap("third", "third_b")).select("a", "b")
+    sets = found.select("f", "n", "tokens")
+    both = near.join(sets.toDF("a", "n", "x"), "a").join(sets.toDF("b", "m", "y"), "b").select("a", "b", (F.col("n") + F.col("m")).alias("n"), "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
+            for n, x, y in zip(batch.column("n").to_pylist(), batch.column("x"), batch.column("y")):
                 x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep.append(100 * common >= percent * (n - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -208,61 +320,37 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(merged, "component", "left").select("f", F.coalesce("least", "component").alias("component")))
 
 
-def candidates(now: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of different components that share tokens enough in their prefixes.
-
-    Behind the last token that two prefixes share, at most the shorter rest of the two sets can be common.
-    """
-    a_bits, b_bits = [f"a_{w}" for w in BITS], [f"b_{w}" for w in BITS]
-    a = now.select("token", "f", "n", "place", "component", *BITS).toDF("token", "a", "na", "pa", "ca", *a_bits)
-    b = now.select("token", "f", "n", "place", "component", *BITS).toDF("token", "b", "nb", "pb", "cb", *b_bits)
-    met = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(F.col("na"), F.col("nb"), a_bits, b_bits, percent))
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    most = F.col("shared") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
-
-
-def link_groups(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(f, component) of the entities that met another."""
-    spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(common_tokens(docs, percent))
-    release(spark)
-    blocks = written(blocks_of(docs, common, percent))
-    release(spark)
-    met = blocks.select("f").distinct()
-    reps = members.join(met, "f").groupBy("f").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"))).alias("row"))
-    reps = written(reps.select("f", "row.own_id", "row.own_hash"))
-    labels = written(met.select("f", F.col("f").alias("component")))
-    release(spark)
-    for turn in range(ROUNDS + 1):
+def link_groups(found: DataFrame, percent: int) -> DataFrame:
+    """(f, component) of the written ENTITY rows ``found``, after all links between them; ``found`` goes."""
+    blocks = blocks_of(found)
+    labels = written(blocks.select("f").distinct().withColumn("component", F.col("f")))
+    turn, block = 0, ["token", "f", "place", "n", "e", *BITS]
+    while True:
         now = blocks.join(labels, "f")
-        open_ = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        now = written(now.join(open_, "token").select("token", "f", "n", "place", "component", *BITS))
-        sent = F.array(*[F.min_by(F.struct(F.col("f").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), *[F.col(w).alias(f"a_{w}") for w in BITS]), F.xxhash64("f", F.lit(turn * SENT + j))) for j in range(SENT)])
-        each = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), sent.alias("sent"))
-        if turn:  # members of the largest component; at first, while all are alone, any
-            head = F.max_by("sent", F.struct("k", F.xxhash64("component"))).alias("heads")
-        else:
-            head = F.array(*[F.min_by(F.col("sent")[j], F.xxhash64("component", F.lit(j))) for j in range(SENT)]).alias("heads")
-        tokens = written(each.groupBy("token").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("squares"), head))
-        rows, pairs = tokens.agg(F.sum("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("squares")) / 2)).first()
+        each = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct((F.col("n") - F.col("e")) / F.col("n"), F.col("f"))).alias("own"))
+        sizes = each.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.min("own").alias("own"))
+        sizes = written(sizes.where("parts > 1").select("token", "rows", "squares", F.col("own.f").alias("centre")))
+        rows, pairs = sizes.agg(F.sum("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("squares")) / 2)).first()
         if not rows:
-            break
-        last = turn == ROUNDS or pairs <= PAIRS_A_ROW * rows
-        if last:
-            pairs = candidates(now, percent)
+            discard(blocks, sizes, found)
+            return labels
+        if not turn:
+            head = F.col("f") == F.col("centre")
+        elif pairs <= PAIRS_A_ROW * rows:
+            head = F.lit(True)
         else:
-            heads = tokens.where(F.col("rows") > SMALL).select("token", F.array_distinct("heads").alias("heads"))
-            meet = now.join(heads, "token").select("f", "n", "component", *BITS, F.explode("heads").alias("head")).select("f", "n", "component", *BITS, "head.*")
-            meet = meet.where((F.col("component") != F.col("ca")) & _may_link(F.col("n"), F.col("na"), BITS, [f"a_{w}" for w in BITS], percent))
-            pairs = meet.select(F.least("a", "f").alias("a"), F.greatest("a", "f").alias("b")).distinct()
-            gone = heads.select("token", F.explode("heads.a").alias("f")).distinct()
-            blocks = now.join(gone, ["token", "f"], "left_anti").select("token", "f", "n", "place", *BITS)
-        labels = _relabel(labels, written(verified(written(pairs), docs, reps, common, percent)))
-        release(spark)
-        if last:
-            break
-    return labels
+            head = (F.col("rows") <= SMALL) | (F.pmod(F.xxhash64("f", F.lit(turn)), F.col("rows")) < HEADS << 2 * turn)
+        now = written(now.join(sizes, "token").select(*block, "component", head.alias("head")))
+        pairs = written(candidates(now, percent))
+        links = written(verified(pairs, found, percent))
+        discard(pairs)
+        left = written(now.where("not head").select(*block))
+        discard(blocks, sizes, now)
+        blocks, turn = left, turn + 1
+        if not links.isEmpty():
+            labels, old = _relabel(labels, links), labels
+            discard(old)
+        discard(links)
 
 
 def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,14 +359,8 @@ def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
     class_id marks equal sets; stays is true for the first row of a group by (doc_id, text_hash).
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def make(part: pa.RecordBatch, sets: Sets):
-        return part.column("doc_id"), part.column("text_hash"), sets.sizes, sets.marks
-
-    marked = _map(rows.withColumn("text_hash", F.xxhash64("text")), f"doc_id {kind}, text_hash long, n long, f long", make)
-    members = written(marked)
-    labels = link_groups(rows, members.where("n > 0"), percent)
+    members = written(members_of(rows))
+    labels = link_groups(entities(rows, members, percent), percent)
     named = members.join(labels, "f", "left").withColumn("component", F.coalesce("component", "f"))
     full, empty = named.where("n > 0"), named.where("n = 0")
     first = full.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
@@ -291,8 +373,8 @@ def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group, the first by (id, text hash); of equal rows one stays."""
-    found = groups(docs, percent, id_col, text_col).where("stays").select(F.col("doc_id").alias("jaccard_id"), F.col("text_hash").alias("jaccard_hash"), "n_shingles").distinct()
-    rows = docs.withColumn("jaccard_text", F.xxhash64(text_col))
-    joined = rows.join(found, F.col(id_col).eqNullSafe(F.col("jaccard_id")) & (F.col("jaccard_text") == F.col("jaccard_hash")))
-    kept = joined.where("n_shingles > 0").dropDuplicates([id_col, "jaccard_text"]).unionByName(joined.where("n_shingles = 0"))
-    return kept.select(*docs.columns)
+    found = groups(docs, percent, id_col, text_col).where("stays").select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "n_shingles").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    joined = rows.join(found, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash")))
+    kept = joined.where("n_shingles > 0").dropDuplicates(["id", "hash"]).unionByName(joined.where("n_shingles = 0"))
+    return kept.select("row.*")

@@ -21,7 +21,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _ROWS = np.random.default_rng(20240229).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of text hashed at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -45,7 +45,7 @@ _tables: list[np.ndarray] = [np.ones(0, np.uint64)] * 2
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_tables[0]) < n:
-        size = max(n, CHUNK * 2)
+        size = n + n // 4
         _tables[:] = [_powers(_BASE, size), _powers(_INVERSE, size)]
     return _tables
 
