@@ -4,8 +4,8 @@ A document becomes its token ids and one closing id. Only documents longer than
 their first piece takes the remainder, so that every further piece fills a sequence by itself.
 Pieces are dealt to shards of about ``SHARD`` pieces by a hash, each packed on its own (a shard wastes
 less than one sequence more than the whole would). A shard starts from best fit in descending order;
-then pieces are moved and exchanged (one for one, two for one) between underfull bins wherever that
-raises the sum of squared fills, until no exchange helps or ``ROUNDS`` is reached; bins run empty on the way.
+then pieces are moved and exchanged (one for one, two for one and one for two) between underfull bins wherever that
+raises the sum of squared fills, until no exchange helps; bins run empty on the way.
 
 The vocabulary is read from the tokenizer's own file and run by the faster of two libraries; tests hold its ids
 against those of the file's library.
@@ -22,6 +22,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -33,9 +34,8 @@ from paperloom.llm.common import written
 
 LENGTH = 2048
 CLOSING = 0
-#: Pieces a shard, and passes of the local search over a shard.
+#: Pieces a shard.
 SHARD = 16384
-ROUNDS = 8
 #: Entries of the vocabulary that no text gives.
 SPECIAL = {"<|endoftext|>"}
 
@@ -130,97 +130,118 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class LocalSearch:
-    """Exchanges between underfull bins; every one of them raises the sum of squared fills."""
+    """Exchanges between underfull bins; every one of them raises the sum of squared fills.
+
+    Bins are kept by the sizes of their pieces, and the underfull bins that hold a size, or two pieces of a sum, in
+    heaps by their fill; entries that are no longer true are dropped when they come up. So an exchange is
+    found by sizes, however many pieces have one.
+    """
 
     def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int):
-        self.sizes, self.bins, self.capacity = sizes, [set(b) for b in bins], capacity
-        self.fill = [sum(sizes[i] for i in b) for b in bins]
-        self.open = [b for b, f in enumerate(self.fill) if f < capacity]
-        #: size -> pieces of that size in underfull bins; piece -> bin
-        self.of_size: dict[int, set[int]] = defaultdict(set)
-        self.home: dict[int, int] = {}
-        for b in self.open:
-            for i in self.bins[b]:
-                self.home[i] = b
-                self.of_size[sizes[i]].add(i)
-
-    def put(self, i: int, b: int) -> None:
-        a = self.home[i]
-        self.bins[a].remove(i)
-        self.bins[b].add(i)
-        self.fill[a] -= self.sizes[i]
-        self.fill[b] += self.sizes[i]
-        self.home[i] = b
-
-    def partner(self, size: int, b: int, gain: int) -> int | None:
-        """A piece of ``size`` in another bin that may give ``gain`` to bin ``b``."""
-        for i in self.of_size.get(size, ()):
-            if (a := self.home[i]) != b and self.fill[a] < self.fill[b] + gain:
-                return i
-        return None
+        self.capacity, self.bins, self.fill = capacity, [], []
+        for members in bins:
+            own: dict[int, list[int]] = {}
+            for i in members:
+                own.setdefault(sizes[i], []).append(i)
+            self.bins.append(own)
+            self.fill.append(sum(sizes[i] for i in members))
+        self.open = {b for b, f in enumerate(self.fill) if f < capacity}
+        #: For one piece and for two: size or sum -> heap of (fill, bin); which sizes or sums have a heap, as bits.
+        self.heaps: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
+        self.has = [0, 0]
+        for b in sorted(self.open):
+            self.enter(b)
+
+    def sums(self, b: int) -> set[int]:
+        """The sums of two pieces of a bin, none above the capacity."""
+        own = sorted(self.bins[b])
+        return {x + y for k, x in enumerate(own) for y in own[k:] if x != y or len(self.bins[b][x]) > 1}
+
+    def enter(self, b: int) -> None:
+        for kind, values in enumerate((self.bins[b], self.sums(b))):
+            for z in values:
+                heappush(self.heaps[kind][z], (self.fill[b], b))
+                self.has[kind] |= 1 << z
+
+    def pair(self, b: int, z: int) -> tuple[int, int] | None:
+        """The sizes of two pieces of a bin with sum ``z``, the smaller one first and least."""
+        own = self.bins[b]
+        return min(((x, z - x) for x in own if x <= z - x and z - x in own and (2 * x != z or len(own[x]) > 1)), default=None)
+
+    def partner(self, kind: int, z: int, b: int, below: int) -> int | None:
+        """The emptiest other bin that holds ``z`` if it is filled less than ``below``."""
+        heap, own = self.heaps[kind][z], None
+        while heap:
+            fill, a = heap[0]
+            if a not in self.open or fill != self.fill[a] or not (self.pair(a, z) if kind else z in self.bins[a]):
+                heappop(heap)
+            elif a == b:
+                own = heappop(heap)
+                while heap and heap[0] == own:
+                    heappop(heap)
+            else:
+                break
+        found = heap[0][1] if heap and heap[0][0] < below else None
+        if own:
+            heappush(heap, own)
+        if not heap:
+            self.has[kind] &= ~(1 << z)
+        return found
+
+    def swap(self, b: int, ours: tuple[int, ...], a: int, theirs: tuple[int, ...]) -> None:
+        """Pieces of the sizes ``ours`` go from ``b`` to ``a``, and ``theirs`` the other way."""
+        moves = []
+        for here, there, given in ((b, a, ours), (a, b, theirs)):
+            for s in given:
+                moves.append((there, s, self.bins[here][s].pop()))
+                if not self.bins[here][s]:
+                    del self.bins[here][s]
+                self.fill[here] -= s
+                self.fill[there] += s
+        for there, s, i in moves:
+            self.bins[there].setdefault(s, []).append(i)
+        for c in (a, b):
+            if 0 < self.fill[c] < self.capacity:
+                self.enter(c)
+            else:
+                self.open.discard(c)
 
     def improve(self, b: int) -> bool:
-        """The exchange that fills bin ``b`` most, if any: move, one for one, one for two, two for one."""
-        room, own = self.capacity - self.fill[b], sorted(self.bins[b], key=lambda i: (self.sizes[i], i))
-        sizes = sorted(s for s, pieces_ in self.of_size.items() if pieces_)
-        by_size = {self.sizes[i]: i for i in own}
-        for gain in range(room, 0, -1):
-            if (i := self.partner(gain, b, gain)) is not None:
-                self.put(i, b)
-                return True
-            for s, mine in by_size.items():
-                if (i := self.partner(s + gain, b, gain)) is not None:
-                    a = self.home[i]
-                    self.put(i, b)
-                    self.put(mine, a)
-                    return True
-            for k, x in enumerate(own):  # two of ours for a larger one
-                for y in own[k + 1 :]:
-                    if (i := self.partner(self.sizes[x] + self.sizes[y] + gain, b, gain)) is not None:
-                        a = self.home[i]
-                        self.put(i, b)
-                        self.put(x, a)
-                        self.put(y, a)
-                        return True
-        small = sizes[: 64]
-        for a in self.open[:64]:  # two of theirs for one of ours, from the emptiest bins
-            if a == b or not self.bins[a] or self.fill[a] > self.fill[b]:
-                continue
-            theirs = sorted(self.bins[a], key=lambda i: (self.sizes[i], i))
-            best = None
-            for s, mine in by_size.items():
-                for k, x in enumerate(theirs):
-                    for y in theirs[k + 1 :]:
-                        gain = self.sizes[x] + self.sizes[y] - s
-                        if 0 < gain <= room and (best is None or gain > best[0]):
-                            best = (gain, mine, x, y)
-            if best:
-                _, mine, x, y = best
-                self.put(x, b)
-                self.put(y, b)
-                self.put(mine, a)
+        """The exchange that fills bin ``b`` most, if any: a move, one for one, one for two, two for one."""
+        room, ours = self.capacity - self.fill[b], [(0, 0)]
+        ours += [(v, kind) for v in sorted(self.bins[b]) for kind in (0, 1)]
+        ours += [(v, 0) for v in sorted(self.sums(b) - self.bins[b].keys())]
+
+        def gain(v: int, kind: int, most: int) -> int:
+            """The greatest gain up to ``most`` at which some bin may hold what ``v`` is given for."""
+            return (self.has[kind] & ((1 << (v + most + 1)) - 1)).bit_length() - 1 - v
+
+        found = [(-g, kind, v) for v, kind in ours if (g := gain(v, kind, room)) > 0]
+        heapify(found)
+        while found:
+            g, kind, v = heappop(found)
+            if (a := self.partner(kind, v - g, b, self.fill[b] - g)) is not None:
+                mine = () if not v else (v,) if v in self.bins[b] else self.pair(b, v)
+                self.swap(b, mine, a, self.pair(a, v - g) if kind else (v - g,))
                 return True
+            if (less := gain(v, kind, -g - 1)) > 0:
+                heappush(found, (-less, kind, v))
         return False
 
-    def run(self, rounds: int) -> list[list[int]]:
-        for _ in range(rounds):
+    def run(self) -> list[list[int]]:
+        """Bins of piece numbers, when no exchange helps any more."""
+        changed = True
+        while changed:
             changed = False
-            self.open.sort(key=lambda b: (self.fill[b], b))
-            for b in reversed(list(self.open)):
-                while self.bins[b] and self.fill[b] < self.capacity and self.improve(b):
+            for b in sorted(self.open, key=lambda b: (-self.fill[b], b)):
+                while b in self.open and self.improve(b):
                     changed = True
-            self.open = [b for b in self.open if self.bins[b] and self.fill[b] < self.capacity]
-            kept = set(self.open)
-            for pieces_ in self.of_size.values():
-                pieces_ -= {i for i in pieces_ if self.home[i] not in kept}
-            if not changed:
-                break
-        return [sorted(b) for b in self.bins if b]
+        return [sorted(i for pieces_ in own.values() for i in pieces_) for own in self.bins if own]
 
 
-def pack_sizes(sizes: list[int], capacity: int = LENGTH, rounds: int = ROUNDS) -> list[list[int]]:
+def pack_sizes(sizes: list[int], capacity: int = LENGTH) -> list[list[int]]:
     """Bins of piece numbers for ``sizes``."""
-    return LocalSearch(sizes, best_fit(sizes, capacity), capacity).run(rounds)
+    return LocalSearch(sizes, best_fit(sizes, capacity), capacity).run()
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, closing: int = CLOSING, with_ids: bool = False, shard: int = SHARD) -> DataFrame:
