@@ -1,18 +1,21 @@
 """Mixing sources to target weights by systematic sampling.
 
-Every document of a source expects ``target / source size`` copies. The copies are laid end to end
-in an order by size, one offset per source is added, and a document is emitted once for each whole
-number that its stretch crosses. As sizes ascend along the order, the words taken from a source miss
-its target by at most about one of its longest documents; of ``OFFSETS`` random offsets, the one that misses least
-is taken, which is seen from the counts of each size alone.
+Every document of a source expects ``target / source size`` copies. The copies are laid end to end, one random
+offset is added to the sums, and a document is emitted once for each whole number that its stretch crosses.
 
-The order inside a source is (size, digest prefix of doc_id, doc_id). Positions come from three small
-prefix sums (sizes in a source, digest prefixes in a size, rows in a prefix), so no task ever sorts a
-whole source: a source or a group of equal sizes with a third of all rows is spread over the prefixes.
+The order inside a source spreads long documents: half of the documents, by a digest of doc_id, ascend by size, and
+the other half descends. What rounding up takes too much on the way up is about what it takes too little on the way
+down, so that a source misses its target by much less than its longest document on average, whatever the
+offset; at worst by about that document, when it is alone of its length.
+
+Documents of one half and size are ordered by a digest prefix of doc_id, and by doc_id. Positions come from three
+small prefix sums (sizes in a source, digest prefixes in a size, rows in a prefix), so no task ever sorts a
+whole source: a source or a group of equal sizes with a third of all rows is spread over the prefixes. Only the
+list of sources is ranked in one task, a row each.
 
 Defined cases: null text or no word has size 0 and is never taken; null sources form one source, put
 last; an empty table gives an empty result; a source of size 0 has target 0; rows with the same
-doc_id, size and source are interchangeable. Further columns pass through ``mix``.
+doc_id, size and source are interchangeable; names of further columns can't clash, as they are carried as one struct.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from paperloom.llm.common import WORD, null_key
 
 #: Offsets are multiples of this, so that adding them to an exact product stays exact enough.
 OFFSET_STEPS = 65536
-OFFSETS = 24
+#: Places of the descending half lie behind those of the ascending one.
+BEHIND = 1 << 62
 
 
 def word_count(text: Column) -> Column:
@@ -63,50 +67,45 @@ def crossed(start: Column, end: Column, offset: Column) -> Column:
     return F.floor(end.cast("double") * each + offset) - F.floor(start.cast("double") * each + offset)
 
 
-def offset_of(sized: DataFrame, seed: int) -> DataFrame:
-    """``sized`` with the offset whose words come nearest to the target of the source."""
-
-    def drawn(j: int) -> Column:
-        digest = F.md5(F.concat(F.lit(f"{seed}|{j}|"), F.col("mix_key")).cast("binary"))
-        return F.conv(F.substring(digest, 1, 4), 16, 10).cast("double") / OFFSET_STEPS
-
-    taken = [F.sum(F.col("mix_size") * crossed(F.col("size_start"), F.col("size_start") + F.col("size_n"), drawn(j))).alias(f"taken{j}") for j in range(OFFSETS)]
-    sums = sized.groupBy("mix_key").agg(F.first("target").alias("goal"), *taken)
-    misses = F.array(*[F.struct(F.abs(F.coalesce(F.col(f"taken{j}"), F.lit(0)) - F.col("goal")).alias("miss"), drawn(j).alias("offset")) for j in range(OFFSETS)])
-    return sized.join(sums.select("mix_key", F.array_min(misses)["offset"].alias("offset")), "mix_key")
+def offset_of(key: Column, seed: int) -> Column:
+    """The random offset of a source, from 0 to 1."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), key).cast("binary"))
+    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("double") / OFFSET_STEPS
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies (0 to ``cap``)."""
-    key = ["mix_key", "mix_size", "mix_slot"]
-    rows = docs.withColumns(
-        {
-            "mix_key": null_key(F.col(source_col)),
-            "mix_size": word_count(F.col(text_col)),
-            "mix_slot": F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 3),
-        }
+    """(row, mix_size, mix_source_size, mix_target, mix_copies): the rows of ``docs`` as they were, and 0 to ``cap`` copies."""
+    key, digest = ["mix_key", "mix_place", "mix_slot"], F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col(id_col).alias("mix_id"),
+        F.col(source_col).alias("mix_source"),
+        null_key(F.col(source_col)).alias("mix_key"),
+        word_count(F.col(text_col)).alias("mix_size"),
+        F.substring(digest, 1, 3).alias("mix_slot"),
+        F.substring(digest, 4, 1).isin(*"13579bdf").alias("mix_down"),
     )
-    slots = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first(source_col).alias("mix_source"))
-    per_size = slots.groupBy("mix_key", "mix_size").agg(F.sum("n").alias("n"), F.first("mix_source").alias("mix_source"))
-    by_size = Window.partitionBy("mix_key").orderBy("mix_size")
-    sized = per_size.select("mix_key", "mix_size", F.col("n").alias("size_n"), (F.sum("n").over(by_size) - F.col("n")).alias("size_start"))
-    sized = offset_of(sized.join(targets(per_size, weights, cap), "mix_key"), seed)
-    by_slot = Window.partitionBy("mix_key", "mix_size").orderBy("mix_slot")
-    starts = slots.select(*key, (F.sum("n").over(by_slot) - F.col("n")).alias("slot_start")).join(sized, ["mix_key", "mix_size"])
-    placed = rows.withColumn("mix_row", F.row_number().over(Window.partitionBy(*key).orderBy(id_col))).join(starts, key)
-    end = F.col("size_start") + F.col("slot_start") + F.col("mix_row")
-    copies = crossed(end - 1, end, F.col("offset"))
-    out = placed.withColumns(
-        {
-            "mix_copies": F.when(F.col("mix_size") > 0, F.least(F.coalesce(copies, F.lit(0)), F.lit(cap))).otherwise(0).cast("int"),
-            "mix_source_size": F.col("source_size"),
-            "mix_target": F.col("target"),
-        }
+    rows = rows.withColumn("mix_place", F.when(F.col("mix_down"), F.lit(BEHIND) - F.col("mix_size")).otherwise(F.col("mix_size"))).drop("mix_down")
+    slots = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("mix_source").alias("mix_source"), F.first("mix_size").alias("mix_size"))
+    per_place = slots.groupBy("mix_key", "mix_place").agg(F.sum("n").alias("n"), F.first("mix_source").alias("mix_source"), F.first("mix_size").alias("mix_size"))
+    by_place = Window.partitionBy("mix_key").orderBy("mix_place")
+    placed = per_place.select("mix_key", "mix_place", (F.sum("n").over(by_place) - F.col("n")).alias("place_start"))
+    placed = placed.join(targets(per_place, weights, cap), "mix_key").withColumn("offset", offset_of(F.col("mix_key"), seed))
+    by_slot = Window.partitionBy("mix_key", "mix_place").orderBy("mix_slot")
+    starts = slots.select(*key, (F.sum("n").over(by_slot) - F.col("n")).alias("slot_start")).join(placed, ["mix_key", "mix_place"])
+    numbered = rows.withColumn("mix_row", F.row_number().over(Window.partitionBy(*key).orderBy("mix_id"))).join(starts, key)
+    end = F.col("place_start") + F.col("slot_start") + F.col("mix_row")
+    copies = F.least(F.coalesce(crossed(end - 1, end, F.col("offset")), F.lit(0)), F.lit(cap))
+    return numbered.select(
+        "row",
+        "mix_size",
+        F.col("source_size").alias("mix_source_size"),
+        F.col("target").alias("mix_target"),
+        F.when(F.col("mix_size") > 0, copies).otherwise(0).cast("int").alias("mix_copies"),
     )
-    return out.select(*[F.col(c) for c in docs.columns], "mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is drawn."""
     drawn = mix(docs, **options).where("mix_copies > 0")
-    return drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).drop("mix_copy")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("row.*")

@@ -20,7 +20,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mixing.mix(docs).select(
-        "doc_id",
+        "row.doc_id",
         F.col("mix_size").alias("size"),
         F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"),
@@ -97,7 +97,7 @@ FROM tops
     "op3_mixing": """
 WITH docs AS (
   SELECT doc_id, source, coalesce(length(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 3) AS slot
+         md5(coalesce(doc_id::VARCHAR, '')) AS digest
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
@@ -109,23 +109,16 @@ levels AS (
          source_size * 3 / weight AS full_at
   FROM weighed),
 goals AS (
-  SELECT source, source_size, least((SELECT max(level) FROM levels WHERE level <= full_at) * weight, (source_size * 3)::DOUBLE) AS target
+  SELECT source, source_size, least((SELECT max(level) FROM levels WHERE level <= full_at) * weight, (source_size * 3)::DOUBLE) AS target,
+         ('0x' || substr(md5('0|' || CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END), 1, 4))::INT / 65536.0::DOUBLE AS u
   FROM levels),
 placed AS (
-  SELECT d.*, g.source_size, g.target, target / source_size AS each,
-         (row_number() OVER (PARTITION BY d.source ORDER BY size, slot, doc_id))::DOUBLE AS place
-  FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
-offsets AS (
-  SELECT source, ('0x' || substr(md5('0|' || j || '|' || CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END), 1, 4))::INT / 65536.0::DOUBLE AS u
-  FROM sources, generate_series(0, 23) AS s(j)),
-tried AS (
-  SELECT p.source, u, abs(sum(size * (floor(place * each + u) - floor((place - 1) * each + u))) - any_value(target)) AS miss
-  FROM placed p JOIN offsets o ON p.source IS NOT DISTINCT FROM o.source GROUP BY p.source, u),
-chosen AS (
-  SELECT source, u FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss, u) AS nth FROM tried) WHERE nth = 1)
+  SELECT d.*, g.source_size, g.target, g.u, target / source_size AS each,
+         (row_number() OVER (PARTITION BY d.source ORDER BY down, CASE WHEN down THEN -size ELSE size END, substr(digest, 1, 3), doc_id))::DOUBLE AS place
+  FROM (SELECT *, substr(digest, 4, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS down FROM docs) d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
        CASE WHEN size = 0 THEN 0 ELSE size * least(3, floor(place * each + u) - floor((place - 1) * each + u))::BIGINT END AS taken
-FROM placed p JOIN chosen c ON p.source IS NOT DISTINCT FROM c.source
+FROM placed
 """,
     "op6_line_dedup": """
 WITH lines AS (
