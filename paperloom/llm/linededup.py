@@ -3,124 +3,166 @@
 A document is the sequence of its lines that hold a word. Lines get ids in an order of their hashes, and
 suffixes get ranks by their first 1, 2, 4, ... lines: a round pairs the rank of a suffix with that of the suffix a
 prefix further on, and ranks the distinct pairs in order. A suffix whose pair occurs once has no partner in any
-longer prefix either, so it leaves the array; what stays shrinks round by round.
+longer prefix either, so it leaves the array; rounds go on until none is left, so their number is the logarithm
+of the longest repeated run. Suffixes of one rank after 2 ** k lines are an interval of the suffix array whose
+longest common prefix is at least 2 ** k.
 
-Suffixes of one rank after ``least`` lines are exactly an interval of the suffix array whose longest common
-prefix is at least ``least``. All but its first suffix, in order of (doc_id, text hash, position), start a later
-copy. Deeper intervals lie inside such an interval and add no line: a longer copy is covered by the shorter
-ones that start at each of its lines, and their union is the maximal repeated run. So the doubling stops at
-``least`` and runs are merged from overlapping or touching copies in a document. Blank lines inside a
-deleted run go with it, others stay.
+Intervals of the lengths between are found by going down the rounds again: an interval is split by the ranks
+of what follows its common prefix, half as many lines further each time. An interval is looked at again at a
+shorter length only if a later copy in it ends before the longer one. So each suffix gets the most lines that it
+shares with an earlier one, in order of (doc_id, text hash, position).
 
-With ``long_words``, a line of at least that many words is a run by itself: the suffixes of its rank after one line
-are an interval too, and all but the first are later copies, whatever stands around them.
+These are the repeated runs; those that lie in no other are the maximal ones, and all their lines are deleted if a run
+has at least ``least`` lines. With ``long_words``, a line of at least that many words is a run by itself, whatever
+stands around it. Blank lines inside a deleted run go with it, others stay.
 
 Only built-in functions are used. Hot lines are counted map-side; joins to ranks have one row a rank on one
 side, and adaptive execution splits the other. Windows hold one document.
 
 Defined cases: null text has no line and stays null; an empty text is one blank line; one-line documents have
-no run of two lines and stay, unless ``long_words`` is given and the line is that long; rows repeated under one id with equal text are the same place, so neither removes the
-other; rows of one id with different texts follow the hash of the text; an empty table gives an empty result;
-names of further columns can't clash, as they are carried as one struct.
+no run of two lines and stay, unless ``long_words`` is given and the line is that long; rows repeated under one id
+with equal text are the same place, so neither removes the other; rows of one id with different texts follow the
+hash of the text; an empty table gives an empty result; names of further columns can't clash, as they are
+carried as one struct.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import WORD, written
+from paperloom.llm.common import WORD, discard, written
 
 #: Lines a repeated run has at least.
 LEAST = 2
-#: Words from which one line is a passage of its own, where ``long_words`` is asked for: more than 50.
+#: Words from which one line is a passage of its own: more than 50.
 LONG_WORDS = 51
 HAS_WORD = r"[^\x20\x09-\x0D]"
+SPANS = "array<struct<from_line:int,to_line:int>>"
 
 
 def _text_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, words: int = 1) -> DataFrame:
-    """(doc, seq, line_no, a, b): lines of at least ``words`` words; a and b are two hashes of a line.
-
-    seq numbers the lines with a word, whatever ``words`` is.
-    """
+def lines_of(docs: DataFrame, id_col: str, text_col: str, long_words: int | None = None) -> DataFrame:
+    """(doc, seq, line_no, long, a, b): lines with a word, numbered by seq; a and b are two hashes of a line."""
     text = F.col(text_col)
     numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("x")))
     worded = F.filter(numbered, lambda s: s["x"].rlike(HAS_WORD))
-    enough = lambda x: F.when(F.length(x) >= 2 * words - 1, F.regexp_count(x, F.lit(WORD)) >= words).otherwise(False)
-    hashed = F.transform(worded, lambda s: F.struct(s["line_no"].alias("line_no"), F.xxhash64(s["x"]).alias("a"), F.xxhash64(F.lit(1), s["x"]).alias("b"), *([enough(s["x"]).alias("long")] if words > 1 else [])))
+    long = lambda x: F.when(F.length(x) >= 2 * long_words - 1, F.regexp_count(x, F.lit(WORD)) >= long_words).otherwise(False) if long_words else F.lit(False)
+    hashed = F.transform(worded, lambda s: F.struct(s["line_no"].alias("line_no"), long(s["x"]).alias("long"), F.xxhash64(s["x"]).alias("a"), F.xxhash64(F.lit(1), s["x"]).alias("b")))
     doc = F.struct(F.col(id_col).alias("id"), _text_hash(text).alias("text_hash"))
     spread = docs.where(text.isNotNull()).select(doc.alias("doc"), F.posexplode(hashed).alias("seq", "line"))
-    return (spread.where("line.long") if words > 1 else spread).select("doc", "seq", "line.line_no", "line.a", "line.b")
-
-
-def _ranked(keys: DataFrame, order: list[str]) -> DataFrame:
-    """``keys`` with ``rank``, which ascends along ``order``; written, so that ranks never change."""
-    return written(written(keys).orderBy(*order).withColumn("rank", F.monotonically_increasing_id()))
-
+    return spread.select("doc", "seq", "line.*")
 
-def repeated_suffixes(lines: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc, seq, line_no, last_no, rank, first): suffixes that share their first ``least`` lines with another.
 
-    last_no is the number of the last of these lines, rank orders the suffix array, first is the earliest
-    (doc, seq) of the rank.
-    """
+def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, first): keys that stand in two places or more, and the earliest (doc, seq)."""
     place = F.struct("doc", "seq")
-    ids = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    suffixes = lines.join(_ranked(ids, ["a", "b"]), ["a", "b"]).select("doc", "seq", "line_no", F.col("line_no").alias("last_no"), "rank", "first")
-    length = 1
-    while length < least:
-        step = min(length, least - length)
-        ahead = Window.partitionBy("doc").orderBy("seq").rangeBetween(step, step)
-        paired = suffixes.withColumnRenamed("rank", "head").drop("first").withColumns({"next": F.max("head").over(ahead), "last_no": F.max("last_no").over(ahead)})
-        paired = written(paired.where("next is not null"))
-        pairs = paired.groupBy("head", "next").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-        suffixes = paired.join(_ranked(pairs, ["head", "next"]), ["head", "next"]).select("doc", "seq", "line_no", "last_no", "rank", "first")
-        length += step
-    return suffixes
+    ends = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    return ends.where("first <> last").drop("last")
+
 
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The shared ``keys`` of ``rows`` with ``rank``, which ascends along them; written, so that ranks never change."""
+    return written(_shared(rows, keys).orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()))
 
-def repeated_lines(lines: DataFrame) -> DataFrame:
-    """(doc, seq, line_no, first): lines that stand more than once; first is the earliest (doc, seq)."""
-    ids = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "seq")).alias("first")).where("n > 1").drop("n")
-    return lines.join(ids, ["a", "b"]).select("doc", "seq", "line_no", "first")
 
+def later() -> Column:
+    """Whether a row isn't the first place of its interval."""
+    return F.struct("doc", "seq") != F.col("first")
 
-def repeated_runs(lines: DataFrame, least: int = LEAST, long_lines: DataFrame | None = None) -> DataFrame:
-    """(doc, from_line, to_line): maximal runs of lines that are later copies, by line number.
 
-    Each of ``long_lines``, if given, is a run of one line.
-    """
-    found = repeated_suffixes(lines, least).withColumn("last_seq", F.col("seq") + (least - 1))
-    if long_lines is not None:
-        found = found.drop("rank").unionByName(repeated_lines(long_lines).withColumns({"last_no": F.col("line_no"), "last_seq": F.col("seq")}))
-    copies = found.where(F.struct("doc", "seq") != F.col("first")).groupBy("doc", "seq", "line_no").agg(F.max("last_no").alias("last_no"), F.max("last_seq").alias("last_seq"))
-    by_seq = Window.partitionBy("doc").orderBy("seq")
-    before = F.max("last_seq").over(by_seq.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.coalesce(F.col("seq") > before + 1, F.lit(True)).cast("int")
-    islands = copies.withColumn("opens", opens).withColumn("run", F.sum("opens").over(by_seq))
-    return islands.groupBy("doc", "run").agg(F.min("line_no").alias("from_line"), F.max("last_no").alias("to_line")).drop("run")
+def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
+    """For k = 0, 1, ...: (doc, seq, rank, first[, line_no, long]) of the suffixes that share 2 ** k lines; written."""
+    ids = _ranked(lines, ["a", "b"])
+    known = lines.join(ids, ["a", "b"]).select("doc", "seq", "rank", "first", "line_no", "long")
+    found = [written(known.repartition("doc").dropDuplicates(["doc", "seq"]))]
+    discard(ids)
+    while not found[-1].isEmpty():
+        step = 1 << (len(found) - 1)
+        ahead = Window.partitionBy("doc").orderBy("seq").rangeBetween(step, step)
+        paired = found[-1].select("doc", "seq", F.col("rank").alias("head"), F.max("rank").over(ahead).alias("next"))
+        paired = written(paired.where("next is not null"))
+        pairs = _ranked(paired, ["head", "next"])
+        found.append(written(paired.join(pairs, ["head", "next"]).select("doc", "seq", "rank", "first")))
+        discard(paired, pairs)
+    discard(found.pop())
+    return found
+
+
+def longest_copies(ranks: list[DataFrame]) -> DataFrame:
+    """(doc, seq, length): the most lines that an earlier suffix begins with as well; ``ranks`` has a level or more."""
+    place, same = ["doc", "seq"], ["length", "interval"]
+    level = lambda k: ranks[k].select(*place, F.lit(1 << k).alias("length"), F.col("rank").alias("interval"), "first")
+    open_ = written(level(len(ranks) - 1))
+    lengths = [level(k).where(later()).select(*place, "length") for k in range(len(ranks))]
+    used = []
+    for j in reversed(range(len(ranks) - 1)):
+        behind = ranks[j].select("doc", F.col("seq").alias("at"), F.col("rank").alias("next"))
+        longer = open_.withColumn("at", F.col("seq") + F.col("length")).join(behind, ["doc", "at"])
+        # An interval is named by what it was split from; lengths tell the names of different rounds apart.
+        longer = written(longer.select(*place, (F.col("length") + (1 << j)).alias("length"), F.xxhash64("interval", "next").alias("interval")))
+        grown = written(longer.join(_shared(longer, same), same).select(*place, *same, "first"))
+        discard(longer)
+        used.append(grown)
+        lengths.append(grown.where(later()).select(*place, "length"))
+        if not j:
+            break
+        # Later copies that are none any more at the greater length: their intervals are split at shorter ones.
+        reached = grown.where(later()).select(*place, (F.col("length") - (1 << j)).alias("length"))
+        ended = open_.where(later()).join(reached, [*place, "length"], "left_anti").select(*same).distinct()
+        fresh = level(j).where(later()).join(level(j + 1).where(later()).select(*place), place, "left_anti").select(*same).distinct()
+        kept = open_.join(ended, same, "left_semi").unionByName(level(j).join(fresh, same, "left_semi")).unionByName(grown)
+        before, open_ = open_, written(kept)
+        discard(before)
+    most = written(reduce(DataFrame.unionByName, lengths).groupBy(*place).agg(F.max("length").alias("length")))
+    discard(open_, *used)
+    return most
+
+
+def repeated_runs(lines: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc, from_line, to_line, cut_from, cut_to), written: maximal runs that are later copies, and what is cut with them, by line number."""
+    ranks = suffix_ranks(lines)
+    if not ranks:
+        copies = lines.limit(0).select("doc", F.col("line_no").alias("from_line"), F.col("line_no").alias("to_line"))
+        return copies.withColumns({"cut_from": F.col("from_line"), "cut_to": F.col("to_line")})
+    most = longest_copies(ranks)
+    at = ranks[0].select("doc", "seq", "line_no", "long")
+    runs = most.join(at, ["doc", "seq"]).where((F.col("length") >= least) | F.col("long")).withColumn("stop", F.col("seq") + F.when(F.col("length") >= least, F.col("length")).otherwise(1))
+    by_seq = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("before", F.max("stop").over(by_seq)).where(F.coalesce(F.col("stop") > F.col("before"), F.lit(True)))
+    ends = at.select("doc", (F.col("seq") + 1).alias("stop"), F.col("line_no").alias("to_line"))
+    runs = runs.select("doc", "stop", F.col("line_no").alias("from_line")).join(ends, ["doc", "stop"]).drop("stop")
+    by_line = Window.partitionBy("doc").orderBy("from_line")
+    opens = F.coalesce(F.col("from_line") > F.lag("to_line").over(by_line) + 1, F.lit(True)).cast("int")
+    islands = runs.withColumn("opens", opens).withColumn("island", F.sum("opens").over(by_line))
+    island = Window.partitionBy("doc", "island")
+    found = written(islands.select("doc", "from_line", "to_line", F.min("from_line").over(island).alias("cut_from"), F.max("to_line").over(island).alias("cut_to")))
+    discard(most, *ranks)
+    return found
 
 
 def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
-    """(row, n_lines, runs, kept): the row as it was, its deleted runs, and the text without them."""
-    long_lines = lines_of(docs, id_col, text_col, long_words) if long_words else None
-    runs = repeated_runs(lines_of(docs, id_col, text_col), least, long_lines)
-    per_doc = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("from_line", "to_line"))).alias("runs"))
-    per_doc = per_doc.select(F.col("doc.id").alias("run_id"), F.col("doc.text_hash").alias("run_hash"), "runs")
+    """(row, n_lines, runs, cuts, kept): the row as it was, its maximal repeated runs, what they cover, and the text without it."""
+    found = repeated_runs(lines_of(docs, id_col, text_col, long_words), least)
+    cut = F.struct(F.col("cut_from").alias("from_line"), F.col("cut_to").alias("to_line"))
+    per_doc = found.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("from_line", "to_line"))).alias("runs"), F.sort_array(F.collect_set(cut)).alias("cuts"))
+    per_doc = per_doc.select(F.col("doc.id").alias("run_id"), F.col("doc.text_hash").alias("run_hash"), "runs", "cuts")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), _text_hash(F.col(text_col)).alias("text_hash"))
     joined = rows.join(per_doc, F.col("row")[id_col].eqNullSafe(F.col("run_id")) & (F.col("text_hash") == F.col("run_hash")), "left")
     text = F.col("row")[text_col]
     lines = F.split(text, "\n")
-    # What lies before the first run, between two runs, and after the last one.
-    stops = F.concat(F.col("runs.from_line"), F.array(F.size(lines)))
-    starts = F.concat(F.array(F.lit(0)), F.transform("runs.to_line", lambda x: x + 1))
+    # What lies before the first cut, between two cuts, and after the last one.
+    stops = F.concat(F.col("cuts.from_line"), F.array(F.size(lines)))
+    starts = F.concat(F.array(F.lit(0)), F.transform("cuts.to_line", lambda x: x + 1))
     gaps = F.zip_with(starts, stops, lambda a, b: F.slice(lines, a + 1, b - a))
-    kept = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(F.flatten(gaps), "\n"))
-    return joined.select("row", F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce("runs", F.array().cast("array<struct<from_line:int,to_line:int>>")).alias("runs"), kept.alias("kept"))
+    kept = F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(F.flatten(gaps), "\n"))
+    none = lambda c: F.coalesce(c, F.array().cast(SPANS)).alias(c)
+    return joined.select("row", F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), none("runs"), none("cuts"), kept.alias("kept"))
 
 
 def deduped(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", long_words: int | None = None) -> DataFrame:

@@ -39,8 +39,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["to_line"] - r["from_line"] + 1)
+    found = linededup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), long_words=linededup.LONG_WORDS)
+    removed = F.aggregate("cuts", F.lit(0), lambda n, r: n + r["to_line"] - r["from_line"] + 1)
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
         F.col("n_lines").cast("long").alias("n_lines"),
@@ -120,27 +120,33 @@ SELECT doc_id, size, source_size, target,
        CASE WHEN size = 0 THEN 0 ELSE size * least(3, floor(place * each + u) - floor((place - 1) * each + u))::BIGINT END AS taken
 FROM placed
 """,
+    # Every line is matched with every earlier place of it; matches on one diagonal join to runs.
     "op6_line_dedup": """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
   FROM documents),
 worded AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS seq
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS seq,
+         length(line) >= 101 AND len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 51 AS long
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-pairs AS (
-  SELECT *, lead(line) OVER w AS next_line, lead(line_no) OVER w AS last_no
-  FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+matches AS (
+  SELECT a.doc_id, a.seq, b.doc_id AS other, a.seq - b.seq AS diagonal
+  FROM worded a JOIN worded b ON a.line = b.line AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.seq < a.seq))),
+islands AS (
+  SELECT *, seq - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY seq) AS island FROM matches),
+longest AS (
+  SELECT doc_id, seq, max(stop) AS stop FROM (
+    SELECT doc_id, seq, max(seq) OVER (PARTITION BY doc_id, other, diagonal, island) + 1 AS stop FROM islands)
+  GROUP BY doc_id, seq),
 copies AS (
-  SELECT doc_id, seq, line_no, last_no FROM (
-    SELECT *, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, seq) AS nth FROM pairs WHERE next_line IS NOT NULL)
-  WHERE nth > 1),
-opened AS (
-  SELECT *, CASE WHEN seq <= lag(seq) OVER (PARTITION BY doc_id ORDER BY seq) + 2 THEN 0 ELSE 1 END AS opens FROM copies),
+  SELECT l.doc_id, l.seq, line_no, CASE WHEN stop - l.seq >= 2 THEN stop ELSE l.seq + 1 END AS stop
+  FROM longest l JOIN worded w ON l.doc_id = w.doc_id AND l.seq = w.seq WHERE stop - l.seq >= 2 OR long),
 runs AS (
-  SELECT doc_id, min(line_no) AS from_line, max(last_no) AS to_line
-  FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM opened) GROUP BY doc_id, run),
+  SELECT c.doc_id, c.line_no AS from_line, w.line_no AS to_line FROM (
+    SELECT * FROM copies QUALIFY stop > coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) c
+  JOIN worded w ON c.doc_id = w.doc_id AND c.stop - 1 = w.seq),
 gone AS (
-  SELECT doc_id, unnest(generate_series(from_line, to_line)) AS line_no FROM runs),
+  SELECT DISTINCT doc_id, unnest(generate_series(from_line, to_line)) AS line_no FROM runs),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed,
          string_agg(CASE WHEN g.line_no IS NULL THEN line END, chr(10) ORDER BY l.line_no) AS kept
