@@ -1,5 +1,7 @@
 """The training-data operators against brute force, round trips and awkward rows."""
 
+import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -159,20 +161,36 @@ def test_grammar_marks_clauses():
 def test_mix_meets_targets(spark, docs, none):
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 40)), "en", "abc"[i % 3] if i % 10 else "a", 0, "x") for i in range(3000)]
     many = spark.createDataFrame(rows, docs.schema)
-    found = mixing.mix(many).groupBy("source").agg(F.first("mix_source_size").alias("size"), F.first("mix_target").alias("target"), F.sum(F.col("mix_copies") * F.col("mix_size")).alias("taken"), F.max("mix_copies").alias("most")).collect()
+    found = mixing.mix(many).groupBy("row.source").agg(F.first("mix_source_size").alias("size"), F.first("mix_target").alias("target"), F.sum(F.col("mix_copies") * F.col("mix_size")).alias("taken"), F.max("mix_copies").alias("most")).collect()
     assert sum(r["target"] for r in found) == pytest.approx(sum(r["size"] for r in found))
     assert all(abs(r["taken"] - r["target"]) <= 40 and r["most"] <= 3 for r in found)
     odd = mixing.mix(docs.unionByName(docs))
     assert odd.count() == 2 * len(TEXTS) and odd.where("mix_size = 0 and mix_copies > 0").count() == 0
     assert {r["mix_size"] for r in odd.collect()} == {len(words(t)) for t in TEXTS}
-    again = [sorted(tuple(r) for r in mixing.mix(docs.repartition(n)).select("doc_id", "mix_copies").collect()) for n in (1, 5)]
+    again = [sorted(tuple(r) for r in mixing.mix(docs.repartition(n)).select("row.doc_id", "mix_copies").collect()) for n in (1, 5)]
     assert again[0] == again[1]
     assert mixing.mix(none).count() == 0 and mixing.mixed(docs).columns == docs.columns
 
 
+def test_mix_with_clashing_names(docs):
+    clashing = docs.select("*", *[F.lit(n).alias(n) for n in ("row", "target", "offset", "source_size", "mix_size", "mix_copies", "mix_key", "n", "mix_row")])
+    kept = mixing.mixed(clashing)
+    assert kept.columns == clashing.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in mixing.mixed(docs).collect())
+
+
+def test_mix_offset_is_fair(docs):
+    """Over many seeds a document is drawn as often as it is expected."""
+    drawn = defaultdict(int)
+    for seed in range(12):
+        for r in mixing.mix(docs, seed=seed).select("row.doc_id", "mix_copies", (F.col("mix_target") / F.col("mix_source_size")).alias("each"), "mix_size").collect():
+            drawn[r["doc_id"], r["each"], r["mix_size"]] += r["mix_copies"]
+    assert all(abs(n - 12 * each) <= 7 for (_, each, size), n in drawn.items() if size)
+
+
 def test_mix_caps_small_sources(spark, docs):
     rows = [(i, "w " * 10, "en", "a" if i < 5 else "c" if i < 100 else "d", 0, "x") for i in range(200)]
-    found = {r["source"]: r for r in mixing.mix(spark.createDataFrame(rows, docs.schema)).groupBy("source").agg(F.first("mix_target").alias("t"), F.sum("mix_copies").alias("n")).collect()}
+    found = {r["source"]: r for r in mixing.mix(spark.createDataFrame(rows, docs.schema)).groupBy("row.source").agg(F.first("mix_target").alias("t"), F.sum("mix_copies").alias("n")).collect()}
     sizes = {"a": 50, "c": 950, "d": 1000}
     weights = {"a": 1, "c": 2, "d": 3}
     targets, open_ = {}, dict(weights)
@@ -208,9 +226,43 @@ def test_warc_round_trip(spark, tmp_path):
     raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "archive").glob("part-*")))
     parsed = list(warc.parse(raw))
     assert len(parsed) == len(rows) and all(b"\n" not in v for head, _ in parsed for v in head.values())
+    assert all(re.fullmatch(rb"20\d\d-\d\d-\d\dT\d\d:\d\d:\d\dZ", head[b"warc-date"]) for head, _ in parsed)
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def warc_record(kind, block, *more):
+    lines = [b"WARC/1.0", b"warc-type: " + kind, *more, b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_reads_other_archives(spark, tmp_path):
+    """A member a record, several records a member, no compression; base-32 and absent digests; other types."""
+    http, payload = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n", b"body \r\n\r\n WARC/1.0\r\n"
+    base32 = b"WARC-Payload-Digest:sha1:" + base64.b32encode(hashlib.sha1(payload).digest())
+    kind = b"Content-Type: application/http;msgtype=response"
+    made = [warc_record(b"warcinfo", b"a: b\r\n"), warc_record(b"response", http + payload, kind, base32), warc_record(b"request", b"GET / HTTP/1.1\r\n\r\n"), warc_record(b"response", http + payload, kind, b"WARC-Page-ID: 7"), warc_record(b"resource", b"")]
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in made))
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(b"".join(made[:2])) + gzip.compress(b"".join(made[2:])))
+    (tmp_path / "plain.warc").write_bytes(b"".join(made))
+    found = warc.read(spark, str(tmp_path)).collect()
+    assert sorted(r["record_type"] for r in found) == sorted(["warcinfo", "response", "request", "response", "resource"] * 3)
+    assert {bytes(r["payload"]) for r in found if r["record_type"] == "response"} == {payload}
+    assert sorted(r["page_id"] for r in found if r["page_id"]) == [7, 7, 7]
+    whole = gzip.compress(b"".join(made))
+    for broken in (whole[:-20], b"".join(made)[:-3], made[0].replace(b"WARC/1.0", b"HTTP/1.0"), warc_record(b"response", http + b"x", kind, base32)):
+        with pytest.raises(ValueError):
+            [warc._row(*r) for r in warc.parse(broken)]
+
+
+def test_warc_very_long_payloads(spark):
+    digits = F.concat(F.lit("012345678"), F.col("id").cast("string"))
+    pages = spark.range(1, 4).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.expr("id = 2").alias("long"), digits.alias("html"))
+    pages = pages.withColumn("html", F.when(F.col("long"), F.repeat("html", F.lit(11_000_000))).otherwise(F.col("html")))
+    found = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["payload_digest"]) for r in warc.round_trip(pages).collect()}
+    assert found[2] == (110_000_000, "response", hashlib.sha1(b"0123456782" * 11_000_000).hexdigest())
+    assert [found[i][0] for i in (1, 3)] == [10, 10]
+
+
 # 5
 
 
@@ -258,6 +310,59 @@ def test_local_search_never_loses_and_helps():
     assert len(packing.pack_sizes(hard)) < len(packing.best_fit(hard, 2048))
 
 
+def fewest_bins(sizes, capacity):
+    """By dynamic programming over subsets: (bins, fill of the last one)."""
+    best = [(0, capacity)] + [(len(sizes) + 1, 0)] * ((1 << len(sizes)) - 1)
+    for mask in range(1, 1 << len(sizes)):
+        for i, s in enumerate(sizes):
+            if mask >> i & 1:
+                n, fill = best[mask ^ (1 << i)]
+                best[mask] = min(best[mask], (n, fill + s) if fill + s <= capacity else (n + 1, s))
+    return best[-1][0]
+
+
+def test_local_search_against_exact_packing():
+    rng, exact, found = np.random.default_rng(2), 0, 0
+    for _ in range(150):
+        sizes = rng.integers(1, 61, rng.integers(1, 11)).tolist()
+        fewest, bins = fewest_bins(sizes, 100), packing.pack_sizes(sizes, 100)
+        assert fewest <= len(bins) <= len(packing.best_fit(sizes, 100))
+        exact, found = exact + fewest, found + len(bins)
+    assert found <= exact * 1.02
+
+
+def test_exchanges_of_each_kind():
+    """Bins that only one kind of exchange improves, each of which empties one or fills one up."""
+    for bins, capacity, want in (
+        ([[6], [4]], 10, [[4, 6]]),  # a move
+        ([[6, 3], [4, 2]], 10, [[6, 4], [3, 2]]),  # one for one
+        ([[3, 3, 3], [7]], 10, [[3, 7], [3, 3]]),  # one of theirs for two of ours
+        ([[5, 4], [3, 2]], 10, [[5, 3, 2], [4]]),  # two of theirs for one of ours
+    ):
+        sizes = [s for b in bins for s in b]
+        numbered, at = [], 0
+        for b in bins:
+            numbered.append(list(range(at, at + len(b))))
+            at += len(b)
+        before = sum(sum(b) ** 2 for b in bins)
+        after = packing.LocalSearch(sizes, numbered, capacity).run()
+        assert sorted(i for b in after for i in b) == list(range(len(sizes)))
+        assert sum(sum(sizes[i] for i in b) ** 2 for b in after) > before
+        assert sorted(sorted(sizes[i] for i in b) for b in after) == sorted(map(sorted, want))
+
+
+def test_very_many_small_pieces():
+    for sizes in ([1] * 100_000, [1, 2, 3] * 5000, [1] * 16_384, [2047, 1] * 2000 + [1500] * 900 + [3] * 3000):
+        bins = packing.pack_sizes(sizes)
+        assert len(bins) <= len(packing.best_fit(sizes, 2048)) and sorted(i for b in bins for i in b) == list(range(len(sizes)))
+
+
+def test_pack_many_empty_texts(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("")).alias("text"), F.lit(1).alias("shard"))
+    found = packing.pack(docs, VOCABULARY).groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n"), F.max("offset").alias("last")).collect()
+    assert len(found) == 3 and sum(r["n"] for r in found) == 5000 and all(r["last"] == r["n"] - 1 for r in found)
+
+
 def test_pack_of_nothing(none):
     assert packing.pack(none, VOCABULARY).count() == 0
 
@@ -265,36 +370,62 @@ def test_pack_of_nothing(none):
 # 6
 
 
-def line_brute(texts, least):
-    """Lines left of each text: those outside windows of ``least`` worded lines that start earlier too."""
-    seen, out = set(), []
+def line_brute(texts, least, long_words=None):
+    """(maximal runs, text left) of each text, by the longest match of every line with every earlier place."""
+    out, before = [], []
     for t in texts:
         if t is None:
-            out.append(None)
+            out.append(([], None))
             continue
         lines = t.split("\n")
         at = [i for i, x in enumerate(lines) if WORD.search(x)]
-        gone = set()
-        for k in range(len(at) - least + 1):
-            window = tuple(lines[i] for i in at[k : k + least])
-            if window in seen:
-                gone |= set(range(at[k], at[k + least - 1] + 1))
-            seen.add(window)
-        runs = sorted(gone)
-        out.append("\n".join(x for i, x in enumerate(lines) if i not in set(runs)))
+        own, runs, reach = [lines[i] for i in at], [], 0
+        for k in range(len(own)):
+            n = 0
+            for other, stop in [*[(o, len(o)) for o in before], (own, k)]:
+                for j in range(stop):
+                    m = 0
+                    while k + m < len(own) and j + m < len(other) and own[k + m] == other[j + m]:
+                        m += 1
+                    n = max(n, m)
+            if n < least:
+                n = int(n > 0 and long_words is not None and len(words(own[k])) >= long_words)
+            if n and k + n > reach:
+                reach = k + n
+                runs.append((at[k], at[reach - 1]))
+        before.append(own)
+        gone = {i for a, b in runs for i in range(a, b + 1)}
+        out.append((runs, "\n".join(x for i, x in enumerate(lines) if i not in gone)))
     return out
 
 
-@pytest.mark.parametrize("least", [2, 3])
-def test_line_dedup(spark, docs, least):
+@pytest.mark.parametrize(("least", "long_words"), [(2, None), (3, None), (2, 3), (5, 2)])
+def test_line_dedup(spark, least, long_words):
     rng = np.random.default_rng(least)
-    texts = TEXTS + ["\n".join(rng.choice(["p", "q", "r s", "", "t"], 12)) for _ in range(12)]
-    found = {r["row"]["doc_id"]: r for r in linededup.dedup(documents(spark, texts), least).collect()}
-    want = line_brute(texts, least)
-    assert [found[i]["kept"] for i in range(len(texts))] == want
+    texts = TEXTS + ["\n".join(rng.choice(["p", "q", "r s", "", "t", "u v w"], 12)) for _ in range(12)]
+    found = {r["row"]["doc_id"]: r for r in linededup.dedup(documents(spark, texts), least, long_words=long_words).collect()}
+    want = line_brute(texts, least, long_words)
+    assert [([tuple(x) for x in found[i]["runs"]], found[i]["kept"]) for i in range(len(texts))] == want
     assert [found[i]["n_lines"] for i in range(3)] == [0, 1, 2]
 
 
+def test_line_dedup_finds_the_longest_runs(spark):
+    """Runs of 3 to 50 lines, copied from several places, cut short, nested and put side by side."""
+    rng = np.random.default_rng(9)
+    source = [f"line {i}" for i in range(120)]
+    texts = ["\n".join(source[:70]), "\n".join(source[60:])]
+    for i in range(25):
+        a, n = int(rng.integers(0, 70)), int(rng.integers(3, 51))
+        b, m = int(rng.integers(0, 100)), int(rng.integers(3, 20))
+        texts.append("\n".join([f"own {i}", *source[a : a + n], *([f"mid {i}"] if i % 2 else []), *source[b : b + m], "", f"end {i}"]))
+    texts += ["\n".join(["same"] * 13), "\n".join(["same"] * 9 + ["x"])]
+    docs = documents(spark, texts)
+    found = {r["row"]["doc_id"]: r for r in linededup.dedup(docs.unionByName(docs.where("doc_id in (0, 5)"))).collect()}
+    want = line_brute(texts, 2)
+    assert [([tuple(x) for x in found[i]["runs"]], found[i]["kept"]) for i in range(len(texts))] == want
+    assert max(b - a for runs, _ in want for a, b in runs) >= 45
+
+
 def test_line_dedup_cuts_long_single_lines(spark):
     long, short = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("p", 51), ("q", 50)))
     texts = [f"a\n{long}\nb", long, f"c\n\n{long}\nd", f"e\n{long}\n{short}\nf\n{long}", f"{short}\nf\n{long}\ng", short, f"h\n{long}\nc\n{long}\nd"]
@@ -344,14 +475,29 @@ def near_copies(rng, n, length, changes):
 
 def test_bitmaps_never_differ_more_than_sets():
     rng = np.random.default_rng(5)
-    texts = [b"", b"one two", *[t.encode() for t in near_copies(rng, 40, 90, 30)]]
-    sets = jaccard.Sets(texts, 5)
+    sets = jaccard.Sets([t.encode() for t in near_copies(rng, 40, 90, 30)] + [b"one two"], 5)
     tokens = [set(sets.token[a : a + n].tolist()) for a, n in zip(sets.starts, sets.sizes)]
-    bits = np.stack(sets.bits(), 1).view(np.uint64)
-    for i in range(len(texts)):
-        for j in range(len(texts)):
+    bits = np.stack(jaccard._bitmaps(sets.token, sets.starts), 1).view(np.uint64)
+    for i in range(len(tokens)):
+        for j in range(len(tokens)):
             assert int(np.bitwise_count(bits[i] ^ bits[j]).sum()) <= len(tokens[i] ^ tokens[j])
-    assert not bits[0].any() and bits[1].any()
+
+
+def test_jaccard_buckets_fold_in_parts():
+    rng = np.random.default_rng(8)
+    bucket, seen = jaccard.Bucket(), defaultdict(list)
+    for _ in range(30):
+        low, mark = rng.integers(0, 60, 25).astype("<u4"), rng.integers(0, 4, 25)
+        bucket.fold(low, mark)
+        if rng.integers(0, 2):
+            bucket.close()
+        for x, m in zip(low.tolist(), mark.tolist()):
+            seen[x].append(m)
+    bucket.close()
+    assert bucket.low.tolist() == sorted(seen)
+    hit, count = bucket.shared(bucket.low)
+    assert hit.tolist() == [len(set(seen[x])) > 1 for x in sorted(seen)]
+    assert count.tolist() == [len(seen[x]) for x in sorted(seen) if len(set(seen[x])) > 1]
 
 
 def test_jaccard_groups(spark):
@@ -363,13 +509,35 @@ def test_jaccard_groups(spark):
     assert sum(r["stays"] for r in rows if r["n_shingles"]) == len({c for n, c in want.values() if n})
 
 
-def test_jaccard_rounds_thin_out_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "PAIRS_A_ROW", 0)
-    monkeypatch.setattr(jaccard, "SMALL", 2)
-    monkeypatch.setattr(jaccard, "ROUNDS", 2)
-    texts = near_copies(np.random.default_rng(4), 25, 60, 3)
-    rows = jaccard.groups(documents(spark, texts)).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == groups_brute(texts)
+@pytest.mark.parametrize(("small", "heads", "rows"), [(0, 1, 0), (2, 2, 0), (16, 8, 4)])
+def test_jaccard_turns(spark, monkeypatch, small, heads, rows):
+    """Blocks without a centre, whose parts are joined or never join, with heads taken one, two or more at a time."""
+    for name, value in (("SMALL", small), ("HEADS", heads), ("PAIRS_A_ROW", rows)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(4)
+    texts = near_copies(rng, 25, 60, 3)
+    walk = [f"c{i}" for i in range(80)]
+    for i in range(24):  # a chain: neighbours link, ends don't
+        texts.append(" ".join(walk))
+        walk[3 * i] = f"y{i}"
+    for i in range(20):  # alike, but not enough
+        texts.append(" ".join(w if (j + i) % 10 else f"d{(j * i) % 7}" for j, w in enumerate(f"e{k}" for k in range(60))))
+    found = jaccard.groups(documents(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == groups_brute(texts)
+
+
+def test_jaccard_brute_force_on_whole_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    want = groups_brute([t for _, t in rows])
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.groups(docs).collect()}
+    assert found == {rows[i][0]: (n, rows[c][0]) for i, (n, c) in want.items()}
+
+
+def test_one_of_each_with_clashing_names(spark, docs):
+    clashing = docs.select("*", *[F.lit(n).alias(n) for n in ("n_shingles", "own_id", "own_hash", "hash", "id", "row", "component", "f")] if "row" not in docs.columns else [])
+    kept = jaccard.one_of_each(clashing)
+    assert kept.columns == clashing.columns and kept.count() == 9
 
 
 def test_jaccard_links_rows_without_an_id(spark):
