@@ -2,12 +2,15 @@
 
 ``fit`` trains ``BOOKS`` full-dimensional codebooks on a bounded sample: residual k-means, then rounds of
 beam-search encoding and least-squares updates of all codebooks together. ``encode`` gives every vector a
-code by beam search and stores the squared norm of its reconstruction. ``search`` scores blocks of queries
-against blocks of codes from lookup tables, keeps ``SHORTLIST`` codes a query and block, reranks these by
-the exact inner product of the original vectors, and merges the blocks' best.
+code by beam search and stores its norm over that of its reconstruction. ``search`` scores blocks of queries
+against blocks of codes from lookup tables, times the stored norms, and keeps the ``SHORTLIST`` best codes of a
+query over all blocks; their vectors alone are fetched and reranked by the exact inner product.
 
 The sample only shapes the codebooks; every row is encoded and searched. The query set is a stated one, and
-both sides go in blocks of fixed size, so no task holds more than a block of each.
+both sides go in blocks of fixed size, so no task holds more than a block of each. What is copied to every block
+of queries are codes; vectors go to a block of queries once if it has them on a shortlist. Blocks are dealt by
+hashes, so a block holds its share of a shortlist; it sends so many more that one is cut off with a chance of about one
+in a million.
 
 Defined cases: vectors that are null, empty, zero, hold null, NaN or infinite components, or have another
 dimension than most, take no part; rows repeated under one id count once, with the smallest vector; ties go
@@ -25,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import written
+
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors at most in the training sample, taken in the order of a hash of their ids.
 SAMPLE = 6144
 KMEANS_ROUNDS, JOINT_ROUNDS = 6, 1
-SHORTLIST = 800
+#: Codes of a query that are reranked, over all blocks.
+SHORTLIST = 1200
 QUERY_BLOCK, CODE_BLOCK = 8192, 32768
 
 
@@ -41,7 +47,7 @@ class Quantiser:
         self.norms = np.einsum("mwd,mwd->mw", self.books, self.books)
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of rows of ``x`` and the squared norms of their reconstructions.
+        """Codes of rows of ``x`` and their norms over those of their reconstructions.
 
         A beam keeps the partial codes of least squared residual, and these residuals.
         """
@@ -65,7 +71,7 @@ class Quantiser:
             least = error.argmin(axis=1)
             rebuilt = part - rest[rows[:, 0], least]
             codes.append(code[rows[:, 0], least])
-            norms.append(np.einsum("nd,nd->n", rebuilt, rebuilt))
+            norms.append(np.linalg.norm(part, axis=1) / np.maximum(np.linalg.norm(rebuilt, axis=1), 1e-20))
         return np.concatenate(codes), np.concatenate(norms)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
@@ -125,16 +131,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def encode(vectors: DataFrame, model: Quantiser) -> DataFrame:
-    """(vec_id, x, code, norm) of every row."""
+    """(vec_id, code, norm) of every row."""
     shared = vectors.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 codes, norms = shared.value.encode(_matrix(batch.column("x")))
-                yield batch.append_column("code", pa.array([c.tobytes() for c in codes], pa.binary())).append_column("norm", pa.array(norms, pa.float32()))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["vec_id", "code", "norm"])
 
-    return vectors.select("vec_id", "x").mapInArrow(run, "vec_id long, x array<double>, code binary, norm float")
+    return vectors.select("vec_id", "x").mapInArrow(run, "vec_id long, code binary, norm float")
 
 
 def shortlist(scores: np.ndarray, n: int) -> np.ndarray:
@@ -146,25 +152,37 @@ def shortlist(scores: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == least)[: n - len(above)]])
 
 
-def search_block(model: Quantiser, queries: pd.DataFrame, index: pd.DataFrame, k: int, keep: int) -> pd.DataFrame:
-    """The best ``k`` rows of a block of codes for each query of a block."""
+def score_block(model: Quantiser, queries: pd.DataFrame, index: pd.DataFrame, keep: int) -> pd.DataFrame:
+    """(query_id, vec_id, about): the ``keep`` best codes of a block for each query of a block, by the lookup tables."""
     queries, index = queries.sort_values("vec_id"), index.sort_values("vec_id")
-    if not len(queries) or not len(index):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    q, x = np.stack(queries["x"].to_list()), np.stack(index["x"].to_list())
-    ids = index["vec_id"].to_numpy(np.int64)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    ids, norms = index["vec_id"].to_numpy(np.int64), index["norm"].to_numpy(np.float32)
     codes = np.frombuffer(b"".join(index["code"]), np.uint8).reshape(len(index), -1).T.copy()
-    out = []
-    for query_id, own in zip(queries["vec_id"].to_numpy(np.int64), q):
-        table = model.books @ own.astype(np.float32)
+    for query_id, own in zip(queries["vec_id"].to_numpy(np.int64), queries["x"]):
+        if not len(index):
+            break
+        table = model.books @ np.asarray(own, np.float32)
         scores = table[0][codes[0]]
         for m in range(1, len(codes)):
             scores += table[m][codes[m]]
+        scores *= norms
         at = shortlist(scores, keep + 1)
         at = at[ids[at] != query_id]
-        exact = (x[at] * own).sum(axis=1)
-        order = np.lexsort((ids[at], -exact))[:k]
-        out.append((np.full(len(order), query_id), ids[at][order], exact[order]))
+        out.append((np.full(len(at), query_id), ids[at], scores[at]))
+    return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "about"), zip(*out))})
+
+
+def rerank_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query_id, vec_id, score): the best ``k`` of the vectors on each query's list ``found`` by the exact inner product."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if len(queries):
+        vectors = vectors.sort_values("wanted_id")
+        ids, x = vectors["wanted_id"].to_numpy(np.int64), np.stack(vectors["wanted"].to_list())
+        for query_id, own, found in zip(queries["query_id"].to_numpy(np.int64), queries["x"], queries["found"]):
+            at = np.searchsorted(ids, np.sort(found))
+            exact = (x[at] * own).sum(axis=1)
+            order = np.lexsort((ids[at], -exact))[:k]
+            out.append((np.full(len(order), query_id), ids[at][order], exact[order]))
     return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), zip(*out))})
 
 
@@ -172,22 +190,34 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     """(query_id, rank, vec_id, score): the ``k`` nearest rows to each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
-    schema = "query_id long, vec_id long, score double"
     model = fit(rows)
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
     query_blocks, code_blocks = max(1, -(-counts["q"] // QUERY_BLOCK)), max(1, -(-counts["n"] // CODE_BLOCK))
-    slot = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
+    share = keep / code_blocks
+    sent = min(keep, int(share + 5 * share**0.5 + 20))
+    query_block = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(query_blocks)).cast("int").alias("query_block")
+    code_block = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(code_blocks)).cast("int").alias("code_block")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "x", slot(query_blocks, 1).alias("query_block"), each(code_blocks).alias("code_block"))
-    index = encode(rows, model).select("vec_id", "x", "code", slot(code_blocks, 2).alias("code_block"), each(query_blocks).alias("query_block"))
+    blocks, queries = ["query_block", "code_block"], rows.where(F.col("vec_id") % every == 0)
+    asked = queries.select("vec_id", "x", query_block("vec_id"), each(code_blocks).alias("code_block"))
+    index = encode(rows, model).select("vec_id", "code", "norm", code_block, each(query_blocks).alias("query_block"))
     shared = spark.sparkContext.broadcast(model)
 
-    def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        return search_block(shared.value, queries, index, k, keep)
+    def scored(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        return score_block(shared.value, queries, index, sent)
+
+    def reranked(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        return rerank_block(queries, vectors, k)
 
-    blocks = ["query_block", "code_block"]
-    found = queries.groupBy(*blocks).cogroup(index.groupBy(*blocks)).applyInPandas(run, schema)
+    about = asked.groupBy(*blocks).cogroup(index.groupBy(*blocks)).applyInPandas(scored, "query_id long, vec_id long, about float")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id"))
+    short = about.withColumn("nth", best).where(F.col("nth") <= keep).select("query_id", "vec_id", query_block("query_id"), code_block)
+    short = written(short)
+    needed = short.select(*blocks, "vec_id").distinct().join(rows, "vec_id").toDF("wanted_id", "wanted_by", "wanted_block", "wanted")
+    lists = short.groupBy(*blocks, "query_id").agg(F.collect_list("vec_id").alias("found"))
+    lists = lists.join(queries.select(F.col("vec_id").alias("query_id"), "x"), "query_id")
+    found = lists.groupBy(*blocks).cogroup(needed.groupBy("wanted_by", "wanted_block")).applyInPandas(reranked, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

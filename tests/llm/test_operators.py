@@ -629,6 +629,40 @@ def test_ann_recall_and_rules(spark):
     assert ann.search(vectors.limit(0)).count() == 0
 
 
+def recall(vectors, **options):
+    """Of the 20 nearest of each query by brute force, the share that is found, and the number of queries."""
+    rows = vectors.collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    got, hits = defaultdict(list), 0
+    for r in ann.search(vectors, **options).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q, found in got.items():
+        exact = x @ x[ids == q][0]
+        order = [i for i in ids[np.lexsort((ids, -exact))] if i != q][:20]
+        hits += len(set(found) & set(order))
+    assert set(got) == {i for i in ids if i % 20 == 0}
+    return hits / (20 * len(got))
+
+
+def test_ann_recall_over_all_queries(spark, monkeypatch):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    assert recall(vectors) >= 0.99
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(ann, "CODE_BLOCK", 300)
+    assert recall(vectors, keep=200) >= 0.9
+
+
+def test_ann_norms_help():
+    """Scores times the stored norms are nearer to the inner products than without."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    model = ann.train(x[:1500], books=4)
+    codes, norms = model.encode(x)
+    about, exact = x[:50] @ model.decode(codes).T, x[:50] @ x.T
+    assert np.allclose(norms, np.linalg.norm(x, axis=1) / np.linalg.norm(model.decode(codes), axis=1), rtol=1e-3)
+    assert np.abs(about * norms - exact)[:, 50:].mean() > 0 and np.corrcoef((about * norms).ravel(), exact.ravel())[0, 1] > np.corrcoef(about.ravel(), exact.ravel())[0, 1]
+
+
 # 10
 
 
