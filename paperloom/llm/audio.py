@@ -3,8 +3,9 @@
 ``store`` lays payloads down losslessly as 8-bit mono WAV in a Parquet media table; ``features`` reads
 the stored bytes back and computes, a row a clip: a polyphase resampling (16 000 to 6 000 Hz), log-mel
 filterbanks of overlapping frames cut into tensors of the fixed shape ``TENSOR``, their time spans, and
-the active segments of a hysteresis on the frame energy. ``as_arrow`` turns the tensor column into Arrow's
-fixed-shape tensor type.
+the active segments of a hysteresis on the frame energy. A clip's tensors and spans are one Arrow stream, with the
+tensors in Arrow's fixed-shape tensor type in 16-bit floats, so that they can be read anywhere without this
+module; ``stored_features`` keeps these streams in a Parquet table and opens it again, ``tensors_of_clip`` reads one.
 
 Defined cases: null or empty text is 64 zero bytes; a clip shorter than a frame has one padded frame; a
 constant clip has no active segment; equal clips give equal values, as each clip is computed alone; long
@@ -23,20 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import shared_dir
+from paperloom.llm.common import written
 
 RATE_IN, RATE = 16_000, 6_000
 UP, DOWN = 3, 8
 #: Filter taps a phase, frame and hop in samples, FFT size, mel bands; frames a tensor.
 TAPS, FRAME, HOP, FFT, MELS = 24, 150, 60, 256, 20
 TENSOR = (64, MELS)
+#: An Arrow stream of a clip: a tensor and its time span a row.
+CLIP = pa.schema([("tensor", pa.fixed_shape_tensor(pa.float16(), TENSOR)), ("start", pa.float64()), ("end", pa.float64())])
 #: Frames computed at once.
 BLOCK = 16_384
 UNIT = 64
 
 FEATURES = (
     "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, "
-    "tensors array<float>, spans array<struct<start:double,end:double>>, segments array<struct<start:double,end:double>>"
+    "n_tensors long, tensors binary, segments array<struct<start:double,end:double>>"
 )
 
 
@@ -133,18 +136,35 @@ def tensors_of(mels: np.ndarray) -> np.ndarray:
     return out.reshape(k, *TENSOR)
 
 
+def clip_stream(tensors: np.ndarray, spans: np.ndarray) -> bytes:
+    """The Arrow stream of (k, *TENSOR) tensors and (k, 2) spans."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.astype(np.float16).reshape(-1)), TENSOR[0] * TENSOR[1])
+    columns = [pa.ExtensionArray.from_storage(CLIP.field("tensor").type, flat), pa.array(spans[:, 0]), pa.array(spans[:, 1])]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, CLIP) as writer:
+        writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=CLIP))
+    return sink.getvalue().to_pybytes()
+
+
+def tensors_of_clip(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """((k, *TENSOR) tensors, (k, 2) spans in seconds) of a stored Arrow stream."""
+    table = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    column = table.column("tensor").chunk(0)
+    return column.to_numpy_ndarray(), np.stack([table.column("start").to_numpy(), table.column("end").to_numpy()], 1)
+
+
 def describe(media: bytes) -> tuple:
     """A row of FEATURES from stored bytes."""
     payload = from_wav(media)
     samples = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
     mels, energy = log_mel(resample(samples))
-    tensors = tensors_of(mels)
-    step = HOP / RATE
-    spans = [{"start": i * TENSOR[0] * step, "end": min((i + 1) * TENSOR[0], len(mels)) * step} for i in range(len(tensors))]
+    tensors, step = tensors_of(mels), HOP / RATE
+    first = np.arange(len(tensors)) * TENSOR[0]
+    spans = np.stack([first, np.minimum(first + TENSOR[0], len(mels))], 1) * step
     segments = [{"start": a * step, "end": b * step} for a, b in hysteresis(energy)]
     return (
         len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(),
-        len(mels), tensors.reshape(-1), spans, segments,
+        len(mels), len(tensors), clip_stream(tensors, spans), segments,
     )
 
 
@@ -162,16 +182,14 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     kind = docs.schema[id_col].dataType.simpleString()
     stored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, f"id {kind}, n_bytes long, media binary")
-    path = shared_dir(docs.sparkSession)
-    stored.withColumnRenamed("id", id_col).write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return written(stored.withColumnRenamed("id", id_col), compression="zstd")
 
 
 def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_bytes, FEATURES) of a media table."""
     kinds = dict(part.split(" ", 1) for part in FEATURES.split(", "))
     struct_type = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
-    arrow = {"long": pa.int64(), "string": pa.string(), "array<float>": pa.list_(pa.float32())}
+    arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +204,6 @@ def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return out.withColumnRenamed("id", id_col)
 
 
-def as_arrow(tensors: list[list[float]]) -> pa.ExtensionArray:
-    """Tensor columns of some rows as one Arrow array of fixed-shape tensors."""
-    flat = pa.array(np.concatenate([np.asarray(t, np.float32) for t in tensors]) if tensors else np.zeros(0, np.float32))
-    size = TENSOR[0] * TENSOR[1]
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), TENSOR), pa.FixedSizeListArray.from_arrays(flat, size))
+def stored_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``features`` of a media table, kept in a Parquet table in the shared folder and opened again."""
+    return written(features(media, id_col), compression="zstd")

@@ -55,8 +55,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audio.features(audio.store(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    feature = F.format_string("frames=%d;active=%d;tensors=%s", "n_frames", F.size("segments"), F.hex(F.xxhash64("tensors", "spans", "segments")))
+    found = audio.stored_features(audio.store(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    feature = F.format_string("frames=%d;active=%d;tensors=%d:%s", "n_frames", F.size("segments"), "n_tensors", F.hex(F.xxhash64("tensors", "segments")))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
