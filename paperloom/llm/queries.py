@@ -14,7 +14,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return toxicity.score(docs, toxicity.fit(docs, labels)).drop("hits")
+    return toxicity.score(docs, toxicity.fit(docs, labels)).drop("clauses")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

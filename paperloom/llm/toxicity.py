@@ -3,12 +3,13 @@
 A lexical transducer reads words and writes classes: insult, harm, modal, target, negation, report, clause
 end, other. Four small transducers over classes are composed into one: ``negated`` marks hits shortly after a
 negation, ``reported`` those after a speech verb in the clause, ``targeted`` those near a word for a person,
-``threat`` harm after a modal. The composed machine walks only the clauses that hold a hit, and every hit adds its
-weight to its marks. A logistic model over the sums, fitted on labelled rows, turns marks into a score, so that the
-labels decide how much a negated or reported insult still counts.
+``threat`` harm after a modal. The composed machine walks only the clauses that hold a hit. What is matched and scored are
+clauses: one has the marks of all its hits and the weight of its heaviest, however often a word is said in it, and
+adds that weight to each of its marks, or to ``plain`` if it has none. A logistic model over the sums, fitted on
+labelled rows, turns marks into a score, so that the labels decide how much a plain, negated or reported clause counts.
 
 Insult stems are learned: words and word beginnings that tell toxic from other labelled texts, by the
-likelihood-ratio statistic. Learning uses at most ``SAMPLE`` rows of each class, first in the order of a hash of
+likelihood-ratio statistic, taken over all of them; the ``STEMS`` of greatest statistic are the lexicon. Learning uses at most ``SAMPLE`` rows of each class, first in the order of a hash of
 doc_id, and never rows whose crc32(doc_id) mod 4 is 2. Scores depend on the text alone.
 
 Defined cases: null or empty text has no hit and gets the model's base score; without rows of both classes every
@@ -128,14 +129,14 @@ class Lexicon:
         return found
 
     def matches(self, text: str) -> list[tuple[int, int, float, frozenset[str]]]:
-        """(start, end, weight, marks) of each hit, in the lower-cased text."""
+        """(start, end, weight, marks) of each clause that holds a hit, in the lower-cased text."""
         low, out, done = text.lower(), [], 0
         for last, length in self.finder.iter(low):
             at = last - length + 1
             if at < done or (at and low[at - 1].isalpha()):
                 continue
             start = max(low.rfind(c, done, at) for c in ".!?;\n") + 1 or done
-            states = START
+            states, heaviest, marked = START, 0.0, set()
             for word in _WORD.finditer(low, start):
                 w, weight = word.group(), 0.0
                 if w in ".!?;\n":
@@ -145,13 +146,14 @@ class Lexicon:
                 else:
                     symbol = _CLASS.get(w, OTHER)
                 states, marks = GRAMMAR[states, symbol]
+                marked |= marks
                 if symbol in HITS:
-                    out.append((word.start(), word.end(), weight or 1.0, marks))
-                elif marks and out:
-                    out[-1] = (*out[-1][:3], out[-1][3] | marks)
+                    heaviest = max(heaviest, weight or 1.0)
                 done = word.end()
                 if symbol == STOP:
                     break
+            if heaviest:
+                out.append((start, done, heaviest, frozenset(marked)))
         return out
 
     def features(self, text: str | None) -> tuple[np.ndarray, list]:
@@ -198,21 +200,21 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
     """
     counts = rows.mapInArrow(_stem_counts, "stem string, toxic long, other long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     counts = written(counts.where((F.col("stem") == "") | (F.col("toxic") + F.col("other") >= LEAST_DOCS)))
-    least = 2 * np.log(max(2, counts.count())) - 2
-    found = counts.where((F.col("stem") == "") | (F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") >= F.col("other")))
-    found = found.orderBy((F.col("stem") != ""), F.desc("toxic"), "stem").limit(50 * STEMS).toPandas()
-    if not len(found) or found["stem"][0] != "" or not found["toxic"][0] or not found["other"][0]:
+    total = counts.where(F.col("stem") == "").agg(F.sum("toxic"), F.sum("other")).first()
+    if not total[0] or not total[1]:
         return {}
-    n, m = float(found["toxic"][0]), float(found["other"][0])
-    a, b = found["toxic"].to_numpy(float)[1:], found["other"].to_numpy(float)[1:]
-    stems = found["stem"].to_list()[1:]
-    ratio = (a + 0.25) / (n + 0.5) / ((b + 0.25) / (m + 0.5))
-    total = (a + b) / (n + m)
-    part = lambda k, size: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / (size * total)), 0)
-    statistic = 2 * (part(a, n) + part(b, m))
-    good = [i for i in range(len(stems)) if statistic[i] >= least and ratio[i] >= LEAST_RATIO]
-    good.sort(key=lambda i: (-statistic[i], len(stems[i]), stems[i]))
-    return {stems[i]: float(min(1.0, np.log(ratio[i]) / np.log(10 * LEAST_RATIO))) for i in good[:STEMS]}
+    n, m = float(total[0]), float(total[1])
+    least = 2 * np.log(max(2, counts.count())) - 2
+    a, b, share = F.col("toxic"), F.col("other"), (F.col("toxic") + F.col("other")) / (n + m)
+    part = lambda k, size: F.when(k > 0, k * F.log(k / (share * size))).otherwise(0.0)
+    scored = counts.where((F.col("stem") != "") & (a >= LEAST_DOCS) & (a >= b)).select(
+        "stem",
+        ((a + 0.25) / (n + 0.5) / ((b + 0.25) / (m + 0.5))).alias("ratio"),
+        (2 * (part(a, n) + part(b, m))).alias("statistic"),
+    )
+    good = scored.where((F.col("statistic") >= least) & (F.col("ratio") >= LEAST_RATIO))
+    best = good.orderBy(F.desc("statistic"), F.length("stem"), "stem").limit(STEMS).collect()
+    return {r["stem"]: float(min(1.0, np.log(r["ratio"]) / np.log(10 * LEAST_RATIO))) for r in best}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
@@ -258,28 +260,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, grader: Grader, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted, hits): hits are (start, end, weight, marks) in the lower-cased text."""
+    """(id, held_out, score, predicted, clauses): clauses are (start, end, weight, marks) in the lower-cased text."""
     shared = docs.sparkSession.sparkContext.broadcast(grader)
-    hit = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64()), ("marks", pa.list_(pa.string()))]))
+    clause = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64()), ("marks", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, hits = [], []
+            scores, clauses = [], []
             for text in batch.column("text"):
                 s, found = shared.value.grade(text.as_py())
                 scores.append(s)
-                hits.append([{"start": a, "end": b, "weight": w, "marks": sorted(m)} for a, b, w, m in found])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64()), pa.array(hits, hit)], ["id", "score", "hits"])
+                clauses.append([{"start": a, "end": b, "weight": w, "marks": sorted(m)} for a, b, w, m in found])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64()), pa.array(clauses, clause)], ["id", "score", "clauses"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    graded = rows.mapInArrow(run, f"id {kind}, score double, hits array<struct<start:int,end:int,weight:double,marks:array<string>>>")
+    graded = rows.mapInArrow(run, f"id {kind}, score double, clauses array<struct<start:int,end:int,weight:double,marks:array<string>>>")
     return graded.select(
         F.col("id").alias(id_col),
         held_out(F.col("id")).alias("held_out"),
         "score",
         (F.col("score") >= PREDICTED_FROM).cast("int").alias("predicted"),
-        "hits",
+        "clauses",
     )
 
 

@@ -138,7 +138,7 @@ def test_toxicity_learns_and_scores(spark):
     assert len(rows) == 403 and all(0 <= r["score"] <= 1 for r in rows)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     assert all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in rows if r["doc_id"] < 400)
-    assert all("targeted" in h["marks"] for h in next(r for r in rows if r["doc_id"] == 0)["hits"])
+    assert all("targeted" in h["marks"] for h in next(r for r in rows if r["doc_id"] == 0)["clauses"])
     assert {r["predicted"] for r in rows if r["doc_id"] in (400, 401)} == {0}
     assert toxicity.clean(docs, grader).where("doc_id < 400").count() == 300
     assert toxicity.fit(docs, labels.limit(0)).weights is None
@@ -154,6 +154,58 @@ def test_grammar_marks_clauses():
     assert marks("a moron you") == [["targeted"]]
     assert marks("I will kill it") == [["threat"]]
     assert marks("oxymoron morons") == []
+    assert [(a, b, w) for a, b, w, _ in lexicon.matches("x. foul moron foul! y foul")] == [(2, 19, 1.0), (19, 26, 0.5)]
+
+
+def clauses_brute(tokens, stems):
+    """(weight, marks) of each clause with an insult or harm, by looking back and ahead from every word."""
+    out, clause = [], []
+    for t in [*tokens, "."]:
+        if t not in ".!?;\n":
+            clause.append(t)
+            continue
+        kind = [max([w for s, w in stems.items() if (t_ == s[:-1] if s.endswith("$") else t_.startswith(s))], default=0) for t_ in clause]
+        hits, marks = [], set()
+        for i, w in enumerate(clause):
+            near = lambda group, steps: any(x in group and not kind[j] for j, x in enumerate(clause[max(0, i - steps) : i], max(0, i - steps)))  # noqa: E731, B023
+            harm = not kind[i] and w in toxicity.HARMS
+            if kind[i] or harm:
+                hits.append(kind[i] or 1.0)
+                marks |= {"negated"} if near(toxicity.NEGATIONS, 3) else set()
+                marks |= {"reported"} if near(toxicity.REPORTS, i) else set()
+                marks |= {"targeted"} if kind[i] and near(toxicity.TARGETS, 4) else set()
+                marks |= {"threat"} if harm and near(toxicity.MODALS, 4) else set()
+            if not kind[i] and w in toxicity.TARGETS and any(kind[max(0, i - 2) : i]):
+                marks.add("targeted")
+        if hits:
+            out.append((max(hits), sorted(marks)))
+        clause = []
+    return out
+
+
+def test_grammar_against_brute_force():
+    rng, stems = np.random.default_rng(11), {"moron$": 1.0, "foul": 0.5, "foulest": 0.75}
+    only = lambda group: [w for w in group if sum(w in g for g in (toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS, toxicity.MODALS, toxicity.HARMS)) == 1]
+    vocabulary = ["moron", "fouling", "foulest", "foul", "kill", "hurt", "stone", "cloud", "moronic", ".", ";", "walk", "green"]
+    for group in (toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS, toxicity.MODALS):
+        vocabulary += only(group)[:4]
+    lexicon = toxicity.Lexicon(stems)
+    for _ in range(600):
+        tokens = rng.choice(vocabulary, rng.integers(0, 25)).tolist()
+        assert [(w, sorted(m)) for _, _, w, m in lexicon.matches(" ".join(tokens))] == clauses_brute(tokens, stems)
+
+
+def test_toxicity_repeated_rows_and_held_out_accuracy(spark):
+    """Labels that the model never saw, on a whole table; repeated rows and rows with equal texts get equal scores."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    marked = docs.join(labels, "doc_id").select(*docs.columns, "toxic")
+    grader = toxicity.fit(docs, labels)
+    rows = toxicity.score(marked.unionByName(marked.where("doc_id % 7 = 0")), grader).join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    assert len({(r["doc_id"], r["score"]) for r in rows}) == len({r["doc_id"] for r in rows}) < len(rows)
+    unseen = [r for r in rows if r["held_out"]]
+    caught = [r["predicted"] for r in unseen if r["toxic"]]
+    alone = [1 - r["predicted"] for r in unseen if not r["toxic"]]
+    assert np.mean(caught) >= 0.9 and np.mean(alone) >= 0.98
 
 
 # 3
