@@ -52,7 +52,7 @@ SYMBOLS = 98
 END, OTHER, START = 0, 96, 97
 #: Scores are histogrammed in these bins for the calibration.
 EDGE, BINS = 4.0, 4000
-#: URLs with crc32 mod this equal to 0 are left out of training and calibrate the threshold.
+#: URLs whose fold is 0 are left out of training and calibrate the threshold.
 FOLDS = 5
 
 _SYMBOL = np.full(256, OTHER, np.int64)
@@ -75,6 +75,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
+def fold_of(url: Column) -> Column:
+    return F.conv(F.substring(F.md5(url.cast("binary")), 1, 8), 16, 10).cast("long") % FOLDS
+
+
 def _positions(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of all URLs, each preceded by ORDER start marks; the scored positions; their URL."""
     coded = [np.frombuffer((u or "").encode("utf-8", "replace"), np.uint8) for u in urls]
@@ -266,7 +270,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     verdicts = F.create_map(*[F.lit(x) for h, p, v in rules for x in (h + p, v)]) if rules else None
     ruled = ruled.withColumn("ruling", verdicts[F.col("rule")] if rules else F.lit(None).cast("string"))
     labelled = ruled.where("rule is not null").select("url", (F.col("ruling") == "allow").alias("ok"))
-    fold = F.crc32(F.col("url").cast("binary")) % FOLDS
+    fold = fold_of(F.col("url"))
     grams = count(labelled.where(fold != 0))
     seen = grams.agg(F.sum("accepted"), F.sum("rejected")).first()
     if seen[0] and seen[1]:
