@@ -356,19 +356,23 @@ def link_groups(found: DataFrame, percent: int) -> DataFrame:
 def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_shingles, class_id, component_id, stays) of every row.
 
-    class_id marks equal sets; stays is true for the first row of a group by (doc_id, text_hash).
+    class_id is the least non-null doc_id of the rows with an equal set; stays is true for the first row of a group by
+    (doc_id, text_hash).
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     members = written(members_of(rows))
     labels = link_groups(entities(rows, members, percent), percent)
-    named = members.join(labels, "f", "left").withColumn("component", F.coalesce("component", "f"))
-    full, empty = named.where("n > 0"), named.where("n = 0")
-    first = full.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
-    joined = full.join(first, "component").select(
-        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("f").alias("class_id"), "component_id",
+    lead = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    classes = members.where("n > 0").groupBy("f").agg(F.min("doc_id").alias("class_id"), lead.alias("lead"))
+    classes = written(classes.join(labels, "f", "left").withColumn("component", F.coalesce("component", "f")))
+    first = classes.groupBy("component").agg(F.min("class_id").alias("component_id"), F.min("lead").alias("first"))
+    named = members.where("n > 0").join(classes.join(first, "component"), "f")
+    full = named.select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), "class_id", "component_id",
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"),
     )
-    return joined.unionByName(empty.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("f").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")))
+    alone = members.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return full.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

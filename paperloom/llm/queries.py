@@ -9,7 +9,7 @@ from paperloom.llm import ann, audio, jaccard, linededup, mixing, packing, subst
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("score", F.round("score", 6))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,63 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+# For each order k: the symbol's count, and the context's total and number of symbols, for accepted (a) and rejected (r) URLs.
+_ORDERS = range(urlfilter.ORDER + 1)
+_COUNTS = ", ".join(f"coalesce(max(CASE WHEN k = {k} THEN {c} END), 0) AS {c}{k}" for k in _ORDERS for c in ("na", "ta", "ka", "nr", "tr", "kr"))
+_STEP = "CASE WHEN t{s}{k} > 0 THEN n{s}{k} / (t{s}{k} + k{s}{k})::DOUBLE + (k{s}{k} / (t{s}{k} + k{s}{k})::DOUBLE) * p{s} ELSE p{s} END AS p{s}"
+_CHANCES = f"(SELECT *, 1::DOUBLE / {urlfilter.SYMBOLS} AS pa, 1::DOUBLE / {urlfilter.SYMBOLS} AS pr FROM counts)"
+for _k in _ORDERS:
+    _CHANCES = f"(SELECT * EXCLUDE (pa, pr), {_STEP.format(s='a', k=_k)}, {_STEP.format(s='r', k=_k)} FROM {_CHANCES})"
+
 ORACLES: dict[str, str] = {
+    "op1_url_filter": f"""
+WITH parts AS (
+  SELECT page_id, coalesce(url, '') AS url,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+ruled AS (
+  SELECT *, ('0x' || substr(md5(url), 1, 8))::BIGINT % {urlfilter.FOLDS} AS fold,
+         CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+              WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+              WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM parts),
+labelled AS (
+  SELECT url, fold, rule IN ('com/', 'www.example.com/en/') AS ok FROM ruled WHERE rule IS NOT NULL),
+coded AS (
+  SELECT url, list_concat(['^', '^', '^', '^', '^'], list_transform(generate_series(1, octet_length(encode(url))), lambda i:
+         CASE WHEN substr(hex(encode(url)), 2 * i - 1, 2) BETWEEN '20' AND '7E' THEN substr(hex(encode(url)), 2 * i - 1, 2) ELSE 'other' END), ['$']) AS c
+  FROM (SELECT DISTINCT url FROM parts)),
+grams AS (
+  SELECT url, i, k, c[i] AS symbol, array_to_string(list_slice(c, i - k, i - 1), ' ') AS context
+  FROM (SELECT url, c, unnest(generate_series(6, len(c))) AS i FROM coded), generate_series(0, {urlfilter.ORDER}) AS orders(k)),
+counted AS (
+  SELECT k, context, symbol, coalesce(sum(w) FILTER (ok), 0)::BIGINT AS na, coalesce(sum(w) FILTER (NOT ok), 0)::BIGINT AS nr
+  FROM grams JOIN (SELECT url, ok, count(*) AS w FROM labelled WHERE fold <> 0 GROUP BY ALL) USING (url) GROUP BY ALL),
+totals AS (
+  SELECT k, context, sum(na)::BIGINT AS ta, count(*) FILTER (na > 0) AS ka, sum(nr)::BIGINT AS tr, count(*) FILTER (nr > 0) AS kr FROM counted GROUP BY ALL),
+counts AS (
+  SELECT url, i, {_COUNTS} FROM grams LEFT JOIN totals USING (k, context) LEFT JOIN counted USING (k, context, symbol) GROUP BY url, i),
+scores AS (
+  SELECT url, sum(round_even((ln(pa) - ln(pr)) * 2::DOUBLE ** {urlfilter.UNIT}, 0)::BIGINT)::DOUBLE / 2::DOUBLE ** {urlfilter.UNIT} / count(*) AS score FROM {_CHANCES} GROUP BY url),
+bins AS (
+  SELECT least(greatest(floor((score + {urlfilter.EDGE}) / {2 * urlfilter.EDGE} * {urlfilter.BINS}), 0), {urlfilter.BINS - 1})::BIGINT AS bin, count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS bad
+  FROM labelled JOIN scores USING (url) WHERE fold = 0 GROUP BY 1),
+sums AS (
+  SELECT sum(good) AS goods, sum(bad) AS bads FROM bins),
+edges AS (
+  SELECT e, coalesce(sum(good) FILTER (bin < e), 0) / any_value(goods)::DOUBLE + (1 - coalesce(sum(bad) FILTER (bin < e), 0) / any_value(bads)::DOUBLE) AS lost
+  FROM generate_series(0, {urlfilter.BINS}) AS s(e), bins, sums WHERE goods > 0 AND bads > 0 GROUP BY e),
+best AS (
+  SELECT list(e ORDER BY e) AS es FROM edges WHERE lost <= (SELECT min(lost) FROM edges) + 1e-12),
+chosen AS (
+  SELECT coalesce(es[len(es) // 2 + 1] / {urlfilter.BINS}::DOUBLE * {2 * urlfilter.EDGE} - {urlfilter.EDGE}, 0) AS threshold FROM best)
+SELECT page_id, host, path, rule, round(score, 6) AS score,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN score >= threshold THEN 'allow' ELSE 'block' END AS verdict
+FROM ruled JOIN scores USING (url), chosen
+""",
     "op4_warc": """
 WITH heads AS (
   SELECT page_id, coalesce(strlen(html), 0)::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -155,6 +211,26 @@ SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_runs, 0)::B
        coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 LEFT JOIN (SELECT doc_id, count(*) AS n_runs FROM runs GROUP BY doc_id) r ON d.doc_id = r.doc_id
+""",
+    "op7_ngram_join": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS class FROM sets GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN links ON other = a),
+components AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id,
+       CASE WHEN class IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY class) END AS class_id
+FROM components LEFT JOIN sizes USING (doc_id)
 """,
     "op10_substring_dedup": """
 WITH words AS (
