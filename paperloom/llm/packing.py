@@ -11,8 +11,8 @@ The vocabulary is read from the tokenizer's own file and run by the faster of tw
 against those of the file's library.
 
 Defined cases: null or empty text is the closing id alone; special-token strings are ordinary text;
-an empty table gives an empty result; rows repeated under one id are packed each for itself; long
-texts give as many pieces as they need; further columns are passed by.
+an empty table gives an empty result; rows repeated under one id are packed each for itself and told apart by
+``row_id``; long texts give as many pieces as they need; further columns are passed by.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, closing: int = CLOSING, with_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids]) of every document."""
+    """(id, row_id, piece, start, length, ids_crc32[, ids]) of every document; row_id numbers the rows of ``docs``."""
     end = np.array([closing], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,14 +97,15 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         numbers.append(i)
                         rows.append((k, start, n, zlib.crc32(own), own))
                 columns = list(zip(*rows))
-                out = [part.column("id").take(pa.array(numbers, pa.int32())), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[1:4]]]
+                at_rows = pa.array(numbers, pa.int32())
+                out = [part.column("id").take(at_rows), part.column("row_id").take(at_rows), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[1:4]]]
                 if with_ids:
                     out.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in columns[4]], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(out, ["id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
+                yield pa.RecordBatch.from_arrays(out, ["id", "row_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, {PIECES}" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, schema).withColumnRenamed("id", id_col)
+    schema = f"id {kind}, row_id long, {PIECES}" + ", ids array<int>" * with_ids
+    return docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row_id"), F.col(text_col).alias("text")).mapInArrow(encode, schema).withColumnRenamed("id", id_col)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -245,10 +246,11 @@ def pack_sizes(sizes: list[int], capacity: int = LENGTH) -> list[list[int]]:
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, closing: int = CLOSING, with_ids: bool = False, shard: int = SHARD) -> DataFrame:
-    """The pieces of ``docs`` with sequence_id and offset."""
+    """The pieces of ``docs`` with sequence_id and offset; their ids stay out of the shards."""
     cut_up = written(pieces(docs, tokenizer, id_col, text_col, length, closing, with_ids))
     shards = max(1, -(-cut_up.count() // shard))
-    names = cut_up.columns
+    light = cut_up.drop("ids")
+    names = light.columns
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "shard_key"], kind="stable").reset_index(drop=True)
@@ -262,5 +264,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 at += sizes[i]
         return pdf[names].assign(sequence_id=sequence, offset=offset)
 
-    dealt = cut_up.withColumn("shard_key", F.xxhash64(id_col, "piece", "ids_crc32")).withColumn("shard", F.pmod("shard_key", F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(place, f"{cut_up._jdf.schema().toDDL()}, sequence_id long, offset long")
+    dealt = light.withColumn("shard_key", F.xxhash64("row_id", "piece")).withColumn("shard", F.pmod("shard_key", F.lit(shards)))
+    placed = dealt.groupBy("shard").applyInPandas(place, f"{light._jdf.schema().toDDL()}, sequence_id long, offset long")
+    if not with_ids:
+        return placed
+    return cut_up.join(placed.select("row_id", "piece", "sequence_id", "offset"), ["row_id", "piece"]).select(*cut_up.columns, "sequence_id", "offset")
