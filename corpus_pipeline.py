@@ -3,12 +3,12 @@
 Each stage gets all that the one before kept, and its decisions take effect: toxic documents go, later copies of
 line runs and of lines of more than 50 words are cut (documents with nothing left go), one document of each near-duplicate group stays, sources are
 drawn to their target weights (a document may come up to three times), and what is left is packed into sequences.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``; the last one returns the pieces of sequences with their token
+ids, with row_id to tell the copies of a document apart.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import jaccard, linededup, mixing, packing, toxicity
@@ -32,7 +32,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [
@@ -43,7 +45,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The toxicity grammar, the tokenizer and the packing aren't SQL; the stages are tested against brute force.
+#: The toxicity grammar, the tokenizer and the packing aren't SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
