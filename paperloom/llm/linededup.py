@@ -9,8 +9,9 @@ longest common prefix is at least 2 ** k.
 
 Intervals of the lengths between are found by going down the rounds again: an interval is split by the ranks
 of what follows its common prefix, half as many lines further each time. An interval is looked at again at a
-shorter length only if a later copy in it ends before the longer one. So each suffix gets the most lines that it
-shares with an earlier one, in order of (doc_id, text hash, position).
+shorter length only if a later copy in it ends before the longer one, and only with these copies and the first of each
+interval that was split off, so that rounds hold about a row a suffix. So each suffix gets the most lines that
+it shares with an earlier one, in order of (doc_id, text hash, position).
 
 These are the repeated runs; those that lie in no other are the maximal ones, and all their lines are deleted if a run
 has at least ``least`` lines. With ``long_words``, a line of at least that many words is a run by itself, whatever
@@ -112,11 +113,14 @@ def longest_copies(ranks: list[DataFrame]) -> DataFrame:
         lengths.append(grown.where(later()).select(*place, "length"))
         if not j:
             break
-        # Later copies that are none any more at the greater length: their intervals are split at shorter ones.
+        # Where later copies are none any more at the greater length, their interval is split at shorter ones, among these
+        # copies and one of each interval that was split off: its first, which has what the others in it have.
         reached = grown.where(later()).select(*place, (F.col("length") - (1 << j)).alias("length"))
         ended = open_.where(later()).join(reached, [*place, "length"], "left_anti").select(*same).distinct()
-        fresh = level(j).where(later()).join(level(j + 1).where(later()).select(*place), place, "left_anti").select(*same).distinct()
-        kept = open_.join(ended, same, "left_semi").unionByName(level(j).join(fresh, same, "left_semi")).unionByName(grown)
+        doubled = level(j + 1).where(later()).select(*place)
+        fresh = level(j).where(later()).join(doubled, place, "left_anti").select(*same).distinct()
+        left = open_.join(ended, same, "left_semi").join(reached, [*place, "length"], "left_anti")
+        kept = left.unionByName(level(j).join(fresh, same, "left_semi").join(doubled, place, "left_anti")).unionByName(grown)
         before, open_ = open_, written(kept)
         discard(before)
     most = written(reduce(DataFrame.unionByName, lengths).groupBy(*place).agg(F.max("length").alias("length")))
@@ -128,8 +132,8 @@ def repeated_runs(lines: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc, from_line, to_line, cut_from, cut_to), written: maximal runs that are later copies, and what is cut with them, by line number."""
     ranks = suffix_ranks(lines)
     if not ranks:
-        copies = lines.limit(0).select("doc", F.col("line_no").alias("from_line"), F.col("line_no").alias("to_line"))
-        return copies.withColumns({"cut_from": F.col("from_line"), "cut_to": F.col("to_line")})
+        copies = lines.where("false").select("doc", F.col("line_no").alias("from_line"), F.col("line_no").alias("to_line"))
+        return written(copies.withColumns({"cut_from": F.col("from_line"), "cut_to": F.col("to_line")}))
     most = longest_copies(ranks)
     at = ranks[0].select("doc", "seq", "line_no", "long")
     runs = most.join(at, ["doc", "seq"]).where((F.col("length") >= least) | F.col("long")).withColumn("stop", F.col("seq") + F.when(F.col("length") >= least, F.col("length")).otherwise(1))
@@ -148,7 +152,9 @@ def repeated_runs(lines: DataFrame, least: int = LEAST) -> DataFrame:
 
 def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """(row, n_lines, runs, cuts, kept): the row as it was, its maximal repeated runs, what they cover, and the text without it."""
-    found = repeated_runs(lines_of(docs, id_col, text_col, long_words), least)
+    lines = written(lines_of(docs, id_col, text_col, long_words))
+    found = repeated_runs(lines, least)
+    discard(lines)
     cut = F.struct(F.col("cut_from").alias("from_line"), F.col("cut_to").alias("to_line"))
     per_doc = found.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("from_line", "to_line"))).alias("runs"), F.sort_array(F.collect_set(cut)).alias("cuts"))
     per_doc = per_doc.select(F.col("doc.id").alias("run_id"), F.col("doc.text_hash").alias("run_hash"), "runs", "cuts")
