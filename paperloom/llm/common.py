@@ -29,19 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
 
 
-#: Shuffle files of a query go when it ends, where this is set; of a written table they are of no more use.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: its shuffle files go at the end, when they are of no more use, and batches sent to
+#: Python are bounded in bytes.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 def written(df: DataFrame, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path, before = shared_dir(spark), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path, before = shared_dir(spark), {k: spark.conf.get(k) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.options(**options).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table

@@ -249,7 +249,7 @@ def entities(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     spark = rows.sparkSession
     total = members.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
-    dealt = packed_tokens(rows, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    dealt = packed_tokens(rows, buckets).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     shared = written(dealt.mapInArrow(_shared, SHARED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

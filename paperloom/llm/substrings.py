@@ -32,7 +32,7 @@ from paperloom.llm.shingles import Words, chunks
 
 WINDOW, BLOCK = 13, 7
 #: Words of a chunk a bucket, and words a bucket at most on average.
-ROW, BUCKET_WORDS = 1000, 6_000_000
+ROW, BUCKET_WORDS = 1000, 3_000_000
 FOLD, PROBE, TELL = 0, 1, 2
 PACKED = "bucket int, kind int, docs binary, counts binary, prints binary, places binary"
 NAMES = [x.split()[0] for x in PACKED.split(", ")]
@@ -167,7 +167,7 @@ def hits(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     words = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // (6 * BUCKET_WORDS)))
-    dealt = anchors(docs, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    dealt = anchors(docs, buckets).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     return dealt.mapInArrow(_hits, HITS)
 
 
@@ -231,7 +231,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     merge = lambda c: F.flatten(F.collect_list(c)).alias(c)
     near = marked.join(found.groupBy("doc_id").agg(merge("later"), merge("earlier")), "doc_id")
     windows = near.select("doc_id", "text", "text_hash", "later", "earlier").mapInArrow(_windows, "doc_id long, text_hash int, place int, later boolean, hash long")
-    least = windows.where("not later").groupBy("hash").agg(F.min("doc_id").alias("least"))
+    # Written, so that the join has an exchange of its own on either side and a hash of very many windows is split.
+    least = written(windows.where("not later").groupBy("hash").agg(F.min("doc_id").alias("least")))
     copies = windows.where("later").drop("later").join(least, "hash").where("least < doc_id")
     per_doc = copies.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "place")).alias("copies"))
     cut = lambda d: d.select("doc_id", "text", "text_hash", "copies").mapInArrow(_cut, "doc_id long, n_words long, removed array<struct<start:int,stop:int>>, kept string")
