@@ -1,4 +1,4 @@
-"""Values from pages: built-in expressions for fixed tags, the standard library's parser for the rest."""
+"""Values from pages, by the standard library's parser in Arrow batches: any case, order and quotes of attributes, entities decoded."""
 
 from __future__ import annotations
 
@@ -12,20 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-def title(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)
-
-
-def hrefs(html: Column) -> Column:
-    """The targets of all links, in order."""
-    return F.regexp_extract_all(html, F.lit(r'<a href="([^"]*)"'), F.lit(1))
-
-
-def meta(html: Column, name: str) -> Column:
-    """The contents of all meta tags called ``name``."""
-    return F.regexp_extract_all(html, F.lit(rf'<meta name="{name}" content="([^"]*)"'), F.lit(1))
-
-
 def rooted(url: Column, href: Column) -> Column:
     """A link that starts with one slash, resolved against its page."""
     return F.concat(F.regexp_extract(url, r"^https?://[^/?#]+", 0), href)
@@ -65,6 +51,21 @@ class _Selector(HTMLParser):
             self.found.append(data)
 
 
+def title(html: Column) -> Column:
+    """The text of the first title; null without one."""
+    return F.try_element_at(select(html, "title"), F.lit(1))
+
+
+def hrefs(html: Column) -> Column:
+    """The targets of all links, in order."""
+    return select(html, "a", take="href")
+
+
+def meta(html: Column, name: str) -> Column:
+    """The contents of all meta tags called ``name``."""
+    return select(html, "meta", ("name", name), "content")
+
+
 def select(html: Column, tag: str, where: tuple[str, str] | None = None, take: str = "text") -> Column:
     """An array of the texts (or of attribute ``take``) of elements ``tag`` whose attribute where[0] holds where[1]."""
 
@@ -75,6 +76,7 @@ def select(html: Column, tag: str, where: tuple[str, str] | None = None, take: s
             for page in batch:
                 selector = _Selector(tag, where, take)
                 selector.feed(page or "")
+                selector.close()
                 out.append(selector.found)
             yield pd.Series(out)
 
@@ -97,6 +99,7 @@ def all_text(html: pd.Series) -> pd.Series:
     def texts(page):
         parser = _Texts()
         parser.feed(page or "")
+        parser.close()
         return "".join(parser.found)
 
     return html.map(texts)

@@ -43,8 +43,7 @@ def is_only_letters(word: Column) -> Column:
 
 
 def without_stop_words(words: Column, stop: list[str] = ENGLISH) -> Column:
-    listed = F.array(*[F.lit(w) for w in stop])
-    return F.filter(words, lambda w: ~F.array_contains(listed, F.lower(w)))
+    return F.filter(words, lambda w: ~F.lower(w).isin(*stop))
 
 
 def without_domain_words(words: Column, stop: list[str] = DOMAIN) -> Column:
@@ -55,7 +54,8 @@ def without_domain_words(words: Column, stop: list[str] = DOMAIN) -> Column:
 def lemmatize(words: Column, mode: str | Callable[[str], str] = "none") -> Column:
     """``none``: as they are; ``rules``: suffix rewrites; a function: applied word by word, in Arrow batches.
 
-    The rules don't give the lemmas of a statistical lemmatiser; pass one as a function to have them.
+    The rules don't give the lemmas of a statistical lemmatiser; pass one as a function to have them. Training and
+    search take either, and search needs the one that its model was trained with.
     """
     if callable(mode):
 
@@ -87,9 +87,11 @@ def clean_tokens(text: Column, mode: str = "regex", lemmas: str | Callable[[str]
 
 def document_key(title: Column) -> Column:
     """The SHA-256 of the title as a number, modulo 10**8."""
-    digest = F.sha2(title.cast("binary"), 256)
-    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substr(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("bigint"))
-    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, c: (a * F.lit(4294967296 % 100_000_000) + c) % 100_000_000)
+    digest, key = F.sha2(title.cast("binary"), 256), F.lit(0).cast("bigint")
+    for i in range(0, 64, 8):  # eight digits at a time
+        part = F.conv(F.substring(digest, i + 1, 8), 16, 10).cast("bigint")
+        key = (key * F.lit(4294967296 % 100_000_000) + part) % 100_000_000
+    return key
 
 
 def between_markers(text: Column, start: str = "abstract", stop: str = "[abs]") -> Column:
@@ -111,6 +113,15 @@ def sections(text: Column, names: tuple[str, ...] = ("abstract", "keywords", "1.
     return F.struct(*out)
 
 
+# The kinds of layout objects that carry text.
+TEXT_OBJECTS = ["LTTextBox", "LTTextLine", "LTText"]
+
+
+def text_of_layout(objects: Column, kinds: list[str] = TEXT_OBJECTS) -> Column:
+    """The joined texts of a page's layout objects (structs of kind and text) that are of a text kind."""
+    return joined_boxes(F.transform(F.filter(objects, lambda o: o["kind"].isin(*kinds)), lambda o: o["text"]))
+
+
 def joined_boxes(boxes: Column) -> Column:
     """The text boxes of a laid-out page, each on a new line, with one pass over double line ends."""
     flat = F.aggregate(boxes, F.lit(""), lambda a, b: F.concat(a, F.lit("\n"), b))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import html, text
 
+# Columns of stored papers, and of the label file as its header spells them.
 PAPERS = "_id long, source string, title string, authors string, abstract string, keywords string, url string, content binary, text string"
 LABELS = "Id int, Label string, Ambuguity int"
 #: Larger binaries aren't kept.
@@ -40,6 +42,22 @@ def query_frame(spark: SparkSession, query: str, feature: str = "abstract") -> D
     return spark.createDataFrame([(0, query)], f"id int, {feature} string")
 
 
+# Where each source is entered.
+SEEDS = {
+    "JMLR": ("http://www.jmlr.org/papers/v%d/", 13, 18),
+    "NIPS": ["http://papers.nips.cc/book/advances-in-neural-information-processing-systems-25-2012"],
+    "SLML": ["https://link-springer-com.proxy.lib.sfu.ca/journal/10994/106/2/page/1"],
+    "IEEE": ["http://ieeexplore.ieee.org/xpl/mostRecentIssue.jsp?punumber=34&isnumber=4359286"],
+    "ARXIV": ["https://arxiv.org/list/stat.ML/17?show=2000"],
+}
+
+
+def seeds_of(spark: SparkSession, source: str) -> DataFrame:
+    """(url): the addresses at which ``source`` is entered."""
+    found = SEEDS[source]
+    return seeds(spark, *found) if isinstance(found, tuple) else spark.createDataFrame([(u,) for u in found], "url string")
+
+
 def seeds(spark: SparkSession, pattern: str, first: int, last: int) -> DataFrame:
     """(url): a printf pattern filled with each number; repeated urls once."""
     return spark.range(first, last + 1).select(F.format_string(pattern, "id").alias("url")).dropDuplicates(["url"])
@@ -47,17 +65,22 @@ def seeds(spark: SparkSession, pattern: str, first: int, last: int) -> DataFrame
 
 def binaries(spark: SparkSession, path: str, extract: Callable[[bytes], str]) -> tuple[DataFrame, DataFrame]:
     """(kept, rejected): files below LARGEST bytes with the text an extractor finds, and the others with a reason."""
-    files = spark.read.format("binaryFile").load(path)
-    found = F.udf(lambda b: _attempt(extract, b), "text string, reason string")
-    small = files.where(F.col("length") < LARGEST).withColumn("found", found("content"))
-    kept = small.where("found.reason is null").select("path", "content", F.col("found.text").alias("text"))
-    failed = small.where("found.reason is not null").select("path", F.col("found.reason").alias("reason"))
-    return kept, failed.unionByName(files.where(F.col("length") >= LARGEST).select("path", F.lit("too large").alias("reason")))
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tried = [_attempt(extract, content.as_py()) for content in batch.column("content")]
+            made = [pa.array([t[i] for t in tried], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("content"), *made], ["path", "content", "text", "reason"])
+
+    small = files.where(F.col("length") < LARGEST).mapInArrow(run, "path string, content binary, text string, reason string")
+    large = files.where(F.col("length") >= LARGEST).select("path", F.lit("too large").alias("reason"))
+    return small.where("reason is null").drop("reason"), small.where("reason is not null").select("path", "reason").unionByName(large)
 
 
 def _attempt(extract: Callable[[bytes], str], content: bytes) -> tuple[str | None, str | None]:
     try:
-        return extract(bytes(content)), None
+        return extract(content), None
     except Exception as problem:  # any extractor may fail on any file; the row says how
         return None, f"{type(problem).__name__}: {problem}"
 
@@ -93,8 +116,8 @@ def proceedings_paper(pages: DataFrame, source: str, abstract: tuple[str, str] =
 
 def listed_links(pages: DataFrame, skip: int = 0, keep: int | None = None) -> DataFrame:
     """(url): resolved links of listing pages, without the first ``skip`` and after at most ``keep``."""
-    found = F.slice(html.hrefs(F.col("html")), skip + 1, keep if keep is not None else 1_000_000)
-    rows = pages.select(F.col("url").alias("page"), F.explode(found).alias("href"))
+    rows = pages.select(F.col("url").alias("page"), F.posexplode(html.hrefs(F.col("html"))).alias("place", "href"))
+    rows = rows.where((F.col("place") >= skip) & (F.col("place") < skip + keep if keep is not None else F.lit(True)))
     return rows.select(html.resolved("page", "href").alias("url"))
 
 

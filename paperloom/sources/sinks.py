@@ -7,24 +7,43 @@ from pyspark.sql import functions as F
 
 
 def merged(existing: DataFrame, incoming: DataFrame, key: str = "_id", order: str | None = None) -> DataFrame:
-    """``existing`` with the rows of ``incoming`` in place of those of equal key; the last of a key by ``order`` wins."""
-    by = F.desc(order) if order else F.desc(F.struct(*incoming.columns))
-    last = incoming.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(by))).where("nth = 1").drop("nth")
-    return existing.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
+    """``existing`` with the rows of ``incoming`` in place of those of equal key; the last of a key by ``order`` wins.
+
+    Without ``order`` the last one is that which comes last in ``incoming``.
+    """
+    placed = incoming.withColumn("merging_place", F.col(order) if order else F.monotonically_increasing_id())
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("merging_place")))
+    fresh = placed.withColumn("merging_nth", last).where("merging_nth = 1").drop("merging_nth", "merging_place")
+    return existing.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def upsert(path: str, incoming: DataFrame, key: str = "_id", order: str | None = None) -> None:
-    """Merges into the Parquet table at ``path``: written beside it first, then put in its place."""
+    """Merges into the Parquet table at ``path``: written beside it first, then put in its place.
+
+    The old table is moved aside before and deleted after the new one is in place; if a run breaks off between, the
+    next one moves it back, so that a whole table is always there.
+    """
     spark = incoming.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target, fresh, aside = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".merging", ".before"))
     files = target.getFileSystem(conf)
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}.merging")
-    existing = spark.read.parquet(path) if files.exists(target) else incoming.limit(0)
+
+    def move(a, b) -> None:
+        if not files.rename(a, b):
+            raise OSError(f"couldn't move {a} to {b}")
+
+    if files.exists(aside):
+        if files.exists(target):
+            files.delete(aside, True)
+        else:
+            move(aside, target)
+    there = files.exists(target)
+    existing = spark.read.parquet(path) if there else incoming.limit(0)
     merged(existing, incoming, key, order).write.mode("overwrite").parquet(f"{path}.merging")
-    files.delete(target, True)
-    if not files.rename(fresh, target):
-        raise OSError(f"couldn't move {path}.merging to {path}")
+    if there:
+        move(target, aside)
+    move(fresh, target)
+    files.delete(aside, True)
 
 
 def edge_lines(edges: DataFrame, weight: str) -> DataFrame:
@@ -51,6 +70,12 @@ def write_graph(edges: DataFrame, path: str, weight: str, mode: str = "overwrite
     graph_table(edges, weight).coalesce(1).write.mode(mode).csv(path, header=True)
 
 
+def write_similarities(found: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Search hits and their similarity as one CSV file; columns that CSV can't hold are left out."""
+    plain = [f.name for f in found.schema.fields if f.dataType.typeName() not in ("array", "struct", "map", "binary")]
+    found.select(*plain).coalesce(1).write.mode(mode).csv(path, header=True)
+
+
 def write_log(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Run metrics as JSON lines."""
     rows.write.mode(mode).json(path)
