@@ -70,7 +70,13 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "t
 
 
 def component_sizes(components: DataFrame) -> DataFrame:
-    return components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    """(component, size), the largest first, the lesser component first among equals."""
+    return components.groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "component")
+
+
+def component_count(components: DataFrame) -> DataFrame:
+    """(components): how many there are."""
+    return components.agg(F.count_distinct("component").alias("components"))
 
 
 def centrality(vertices: DataFrame, edges: DataFrame, weight: str = "chi", rounds: int = 10, id_col: str = "topic") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
@@ -14,17 +15,28 @@ from paperloom.functions import text
 from paperloom.operators import features
 
 
+SETTINGS = "mode string, lemmas string, partitions int"
+#: Documents a partition of the layout that models are fitted on, if the number of partitions isn't given.
+DOCS_A_PARTITION = 2500
+
+
 @dataclass
 class TopicPipeline:
-    """All that turns text into topic distributions; training and search use the same one."""
+    """All that turns text into topic distributions; training and search use the same one.
+
+    ``partitions`` is the layout that the model was fitted on. Of a lemmatiser that is a function only the fact
+    that there was one is saved; it is handed over again at loading.
+    """
 
     counter: CountVectorizerModel
     weights: IDFModel
     model: LDAModel
     mode: str = "regex"
+    lemmas: str | Callable[[str], str] = "none"
+    partitions: int = 1
 
     def words(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        return docs.withColumn("words", text.clean_tokens(F.col(text_col), self.mode))
+        return docs.withColumn("words", text.clean_tokens(F.col(text_col), self.mode, self.lemmas))
 
     def infer(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``docs`` with ``topics``, an array of doubles; all 0 without a known word."""
@@ -36,12 +48,16 @@ class TopicPipeline:
         for stage, name in ((self.counter, "tf_model"), (self.weights, "idf_model"), (model, "lda_model")):
             stage.write().overwrite().save(f"{path}/{name}")
         spark = SparkSession.active()
-        spark.createDataFrame([(self.mode,)], "mode string").write.mode("overwrite").json(f"{path}/settings")
+        lemmas = "function" if callable(self.lemmas) else self.lemmas
+        spark.createDataFrame([(self.mode, lemmas, self.partitions)], SETTINGS).write.mode("overwrite").json(f"{path}/settings")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> TopicPipeline:
-        mode = spark.read.schema("mode string").json(f"{path}/settings").first()["mode"]
-        return TopicPipeline(CountVectorizerModel.load(f"{path}/tf_model"), IDFModel.load(f"{path}/idf_model"), LocalLDAModel.load(f"{path}/lda_model"), mode)
+    def load(spark: SparkSession, path: str, lemmatizer: Callable[[str], str] | None = None) -> TopicPipeline:
+        found = spark.read.schema(SETTINGS).json(f"{path}/settings").first()
+        if found["lemmas"] == "function" and lemmatizer is None:
+            raise ValueError(f"the model at {path} was trained with a lemmatiser of its own; hand it over to search")
+        lemmas = lemmatizer if found["lemmas"] == "function" else found["lemmas"]
+        return TopicPipeline(CountVectorizerModel.load(f"{path}/tf_model"), IDFModel.load(f"{path}/idf_model"), LocalLDAModel.load(f"{path}/lda_model"), found["mode"], lemmas, found["partitions"])
 
 
 def pinned(docs: DataFrame, id_col: str, partitions: int) -> DataFrame:
@@ -59,16 +75,21 @@ def train(
     mode: str = "regex",
     vocabulary_size: int = 262_144,
     least_docs: int = 1,
-    partitions: int = 4,
+    lemmas: str | Callable[[str], str] = "none",
+    partitions: int | None = None,
     held_out: DataFrame | None = None,
     seed: int = 1,
-) -> tuple[TopicPipeline, list[tuple[int, float, float]]]:
+    scores: bool = True,
+) -> tuple[TopicPipeline, list[tuple[int, float | None, float | None]]]:
     """The pipeline of best log-likelihood among numbers of topics, and (k, log-likelihood, log-perplexity) of each.
 
     A later candidate replaces the first only if it is strictly better. Scores are of ``docs``, or of
-    ``held_out`` if given.
+    ``held_out`` if given; with ``scores`` off, a single candidate isn't scored. The layout, which the result
+    depends on, follows the number of documents alone unless ``partitions`` is given.
     """
-    worded = pinned(docs, id_col, partitions).withColumn("words", text.clean_tokens(F.col(text_col), mode)).select(id_col, "words").persist()
+    candidates = tuple(dict.fromkeys(candidates))
+    partitions = partitions or max(4, -(-docs.count() // DOCS_A_PARTITION))
+    worded = pinned(docs, id_col, partitions).withColumn("words", text.clean_tokens(F.col(text_col), mode, lemmas)).select(id_col, "words").persist()
     try:
         counts = features.term_counts(worded, id_col)
         terms = features.vocabulary(features.document_frequencies(counts), vocabulary_size, least_docs)
@@ -77,19 +98,20 @@ def train(
         try:
             scored_on = made
             if held_out is not None:
-                scored_on = weights.transform(counter.transform(held_out.withColumn("words", text.clean_tokens(F.col(text_col), mode))))
-            best, scores = None, []
-            for k in dict.fromkeys(candidates):
+                scored_on = weights.transform(counter.transform(held_out.withColumn("words", text.clean_tokens(F.col(text_col), mode, lemmas))))
+            best, found = None, []
+            for k in candidates:
                 model = LDA(k=k, seed=seed, optimizer=optimizer, maxIter=iterations).fit(made)
-                likelihood = model.logLikelihood(scored_on)
-                scores.append((k, likelihood, model.logPerplexity(scored_on)))
+                scored = scores or len(candidates) > 1
+                likelihood = model.logLikelihood(scored_on) if scored else None
+                found.append((k, likelihood, model.logPerplexity(scored_on) if scored else None))
                 if best is None or likelihood > best[0]:
                     best = (likelihood, model)
         finally:
             made.unpersist()
     finally:
         worded.unpersist()
-    return TopicPipeline(counter, weights, best[1], mode), scores
+    return TopicPipeline(counter, weights, best[1], mode, lemmas, partitions), found
 
 
 def topic_words(pipeline: TopicPipeline, n: int = 30) -> DataFrame:
@@ -108,10 +130,11 @@ def word_weights(words: DataFrame) -> DataFrame:
 
 
 def topic_matrix(pipeline: TopicPipeline) -> DataFrame:
-    """(topic, term, weight): the whole topic-term matrix."""
-    matrix = pipeline.model.topicsMatrix().toArray()
-    rows = [(int(k), t, float(matrix[i, k])) for i, t in enumerate(pipeline.counter.vocabulary) for k in range(matrix.shape[1])]
-    return SparkSession.active().createDataFrame(rows, "topic int, term string, weight double")
+    """(topic, term, weight): the whole topic-term matrix, each topic's weights over their sum."""
+    terms = pipeline.counter.vocabulary
+    named = SparkSession.active().createDataFrame(list(enumerate(terms)), "index int, term string")
+    cells = pipeline.model.describeTopics(len(terms)).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("cell"))
+    return cells.select("topic", F.col("cell.termIndices").alias("index"), F.col("cell.termWeights").alias("weight")).join(named, "index").select("topic", "term", "weight")
 
 
 def concentration(pipeline: TopicPipeline) -> list[float]:

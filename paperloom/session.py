@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,12 +19,31 @@ def session(name: str = "paperloom", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=settings | conf).getOrCreate()
 
 
+def _shared(spark: SparkSession) -> str:
+    """The cluster's shared folder; a local one only where none is set (tests), as all runs on one machine there."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(_shared, "own", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _shared.own = tempfile.mkdtemp(prefix="paperloom-shared-")
+    return folder
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared(spark).rstrip('/')}/paperloom-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the cluster's shared folder; a local one is set only where none is (tests)."""
+    """``df`` checkpointed in the cluster's shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="paperloom-checkpoint-"))
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, where a plan reads it more than once."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
