@@ -7,18 +7,18 @@ an embedding over their sum.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import html, text, vectors
 from paperloom.operators import explore, features, graph, similarity, topics
-from paperloom.session import cut_lineage
+from paperloom.session import cut_lineage, kept, shared_path
 from paperloom.sources import readers, sinks
 
 THRESHOLD, CHI, TIGHT_CHI, TOPICS = 0.045, 19.5, 300.0, 45
 LABELS = [(0, "Text Mining"), (1, "Clustering"), (2, "Graph"), (3, "Deep Learning"), (4, "information retrieval")]
-ABSTRACTS = [(1, "Title Abstract foo\nbar [abs]"), (2, "no markers"), (3, "ABSTRACT  x [ABS] y"), (4, "abstract without end")]
-BOXES = [(1, 0, "a\n"), (1, 1, "b"), (2, 0, "one"), (2, 1, "\n\ntwo"), (2, 2, "three")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,14 +42,16 @@ def _frequencies(spark, sf_dir):
 
 
 def _memberships(spark, sf_dir):
-    """(doc_id, topics): the stand-in memberships, as numbers of the 45 terms."""
+    """(doc_id, topics): the stand-in memberships, as numbers of the TOPICS most frequent terms, which are found first."""
     words = F.array_distinct(F.filter(text.regex_tokens(F.col("text")), lambda w: F.length(w) > 2))
     docs = _documents(spark, sf_dir)
-    held = docs.select("doc_id", F.explode(words).alias("term"))
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(TOPICS)
-    numbered = df.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).alias("topic"))
-    found = held.join(F.broadcast(numbered), "term").groupBy("doc_id").agg(F.collect_list("topic").alias("found"))  # TOPICS rows
-    return cut_lineage(docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("found", F.array().cast("array<int>")).alias("topics")))
+    held = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = [r["term"] for r in held.orderBy(F.desc("df"), "term").limit(TOPICS).collect()]
+    if not terms:
+        return docs.select("doc_id", F.array().cast("array<int>").alias("topics"))
+    number = F.create_map(*[F.lit(x) for i, t in enumerate(terms) for x in (t, i)])
+    own = F.array_intersect(words, F.array(*[F.lit(t) for t in terms]))
+    return cut_lineage(docs.select("doc_id", F.transform(own, lambda w: number[w]).alias("topics")))
 
 
 def _distributions(spark, sf_dir):
@@ -72,7 +74,7 @@ def stopwords_removed(spark, sf_dir):
 
 def lemmas_by_rules(spark, sf_dir):
     words = text.lemmatize(text.regex_tokens(F.col("text")), "rules")
-    return _documents(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("n_tokens"))
+    return _documents(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.md5(F.array_join(words, " ").cast("binary")).alias("lemmas_md5"))
 
 
 def term_doc_frequency(spark, sf_dir):
@@ -85,7 +87,7 @@ def inverse_doc_frequency(spark, sf_dir):
 
 
 def tfidf_top_terms(spark, sf_dir):
-    counts = _counts(spark, sf_dir)
+    counts = kept(_counts(spark, sf_dir))  # read for the frequencies and for the weights
     inverse = features.inverse_frequencies(features.document_frequencies(counts), _documents(spark, sf_dir))
     rounded = features.tfidf(counts, inverse).withColumn("tfidf", F.round("tfidf", 6))
     return features.top_terms(rounded, 5).select("doc_id", F.col("rank").cast("long").alias("rank"), "term", "tf", "tfidf")
@@ -141,13 +143,18 @@ def connected_components(spark, sf_dir):
     return _components(spark, sf_dir).select(F.col("topic").cast("long").alias("topic"), F.col("component").cast("long").alias("component"))
 
 
+def component_count(spark, sf_dir):
+    return graph.component_count(_components(spark, sf_dir))
+
+
 def component_sizes(spark, sf_dir):
     return graph.component_sizes(_components(spark, sf_dir)).select(F.col("component").cast("long").alias("component"), "size")
 
 
 def eigenvector_centrality(spark, sf_dir):
     rows = _memberships(spark, sf_dir)
-    return graph.centrality(graph.topic_counts(rows), graph.interesting(graph.chi_square_edges(rows), CHI))
+    found = graph.centrality(graph.topic_counts(rows), graph.interesting(graph.chi_square_edges(rows), CHI))
+    return found.select(F.col("topic").cast("long").alias("topic"), F.round("centrality", 6).alias("centrality"))
 
 
 def graph_table(spark, sf_dir):
@@ -180,8 +187,18 @@ def doc_top5_topics(spark, sf_dir):
     return found.select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("topic").cast("long").alias("topic"), F.round("weight", 9).alias("weight"))
 
 
+def weight_text_roundtrip(spark, sf_dir):
+    path = shared_path(spark)
+    sinks.write_values(explore.weights(_distributions(spark, sf_dir)), "weight", path)
+    found = readers.numbers(spark, path).agg(F.count("value").alias("n"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("total", "least", "most")])
+
+
 def _labels(spark):
-    return spark.createDataFrame(LABELS, "Id int, Label string")
+    """The label rows, by way of a CSV file."""
+    path = shared_path(spark)
+    spark.createDataFrame([(i, label, None) for i, label in LABELS], readers.LABELS).coalesce(1).write.csv(path, header=True)
+    return readers.labels(spark, path)
 
 
 def topic_label_lookup(spark, sf_dir):
@@ -194,19 +211,20 @@ def label_index(spark, sf_dir):
 
 
 def document_key_hash(spark, sf_dir):
-    title = F.substring("text", 1, 60)
-    return _documents(spark, sf_dir).select("doc_id", text.document_key(title).alias("key"))
+    return _table(spark, sf_dir, "pages").select("page_id", text.document_key(html.title(F.col("html"))).alias("key"))
 
 
 def abstract_between_markers(spark, sf_dir):
-    rows = spark.createDataFrame(ABSTRACTS, "id long, t string")
-    return rows.select("id", text.between_markers(F.col("t")).alias("abstract"))
+    page = F.concat(F.lit("Title\n Abstract \n"), F.col("text"), F.when(F.col("lang") != "de", F.lit("\n[abs] end")).otherwise(F.lit(" end")))
+    found = _documents(spark, sf_dir).select("doc_id", text.between_markers(page).alias("abstract"))
+    return found.select("doc_id", F.coalesce(F.length("abstract").cast("long"), F.lit(-1)).alias("n_chars"), F.md5(F.col("abstract").cast("binary")).alias("abstract_md5"))
 
 
 def pdf_text_join(spark, sf_dir):
-    rows = spark.createDataFrame(BOXES, "id long, i int, t string")
-    boxes = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("b"))
-    return boxes.select("id", text.joined_boxes(F.col("b.t")).alias("text"))
+    kinds = F.array(F.lit("LTTextBox"), F.lit("LTFigure"), F.lit("LTTextLine"))
+    objects = F.transform(F.split("text", "[.]"), lambda t, i: F.struct(F.element_at(kinds, (i % 3 + 1).cast("int")).alias("kind"), F.concat(t, F.lit("\n")).alias("text")))
+    found = _documents(spark, sf_dir).select("doc_id", text.text_of_layout(objects).alias("found"))
+    return found.select("doc_id", F.length("found").cast("long").alias("n_chars"), F.md5(F.col("found").cast("binary")).alias("text_md5"))
 
 
 def page_title(spark, sf_dir):
@@ -227,25 +245,32 @@ def page_headings(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.try_element_at(html.select(F.col("html"), "h1"), F.lit(1)).alias("heading"))
 
 
+def page_all_text(spark, sf_dir):
+    found = _table(spark, sf_dir, "pages").select("page_id", html.all_text(F.col("html")).alias("found"))
+    return found.select("page_id", F.length("found").cast("long").alias("n_chars"), F.md5(F.col("found").cast("binary")).alias("text_md5"))
+
+
 def upsert_documents(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("doc_id", "lang", "source")
-    fresh = docs.where("doc_id % 3 = 0").select((F.col("doc_id") + 1).alias("doc_id"), F.lit("xx").alias("lang"), "source")
+    labels = _table(spark, sf_dir, "labels")
+    fresh = labels.select((F.col("doc_id") + 1).alias("doc_id"), F.lit("xx").alias("lang"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("source"))
     return sinks.merged(docs, fresh, "doc_id")
 
 
 def edge_text_roundtrip(spark, sf_dir):
-    lines = sinks.edge_lines(graph.pair_counts(_memberships(spark, sf_dir)), "cnt")
-    part = lambda i: F.regexp_extract("value", r"Edge\((\d+),(\d+),([^)]*)\)", i)
-    return lines.select(part(1).cast("long").alias("src"), part(2).cast("long").alias("dst"), part(3).cast("double").alias("weight"))
+    path = shared_path(spark)
+    sinks.write_edges(graph.pair_counts(_memberships(spark, sf_dir)), path, "cnt")
+    return readers.edges(spark, path)
 
 
 def seed_urls(spark, sf_dir):
-    return readers.seeds(spark, "http://journal.example.org/papers/v%d/", 13, 18)
+    found = [readers.seeds_of(spark, source).select(F.lit(source).alias("source"), "url") for source in readers.SEEDS]
+    return reduce(DataFrame.unionByName, found)
 
 
-def _pipeline(spark, sf_dir, k=5):
+def _pipeline(spark, sf_dir, k=5, scores=False):
     docs = _documents(spark, sf_dir)
-    return docs, topics.train(docs, (k,))
+    return docs, topics.train(docs, (k,), scores=scores)
 
 
 def lda_doc_topics(spark, sf_dir):
@@ -263,8 +288,10 @@ def lda_model_selection(spark, sf_dir):
 
 
 def lda_search(spark, sf_dir):
+    """The documents nearest to the first text of ``benchmark``."""
     docs, (pipeline, _) = _pipeline(spark, sf_dir)
-    found = similarity.search(pipeline, pipeline.infer(docs), "the than thing and with from", 10)
+    query = _table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"]
+    found = similarity.search(pipeline, pipeline.infer(docs), query, 10)
     return found.select("doc_id", "source", "similarity", "understood")
 
 
@@ -277,14 +304,20 @@ QUERIES = {
     for f in (
         tokenize_regex, tokens_letters_filter, stopwords_removed, lemmas_by_rules, term_doc_frequency, inverse_doc_frequency,
         tfidf_top_terms, cosine_topk, major_topics, topic_doc_counts, topic_pair_counts, chi_square_edges, interesting_edges,
-        degree, degree_stats, connected_components, component_sizes, eigenvector_centrality, graph_table, corpus_topic_share,
-        topic_weight_percentiles, topic_weight_histogram, browse_topic_top10, doc_top5_topics, topic_label_lookup, label_index,
-        document_key_hash, abstract_between_markers, pdf_text_join, page_title, page_links, page_link_absolute, page_headings,
+        degree, degree_stats, connected_components, component_count, component_sizes, eigenvector_centrality, graph_table, corpus_topic_share,
+        topic_weight_percentiles, topic_weight_histogram, weight_text_roundtrip, browse_topic_top10, doc_top5_topics, topic_label_lookup, label_index,
+        document_key_hash, abstract_between_markers, pdf_text_join, page_title, page_links, page_link_absolute, page_headings, page_all_text,
         upsert_documents, edge_text_roundtrip, seed_urls, lda_doc_topics, lda_topic_words, lda_model_selection, lda_search,
     )
 }
 
 _REGEX = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda w: length(w) >= 1)"
+_LEMMA = (
+    "CASE WHEN length(w) <= 4 THEN w WHEN ends_with(w, 'sses') THEN left(w, length(w) - 2) WHEN ends_with(w, 'ies') THEN left(w, length(w) - 3) || 'y' "
+    "WHEN ends_with(w, 'ing') AND substr(w, -4, 1) NOT IN ('a', 'e', 'i', 'o', 'u') THEN left(w, length(w) - 3) "
+    "WHEN ends_with(w, 'ed') AND substr(w, -3, 1) NOT IN ('a', 'e', 'i', 'o', 'u') THEN left(w, length(w) - 2) "
+    "WHEN ends_with(w, 's') AND substr(w, -2, 1) NOT IN ('s', 'u') THEN left(w, length(w) - 1) ELSE w END"
+)
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in [*text.ENGLISH, *text.DOMAIN])
 _CLEAN = f"list_filter({_REGEX}, lambda w: length(w) > 1 AND w NOT IN ({_STOP}))"
 _WORDS = f"words AS (SELECT doc_id, {_CLEAN} AS w FROM documents)"
@@ -312,6 +345,17 @@ _REACH = (
     "reach AS (SELECT DISTINCT topic AS v, topic AS l FROM members UNION SELECT b, l FROM reach JOIN both_ways ON a = v), "
     "comps AS (SELECT v AS topic, min(l) AS component FROM reach GROUP BY v)"
 )
+_CENTRAL = (
+    f"both_ways AS MATERIALIZED (SELECT src AS a, dst AS b, chi AS w FROM edges WHERE chi > {CHI} UNION ALL SELECT dst, src, chi FROM edges WHERE chi > {CHI}), "
+    "x0 AS MATERIALIZED (SELECT DISTINCT topic, 1::DOUBLE AS x FROM members)"
+)
+for _i in range(10):
+    _CENTRAL += (
+        f", y{_i} AS MATERIALIZED (SELECT v.topic, coalesce(sum(w * n.x), 0) AS y FROM x{_i} v LEFT JOIN both_ways ON a = v.topic LEFT JOIN x{_i} n ON n.topic = b GROUP BY v.topic), "
+        f"x{_i + 1} AS MATERIALIZED (SELECT topic, coalesce(y / nullif((SELECT max(y) FROM y{_i}), 0), 0) AS x FROM y{_i})"
+    )
+_DECODED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', chr(34), 'g'), '&amp;?', '&', 'g')"
+_TITLE = _DECODED.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")
 _FOLD = "(('0x' || substr(h, {i}, 8))::BIGINT)"
 _KEY = "0"
 for _i in range(1, 65, 8):
@@ -324,7 +368,7 @@ ORACLES = {
         "list_transform(list_filter(string_split_regex(coalesce(text, ''), '[^\\p{L}]+'), lambda w: length(w) > 2), lambda w: lower(w)) AS w FROM documents)"
     ),
     "stopwords_removed": f"WITH {_WORDS} SELECT doc_id, len(w)::BIGINT AS n_tokens, md5(coalesce(array_to_string(w, ' '), '')) AS tokens_md5 FROM words",
-    "lemmas_by_rules": f"SELECT doc_id, len({_REGEX})::BIGINT AS n_tokens FROM documents",
+    "lemmas_by_rules": f"SELECT doc_id, len(w)::BIGINT AS n_tokens, md5(coalesce(array_to_string(w, ' '), '')) AS lemmas_md5 FROM (SELECT doc_id, list_transform({_REGEX}, lambda w: {_LEMMA}) AS w FROM documents)",
     "term_doc_frequency": f"WITH {_DF} SELECT term, df, cf FROM df",
     "inverse_doc_frequency": f"WITH {_DF} SELECT term, round(ln(((SELECT count(*) FROM documents) + 1) / (df + 1)), 6) AS idf FROM df",
     "tfidf_top_terms": (
@@ -347,6 +391,8 @@ ORACLES = {
     ),
     "connected_components": f"WITH RECURSIVE {_REACH} SELECT topic, component FROM comps",
     "component_sizes": f"WITH RECURSIVE {_REACH} SELECT component, count(*) AS size FROM comps GROUP BY component",
+    "component_count": f"WITH RECURSIVE {_REACH} SELECT count(DISTINCT component) AS components FROM comps",
+    "eigenvector_centrality": f"WITH {_EDGES}, {_CENTRAL} SELECT topic, round(x, 6) AS centrality FROM x10",
     "graph_table": f"WITH {_EDGES} SELECT src AS \"Source\", dst AS \"Target\", round(chi, 4) AS \"Weight\", 'Undirected' AS \"Type\" FROM edges WHERE chi > {CHI}",
     "corpus_topic_share": (
         f"WITH {_SIMPLEX} SELECT topic::BIGINT AS topic, round(sum(weight), 6) AS total, round(sum(weight) / (SELECT count(*) FROM embeddings) * 100, 6) AS percent FROM weights GROUP BY topic"
@@ -371,10 +417,16 @@ ORACLES = {
         "round(sum(weight) / (SELECT count(*) FROM embeddings) * 100, 6) AS percent FROM weights JOIN labels_ USING (topic) GROUP BY ALL"
     ),
     "label_index": f"SELECT row_number() OVER (ORDER BY label, id) AS number, id::BIGINT AS \"Id\", label AS \"Label\" FROM (VALUES {', '.join(str(x) for x in LABELS)}) AS v(id, label)",
-    "document_key_hash": f"SELECT doc_id, ({_KEY})::BIGINT AS key FROM (SELECT doc_id, sha256(substr(text, 1, 60)) AS h FROM documents)",
-    "abstract_between_markers": "SELECT * FROM (VALUES (1::BIGINT, 'foo bar'), (2, NULL), (3, 'x'), (4, NULL)) AS v(id, abstract)",
-    "pdf_text_join": "SELECT * FROM (VALUES (1::BIGINT, chr(10) || 'a' || chr(10) || 'b'), (2, chr(10) || 'one' || chr(10) || chr(10) || 'two' || chr(10) || 'three')) AS v(id, text)",
-    "page_title": "SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title FROM pages",
+    "document_key_hash": f"SELECT page_id, ({_KEY})::BIGINT AS key FROM (SELECT page_id, sha256({_TITLE}) AS h FROM pages)",
+    "abstract_between_markers": (
+        "SELECT doc_id, coalesce(length(t), -1)::BIGINT AS n_chars, md5(t) AS abstract_md5 FROM (SELECT doc_id, CASE WHEN p LIKE '%[abs]%' THEN trim(replace(p[:strpos(p, '[abs]') - 1], chr(10), ' ')) END AS t "
+        "FROM (SELECT doc_id, ' ' || chr(10) || text || CASE WHEN lang <> 'de' THEN chr(10) || '[abs] end' ELSE ' end' END AS p FROM documents))"
+    ),
+    "pdf_text_join": (
+        "SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, replace(chr(10) || array_to_string(list_transform(list_filter(generate_series(1, len(s)), "
+        "lambda i: (i - 1) % 3 <> 1), lambda i: s[i] || chr(10)), chr(10)), chr(10) || chr(10), chr(10)) AS t FROM (SELECT doc_id, string_split(text, '.') AS s FROM documents))"
+    ),
+    "page_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "page_links": (
         "SELECT page_id, unnest(generate_series(0, len(h) - 1)) AS place, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages) WHERE len(h) > 0"
     ),
@@ -382,11 +434,22 @@ ORACLES = {
         "SELECT DISTINCT page_id, regexp_extract(url, '^https?://[^/?#]+') || href AS link FROM "
         "(SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) WHERE href LIKE '/%'"
     ),
-    "page_headings": "SELECT page_id, replace(replace(replace(regexp_extract(html, '<h1>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS heading FROM pages",
+    "page_headings": f"SELECT page_id, {_DECODED.format("regexp_extract(html, '<h1>([^<]*)', 1)")} AS heading FROM pages",
+    "page_all_text": (
+        # A tag inside a script is text; chr(1) stands for its bracket meanwhile.
+        "WITH marked AS (SELECT page_id, regexp_replace(html, '(<script>[^<]*)<(/?[a-z]+>[^<]*</script>)', '\\1' || chr(1) || '\\2', 'g') AS h FROM pages), "
+        "bare AS (SELECT page_id, regexp_replace(regexp_replace(h, '<!--.*?-->', '', 'gs'), '<[^>\"]*(\"[^\"]*\"[^>\"]*)*>', '', 'g') AS h FROM marked) "
+        "SELECT page_id, length(t)::BIGINT AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, "
+        + _DECODED.format("replace(replace(replace(h, chr(1), '<'), '&copy;', chr(169)), '&middot;', chr(183))") + " AS t FROM bare)"
+    ),
     "upsert_documents": (
-        "WITH fresh AS (SELECT doc_id + 1 AS doc_id, 'xx' AS lang, source FROM documents WHERE doc_id % 3 = 0) "
+        "WITH fresh AS (SELECT doc_id + 1 AS doc_id, 'xx' AS lang, 'quality ' || quality AS source FROM labels) "
         "SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM fresh) UNION ALL SELECT * FROM fresh"
     ),
+    "weight_text_roundtrip": f"WITH {_SIMPLEX} SELECT count(*) AS n, round(sum(weight), 6) AS total, round(min(weight), 6) AS least, round(max(weight), 6) AS most FROM weights",
     "edge_text_roundtrip": f"WITH {_PAIRS} SELECT src, dst, cnt::DOUBLE AS weight FROM pairs",
-    "seed_urls": "SELECT 'http://journal.example.org/papers/v' || i || '/' AS url FROM generate_series(13, 18) AS s(i)",
+    "seed_urls": (
+        "SELECT 'JMLR' AS source, 'http://www.jmlr.org/papers/v' || i || '/' AS url FROM generate_series(13, 18) AS s(i) UNION ALL VALUES "
+        + ", ".join(f"('{k}', '{u}')" for k, v in readers.SEEDS.items() if isinstance(v, list) for u in v)
+    ),
 }

@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import explore, graph, similarity, topics
+from paperloom.session import cut_lineage
 from paperloom.sources import sinks
 
 
 def train(docs: DataFrame, path: str, candidates: tuple[int, ...] = (2,), text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """Models, topic words, topic distributions and a log below ``path``; the log as a frame (k, log_likelihood, log_perplexity, chosen)."""
+    """Models, topic words, topic distributions and a log below ``path``.
+
+    The log is a frame (k, log_likelihood, log_perplexity, chosen, vocabulary_size, document_concentration), the last
+    one for the chosen model. Distributions keep all columns of ``docs`` but binary contents, the text included, so that
+    hits can show it.
+    """
     spark = docs.sparkSession
     pipeline, scores = topics.train(docs, candidates, id_col=id_col, text_col=text_col, **options)
     pipeline.save(path)
     topics.topic_words(pipeline).write.mode("overwrite").parquet(f"{path}/topicWords.parquet")
-    kept = [c for c in docs.columns if c not in ("content", text_col)]
-    pipeline.infer(docs, text_col).select(*kept, "topics").write.mode("overwrite").parquet(f"{path}/topicDistribution.parquet")
-    best = max(s[1] for s in scores)
-    log = spark.createDataFrame([(k, a, b, a == best) for k, a, b in scores], "k int, log_likelihood double, log_perplexity double, chosen boolean")
+    pipeline.infer(docs.drop("content"), text_col).write.mode("overwrite").parquet(f"{path}/topicDistribution.parquet")
+    chosen, size, alpha = pipeline.model.getK(), len(pipeline.counter.vocabulary), topics.concentration(pipeline)
+    rows = [(k, a, b, k == chosen, size, alpha if k == chosen else None) for k, a, b in scores]
+    log = spark.createDataFrame(rows, "k int, log_likelihood double, log_perplexity double, chosen boolean, vocabulary_size int, document_concentration array<double>")
     sinks.write_log(log, f"{path}/log")
     return log
 
 
-def search(spark: SparkSession, path: str, query: str, n: int = 10, id_col: str = "doc_id") -> DataFrame:
+def search(spark: SparkSession, path: str, query: str, n: int = 10, id_col: str = "doc_id", lemmatizer: Callable[[str], str] | None = None) -> DataFrame:
     """The ``n`` documents below ``path`` that are closest to a text."""
     corpus = spark.read.parquet(f"{path}/topicDistribution.parquet")
-    return similarity.search(topics.TopicPipeline.load(spark, path), corpus, query, n, id_col)
+    return similarity.search(topics.TopicPipeline.load(spark, path, lemmatizer), corpus, query, n, id_col)
 
 
 def relationship(spark: SparkSession, path: str, out: str, threshold: float = 0.0004795, chi: float = 19.5) -> dict[str, DataFrame]:
@@ -35,7 +43,7 @@ def relationship(spark: SparkSession, path: str, out: str, threshold: float = 0.
     sinks.write_values(docs.select(F.explode("topics").alias("weight")), "weight", f"{out}/topicDistributionStat")
     major = docs.select(graph.major_topics(F.col("topics"), threshold).alias("topics"))
     vertices = graph.topic_counts(major)
-    edges = graph.chi_square_edges(major).persist()
+    edges = cut_lineage(graph.chi_square_edges(major))
     kept = graph.interesting(edges, chi)
     sinks.write_edges(edges, f"{out}/topicGraph", "cnt")
     sinks.write_edges(kept, f"{out}/interestingGraph", "chi")
@@ -45,6 +53,7 @@ def relationship(spark: SparkSession, path: str, out: str, threshold: float = 0.
         components = graph.connected_components(vertices, some)
         found[f"{name}degree_statistics"] = graph.statistics(graph.degrees(some), "degree")
         found[f"{name}components"] = components
+        found[f"{name}component_count"] = graph.component_count(components)
         found[f"{name}component_sizes"] = graph.component_sizes(components)
     return found
 
@@ -58,6 +67,11 @@ def export(spark: SparkSession, path: str, out: str) -> None:
 def browse(spark: SparkSession, path: str, topic: int, labels: DataFrame, n: int = 10, id_col: str = "doc_id") -> DataFrame:
     """The top documents of a topic, each with its five greatest topics by label."""
     docs = spark.read.parquet(f"{path}/topicDistribution.parquet")
-    top = explore.documents_of_topic(docs, topic, n, id_col)
-    named = explore.labelled(explore.topics_of_documents(top, 5, id_col), labels)
-    return named.join(top.select(id_col, "number", "percent"), id_col).orderBy("number", "rank")
+    return explore.with_labelled_topics(explore.documents_of_topic(docs, topic, n, id_col), labels, id_col, ("number", "percent"))
+
+
+def search_page(spark: SparkSession, path: str, query: str, labels: DataFrame, n: int = 10, id_col: str = "doc_id", lemmatizer: Callable[[str], str] | None = None) -> DataFrame:
+    """The ``n`` hits of a search as its page shows them: number, document, similarity, and the five greatest topics by label."""
+    hits = explore.numbered(search(spark, path, query, n, id_col, lemmatizer), "similarity", id_col)
+    shown = tuple(c for c in hits.columns if c not in (id_col, "topics"))
+    return explore.with_labelled_topics(hits, labels, id_col, shown)
