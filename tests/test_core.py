@@ -1,7 +1,9 @@
 """Hand-computed cases of the topic analytics operators."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -119,6 +121,34 @@ def test_statistics_and_percentiles(spark):
     assert explore.threshold_at(docs, 0.5) == 2.0
 
 
+def test_percentiles_over_many_partitions(spark):
+    rng = random.Random(1)
+    values = [rng.choice([0.0, 0.0, rng.random(), rng.randint(0, 5) / 5]) for _ in range(2000)]
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(7)
+    found = explore.percentiles(rows, "v", (0.0, 0.123, 0.5, 0.999, 1.0)).first()
+    want = [float(x) for x in np.quantile(values, [0.0, 0.123, 0.5, 0.999, 1.0])]
+    assert [found[c] for c in ("p0", "p12", "p50")] == pytest.approx(want[:3]) and found[3] == pytest.approx(want[3])
+    assert (found["least"], found["most"]) == (min(values), max(values))
+    assert explore.percentiles(rows.limit(0), "v", (0.5,)).first()["p50"] is None
+
+
+def test_component_count_and_order(spark):
+    parts = spark.createDataFrame([(i, c) for i, c in enumerate([5, 2, 2, 9, 9, 7, 7, 7])], "topic int, component int")
+    assert graph.component_count(parts).first()["components"] == 4
+    assert [tuple(r) for r in graph.component_sizes(parts).collect()] == [(7, 3), (2, 2), (9, 2), (5, 1)]
+
+
+def test_centrality_of_a_star(spark):
+    edges = spark.createDataFrame([(0, i, 1.0) for i in range(1, 5)] + [(1, 2, 1.0)], "src int, dst int, chi double")
+    vertices = spark.createDataFrame([(i,) for i in range(6)], "topic int")
+    found = {r["topic"]: r["centrality"] for r in graph.centrality(vertices, edges, rounds=60).collect()}
+    matrix = np.zeros((6, 6))
+    for a, b, w in [tuple(r) for r in edges.collect()]:
+        matrix[a, b] = matrix[b, a] = w
+    vector = np.abs(np.linalg.eigh(matrix)[1][:, -1])
+    assert [found[i] for i in range(6)] == pytest.approx((vector / vector.max()).tolist(), abs=1e-3)
+
+
 def test_membership_includes_the_threshold(spark):
     assert one(spark, graph.major_topics(doubles([0.5, 0.2, 0.3]), 0.3)) == [0, 2]
 
@@ -150,6 +180,55 @@ def test_upsert_is_idempotent(spark, tmp_path):
         assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (3, "e")]
 
 
+def test_upsert_recovers_and_keeps_the_last(spark, tmp_path):
+    path = tmp_path / "papers"
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "_id long, v string")
+    sinks.upsert(str(path), rows)
+    path.rename(tmp_path / "papers.before")  # as a run leaves it that breaks off between its moves
+    again = spark.createDataFrame([(2, "z"), (3, "d"), (2, "c")], "_id long, v string").coalesce(1)
+    sinks.upsert(str(path), again)
+    assert sorted(tuple(r) for r in spark.read.parquet(str(path)).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["papers"]
+    assert sorted(tuple(r) for r in sinks.merged(rows, again.limit(0)).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_labels_numbers_and_similarities(spark, tmp_path):
+    (tmp_path / "labels.csv").write_text("Id,Label,Ambuguity\n0,Text Mining,\n1,\"Graph, large\",2\n")
+    assert [tuple(r) for r in readers.labels(spark, str(tmp_path / "labels.csv")).collect()] == [(0, "Text Mining", None), (1, "Graph, large", 2)]
+    (tmp_path / "numbers").write_text("0.5\n-1e-3\n7\n")
+    assert [r["value"] for r in readers.numbers(spark, str(tmp_path / "numbers")).collect()] == [0.5, -0.001, 7.0]
+    found = spark.createDataFrame([(1, [0.5], 0.25)], "doc_id long, topics array<double>, similarity double")
+    sinks.write_similarities(found, str(tmp_path / "hits"))
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "hits"), header=True).collect()] == [("1", "0.25")]
+
+
+def test_layout_objects(spark):
+    objects = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("text")) for k, t in (("LTTextBox", "a\n"), ("LTFigure", "x"), ("LTTextLine", "b"))])
+    assert one(spark, text.text_of_layout(objects)) == "\na\nb"
+
+
+def test_links_and_meta_in_any_form(spark):
+    page = """<A class="x" HREF='/a?b=1&amp;c=2'>1</A><a href=/b>2</a><a name="n">3</a><META content="A &amp; B" name=citation_title><a
+    href="/d">4</a><!-- <a href="/no"> -->"""
+    pages = spark.createDataFrame([("http://h.org/x/", page), ("http://h.org/y/", None)], "url string, html string")
+    assert [r["h"] for r in pages.select(html.hrefs(F.col("html")).alias("h")).collect()] == [["/a?b=1&c=2", "/b", "/d"], []]
+    assert pages.select(html.meta(F.col("html"), "citation_title").alias("m")).first()["m"] == ["A & B"]
+    links = lambda **o: sorted(r["url"] for r in readers.listed_links(pages, **o).collect())
+    assert links() == ["http://h.org/a?b=1&c=2", "http://h.org/b", "http://h.org/d"]
+    assert links(skip=1, keep=1) == ["http://h.org/b"] and links(skip=5) == []
+
+
+def test_preprints_need_a_title(spark):
+    page = '<h1 class="title">{}</h1><blockquote class="abstract">some\ntext</blockquote><meta name="citation_author" content="X">'
+    pages = spark.createDataFrame([("u1", page.format("T")), ("u2", page.format("")), ("u3", "")], "url string, html string")
+    assert [(r["title"], r["abstract"], r["authors"]) for r in readers.preprint(pages).collect()] == [("T", "some text", "X")]
+
+
+def test_seeds(spark):
+    assert readers.seeds_of(spark, "JMLR").count() == 6
+    assert all(readers.seeds_of(spark, s).count() == 1 for s in ("NIPS", "SLML", "IEEE", "ARXIV"))
+
+
 def test_edge_files(spark, tmp_path):
     edges = spark.createDataFrame([(0, 1, 12.5)], "src int, dst int, w double")
     sinks.write_edges(edges, str(tmp_path / "e"), "w")
@@ -176,22 +255,50 @@ def corpus(spark):
 def test_train_save_search_relate(spark, corpus, tmp_path):
     path = str(tmp_path / "model")
     log = jobs.train(corpus, path, (2, 3), iterations=10)
-    assert log.where("chosen").count() == 1
+    chosen = log.where("chosen").collect()
+    assert len(chosen) == 1 and chosen[0]["vocabulary_size"] == 8 and len(chosen[0]["document_concentration"]) == chosen[0]["k"]
     saved = spark.read.parquet(f"{path}/topicDistribution.parquet")
+    assert saved.columns == [*corpus.columns, "topics"]
     for row in saved.collect():
         assert sum(row["topics"]) == pytest.approx(0 if row["doc_id"] >= 24 else 1)
     found = jobs.search(spark, path, "gene protein cell", 3).collect()
-    assert len(found) == 3 and all(r["doc_id"] % 2 == 1 and r["understood"] for r in found)
+    assert len(found) == 3 and all(r["doc_id"] % 2 == 1 and r["understood"] and "gene" in r["text"] for r in found)
     assert not jobs.search(spark, path, "zzz", 2).first()["understood"]
+    labels = spark.createDataFrame([(0, "Graphs"), (1, "Genes")], "Id int, Label string")
+    page = jobs.search_page(spark, path, "gene protein cell", labels, 3).collect()
+    assert [r["number"] for r in page] == sorted(r["number"] for r in page) and {r["number"] for r in page} == {1, 2, 3}
+    assert [r["doc_id"] for r in page if r["rank"] == 1] == [r["doc_id"] for r in found] and all(r["label"] in ("Graphs", "Genes", None) for r in page)
+    assert {r["rank"] for r in jobs.browse(spark, path, 0, labels, 2).collect()} >= {1, 2}
     loaded = topics.TopicPipeline.load(spark, path)
     again = loaded.infer(corpus).orderBy("doc_id").first()["topics"]
     assert again == pytest.approx(saved.orderBy("doc_id").first()["topics"])
+    cells = topics.topic_matrix(loaded).groupBy("topic").agg(F.count("term").alias("n"), F.sum("weight").alias("w")).collect()
+    assert len(cells) == chosen[0]["k"] and all(r["n"] == 8 and r["w"] == pytest.approx(1) for r in cells)
     report = jobs.relationship(spark, path, str(tmp_path / "graph"), 0.01, 0.0)
     assert report["components"].count() == report["vertices"].count()
+    assert report["component_count"].first()["components"] == report["component_sizes"].count()
     jobs.export(spark, path, str(tmp_path / "store"))
     assert "topic_distribution" in spark.read.parquet(str(tmp_path / "store")).columns
 
 
+def test_models_of_lemmas_survive(spark, corpus, tmp_path):
+    plural = corpus.withColumn("text", F.regexp_replace("text", "(gene|cell|node)", "$1s")).withColumnRenamed("doc_id", "_id")
+    rules = str(tmp_path / "rules")
+    jobs.train(plural, rules, (2,), id_col="_id", iterations=5, lemmas="rules")
+    assert {"gene", "node"} < set(topics.TopicPipeline.load(spark, rules).counter.vocabulary)
+    assert jobs.search(spark, rules, "genes", 1, "_id").first()["understood"] and jobs.search(spark, rules, "gene", 1, "_id").first()["understood"]
+    own = str(tmp_path / "own")
+    jobs.train(plural, own, (2,), id_col="_id", iterations=5, lemmas=lambda w: w[:3])
+    with pytest.raises(ValueError):
+        jobs.search(spark, own, "gene", 1, "_id")
+    assert jobs.search(spark, own, "generation", 1, "_id", lambda w: w[:3]).first()["understood"]
+
+
+def test_single_candidates_need_no_scores(spark, corpus):
+    assert topics.train(corpus, (2,), iterations=2, scores=False)[1] == [(2, None, None)]
+    assert topics.train(corpus, (2,), iterations=2, scores=False)[0].partitions == 4
+
+
 def test_registered_topic_queries_keep_every_term(spark, tmp_path):
     letters = "bcdfghjklmnpqrstvwxz"
     terms = [f"qq{a}{b}{c}" for a in letters for b in letters for c in letters][:5100]
