@@ -41,6 +41,8 @@ LEAST = 2
 #: Words from which one line is a passage of its own: more than 50.
 LONG_WORDS = 51
 HAS_WORD = r"[^\x20\x09-\x0D]"
+#: Joins are shuffled at every size: tables of the shared folder are read compressed, so that their sizes say little about what a broadcast would hold.
+MERGE = "merge"
 SPANS = "array<struct<from_line:int,to_line:int>>"
 
 
@@ -80,7 +82,7 @@ def later() -> Column:
 def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
     """For k = 0, 1, ...: (doc, seq, rank, first[, line_no, long]) of the suffixes that share 2 ** k lines; written."""
     ids = _ranked(lines, ["a", "b"])
-    known = lines.join(ids, ["a", "b"]).select("doc", "seq", "rank", "first", "line_no", "long")
+    known = lines.join(ids.hint(MERGE), ["a", "b"]).select("doc", "seq", "rank", "first", "line_no", "long")
     found = [written(known.repartition("doc").dropDuplicates(["doc", "seq"]))]
     discard(ids)
     while not found[-1].isEmpty():
@@ -89,7 +91,7 @@ def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
         paired = found[-1].select("doc", "seq", F.col("rank").alias("head"), F.max("rank").over(ahead).alias("next"))
         paired = written(paired.where("next is not null"))
         pairs = _ranked(paired, ["head", "next"])
-        found.append(written(paired.join(pairs, ["head", "next"]).select("doc", "seq", "rank", "first")))
+        found.append(written(paired.join(pairs.hint(MERGE), ["head", "next"]).select("doc", "seq", "rank", "first")))
         discard(paired, pairs)
     discard(found.pop())
     return found
@@ -104,10 +106,10 @@ def longest_copies(ranks: list[DataFrame]) -> DataFrame:
     used = []
     for j in reversed(range(len(ranks) - 1)):
         behind = ranks[j].select("doc", F.col("seq").alias("at"), F.col("rank").alias("next"))
-        longer = open_.withColumn("at", F.col("seq") + F.col("length")).join(behind, ["doc", "at"])
+        longer = open_.withColumn("at", F.col("seq") + F.col("length")).join(behind.hint(MERGE), ["doc", "at"])
         # An interval is named by what it was split from; lengths tell the names of different rounds apart.
         longer = written(longer.select(*place, (F.col("length") + (1 << j)).alias("length"), F.xxhash64("interval", "next").alias("interval")))
-        grown = written(longer.join(_shared(longer, same), same).select(*place, *same, "first"))
+        grown = written(longer.join(_shared(longer, same).hint(MERGE), same).select(*place, *same, "first"))
         discard(longer)
         used.append(grown)
         lengths.append(grown.where(later()).select(*place, "length"))
@@ -116,11 +118,11 @@ def longest_copies(ranks: list[DataFrame]) -> DataFrame:
         # Where later copies are none any more at the greater length, their interval is split at shorter ones, among these
         # copies and one of each interval that was split off: its first, which has what the others in it have.
         reached = grown.where(later()).select(*place, (F.col("length") - (1 << j)).alias("length"))
-        ended = open_.where(later()).join(reached, [*place, "length"], "left_anti").select(*same).distinct()
+        ended = open_.where(later()).join(reached.hint(MERGE), [*place, "length"], "left_anti").select(*same).distinct()
         doubled = level(j + 1).where(later()).select(*place)
-        fresh = level(j).where(later()).join(doubled, place, "left_anti").select(*same).distinct()
-        left = open_.join(ended, same, "left_semi").join(reached, [*place, "length"], "left_anti")
-        kept = left.unionByName(level(j).join(fresh, same, "left_semi").join(doubled, place, "left_anti")).unionByName(grown)
+        fresh = level(j).where(later()).join(doubled.hint(MERGE), place, "left_anti").select(*same).distinct()
+        left = open_.join(ended.hint(MERGE), same, "left_semi").join(reached.hint(MERGE), [*place, "length"], "left_anti")
+        kept = left.unionByName(level(j).join(fresh.hint(MERGE), same, "left_semi").join(doubled.hint(MERGE), place, "left_anti")).unionByName(grown)
         before, open_ = open_, written(kept)
         discard(before)
     most = written(reduce(DataFrame.unionByName, lengths).groupBy(*place).agg(F.max("length").alias("length")))
@@ -136,11 +138,11 @@ def repeated_runs(lines: DataFrame, least: int = LEAST) -> DataFrame:
         return written(copies.withColumns({"cut_from": F.col("from_line"), "cut_to": F.col("to_line")}))
     most = longest_copies(ranks)
     at = ranks[0].select("doc", "seq", "line_no", "long")
-    runs = most.join(at, ["doc", "seq"]).where((F.col("length") >= least) | F.col("long")).withColumn("stop", F.col("seq") + F.when(F.col("length") >= least, F.col("length")).otherwise(1))
+    runs = most.join(at.hint(MERGE), ["doc", "seq"]).where((F.col("length") >= least) | F.col("long")).withColumn("stop", F.col("seq") + F.when(F.col("length") >= least, F.col("length")).otherwise(1))
     by_seq = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("before", F.max("stop").over(by_seq)).where(F.coalesce(F.col("stop") > F.col("before"), F.lit(True)))
     ends = at.select("doc", (F.col("seq") + 1).alias("stop"), F.col("line_no").alias("to_line"))
-    runs = runs.select("doc", "stop", F.col("line_no").alias("from_line")).join(ends, ["doc", "stop"]).drop("stop")
+    runs = runs.select("doc", "stop", F.col("line_no").alias("from_line")).join(ends.hint(MERGE), ["doc", "stop"]).drop("stop")
     by_line = Window.partitionBy("doc").orderBy("from_line")
     opens = F.coalesce(F.col("from_line") > F.lag("to_line").over(by_line) + 1, F.lit(True)).cast("int")
     islands = runs.withColumn("opens", opens).withColumn("island", F.sum("opens").over(by_line))
@@ -159,7 +161,7 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
     per_doc = found.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("from_line", "to_line"))).alias("runs"), F.sort_array(F.collect_set(cut)).alias("cuts"))
     per_doc = per_doc.select(F.col("doc.id").alias("run_id"), F.col("doc.text_hash").alias("run_hash"), "runs", "cuts")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), _text_hash(F.col(text_col)).alias("text_hash"))
-    joined = rows.join(per_doc, F.col("row")[id_col].eqNullSafe(F.col("run_id")) & (F.col("text_hash") == F.col("run_hash")), "left")
+    joined = rows.join(per_doc.hint(MERGE), F.col("row")[id_col].eqNullSafe(F.col("run_id")) & (F.col("text_hash") == F.col("run_hash")), "left")
     text = F.col("row")[text_col]
     lines = F.split(text, "\n")
     # What lies before the first cut, between two cuts, and after the last one.
