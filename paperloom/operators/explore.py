@@ -84,6 +84,11 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.select(F.col("Id").alias("topic"), F.col("Label").alias("label")), "topic", "left")
 
 
+def share_by_label(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", vector_col: str = "topics") -> DataFrame:
+    """(label, topic, total, percent): the corpus share of each labelled topic, in the order of labels, as its chart shows it."""
+    return labelled(corpus_share(docs, id_col, vector_col), labels).where("label is not null").orderBy("label", "topic").select("label", "topic", "total", "percent")
+
+
 def with_labelled_topics(docs: DataFrame, labels: DataFrame, id_col: str, shown: tuple[str, ...], n: int = 5) -> DataFrame:
     """(id, topic, rank, weight, label, shown): the ``n`` greatest topics of each of a few numbered documents, in their order."""
     named = labelled(topics_of_documents(docs, n, id_col), labels)

@@ -206,6 +206,12 @@ def topic_label_lookup(spark, sf_dir):
     return found.select(F.col("topic").cast("long").alias("topic"), "label", F.round("percent", 6).alias("percent"))
 
 
+def topic_share_by_label(spark, sf_dir):
+    found = explore.share_by_label(_distributions(spark, sf_dir), _labels(spark))
+    numbered = found.select("label", F.col("topic").cast("long").alias("topic"), F.round("percent", 6).alias("percent")).coalesce(1)
+    return numbered.select((F.monotonically_increasing_id() + 1).alias("number"), "*")
+
+
 def label_index(spark, sf_dir):
     return explore.label_index(_labels(spark)).select(F.col("number").cast("long").alias("number"), F.col("Id").cast("long").alias("Id"), "Label")
 
@@ -305,7 +311,7 @@ QUERIES = {
         tokenize_regex, tokens_letters_filter, stopwords_removed, lemmas_by_rules, term_doc_frequency, inverse_doc_frequency,
         tfidf_top_terms, cosine_topk, major_topics, topic_doc_counts, topic_pair_counts, chi_square_edges, interesting_edges,
         degree, degree_stats, connected_components, component_count, component_sizes, eigenvector_centrality, graph_table, corpus_topic_share,
-        topic_weight_percentiles, topic_weight_histogram, weight_text_roundtrip, browse_topic_top10, doc_top5_topics, topic_label_lookup, label_index,
+        topic_weight_percentiles, topic_weight_histogram, weight_text_roundtrip, browse_topic_top10, doc_top5_topics, topic_label_lookup, topic_share_by_label, label_index,
         document_key_hash, abstract_between_markers, pdf_text_join, page_title, page_links, page_link_absolute, page_headings, page_all_text,
         upsert_documents, edge_text_roundtrip, seed_urls, lda_doc_topics, lda_topic_words, lda_model_selection, lda_search,
     )
@@ -416,6 +422,10 @@ ORACLES = {
         f"WITH {_SIMPLEX}, labels_(topic, label) AS (VALUES {', '.join(str(x) for x in LABELS)}) SELECT topic::BIGINT AS topic, label, "
         "round(sum(weight) / (SELECT count(*) FROM embeddings) * 100, 6) AS percent FROM weights JOIN labels_ USING (topic) GROUP BY ALL"
     ),
+    "topic_share_by_label": (
+        f"WITH {_SIMPLEX}, labels_(topic, label) AS (VALUES {', '.join(str(x) for x in LABELS)}) SELECT row_number() OVER (ORDER BY label, topic) AS number, label, topic::BIGINT AS topic, "
+        "round(percent, 6) AS percent FROM (SELECT topic, label, sum(weight) / (SELECT count(*) FROM embeddings) * 100 AS percent FROM weights JOIN labels_ USING (topic) GROUP BY ALL)"
+    ),
     "label_index": f"SELECT row_number() OVER (ORDER BY label, id) AS number, id::BIGINT AS \"Id\", label AS \"Label\" FROM (VALUES {', '.join(str(x) for x in LABELS)}) AS v(id, label)",
     "document_key_hash": f"SELECT page_id, ({_KEY})::BIGINT AS key FROM (SELECT page_id, sha256({_TITLE}) AS h FROM pages)",
     "abstract_between_markers": (

@@ -17,9 +17,9 @@ LABELS = "Id int, Label string, Ambuguity int"
 LARGEST = 3_000_000
 
 
-def papers(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
-    """Documents in the schema PAPERS, from Parquet or JSON."""
-    return spark.read.schema(PAPERS).format(form).load(path)
+def papers(spark: SparkSession, path: str | None = None, form: str = "parquet", **options: str) -> DataFrame:
+    """Documents in the schema PAPERS, from files or, by the ``form`` and options of its connector, from a document store."""
+    return spark.read.schema(PAPERS).format(form).options(**options).load(path)
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
@@ -135,6 +135,25 @@ def preprint(pages: DataFrame) -> DataFrame:
     return rows.where(F.length("title") > 0)
 
 
+def journal_listing(pages: DataFrame) -> DataFrame:
+    """(source, title, authors, keywords, abstract_url, url) of the entries of an issue page: the second and third control of each.
+
+    Entries are the list items that have a heading in a ``txt`` block; authors are an array.
+    """
+    entry = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1)))
+    block = lambda name: F.regexp_extract("entry", rf'(?is)<div[^>]*class="[^"]*\b{name}\b[^"]*"[^>]*>(.*?)</div>', 1)
+    rows = pages.select("url", entry.alias("entry")).select("url", block("txt").alias("txt"), block("authors").alias("authors"), block("controls").alias("controls"))
+    heading = F.regexp_extract("txt", r"(?is)<h3\b[^>]*>(.*?)</h3>", 1)
+    found = rows.select(
+        "url",
+        F.try_element_at(html.select(heading, "a"), F.lit(1)).alias("title"),
+        html.select(F.col("authors"), "a").alias("authors"),
+        html.select(F.col("controls"), "a", take="href").alias("links"),
+    ).where("title is not null")
+    link = lambda i: html.resolved("url", F.try_element_at("links", F.lit(i)))
+    return found.select(F.lit("IEEE").alias("source"), "title", "authors", F.lit("").alias("keywords"), link(2).alias("abstract_url"), link(3).alias("url"))
+
+
 def needs_login(page: DataFrame) -> DataFrame:
     """(url, walled): whether a page asks for a login."""
     return page.select("url", F.contains(html.all_text("html"), F.lit("Authentication Required")).alias("walled"))
