@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import html, text, vectors
 from paperloom.operators import explore, features, graph, similarity, topics
-from paperloom.plans import catalogue, jobs
+from paperloom.plans import catalogue, dispatch, jobs, pages
 from paperloom.sources import readers, sinks
 
 CAFE = "  Café Naïve über-Deep learning3models the cid 42 a I"
@@ -224,6 +225,33 @@ def test_preprints_need_a_title(spark):
     assert [(r["title"], r["abstract"], r["authors"]) for r in readers.preprint(pages).collect()] == [("T", "some text", "X")]
 
 
+def test_journal_listing(spark):
+    entry = '<li class="x"><div class="txt"><h3><a href="/d/1">A &amp; B</a></h3></div><div class="authors"><a>Ann</a>; <a>Bob</a></div><div class="controls"><a href="/r">r</a><a href="/abs/1">a</a><a href="/pdf/1">p</a></div></li>'
+    listing = spark.createDataFrame([("http://i.org/issue", f"<ul><li>menu</li>{entry}</ul>")], "url string, html string")
+    found = [r.asDict() for r in readers.journal_listing(listing).collect()]
+    assert found == [{"source": "IEEE", "title": "A & B", "authors": ["Ann", "Bob"], "keywords": "", "abstract_url": "http://i.org/abs/1", "url": "http://i.org/pdf/1"}]
+
+
+def test_dispatch(spark):
+    dispatcher = dispatch.Dispatcher(spark, 2)
+    assert dispatcher.wait(dispatcher.submit(lambda a, b: a + b, 4, 4), 5) == 8
+    assert dispatcher.wait(dispatcher.submit(lambda: spark.range(10).count())) == 10
+    with pytest.raises(ValueError):
+        dispatcher.wait(dispatcher.submit(int, "x"))
+    slow = dispatcher.submit(lambda: spark.range(4, numPartitions=4).mapInPandas(lambda frames: (time.sleep(20) or f for f in frames), "id long").count())
+    began = time.time()
+    with pytest.raises(TimeoutError):
+        dispatcher.wait(slow, 3)
+    assert slow.exception(15) is not None and time.time() - began < 18
+    dispatcher.close()
+
+
+def test_tables_are_escaped(spark):
+    rows = spark.createDataFrame([("<b>", "http://a/?x=\"1\"", None), ("t", "javascript:x", 2)], "title string, url string, n int")
+    shown = pages.table(rows, {"title": "Title", "n": "No"}, ("title", "url"))
+    assert '<a href="http://a/?x=&quot;1&quot;">&lt;b&gt;</a>' in shown and "<td>t</td><td>2</td>" in shown and "javascript" not in shown
+
+
 def test_seeds(spark):
     assert readers.seeds_of(spark, "JMLR").count() == 6
     assert all(readers.seeds_of(spark, s).count() == 1 for s in ("NIPS", "SLML", "IEEE", "ARXIV"))
