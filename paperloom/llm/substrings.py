@@ -231,9 +231,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     merge = lambda c: F.flatten(F.collect_list(c)).alias(c)
     near = marked.join(found.groupBy("doc_id").agg(merge("later"), merge("earlier")), "doc_id")
     windows = near.select("doc_id", "text", "text_hash", "later", "earlier").mapInArrow(_windows, "doc_id long, text_hash int, place int, later boolean, hash long")
-    # Written, so that the join has an exchange of its own on either side and a hash of very many windows is split.
-    least = written(windows.where("not later").groupBy("hash").agg(F.min("doc_id").alias("least")))
-    copies = windows.where("later").drop("later").join(least, "hash").where("least < doc_id")
+    # The join is on another key than the aggregate, so that it has an exchange of its own on either side and adaptive
+    # execution can split a hash of very many windows.
+    key = F.bitwise_not("hash").alias("key")
+    least = windows.where("not later").groupBy("hash").agg(F.min("doc_id").alias("least")).select(key, "least")
+    copies = windows.where("later").select("doc_id", "text_hash", "place", key).join(least, "key").where("least < doc_id")
     per_doc = copies.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "place")).alias("copies"))
     cut = lambda d: d.select("doc_id", "text", "text_hash", "copies").mapInArrow(_cut, "doc_id long, n_words long, removed array<struct<start:int,stop:int>>, kept string")
     none = F.lit(None).cast("array<struct<text_hash:int,place:int>>")
