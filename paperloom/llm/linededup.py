@@ -8,9 +8,9 @@ of the longest repeated run. Suffixes of one rank after 2 ** k lines are an inte
 longest common prefix is at least 2 ** k.
 
 Intervals of the lengths between are found by going down the rounds again: an interval is split by the ranks
-of what follows its common prefix, half as many lines further each time. An interval is looked at again at a
-shorter length only if a later copy in it ends before the longer one, and only with these copies and the first of each
-interval that was split off, so that rounds hold about a row a suffix. So each suffix gets the most lines that
+of what follows its common prefix, half as many lines further each time. At a shorter length an interval is looked at
+again only with the later copies that end before the longer one and the first of each interval that was split off, so
+that rounds hold about a row a suffix. So each suffix gets the most lines that
 it shares with an earlier one, in order of (doc_id, text hash, position).
 
 These are the repeated runs; those that lie in no other are the maximal ones, and all their lines are deleted if a run
@@ -115,14 +115,12 @@ def longest_copies(ranks: list[DataFrame]) -> DataFrame:
         lengths.append(grown.where(later()).select(*place, "length"))
         if not j:
             break
-        # Where later copies are none any more at the greater length, their interval is split at shorter ones, among these
-        # copies and one of each interval that was split off: its first, which has what the others in it have.
+        # What is left at the shorter lengths are later copies that end before the greater one, and the first of each interval
+        # and of those that were split off, which has what the others in it have.
         reached = grown.where(later()).select(*place, (F.col("length") - (1 << j)).alias("length"))
-        ended = open_.where(later()).join(reached.hint(MERGE), [*place, "length"], "left_anti").select(*same).distinct()
-        doubled = level(j + 1).where(later()).select(*place)
-        fresh = level(j).where(later()).join(doubled.hint(MERGE), place, "left_anti").select(*same).distinct()
-        left = open_.join(ended.hint(MERGE), same, "left_semi").join(reached.hint(MERGE), [*place, "length"], "left_anti")
-        kept = left.unionByName(level(j).join(fresh.hint(MERGE), same, "left_semi").join(doubled.hint(MERGE), place, "left_anti")).unionByName(grown)
+        left = open_.join(reached.hint(MERGE), [*place, "length"], "left_anti")
+        fresh = level(j).join(level(j + 1).where(later()).select(*place).hint(MERGE), place, "left_anti")
+        kept = left.unionByName(fresh).unionByName(grown)
         before, open_ = open_, written(kept)
         discard(before)
     most = written(reduce(DataFrame.unionByName, lengths).groupBy(*place).agg(F.max("length").alias("length")))
