@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +32,8 @@ from paperloom.llm.common import written
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors at most in the training sample, taken in the order of a hash of their ids.
 SAMPLE = 6144
-KMEANS_ROUNDS, JOINT_ROUNDS = 6, 1
+#: A joint round encodes the sample anew and fits all codebooks to it by SWEEPS over them, each word held back by KEEP vectors of its own.
+KMEANS_ROUNDS, JOINT_ROUNDS, SWEEPS, KEEP = 6, 2, 8, 0.5
 #: Codes of a query that are reranked, over all blocks.
 SHORTLIST = 1200
 QUERY_BLOCK, CODE_BLOCK = 8192, 32768
@@ -79,7 +79,7 @@ class Quantiser:
 
 
 def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 0) -> Quantiser:
-    """Residual k-means, then joint least-squares rounds, over the sample ``x``."""
+    """Residual k-means, then least-squares rounds of all codebooks together, one after the other, over the sample ``x``."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
     rest, found = x.copy(), []
@@ -97,17 +97,17 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 0)
     model = Quantiser(np.stack(found))
     for _ in range(JOINT_ROUNDS):
         codes, _ = model.encode(x)
-        places = codes.astype(np.int64) + np.arange(books) * words
-        gram = np.empty((books, words, books, words), np.float32)
-        right = np.zeros((books * words, x.shape[1]), np.float32)
-        for a in range(books):
-            np.add.at(right, places[:, a], x)
-            for b in range(books):
-                pairs = codes[:, a].astype(np.int64) * words + codes[:, b]
-                gram[a, :, b, :] = np.bincount(pairs, minlength=words * words).reshape(words, words)
-        gram = gram.reshape(books * words, books * words)
-        gram[np.diag_indices_from(gram)] += 0.5
-        model = Quantiser(np.linalg.solve(gram, right + 0.5 * model.books.reshape(books * words, -1)).reshape(model.books.shape))
+        found = model.books.copy()
+        rest = x - model.decode(codes)
+        for _ in range(SWEEPS):
+            for own, code in zip(found, codes.T):
+                wanted = rest + own[code]
+                sums = np.zeros_like(own)
+                np.add.at(sums, code, wanted)
+                sums += KEEP * own
+                own[:] = sums / (np.bincount(code, minlength=words) + KEEP)[:, None]
+                rest = wanted - own[code]
+        model = Quantiser(found)
     return model
 
 
@@ -122,8 +122,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def fit(vectors: DataFrame, sample: int = SAMPLE) -> Quantiser | None:
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("x").toPandas()
-    return train(np.stack(rows["x"].to_list())) if len(rows) else None
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("x").toArrow()
+    return train(_matrix(rows.column("x").combine_chunks())) if rows.num_rows else None
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -152,38 +152,49 @@ def shortlist(scores: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == least)[: n - len(above)]])
 
 
-def score_block(model: Quantiser, queries: pd.DataFrame, index: pd.DataFrame, keep: int) -> pd.DataFrame:
+def _sorted(rows: pa.Table, by: str) -> pa.Table:
+    return rows.sort_by(by).combine_chunks() if rows.num_rows else rows
+
+
+def _ints(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy().astype(np.int64)
+
+
+def _lists(found: list[tuple], names: tuple[str, ...]) -> pa.Table:
+    return pa.table({n: np.concatenate(c) for n, c in zip(names, zip(*found))})
+
+
+def score_block(model: Quantiser, queries: pa.Table, index: pa.Table, keep: int) -> pa.Table:
     """(query_id, vec_id, about): the ``keep`` best codes of a block for each query of a block, by the lookup tables."""
-    queries, index = queries.sort_values("vec_id"), index.sort_values("vec_id")
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
-    ids, norms = index["vec_id"].to_numpy(np.int64), index["norm"].to_numpy(np.float32)
-    codes = np.frombuffer(b"".join(index["code"]), np.uint8).reshape(len(index), -1).T.copy()
-    for query_id, own in zip(queries["vec_id"].to_numpy(np.int64), queries["x"]):
-        if not len(index):
-            break
-        table = model.books @ np.asarray(own, np.float32)
-        scores = table[0][codes[0]]
-        for m in range(1, len(codes)):
-            scores += table[m][codes[m]]
-        scores *= norms
-        at = shortlist(scores, keep + 1)
-        at = at[ids[at] != query_id]
-        out.append((np.full(len(at), query_id), ids[at], scores[at]))
-    return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "about"), zip(*out))})
-
-
-def rerank_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
+    if queries.num_rows and index.num_rows:
+        queries, index = _sorted(queries, "vec_id"), _sorted(index, "vec_id")
+        ids, norms = _ints(index, "vec_id"), index.column("norm").to_numpy().astype(np.float32)
+        codes = np.frombuffer(b"".join(index.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).T.copy()
+        for query_id, own in zip(_ints(queries, "vec_id"), _matrix(queries.column("x").chunk(0)).astype(np.float32)):
+            table = model.books @ own
+            scores = table[0][codes[0]]
+            for m in range(1, len(codes)):
+                scores += table[m][codes[m]]
+            scores *= norms
+            at = shortlist(scores, keep + 1)
+            at = at[ids[at] != query_id]
+            out.append((np.full(len(at), query_id), ids[at], scores[at]))
+    return _lists(out, ("query_id", "vec_id", "about"))
+
+
+def rerank_block(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
     """(query_id, vec_id, score): the best ``k`` of the vectors on each query's list ``found`` by the exact inner product."""
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    if len(queries):
-        vectors = vectors.sort_values("wanted_id")
-        ids, x = vectors["wanted_id"].to_numpy(np.int64), np.stack(vectors["wanted"].to_list())
-        for query_id, own, found in zip(queries["query_id"].to_numpy(np.int64), queries["x"], queries["found"]):
-            at = np.searchsorted(ids, np.sort(found))
+    if queries.num_rows:
+        queries, vectors = _sorted(queries, "query_id"), _sorted(vectors, "wanted_id")
+        ids, x, asked = _ints(vectors, "wanted_id"), _matrix(vectors.column("wanted").chunk(0)), _matrix(queries.column("x").chunk(0))
+        for query_id, own, found in zip(_ints(queries, "query_id"), asked, queries.column("found")):
+            at = np.searchsorted(ids, np.sort(found.values.to_numpy()))
             exact = (x[at] * own).sum(axis=1)
             order = np.lexsort((ids[at], -exact))[:k]
             out.append((np.full(len(order), query_id), ids[at][order], exact[order]))
-    return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), zip(*out))})
+    return _lists(out, ("query_id", "vec_id", "score"))
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = SHORTLIST) -> DataFrame:
@@ -205,19 +216,19 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     index = encode(rows, model).select("vec_id", "code", "norm", code_block, each(query_blocks).alias("query_block"))
     shared = spark.sparkContext.broadcast(model)
 
-    def scored(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+    def scored(queries: pa.Table, index: pa.Table) -> pa.Table:
         return score_block(shared.value, queries, index, sent)
 
-    def reranked(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+    def reranked(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         return rerank_block(queries, vectors, k)
 
-    about = asked.groupBy(*blocks).cogroup(index.groupBy(*blocks)).applyInPandas(scored, "query_id long, vec_id long, about float")
+    about = asked.groupBy(*blocks).cogroup(index.groupBy(*blocks)).applyInArrow(scored, "query_id long, vec_id long, about float")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id"))
     short = about.withColumn("nth", best).where(F.col("nth") <= keep).select("query_id", "vec_id", query_block("query_id"), code_block)
     short = written(short)
     needed = short.select(*blocks, "vec_id").distinct().join(rows, "vec_id").toDF("wanted_id", "wanted_by", "wanted_block", "wanted")
     lists = short.groupBy(*blocks, "query_id").agg(F.collect_list("vec_id").alias("found"))
     lists = lists.join(queries.select(F.col("vec_id").alias("query_id"), "x"), "query_id")
-    found = lists.groupBy(*blocks).cogroup(needed.groupBy("wanted_by", "wanted_block")).applyInPandas(reranked, "query_id long, vec_id long, score double")
+    found = lists.groupBy(*blocks).cogroup(needed.groupBy("wanted_by", "wanted_block")).applyInArrow(reranked, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import written
+from paperloom.llm.common import discard, written
 
 #: Rows of each class that the grammar is fitted on at most.
 SAMPLE = 6000
@@ -202,6 +202,7 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
     counts = written(counts.where((F.col("stem") == "") | (F.col("toxic") + F.col("other") >= LEAST_DOCS)))
     total = counts.where(F.col("stem") == "").agg(F.sum("toxic"), F.sum("other")).first()
     if not total[0] or not total[1]:
+        discard(counts)
         return {}
     n, m = float(total[0]), float(total[1])
     least = 2 * np.log(max(2, counts.count())) - 2
@@ -214,6 +215,7 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
     )
     good = scored.where((F.col("statistic") >= least) & (F.col("ratio") >= LEAST_RATIO))
     best = good.orderBy(F.desc("statistic"), F.length("stem"), "stem").limit(STEMS).collect()
+    discard(counts)
     return {r["stem"]: float(min(1.0, np.log(r["ratio"]) / np.log(10 * LEAST_RATIO))) for r in best}
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import ascii_lower, written
+from paperloom.llm.common import ascii_lower, discard, written
 
 #: (host, path, verdict)
 RULES = (
@@ -247,9 +247,11 @@ def scores(grams: DataFrame, urls: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("n").take(pa.array(owner)), pa.array(_windows(symbols, at))], ["n", "window"])
 
     positions = numbered.mapInArrow(spread, "n long, window long")
-    valued = values(grams, written(positions.select("window").distinct()))
-    summed = positions.join(valued, "window").groupBy("n").agg((F.sum("value") / 2.0**UNIT / F.count(F.lit(1))).alias("score"))
-    return written(numbered.join(summed, "n").select("url", "score"))
+    windows = written(positions.select("window").distinct())
+    summed = positions.join(values(grams, windows), "window").groupBy("n").agg((F.sum("value") / 2.0**UNIT / F.count(F.lit(1))).alias("score"))
+    scored = written(numbered.join(summed, "n").select("url", "score"))
+    discard(numbered, windows)
+    return scored
 
 
 def calibrated(scored: DataFrame) -> float:
@@ -275,6 +277,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     seen = grams.agg(F.sum("accepted"), F.sum("rejected")).first()
     if seen[0] and seen[1]:
         known = scores(grams, parts.select("url"))
+        discard(grams)
         threshold = calibrated(labelled.where(fold == 0).join(known, "url"))
         scored = ruled.join(known, "url")
     else:
