@@ -14,6 +14,7 @@ from paperloom.functions import html, text, vectors
 from paperloom.operators import explore, features, graph, similarity, topics
 from paperloom.plans import catalogue, dispatch, jobs, pages
 from paperloom.sources import readers, sinks
+from paperloom.streaming import scoring
 
 CAFE = "  Café Naïve über-Deep learning3models the cid 42 a I"
 
@@ -309,6 +310,18 @@ def test_train_save_search_relate(spark, corpus, tmp_path):
     assert "topic_distribution" in spark.read.parquet(str(tmp_path / "store")).columns
 
 
+def test_arrivals_are_scored_once(spark, corpus, tmp_path):
+    path, source, out = str(tmp_path / "model"), str(tmp_path / "in"), str(tmp_path / "out")
+    jobs.train(corpus, path, (2,), iterations=5)
+    for first in (0, 12):
+        corpus.where(F.col("doc_id").between(first, first + 11)).coalesce(1).write.mode("append").parquet(source)
+        for _ in range(2):  # the second run finds nothing new
+            scoring.score_arrivals(spark, source, "doc_id long, text string, source string", path, out, str(tmp_path / "log")).awaitTermination(120)
+        found = spark.read.parquet(out)
+        assert sorted(r["doc_id"] for r in found.collect()) == list(range(first + 12))
+    assert all(sum(r["topics"]) == pytest.approx(1) for r in found.collect())
+
+
 def test_models_of_lemmas_survive(spark, corpus, tmp_path):
     plural = corpus.withColumn("text", F.regexp_replace("text", "(gene|cell|node)", "$1s")).withColumnRenamed("doc_id", "_id")
     rules = str(tmp_path / "rules")
