@@ -4,8 +4,8 @@ A lexical transducer reads words and writes classes: insult, harm, modal, target
 end, other. Four small transducers over classes are composed into one: ``negated`` marks hits shortly after a
 negation, ``reported`` those after a speech verb in the clause, ``targeted`` those near a word for a person,
 ``threat`` harm after a modal. The composed machine walks only the clauses that hold a hit. What is matched and scored are
-clauses: one has the marks of all its hits and the weight of its heaviest, however often a word is said in it, and
-adds that weight to each of its marks, or to ``plain`` if it has none. A logistic model over the sums, fitted on
+clauses: one has the marks of all its hits and the sum of their weights, and adds that sum to each of its marks, or to
+``plain`` if it has none. A logistic model over the sums, fitted on
 labelled rows, turns marks into a score, so that the labels decide how much a plain, negated or reported clause counts.
 
 Insult stems are learned: words and word beginnings that tell toxic from other labelled texts, by the
@@ -136,7 +136,7 @@ class Lexicon:
             if at < done or (at and low[at - 1].isalpha()):
                 continue
             start = max(low.rfind(c, done, at) for c in ".!?;\n") + 1 or done
-            states, heaviest, marked = START, 0.0, set()
+            states, total, marked = START, 0.0, set()
             for word in _WORD.finditer(low, start):
                 w, weight = word.group(), 0.0
                 if w in ".!?;\n":
@@ -148,12 +148,12 @@ class Lexicon:
                 states, marks = GRAMMAR[states, symbol]
                 marked |= marks
                 if symbol in HITS:
-                    heaviest = max(heaviest, weight or 1.0)
+                    total += weight or 1.0
                 done = word.end()
                 if symbol == STOP:
                     break
-            if heaviest:
-                out.append((start, done, heaviest, frozenset(marked)))
+            if total:
+                out.append((start, done, total, frozenset(marked)))
         return out
 
     def features(self, text: str | None) -> tuple[np.ndarray, list]:

@@ -157,7 +157,7 @@ def test_grammar_marks_clauses():
     assert marks("a moron you") == [["targeted"]]
     assert marks("I will kill it") == [["threat"]]
     assert marks("oxymoron morons") == []
-    assert [(a, b, w) for a, b, w, _ in lexicon.matches("x. foul moron foul! y foul")] == [(2, 19, 1.0), (19, 26, 0.5)]
+    assert [(a, b, w) for a, b, w, _ in lexicon.matches("x. foul moron foul! y foul")] == [(2, 19, 2.0), (19, 26, 0.5)]
 
 
 def clauses_brute(tokens, stems):
@@ -181,7 +181,7 @@ def clauses_brute(tokens, stems):
             if not kind[i] and w in toxicity.TARGETS and any(kind[max(0, i - 2) : i]):
                 marks.add("targeted")
         if hits:
-            out.append((max(hits), sorted(marks)))
+            out.append((sum(hits), sorted(marks)))
         clause = []
     return out
 
