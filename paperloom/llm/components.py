@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import written
+from paperloom.llm.common import discard, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = written(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         small = down.groupBy("a").agg(F.min("b").alias("m"))
         hung = down.join(small, "a")
-        edges = written(hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        before, edges = edges, written(hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        discard(before, down)
         now = _state(edges)
         if now == state:
             break
