@@ -17,7 +17,7 @@ from paperloom.operators import features
 
 SETTINGS = "mode string, lemmas string, partitions int"
 #: Documents a partition of the layout that models are fitted on, if the number of partitions isn't given.
-DOCS_A_PARTITION = 2500
+DOCS_A_PARTITION = 1250
 
 
 @dataclass
