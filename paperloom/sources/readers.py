@@ -42,11 +42,11 @@ def query_frame(spark: SparkSession, query: str, feature: str = "abstract") -> D
     return spark.createDataFrame([(0, query)], f"id int, {feature} string")
 
 
-# Where each source is entered.
+# Where each source is entered, by the publishers' own addresses.
 SEEDS = {
     "JMLR": ("http://www.jmlr.org/papers/v%d/", 13, 18),
     "NIPS": ["http://papers.nips.cc/book/advances-in-neural-information-processing-systems-25-2012"],
-    "SLML": ["https://link-springer-com.proxy.lib.sfu.ca/journal/10994/106/2/page/1"],
+    "SLML": ["https://link.springer.com/journal/10994/106/2/page/1"],
     "IEEE": ["http://ieeexplore.ieee.org/xpl/mostRecentIssue.jsp?punumber=34&isnumber=4359286"],
     "ARXIV": ["https://arxiv.org/list/stat.ML/17?show=2000"],
 }
