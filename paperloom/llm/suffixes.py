@@ -2,9 +2,10 @@
 
 A document is its UTF-8 bytes; a window is ``LENGTH`` consecutive ones. A window's mark is the least hash of the grams of
 ``GRAM`` bytes in it, so equal windows have equal marks wherever they stand. Consecutive windows of one mark are a run,
-about twenty of them. Marks are looked up once, in packed rows dealt to buckets: a bucket folds the least and the
+about fifteen of them. Marks are looked up once, in packed rows dealt to buckets: a bucket folds the least and the
 greatest id that hold each mark, then lets through the runs whose mark another id has. Only their bytes travel on, as
-segments (a run's windows and nothing else), equal segments of a batch as one.
+segments (a run's windows and nothing else), equal segments of a batch as one. A text equal to one of a smaller id
+is all covered by it, so it sends no segments.
 
 Segments are dealt to shards by their marks, so that all places of a window meet in one shard. Batches come in
 ascending ids. A batch gets a suffix array in each shard: its windows in the order of their bytes. It is
@@ -36,7 +37,7 @@ from paperloom.llm.common import discard, written
 from paperloom.llm.shingles import mix
 from paperloom.llm.substrings import NAMES, PACKED, pack, unpack
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 #: Batches that a table is cut into.
 BATCHES = 4
 #: Runs of one mark from which it is cut finer.
@@ -46,7 +47,7 @@ SLICE, BUCKET_RUNS, SHARD_BYTES = 1 << 20, 1_500_000, 1 << 20
 FOLD, PROBE = 0, 1
 LEVEL, NEW = 0, 1
 HITS = "doc_id long, runs array<int>, fine array<int>"
-SEGMENTS = "mark long, print long, segment binary, doc_id long, text_hash long, start int"
+SEGMENTS = "mark long, segment binary, doc_id long, text_hash long, start int"
 SHARDED = "kind int, shard int, bytes binary, places binary, mark long, print long, least long, most long"
 ANSWERS = "kind int, shard int, bytes binary, places binary, mark long, print long, repeats array<struct<start:int,stop:int,least:long>>"
 NO_ID, ANY_ID = np.iinfo(np.int64).max, np.iinfo(np.int64).min
@@ -83,7 +84,7 @@ class Windows:
             word = raw.astype(np.uint64)
             for n in (1, 2, 4):
                 word = word[:-n] << np.uint64(8 * n) | word[n:]
-            gram = mix(mix(word[:-8], 40) + word[8:], 41)
+            gram = mix(mix(mix(word[:-16], 40) + word[8:-8], 41) + word[16:], 45)
             self.mark = _sliding(gram, LENGTH - GRAM + 1)[whole]
             if finer:
                 gram = mix(gram[:-GRAM] + mix(gram[GRAM:], 42), 43)
@@ -185,20 +186,33 @@ def _found(frequent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The values of each list; null is empty."""
+    values, offsets = np.asarray(column.values).astype(np.int64), np.asarray(column.offsets)
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def _among(owner: np.ndarray, place: np.ndarray, rows: list[int], offsets: list[int], wanted: list[np.ndarray]) -> np.ndarray:
+    """Which runs (of parts that are slices of rows, from offsets on) are at a wanted place of their row."""
+    keys = [(k << 32) + x[(x >= a) & (x < a + SLICE)] - a for k, (i, a) in enumerate(zip(rows, offsets)) for x in (wanted[i],) if len(x)]
+    keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    if not len(keys):
+        return np.zeros(len(owner), bool)
+    own = (owner << 32) + place
+    return keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SEGMENTS, without the print, of (doc_id, text_hash, text, runs, fine)."""
     for batch in batches:
         texts = _texts(batch)
-        wanted, often = ([np.asarray(x.values) if x.is_valid else np.zeros(0, np.int32) for x in batch.column(c)] for c in ("runs", "fine"))
+        wanted, often = (_lists(batch.column(c)) for c in ("runs", "fine"))
         for rows, offsets, parts in _sliced(texts):
             windows = Windows(parts, finer=any(len(often[i]) for i in rows))
             at = _starts(windows.owner, windows.mark)
             length, owner = np.diff(np.append(at, len(windows.mark))), windows.owner[at]
-            place, bounds = windows.place[at], np.searchsorted(owner, np.arange(len(parts) + 1))
-            keep, fine = np.zeros(len(at), bool), np.zeros(len(at), bool)
-            for k, (i, a) in enumerate(zip(rows, offsets)):
-                own = slice(bounds[k], bounds[k + 1])
-                keep[own], fine[own] = np.isin(place[own] + a, wanted[i]), np.isin(place[own] + a, often[i])
+            place = windows.place[at]
+            keep, fine = (_among(owner, place, rows, offsets, c) for c in (wanted, often))
             mark = windows.mark
             if fine.any():  # all runs of such a mark are cut where the finer mark changes
                 inside, mark = np.repeat(fine, length), mark.copy()
@@ -240,19 +254,17 @@ def suffix_array(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(~same)
 
 
-def scan(new: list[tuple], levels: dict[int, tuple[bytes, bytes]], merged_from: int, store: bool) -> tuple[list[tuple], tuple[bytes, bytes] | None]:
-    """Matches of a shard's new segments (bytes, mark, print, least, most), and the new level of the shard.
+def scan(raw: np.ndarray, sizes: np.ndarray, least: np.ndarray, most: np.ndarray, levels: dict[int, tuple[bytes, bytes]], merged_from: int, store: bool) -> tuple[list[np.ndarray], tuple[bytes, bytes] | None]:
+    """(segment, start, stop, least) of the repeats in a shard's new segments, and the new level of the shard.
 
+    The segments of ``sizes`` bytes stand one after the other in ``raw``; ``least`` and ``most`` are the ids that hold each.
     ``levels`` are (bytes, places in suffix order) by their numbers; those from ``merged_from`` on join the new one.
     """
-    sizes = np.array([len(s[0]) for s in new], np.int64)
-    raw = np.frombuffer(b"".join(s[0] for s in new), np.uint8)
     begins, count = np.cumsum(sizes) - sizes, sizes - LENGTH + 1
-    owner = np.repeat(np.arange(len(new)), count)
+    owner = np.repeat(np.arange(len(sizes)), count)
     inside = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
     windows = windows_at(raw, begins[owner] + inside)
     order, firsts = suffix_array(windows)
-    least, most = (np.array([s[k] for s in new], np.int64) for k in (3, 4))
     earliest = np.minimum.reduceat(least[owner[order]], firsts) if len(firsts) else least[:0]
     different = windows[order[firsts]]
     texts, places, keys, shift = [raw], [(begins[owner] + inside)[order[firsts]]], [different], len(raw)
@@ -269,14 +281,12 @@ def scan(new: list[tuple], levels: dict[int, tuple[bytes, bytes]], merged_from:
             shift += len(own_raw)
     found = np.empty(len(owner), np.int64)
     found[order] = np.repeat(earliest, np.diff(np.append(firsts, len(order))))
-    matched = found < most[owner]
-    bounds = _starts(owner, np.where(matched, found, NO_ID))
-    answers: dict[int, list] = {}
-    for a, b in zip(bounds.tolist(), np.append(bounds[1:], len(owner)).tolist()):
-        if matched[a]:
-            first = int(inside[a])
-            answers.setdefault(int(owner[a]), []).append({"start": first, "stop": first + b - a, "least": int(found[a])})
-    rows = [(new[i][1], new[i][2], repeats) for i, repeats in answers.items()]
+    found = np.where(found < most[owner], found, NO_ID)
+    bounds = _starts(owner, found)
+    stops = np.append(bounds[1:], len(owner))
+    hit = found[bounds] != NO_ID
+    bounds, stops = bounds[hit], stops[hit]
+    rows = [owner[bounds], inside[bounds], inside[bounds] + stops - bounds, found[bounds]]
     if not store:
         return rows, None
     keys, places, raw = np.concatenate(keys), np.concatenate(places), np.concatenate(texts)
@@ -292,36 +302,58 @@ def scan(new: list[tuple], levels: dict[int, tuple[bytes, bytes]], merged_from:
 
 def _scanned(merged_from: int, store: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """ANSWERS of SHARDED rows that come shard by shard, levels first."""
-    repeat = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("least", pa.int64())]))
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), repeat]
     names = ["kind", "shard", "bytes", "places", "mark", "print", "repeats"]
-
-    def answers(shard: int, new: list, levels: dict) -> Iterator[pa.RecordBatch]:
-        rows, level = scan(new, levels, merged_from, store)
-        out = [(NEW, shard, None, None, *r) for r in rows]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("least", pa.int64())]))]
+
+    def answers(shard: int, new: list[pa.RecordBatch], levels: dict) -> Iterator[pa.RecordBatch]:
+        raw = np.frombuffer(b"".join(memoryview(_bytes_of(b.column("bytes"))) for b in new), np.uint8)
+        column = lambda c: np.concatenate([np.zeros(0, np.int64), *[np.asarray(b.column(c)) for b in new]])
+        sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(np.asarray(_offsets(b.column("bytes")))) for b in new]])
+        (owner, start, stop, least), level = scan(raw, sizes, column("least"), column("most"), levels, merged_from, store)
+        cuts = _starts(owner)
+        for a in range(0, len(cuts), 20_000):
+            part = np.append(cuts, len(owner))[a : a + 20_001]
+            own = slice(part[0], part[-1])
+            repeats = pa.StructArray.from_arrays([pa.array(start[own].astype(np.int32)), pa.array(stop[own].astype(np.int32)), pa.array(least[own])], ["start", "stop", "least"])
+            n, of = len(part) - 1, owner[part[:-1]]
+            lists = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), repeats)
+            columns = [pa.array(np.full(n, NEW), pa.int32()), pa.array(np.full(n, shard), pa.int32()), *[pa.nulls(n, pa.binary())] * 2, pa.array(column("mark")[of]), pa.array(column("print")[of]), lists]
+            yield pa.RecordBatch.from_arrays(columns, names)
         if level is not None:
-            out.append((LEVEL, shard, *level, None, None, None))
-        for a in range(0, len(out), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[a : a + 10_000]), kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((LEVEL, shard, *level, None, None, None), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, new, levels = None, [], {}
         for batch in batches:
-            for kind, shard, raw, places, mark, print_, least, most in zip(*[c.to_pylist() for c in batch.columns]):
-                if shard != number:
+            shards, of_kind = np.asarray(batch.column("shard")), np.asarray(batch.column("kind"))
+            cuts = _starts(shards, of_kind)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shards)]):
+                if shards[a] != number:
                     if number is not None:
                         yield from answers(number, new, levels)
-                    number, new, levels = shard, [], {}
-                if kind == NEW:
-                    new.append((raw, mark, print_, least, most))
+                    number, new, levels = int(shards[a]), [], {}
+                part = batch.slice(a, b - a)
+                if of_kind[a] == NEW:
+                    new.append(part)
                 else:
-                    levels[least] = raw, places
+                    levels |= {k: (raw, places) for k, raw, places in zip(*[part.column(c).to_pylist() for c in ("least", "bytes", "places")])}
         if number is not None:
             yield from answers(number, new, levels)
 
     return run
 
 
+def _offsets(column: pa.Array) -> np.ndarray:
+    large = pa.types.is_large_binary(column.type)
+    return np.frombuffer(column.buffers()[1], np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
+def _bytes_of(column: pa.Array) -> bytes:
+    """All bytes of a binary column, one value after the other."""
+    offsets, data = _offsets(column), column.buffers()[2]
+    return data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if data is not None and len(offsets) else b""
+
+
 class Family:
     """Levels of suffix arrays over all batches so far: tables (shard, bytes, places), the largest first, each with its rank."""
 
@@ -331,7 +363,7 @@ class Family:
     def add(self, segments: DataFrame, store: bool = True) -> DataFrame:
         """(mark, print, repeats) of SEGMENTS rows, written: windows of each different segment that a row of an earlier batch
         or of a smaller id (``least``) has. Without ``store`` the batch becomes no level."""
-        each = segments.groupBy("mark", "print").agg(F.first("segment").alias("bytes"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        each = segments.withColumn("print", F.xxhash64("segment")).groupBy("mark", "print").agg(F.first("segment").alias("bytes"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
         null = lambda kind: F.lit(None).cast(kind)
         rows = each.select(F.lit(NEW).alias("kind"), F.pmod(F.xxhash64("mark"), F.lit(self.shards)).cast("int").alias("shard"), "bytes", null("binary").alias("places"), "mark", "print", "least", "most")
         for k, (_, level) in enumerate(self.levels):
@@ -340,7 +372,7 @@ class Family:
         while merging < len(self.levels) and self.levels[-1 - merging][0] == rank:
             rank, merging = rank + 1, merging + 1
         dealt = rows.repartitionById(self.shards, "shard").sortWithinPartitions("shard", "kind")
-        found = written(dealt.mapInArrow(_scanned(len(self.levels) - merging, store), ANSWERS))
+        found = written(dealt.mapInArrow(_scanned(len(self.levels) - merging, store), ANSWERS), compression="zstd")
         if store:
             self.levels[len(self.levels) - merging :] = [(rank, found)]
         return found
@@ -354,13 +386,22 @@ def runs_of(rows: DataFrame, frequent: int) -> DataFrame:
     return packed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_found(frequent), HITS)
 
 
-def segments_of(rows: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """SEGMENTS of (doc_id, text_hash, text), written: what may repeat in another id."""
+def copies_of(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_bytes) of the rows of (doc_id, text, text_hash) whose whole text a smaller id has."""
+    each = rows.select("doc_id", "text_hash", F.octet_length("text").alias("n_bytes"), F.unhex(F.md5("text")).alias("digest")).distinct()
+    first = each.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return each.join(first.hint("merge"), "digest").where("least < doc_id").select("doc_id", "text_hash", "n_bytes")
+
+
+def segments_of(rows: DataFrame, copies: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """SEGMENTS of (doc_id, text_hash, text) but for ``copies``, written: what may repeat in another id."""
     found = written(runs_of(rows, frequent))
     merge = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    near = rows.join(found.groupBy("doc_id").agg(merge("runs"), merge("fine")), "doc_id")
-    cut = near.select("doc_id", "text_hash", "text", "runs", "fine").mapInArrow(_segments, "mark long, segment binary, doc_id long, text_hash long, start int")
-    out = written(cut.withColumn("print", F.xxhash64("segment")).select("mark", "print", "segment", "doc_id", "text_hash", "start"))
+    copied = copies.groupBy("doc_id").agg(F.collect_set("text_hash").alias("copied"))
+    wanted = found.groupBy("doc_id").agg(merge("runs"), merge("fine")).join(copied.hint("merge"), "doc_id", "left")
+    near = rows.join(wanted, "doc_id").where(F.col("copied").isNull() | ~F.array_contains("copied", F.col("text_hash")))
+    cut = near.select("doc_id", "text_hash", "text", "runs", "fine").mapInArrow(_segments, SEGMENTS)
+    out = written(cut, compression="zstd")
     discard(found)
     return out
 
@@ -393,7 +434,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     """(doc_id, n_bytes, removed, kept) of every row: the maximal removed byte spans and the bytes left."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     marked, bare = rows.where("doc_id is not null"), rows.where("doc_id is null")
-    whole = segments_of(marked.where(F.octet_length("text") >= LENGTH), frequent)
+    long = marked.where(F.octet_length("text") >= LENGTH)
+    copies = written(copies_of(long))
+    whole = segments_of(long, copies, frequent)
     held = whole.agg(F.sum(F.octet_length("segment")), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000) if batches > 1 else F.array()).first()
     cuts = sorted(set(held[1] or []))
     family = Family(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(held[0] or 0) // (SHARD_BYTES * max(1, batches)))))
@@ -409,11 +452,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     found = numbered[0]
     for more in numbered[1:]:
         found = found.unionByName(more)
-    hit = whole.select("mark", "print", "doc_id", "text_hash", "start", part(F.col("doc_id")).alias("batch")).join(found, ["mark", "print", "batch"])
+    hit = whole.select("mark", F.xxhash64("segment").alias("print"), "doc_id", "text_hash", "start", part(F.col("doc_id")).alias("batch")).join(found, ["mark", "print", "batch"])
     spans = F.transform(F.filter("repeats", lambda r: r["least"] < F.col("doc_id")), lambda r: F.struct((F.col("start") + r["start"]).alias("start"), (F.col("start") + r["stop"] + F.lit(LENGTH - 1)).alias("stop")))
-    per_doc = hit.select("doc_id", "text_hash", spans.alias("spans")).where(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("found"))
+    wholly = copies.select("doc_id", "text_hash", F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").alias("stop"))).alias("spans"))
+    per_doc = hit.select("doc_id", "text_hash", spans.alias("spans")).where(F.size("spans") > 0).unionByName(wholly).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("found"))
     per_doc = written(per_doc)
-    discard(whole, *answers)
+    discard(whole, copies, *answers)
     cut = lambda d: d.select("doc_id", "text", "found").mapInArrow(_cut, "doc_id long, n_bytes long, removed array<struct<start:int,stop:int>>, kept binary")
     none = F.lit(None).cast("array<struct<start:int,stop:int>>")
     return cut(marked.join(per_doc, ["doc_id", "text_hash"], "left")).unionByName(cut(bare.withColumn("found", none)))
