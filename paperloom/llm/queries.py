@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, audio, jaccard, linededup, mixing, packing, substrings, suffixes, toxicity, urlfilter, warc
+from paperloom.llm import ann, audio, jaccard, linededup, mixing, packing, spelling, substrings, suffixes, toxicity, urlfilter, warc
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spark.read.parquet(f"{sf_dir}/documents.parquet"), noise=True)
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("removed", F.lit(0), lambda n, s: n + s["stop"] - s["start"])
@@ -87,6 +91,7 @@ QUERIES = {
     "op8_audio": op8_audio,
     "op9_ann": op9_ann,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_spelling": op11_spelling,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 
@@ -98,6 +103,15 @@ _CHANCES = f"(SELECT *, 1::DOUBLE / {urlfilter.SYMBOLS} AS pa, 1::DOUBLE / {urlf
 for _k in _ORDERS:
     _CHANCES = f"(SELECT * EXCLUDE (pa, pr), {_STEP.format(s='a', k=_k)}, {_STEP.format(s='r', k=_k)} FROM {_CHANCES})"
 
+#: The CRC-32 table, then checksums of strings by a fold over their bytes.
+_CRC = """table_steps AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM table_steps WHERE k < 8),
+crc AS (
+  SELECT list(c ORDER BY i) AS t FROM table_steps WHERE k = 8)"""
+_BYTES = "list_transform(range(length(hex({0})) // 2), lambda k: ('0x' || substr(hex({0}), 2 * k + 1, 2))::BIGINT)"
+_CRC_OF = "xor(list_reduce(list_prepend(4294967295::BIGINT, " + _BYTES + "), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": f"""
 WITH parts AS (
@@ -258,6 +272,34 @@ kept AS (
   FROM spread s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.i = g.i GROUP BY s.doc_id)
 SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+    "op11_spelling": f"""
+WITH RECURSIVE {_CRC},
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  GROUP BY ALL),
+hashed AS (
+  SELECT run, n, {_CRC_OF.format("encode(doc_id || ':' || run)")} AS h FROM runs, crc),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+shorter AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n FROM shorter a JOIN shorter b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.less = b.word),
+near AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM pairs GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN near ON w.word = near.word),
+chains AS (
+  SELECT word, coalesce(form, word) AS root, form IS NULL AS done FROM forms
+  UNION ALL SELECT c.word, coalesce(f.form, f.word), f.form IS NULL FROM chains c JOIN forms f ON c.root = f.word WHERE NOT c.done)
+SELECT f.word, n, n_near::BIGINT AS n_near, form, form_n, root FROM forms f JOIN chains c ON f.word = c.word AND c.done
 """,
     "op13_suffix_dedup": """
 WITH bytes AS (
