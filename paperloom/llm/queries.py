@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, audio, jaccard, linededup, mixing, packing, spelling, substrings, suffixes, toxicity, urlfilter, warc
+from paperloom.llm import ann, audio, jaccard, linededup, mixing, packing, returns, spelling, substrings, suffixes, toxicity, urlfilter, warc
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spark.read.parquet(f"{sf_dir}/documents.parquet"), noise=True)
 
 
+def op12_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return returns.match(spark.read.parquet(f"{sf_dir}/sale_lines.parquet"), spark.read.parquet(f"{sf_dir}/sales.parquet"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("removed", F.lit(0), lambda n, s: n + s["stop"] - s["start"])
@@ -92,6 +96,7 @@ QUERIES = {
     "op9_ann": op9_ann,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_spelling": op11_spelling,
+    "op12_returns": op12_returns,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 
@@ -300,6 +305,42 @@ chains AS (
   SELECT word, coalesce(form, word) AS root, form IS NULL AS done FROM forms
   UNION ALL SELECT c.word, coalesce(f.form, f.word), f.form IS NULL FROM chains c JOIN forms f ON c.root = f.word WHERE NOT c.done)
 SELECT f.word, n, n_near::BIGINT AS n_near, form, form_n, root FROM forms f JOIN chains c ON f.word = c.word AND c.done
+""",
+    "op12_returns": f"""
+WITH RECURSIVE {_CRC},
+sold AS (
+  SELECT client_id, item_id, date_diff('day', DATE '1970-01-01', shipped_at::DATE) AS day, l.sale_id, line_no::BIGINT AS line_no, quantity::BIGINT AS q,
+         floor(100 * amount + 0.5)::BIGINT AS c, floor(100 * coalesce(discount, 0) + 0.5)::BIGINT AS d, flag, row_number() OVER () AS tie
+  FROM sale_lines l JOIN sales s ON l.sale_id = s.sale_id
+  WHERE client_id IS NOT NULL AND item_id IS NOT NULL AND amount IS NOT NULL AND shipped_at IS NOT NULL AND quantity >= 1),
+hashed AS (
+  SELECT *, {_CRC_OF.format("encode(sale_id || ':' || coalesce(line_no::VARCHAR, ''))")} AS h FROM sold, crc WHERE flag = 'returned'),
+events AS (
+  SELECT client_id, item_id, day, 1 AS kind, sale_id, line_no, q, c, d, q AS units, tie FROM sold
+  UNION ALL SELECT client_id, item_id, day + 1 + h % 7, 0, sale_id, line_no, q, c, d, (1 + h % (q + 1))::BIGINT, tie FROM hashed),
+sums AS (
+  SELECT *, coalesce(sum(CASE WHEN kind = 1 THEN units END) OVER w, 0) AS shipped, coalesce(sum(CASE WHEN kind = 0 THEN units END) OVER w, 0) AS asked,
+         count(CASE WHEN kind = 0 THEN 1 END) OVER w AS return_no
+  FROM events WINDOW w AS (PARTITION BY client_id, item_id ORDER BY day, kind, sale_id, line_no NULLS FIRST, q, c, d, tie)),
+axis AS (
+  SELECT *, asked - greatest(0, coalesce(max(CASE WHEN kind = 0 THEN asked - shipped END) OVER w, 0)) AS found
+  FROM sums WINDOW w AS (PARTITION BY client_id, item_id ORDER BY day, kind, sale_id, line_no NULLS FIRST, q, c, d, tie)),
+back AS (
+  SELECT *, coalesce(lag(found) OVER (PARTITION BY client_id, item_id ORDER BY return_no), 0) AS a, found AS b FROM axis WHERE kind = 0),
+pieces AS (
+  SELECT r.client_id, r.item_id, r.return_no, r.day AS return_day, r.sale_id AS return_sale_id, l.sale_id AS lot_sale_id, l.line_no AS lot_line_no, l.shipped,
+         least(r.b, l.shipped) - greatest(r.a, l.shipped - l.q) AS units, l.shipped - least(r.b, l.shipped) AS lot_left,
+         greatest(r.a, l.shipped - l.q) - r.a AS given, greatest(r.a, l.shipped - l.q) - (l.shipped - l.q) AS taken,
+         r.q, r.c, r.d, l.q AS lot_q, l.c AS lot_c
+  FROM back r JOIN axis l ON r.client_id = l.client_id AND r.item_id = l.item_id AND l.kind = 1 AND l.shipped > r.a AND l.shipped - l.q < r.b
+  WHERE r.a < r.b
+  UNION ALL SELECT client_id, item_id, return_no, day, sale_id, NULL, NULL, NULL, units - (b - a), NULL, b - a, NULL, q, c, d, NULL, NULL FROM back WHERE units > b - a),
+priced AS (
+  SELECT *, ((given + units) * c * (100 - d)) // (100 * q) - (given * c * (100 - d)) // (100 * q) AS refund,
+         ((taken + units) * lot_c) // lot_q - (taken * lot_c) // lot_q AS cost FROM pieces)
+SELECT client_id, item_id, return_no::BIGINT AS return_no, row_number() OVER (PARTITION BY client_id, item_id, return_no ORDER BY shipped NULLS LAST)::BIGINT AS piece_no,
+       return_day::BIGINT AS return_day, return_sale_id, lot_sale_id, lot_line_no, units::BIGINT AS units, lot_left::BIGINT AS lot_left, refund::BIGINT AS refund_cents, (refund - cost)::BIGINT AS margin_cents
+FROM priced
 """,
     "op13_suffix_dedup": """
 WITH bytes AS (
