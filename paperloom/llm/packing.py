@@ -10,8 +10,8 @@ raises the sum of squared fills, until no exchange helps; bins run empty on the
 The vocabulary is read from the tokenizer's own file and run by the faster of two libraries; tests hold its ids
 against those of the file's library.
 
-Defined cases: null or empty text is the closing id alone; special-token strings are ordinary text;
-an empty table gives an empty result; rows repeated under one id are packed each for itself and told apart by
+Defined cases: null or empty text is the closing id alone; the strings of added tokens give
+those, as the file's library does without further settings; an empty table gives an empty result; rows repeated under one id are packed each for itself and told apart by
 ``row_id``; long texts give as many pieces as they need; further columns are passed by.
 """
 
@@ -36,8 +36,6 @@ LENGTH = 2048
 CLOSING = 0
 #: Pieces a shard.
 SHARD = 16384
-#: Entries of the vocabulary that no text gives.
-SPECIAL = {"<|endoftext|>"}
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -50,17 +48,22 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary, added = file["model"]["vocab"], file.get("added_tokens", [])
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError(f"added tokens that depend on what stands beside them: {path}")
+        special = {t["content"]: t["id"] for t in added}
         # Byte-level vocabularies write bytes as printable characters: the printable ones of Latin-1
         # stand for themselves, the others follow from 256 on, in order.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = sorted(set(range(256)) - set(plain))
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-        ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in vocabulary.items() if token not in SPECIAL}
-        self.ids = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in vocabulary.items() if token not in special}
+        self.encoding = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = "all" if special else set()
 
     def encode(self, text: str) -> bytes:
-        return array("I", self.ids(text)).tobytes()
+        return array("I", self.encoding.encode(text, allowed_special=self.special, disallowed_special=())).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}

@@ -122,7 +122,6 @@ def test_sources_are_mixed(spark, docs):
 
 def test_sequences_hold_every_token(spark, docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = STAGES["packing"](spark, docs.drop("row_id", "piece"), DATA).collect()
     pieces, places = defaultdict(list), defaultdict(list)
     for r in got:
