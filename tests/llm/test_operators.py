@@ -324,7 +324,6 @@ def test_warc_very_long_payloads(spark):
 
 def test_pieces_match_the_tokenizer(docs):
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     got = packing.pack(docs.unionByName(docs.where("doc_id = 4")), VOCABULARY, with_ids=True).collect()
     for i, t in enumerate(TEXTS):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
@@ -348,7 +347,6 @@ def test_pieces_match_the_tokenizer(docs):
 
 def test_encoder_on_odd_blanks():
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     rng, letters = np.random.default_rng(0), [" ", " ", "a", "'s", "\n", "\t", "1", ".", "é", "　", "<|endoftext|>"]
     for _ in range(400):
         t = "".join(rng.choice(letters, rng.integers(0, 14)))
@@ -789,3 +787,17 @@ def test_packed_rows_round_trip():
         own = np.repeat(ids, np.diff(np.append(starts, len(prints))))
         seen |= {(b, int(d), int(h), int(p)) for d, h, p in zip(own, prints, places)}
     assert seen == {(int((h >> np.uint64(32)) % np.uint64(7)), int(d), int(h & np.uint64(2**32 - 1)), int(p)) for h, d, p in zip(hashes, doc, place)}
+
+
+def test_word_hashes_tell_structured_words_apart():
+    from paperloom.llm.shingles import Words
+
+    word = "a"
+    for _ in range(10):  # each other's complement: equal under any polynomial modulo a power of two
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, "x " + word, "abcdefgh", "abcdefg", "abcdefghi", "abcdefgh\0", "", "a" * 100_001]
+    hashes = Words([t.encode() for t in texts]).hashes.tolist()
+    assert hashes[0] == hashes[3] and len(set(hashes)) == len(hashes) - 1
+    alone = [Words([t.encode()]).hashes.tolist() for t in texts]
+    assert [h for one in alone for h in one] == hashes
