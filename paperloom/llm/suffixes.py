@@ -45,9 +45,10 @@ FREQUENT = 50_000
 #: Bytes of a text looked at at once; runs a bucket and bytes of segments a shard at most on average.
 SLICE, BUCKET_RUNS, SHARD_BYTES = 1 << 20, 1_500_000, 1 << 20
 FOLD, PROBE = 0, 1
+COPY, HIT, TEXT = 0, 1, 2
 LEVEL, NEW = 0, 1
-HITS = "doc_id long, runs array<int>, fine array<int>"
-SEGMENTS = "mark long, segment binary, doc_id long, text_hash long, start int"
+HITS = "share int, docs binary, places binary, often binary"
+SEGMENTS = "mark long, segment binary, doc_id long, text_hash int, start int"
 SHARDED = "kind int, shard int, bytes binary, places binary, mark long, print long, least long, most long"
 ANSWERS = "kind int, shard int, bytes binary, places binary, mark long, print long, repeats array<struct<start:int,stop:int,least:long>>"
 NO_ID, ANY_ID = np.iinfo(np.int64).max, np.iinfo(np.int64).min
@@ -155,15 +156,25 @@ class Held:
             self.parts, self.waiting = [], 0
 
 
-def _ragged(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _share(ids: np.ndarray, shares: int) -> np.ndarray:
+    """The share of documents that an id is dealt to."""
+    return (mix(ids.astype(np.int64).view(np.uint64), 46) % np.uint64(shares)).astype(np.int32)
 
 
-def _found(frequent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """HITS of packed rows that come bucket by bucket, first those to fold."""
+def _found(frequent: int, shares: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """HITS of packed rows that come bucket by bucket, first those to fold: the runs whose mark another id has, by shares of ids."""
+
+    def dealt(parts: list[tuple]) -> pa.RecordBatch:
+        doc, place, often = (np.concatenate(c) for c in zip(*parts))
+        share = _share(doc, shares)
+        order = np.argsort(share, kind="stable")
+        share, doc, place, often = (c[order] for c in (share, doc, place, often))
+        cuts = np.append(_starts(share), len(share)).tolist()
+        raw = [pa.array([c[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for c in (doc.astype("<i8"), place.astype("<i4"), often)]
+        return pa.RecordBatch.from_arrays([pa.array(share[cuts[:-1]]), *raw], ["share", "docs", "places", "often"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held = None, Held()
+        number, held, parts, waiting = None, Held(), [], 0
         for batch in batches:
             for bucket, kind, docs, counts, prints, places in zip(*[c.to_pylist() for c in batch.columns]):
                 if bucket != number:
@@ -176,20 +187,35 @@ def _found(frequent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 held.close()
                 at = np.searchsorted(held.print, prints)
                 hit = held.least[at] < held.most[at]
-                if hit.any():
-                    doc, place, often = own[hit], places[hit], held.count[at[hit]] > frequent
-                    cuts = _starts(doc)
-                    fine = np.add.reduceat(often.astype(np.int64), cuts)
-                    sizes = np.diff(np.append(cuts, len(doc)))
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[cuts]), _ragged(place, sizes), _ragged(place[often], fine)], ["doc_id", "runs", "fine"])
+                parts.append((own[hit], places[hit], held.count[at[hit]] > frequent))
+                waiting += int(hit.sum())
+                if waiting > 1_000_000:
+                    yield dealt(parts)
+                    parts, waiting = [], 0
+        if waiting:
+            yield dealt(parts)
 
     return run
 
 
-def _lists(column: pa.ListArray) -> list[np.ndarray]:
-    """The values of each list; null is empty."""
-    values, offsets = np.asarray(column.values).astype(np.int64), np.asarray(column.offsets)
-    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+class Wanted:
+    """The runs of a share's documents, and which texts are copies."""
+
+    def __init__(self):
+        self.parts, self.copies, self.docs = [], set(), None
+
+    def close(self) -> None:
+        if self.docs is None:
+            doc, place, often = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else (np.zeros(0, "<i8"), np.zeros(0, "<i4"), np.zeros(0, bool))
+            order = np.argsort(doc, kind="stable")
+            self.docs, self.places, self.often, self.parts = doc[order], place[order].astype(np.int64), often[order], []
+
+    def of(self, doc: int, text_hash: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the runs to send, and of those of them that are frequent."""
+        a, b = np.searchsorted(self.docs, [doc, doc + 1])
+        if (doc, text_hash) in self.copies:
+            a = b
+        return self.places[a:b], self.places[a:b][self.often[a:b]]
 
 
 def _among(owner: np.ndarray, place: np.ndarray, rows: list[int], offsets: list[int], wanted: list[np.ndarray]) -> np.ndarray:
@@ -203,29 +229,49 @@ def _among(owner: np.ndarray, place: np.ndarray, rows: list[int], offsets: list[
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SEGMENTS, without the print, of (doc_id, text_hash, text, runs, fine)."""
+    """SEGMENTS of (share, kind, doc_id, text_hash, text, docs, places, often) that come share by share, texts last."""
+    number, held = None, Wanted()
     for batch in batches:
-        texts = _texts(batch)
-        wanted, often = (_lists(batch.column(c)) for c in ("runs", "fine"))
-        for rows, offsets, parts in _sliced(texts):
-            windows = Windows(parts, finer=any(len(often[i]) for i in rows))
-            at = _starts(windows.owner, windows.mark)
-            length, owner = np.diff(np.append(at, len(windows.mark))), windows.owner[at]
-            place = windows.place[at]
-            keep, fine = (_among(owner, place, rows, offsets, c) for c in (wanted, often))
-            mark = windows.mark
-            if fine.any():  # all runs of such a mark are cut where the finer mark changes
-                inside, mark = np.repeat(fine, length), mark.copy()
-                mark[inside] = mix(mark[inside] ^ windows.fine[inside], 44)
-                kept = np.repeat(keep, length)
-                at = np.union1d(at, _starts(windows.owner, mark))
-                length, owner, place, keep = np.diff(np.append(at, len(mark))), windows.owner[at], windows.place[at], kept[at]
-            if keep.any():
-                at, length, owner, place = at[keep], length[keep], owner[keep], place[keep]
-                cut = [parts[k][p : p + n + LENGTH - 1] for k, p, n in zip(owner.tolist(), place.tolist(), length.tolist())]
-                row = pa.array(np.asarray(rows)[owner])
-                start = (place + np.asarray(offsets)[owner]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(mark[at].view(np.int64)), pa.array(cut, pa.binary()), batch.column("doc_id").take(row), batch.column("text_hash").take(row), pa.array(start)], ["mark", "segment", "doc_id", "text_hash", "start"])
+        shares, kinds = np.asarray(batch.column("share")), np.asarray(batch.column("kind"))
+        cuts = _starts(shares, kinds)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shares)]):
+            if shares[a] != number:
+                number, held = shares[a], Wanted()
+            part = batch.slice(a, b - a)
+            if kinds[a] == COPY:
+                held.copies.update(zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist()))
+            elif kinds[a] == HIT:
+                held.parts += [(np.frombuffer(d, "<i8"), np.frombuffer(p, "<i4"), np.frombuffer(o, bool)) for d, p, o in zip(*[part.column(c).to_pylist() for c in ("docs", "places", "often")])]
+            else:
+                held.close()
+                wanted, often = zip(*[held.of(i, h) for i, h in zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist())])
+                some = [len(w) > 0 for w in wanted]
+                if any(some):
+                    keep = [i for i, x in enumerate(some) if x]
+                    yield from _cut_segments(part.take(pa.array(keep)), [wanted[i] for i in keep], [often[i] for i in keep])
+
+
+def _cut_segments(batch: pa.RecordBatch, wanted: list[np.ndarray], often: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """SEGMENTS of the wanted runs of (doc_id, text_hash, text)."""
+    for rows, offsets, parts in _sliced(_texts(batch)):
+        windows = Windows(parts, finer=any(len(often[i]) for i in rows))
+        at = _starts(windows.owner, windows.mark)
+        length, owner = np.diff(np.append(at, len(windows.mark))), windows.owner[at]
+        place = windows.place[at]
+        keep, fine = (_among(owner, place, rows, offsets, c) for c in (wanted, often))
+        mark = windows.mark
+        if fine.any():  # all runs of such a mark are cut where the finer mark changes
+            inside, mark = np.repeat(fine, length), mark.copy()
+            mark[inside] = mix(mark[inside] ^ windows.fine[inside], 44)
+            kept = np.repeat(keep, length)
+            at = np.union1d(at, _starts(windows.owner, mark))
+            length, owner, place, keep = np.diff(np.append(at, len(mark))), windows.owner[at], windows.place[at], kept[at]
+        if keep.any():
+            at, length, owner, place = at[keep], length[keep], owner[keep], place[keep]
+            cut = [parts[k][p : p + n + LENGTH - 1] for k, p, n in zip(owner.tolist(), place.tolist(), length.tolist())]
+            row = pa.array(np.asarray(rows)[owner])
+            start = (place + np.asarray(offsets)[owner]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(mark[at].view(np.int64)), pa.array(cut, pa.binary()), batch.column("doc_id").take(row), batch.column("text_hash").take(row), pa.array(start)], ["mark", "segment", "doc_id", "text_hash", "start"])
 
 
 def windows_at(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -363,7 +409,7 @@ class Family:
     def add(self, segments: DataFrame, store: bool = True) -> DataFrame:
         """(mark, print, repeats) of SEGMENTS rows, written: windows of each different segment that a row of an earlier batch
         or of a smaller id (``least``) has. Without ``store`` the batch becomes no level."""
-        each = segments.withColumn("print", F.xxhash64("segment")).groupBy("mark", "print").agg(F.first("segment").alias("bytes"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        each = segments.groupBy("mark", F.col("segment").alias("bytes")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).withColumn("print", F.xxhash64("bytes"))
         null = lambda kind: F.lit(None).cast(kind)
         rows = each.select(F.lit(NEW).alias("kind"), F.pmod(F.xxhash64("mark"), F.lit(self.shards)).cast("int").alias("shard"), "bytes", null("binary").alias("places"), "mark", "print", "least", "most")
         for k, (_, level) in enumerate(self.levels):
@@ -374,16 +420,16 @@ class Family:
         dealt = rows.repartitionById(self.shards, "shard").sortWithinPartitions("shard", "kind")
         found = written(dealt.mapInArrow(_scanned(len(self.levels) - merging, store), ANSWERS), compression="zstd")
         if store:
+            merged = self.levels[len(self.levels) - merging :]
             self.levels[len(self.levels) - merging :] = [(rank, found)]
+            discard(*[level for _, level in merged])
         return found
 
 
-def runs_of(rows: DataFrame, frequent: int) -> DataFrame:
-    """HITS: the places of the runs of (doc_id, text) whose mark another id has, and of those whose mark is frequent."""
-    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // (16 * BUCKET_RUNS)))
-    packed = rows.select("doc_id", "text").mapInArrow(_packed(buckets), PACKED)
-    return packed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_found(frequent), HITS)
+def runs_of(rows: DataFrame, frequent: int, shares: int) -> DataFrame:
+    """HITS of (doc_id, text)."""
+    packed = rows.select("doc_id", "text").mapInArrow(_packed(shares), PACKED)
+    return packed.repartitionById(shares, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_found(frequent, shares), HITS)
 
 
 def copies_of(rows: DataFrame) -> DataFrame:
@@ -393,15 +439,20 @@ def copies_of(rows: DataFrame) -> DataFrame:
     return each.join(first.hint("merge"), "digest").where("least < doc_id").select("doc_id", "text_hash", "n_bytes")
 
 
-def segments_of(rows: DataFrame, copies: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """SEGMENTS of (doc_id, text_hash, text) but for ``copies``, written: what may repeat in another id."""
-    found = written(runs_of(rows, frequent))
-    merge = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    copied = copies.groupBy("doc_id").agg(F.collect_set("text_hash").alias("copied"))
-    wanted = found.groupBy("doc_id").agg(merge("runs"), merge("fine")).join(copied.hint("merge"), "doc_id", "left")
-    near = rows.join(wanted, "doc_id").where(F.col("copied").isNull() | ~F.array_contains("copied", F.col("text_hash")))
-    cut = near.select("doc_id", "text_hash", "text", "runs", "fine").mapInArrow(_segments, SEGMENTS)
-    out = written(cut, compression="zstd")
+def segments_of(rows: DataFrame, copies: DataFrame, held: int, frequent: int = FREQUENT, cuts: list[int] | None = None) -> DataFrame:
+    """SEGMENTS of (doc_id, text_hash, text) of ``held`` bytes but for ``copies``, written by batch: the number of ``cuts`` below the id."""
+    shares = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // (16 * BUCKET_RUNS)))
+    found = written(runs_of(rows, frequent, shares))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("share", pa.array(_share(np.asarray(batch.column("doc_id")), shares)))
+
+    dealt = lambda d, kind: d.mapInArrow(deal, d._jdf.schema().toDDL() + ", share int").withColumn("kind", F.lit(kind))
+    own = dealt(rows.select("doc_id", "text_hash", "text"), TEXT)
+    every = own.unionByName(found.withColumn("kind", F.lit(HIT)), allowMissingColumns=True).unionByName(dealt(copies.select("doc_id", "text_hash"), COPY), allowMissingColumns=True)
+    cut = every.repartitionById(shares, "share").sortWithinPartitions("share", "kind").mapInArrow(_segments, SEGMENTS)
+    out = written(cut.withColumn("batch", sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts or []), F.lit(0))), by="batch", compression="zstd")
     discard(found)
     return out
 
@@ -432,32 +483,30 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_bytes, removed, kept) of every row: the maximal removed byte spans and the bytes left."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.hash(text_col).alias("text_hash"))
     marked, bare = rows.where("doc_id is not null"), rows.where("doc_id is null")
     long = marked.where(F.octet_length("text") >= LENGTH)
+    shares = F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000) if batches > 1 else F.array().cast("array<long>")
+    held, cuts = long.agg(F.sum(F.octet_length("text")), shares).first()
+    held, cuts = held or 0, sorted(set(cuts or []))
     copies = written(copies_of(long))
-    whole = segments_of(long, copies, frequent)
-    held = whole.agg(F.sum(F.octet_length("segment")), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000) if batches > 1 else F.array()).first()
-    cuts = sorted(set(held[1] or []))
-    family = Family(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(held[0] or 0) // (SHARD_BYTES * max(1, batches)))))
-    answers, edges = [], [None, *cuts, None]
-    for low, high in zip(edges, edges[1:]):
-        own = whole
-        own = own if low is None else own.where(F.col("doc_id") > low)
-        own = own if high is None else own.where(F.col("doc_id") <= high)
-        answers.append(family.add(own, store=high is not None))
-    # A segment belongs to one batch by its id; the answers of a batch hold for that batch's rows alone.
-    part = lambda c: sum((F.when(c > x, 1).otherwise(0) for x in cuts), F.lit(0))
-    numbered = [a.where(F.col("kind") == NEW).select("mark", "print", "repeats", F.lit(k).alias("batch")) for k, a in enumerate(answers)]
-    found = numbered[0]
-    for more in numbered[1:]:
-        found = found.unionByName(more)
-    hit = whole.select("mark", F.xxhash64("segment").alias("print"), "doc_id", "text_hash", "start", part(F.col("doc_id")).alias("batch")).join(found, ["mark", "print", "batch"])
-    spans = F.transform(F.filter("repeats", lambda r: r["least"] < F.col("doc_id")), lambda r: F.struct((F.col("start") + r["start"]).alias("start"), (F.col("start") + r["stop"] + F.lit(LENGTH - 1)).alias("stop")))
-    wholly = copies.select("doc_id", "text_hash", F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").alias("stop"))).alias("spans"))
-    per_doc = hit.select("doc_id", "text_hash", spans.alias("spans")).where(F.size("spans") > 0).unionByName(wholly).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("found"))
-    per_doc = written(per_doc)
-    discard(whole, copies, *answers)
+    whole = segments_of(long, copies, held, frequent, cuts)
+    family = Family(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // (SHARD_BYTES * batches))))
+    per_batch = []
+    for k in range(len(cuts) + 1):
+        own = whole.where(F.col("batch") == k).drop("batch")
+        found = family.add(own, store=k < len(cuts))
+        answers = found.where(F.col("kind") == NEW).select("mark", "print", "repeats").hint("shuffle_hash")
+        hit = own.select("mark", F.xxhash64("segment").alias("print"), "doc_id", "text_hash", "start").join(answers, ["mark", "print"])
+        spans = F.transform(F.filter("repeats", lambda r: r["least"] < F.col("doc_id")), lambda r: F.struct((F.col("start") + r["start"]).alias("start"), (F.col("start") + r["stop"] + F.lit(LENGTH - 1)).alias("stop")))
+        per_batch.append(written(hit.select("doc_id", "text_hash", spans.alias("spans")).where(F.size("spans") > 0)))
+        if k == len(cuts):
+            discard(found, whole, *[level for _, level in family.levels])
+    spans = copies.select("doc_id", "text_hash", F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").alias("stop"))).alias("spans"))
+    for part in per_batch:
+        spans = spans.unionByName(part)
+    per_doc = written(spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("found")))
+    discard(copies, *per_batch)
     cut = lambda d: d.select("doc_id", "text", "found").mapInArrow(_cut, "doc_id long, n_bytes long, removed array<struct<start:int,stop:int>>, kept binary")
     none = F.lit(None).cast("array<struct<start:int,stop:int>>")
     return cut(marked.join(per_doc, ["doc_id", "text_hash"], "left")).unionByName(cut(bare.withColumn("found", none)))
