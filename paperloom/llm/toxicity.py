@@ -1,15 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer reads words and writes classes: insult, harm, modal, target, negation, report, clause
-end, other. Four small transducers over classes are composed into one: ``negated`` marks hits shortly after a
-negation, ``reported`` those after a speech verb in the clause, ``targeted`` those near a word for a person,
-``threat`` harm after a modal. The composed machine walks only the clauses that hold a hit. What is matched and scored are
-clauses: one has the marks of all its hits and the sum of their weights, and adds that sum to each of its marks, or to
-``plain`` if it has none. A logistic model over the sums, fitted on
-labelled rows, turns marks into a score, so that the labels decide how much a plain, negated or reported clause counts.
+A lexical transducer reads words and writes classes: insult, harm, modal, target, negation, report, naming, clause
+end, other. Small transducers over classes are composed into one: ``negated`` marks hits shortly after a
+negation, ``reported`` those after a speech verb in the clause or right after a word that names words, ``targeted`` insults near
+a word for a person, ``threat`` harm after a modal and shortly before a person. A harm word that is no threat is no hit. The
+composed machine walks only the clauses that may hold a hit. What is matched and scored are clauses: one has the marks of all
+its hits and the sum of their weights, and belongs to one kind: negated, reported, threat, targeted, or plain, the first that fits.
+
+A logistic model over the kinds' sums, fitted on labelled rows, says how much each counts. Its weights keep an order,
+whatever the labels show: threats and targeted insults count at least as much as plain ones, negated and reported ones at most half as
+much. Kinds that the labels never show keep their prior.
 
 Insult stems are learned: words and word beginnings that tell toxic from other labelled texts, by the
-likelihood-ratio statistic, taken over all of them; the ``STEMS`` of greatest statistic are the lexicon. Learning uses at most ``SAMPLE`` rows of each class, first in the order of a hash of
+likelihood-ratio statistic, taken over all of them. Learning uses at most ``SAMPLE`` rows of each class, first in the order of a hash of
 doc_id, and never rows whose crc32(doc_id) mod 4 is 2. Scores depend on the text alone.
 
 Defined cases: null or empty text has no hit and gets the model's base score; without rows of both classes every
@@ -33,23 +36,26 @@ from paperloom.llm.common import discard, written
 
 #: Rows of each class that the grammar is fitted on at most.
 SAMPLE = 6000
-#: Lengths of word beginnings tried as stems; bounds on what counts as a stem; stems at most.
+#: Lengths of word beginnings tried as stems; bounds on what counts as a stem.
 BEGINNINGS = (4, 5, 6, 7)
-LEAST_DOCS, LEAST_RATIO, STEMS = 3, 100.0, 2048
+LEAST_DOCS, LEAST_RATIO = 3, 100.0
 PREDICTED_FROM = 0.3
 
 # Closed-class words of the grammar.
 TARGETS = "you your you're he him she her they them these those people du dich dir dein ihr euch sie ihn tu toi te vous votre il elle ils elles eux tú ti tu usted ustedes él ella ellos ellas".split()
 NEGATIONS = "not no never nobody isn't aren't wasn't don't doesn't didn't nicht kein keine keinen nie niemand ne pas jamais aucun personne no nunca jamás nadie ningún".split()
 REPORTS = "said says say called calls wrote writes quoted claimed sagte sagt nannte schrieb behauptete dit disait appelé écrit prétend dijo dice llamó escribió afirmó".split()
+NAMINGS = "word words term slur wort begriff mot terme palabra término".split()
 MODALS = "will shall gonna going must should i'll we'll werde werden sollte muss vais va allons dois voy vamos debo deberías".split()
 HARMS = "kill hurt destroy beat stab shoot murder punch töten umbringen verletzen schlagen erschießen tuer frapper blesser détruire matar golpear herir destruir".split()
 
-OTHER, INSULT, HARM, MODAL, TARGET, NEGATION, REPORT, STOP = range(8)
-MARKS = ("plain", "negated", "reported", "targeted", "threat")
+OTHER, INSULT, HARM, MODAL, TARGET, NEGATION, REPORT, NAMING, STOP = range(9)
+CLASSES = 9
+#: Kinds of clauses, the first one that a clause has the mark of.
+KINDS = ("negated", "reported", "threat", "targeted", "plain")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\n]")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CLASS = {w: c for words, c in ((TARGETS, TARGET), (MODALS, MODAL), (REPORTS, REPORT), (NEGATIONS, NEGATION), (HARMS, HARM)) for w in words}
+_CLASS = {w: c for words, c in ((TARGETS, TARGET), (MODALS, MODAL), (NAMINGS, NAMING), (REPORTS, REPORT), (NEGATIONS, NEGATION), (HARMS, HARM)) for w in words}
 
 
 def _countdown(trigger: int, steps: int, mark: str, on: tuple[int, ...]):
@@ -82,11 +88,26 @@ def _after(steps: int):
     return steps + 1, step
 
 
+def _threat(before: int, after: int):
+    """Marks a person's word within ``after`` words after harm that stands within ``before`` words after a modal."""
+
+    def step(state: int, symbol: int) -> tuple[int, set[str]]:
+        modal, harm = divmod(state, after + 1)
+        marks = {"threat"} if harm and symbol == TARGET else set()
+        if symbol == STOP:
+            return 0, marks
+        harm = after if symbol == HARM and modal else max(0, harm - 1)
+        modal = before if symbol == MODAL else max(0, modal - 1)
+        return modal * (after + 1) + harm, marks
+
+    return (before + 1) * (after + 1), step
+
+
 def compose(*machines) -> dict[tuple[tuple[int, ...], int], tuple[tuple[int, ...], frozenset[str]]]:
     """The product transducer: (states, class) -> (states, marks)."""
     table = {}
     for states in product(*[range(n) for n, _ in machines]):
-        for symbol in range(8):
+        for symbol in range(CLASSES):
             steps = [step(s, symbol) for s, (_, step) in zip(states, machines)]
             table[states, symbol] = tuple(s for s, _ in steps), frozenset().union(*[m for _, m in steps])
     return table
@@ -98,9 +119,10 @@ GRAMMAR = compose(
     _until_stop(REPORT, "reported", HITS),
     _countdown(TARGET, 4, "targeted", (INSULT,)),
     _after(2),
-    _countdown(MODAL, 4, "threat", (HARM,)),
+    _countdown(NAMING, 1, "reported", HITS),
+    _threat(4, 3),
 )
-START = (0,) * 5
+START = (0,) * 6
 
 
 class Lexicon:
@@ -136,7 +158,7 @@ class Lexicon:
             if at < done or (at and low[at - 1].isalpha()):
                 continue
             start = max(low.rfind(c, done, at) for c in ".!?;\n") + 1 or done
-            states, total, marked = START, 0.0, set()
+            states, total, marked, of_harm = START, 0.0, set(), set()
             for word in _WORD.finditer(low, start):
                 w, weight = word.group(), 0.0
                 if w in ".!?;\n":
@@ -146,22 +168,24 @@ class Lexicon:
                 else:
                     symbol = _CLASS.get(w, OTHER)
                 states, marks = GRAMMAR[states, symbol]
-                marked |= marks
-                if symbol in HITS:
-                    total += weight or 1.0
+                if symbol == HARM:
+                    of_harm |= marks  # counts if the harm turns out to be a threat
+                else:
+                    marked |= marks
+                total += weight + ("threat" in marks)
                 done = word.end()
                 if symbol == STOP:
                     break
             if total:
-                out.append((start, done, total, frozenset(marked)))
+                out.append((start, done, total, frozenset(marked | of_harm if "threat" in marked else marked)))
         return out
 
     def features(self, text: str | None) -> tuple[np.ndarray, list]:
-        sums, found = dict.fromkeys(MARKS, 0.0), self.matches(text or "")
+        """log(1 + sum of weights) of each kind of clause, and the clauses."""
+        sums, found = dict.fromkeys(KINDS, 0.0), self.matches(text or "")
         for _, _, weight, marks in found:
-            for mark in marks or ("plain",):
-                sums[mark] += weight
-        return np.log1p([sums[m] for m in MARKS]), found
+            sums[next(k for k in KINDS if k in marks or k == "plain")] += weight
+        return np.log1p([sums[k] for k in KINDS]), found
 
 
 def held_out(doc_id: Column) -> Column:
@@ -194,7 +218,7 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_stems(rows: DataFrame) -> dict[str, float]:
-    """Stems of significant likelihood ratio, weighted 0 to 1 by their log ratio; at most STEMS.
+    """Stems of significant likelihood ratio, weighted 0 to 1 by their log ratio.
 
     The bound on the statistic rises with the logarithm of the stems tried, as chance finds more among more.
     """
@@ -214,22 +238,43 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
         (2 * (part(a, n) + part(b, m))).alias("statistic"),
     )
     good = scored.where((F.col("statistic") >= least) & (F.col("ratio") >= LEAST_RATIO))
-    best = good.orderBy(F.desc("statistic"), F.length("stem"), "stem").limit(STEMS).collect()
+    best = good.collect()  # bounded by the labelled sample
     discard(counts)
     return {r["stem"]: float(min(1.0, np.log(r["ratio"]) / np.log(10 * LEAST_RATIO))) for r in best}
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
-    """Weights and, last, the intercept, by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+#: What weights are before any label is seen: plain insults, what a target or a threat adds, what stays under negation or report, and the intercept.
+PRIOR = np.array([6.0, 1.0, 1.0, 0.5, 0.5, -4.0])
+
+
+def ordered(w: np.ndarray) -> np.ndarray:
+    """Weights of KINDS, and the intercept, from (plain, added by targets, by threats, left of negated, of reported, intercept)."""
+    plain, targeted, threat, negated, reported, base = w
+    return np.array([negated, reported, plain + threat, plain + targeted, plain, base])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 300) -> np.ndarray:
+    """Weights of KINDS and the intercept: coordinate by coordinate, near the prior, within the order of kinds."""
+    negated, reported, threat, targeted, plain = x.T
+    parts = np.stack([plain + threat + targeted, targeted, threat, negated, reported, np.ones(len(x))])
+    w, sums = PRIOR.copy(), PRIOR @ parts
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+        moved = 0.0
+        for j in range(len(w)):
+            p = 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
+            slope = parts[j] @ (y - p) - ridge * (w[j] - PRIOR[j])
+            step = slope / (parts[j] ** 2 @ (p * (1 - p)) + ridge + 1e-3)
+            new = w[j] + np.clip(step, -2, 2)
+            if j < 5:
+                new = max(new, 0.0)
+            if j == 0:
+                new = max(new, 2 * w[3], 2 * w[4])
+            if j in (3, 4):
+                new = min(new, w[0] / 2)
+            sums, moved, w[j] = sums + (new - w[j]) * parts[j], max(moved, abs(new - w[j])), new
+        if moved < 1e-7:
             break
-    return w
+    return ordered(w)
 
 
 class Grader:
@@ -252,13 +297,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             if batch.num_rows:
                 x = np.stack([shared.value.features(t)[0] for t in batch.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in x.T], batch.column("toxic").cast(pa.float64())], [*MARKS, "toxic"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in x.T], batch.column("toxic").cast(pa.float64())], [*KINDS, "toxic"])
 
-    made = rows.mapInArrow(features, ", ".join(f"{m} double" for m in (*MARKS, "toxic"))).toPandas()
+    made = rows.mapInArrow(features, ", ".join(f"{m} double" for m in (*KINDS, "toxic"))).toPandas()
     if made["toxic"].nunique() < 2:
         return Grader(lexicon, None)
     made = made.sort_values(list(made.columns))
-    return Grader(lexicon, logistic(made[list(MARKS)].to_numpy(), made["toxic"].to_numpy()))
+    return Grader(lexicon, logistic(made[list(KINDS)].to_numpy(), made["toxic"].to_numpy()))
 
 
 def score(docs: DataFrame, grader: Grader, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

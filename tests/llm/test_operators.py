@@ -155,7 +155,10 @@ def test_grammar_marks_clauses():
     assert marks("not a moron. moron") == [["negated"], []]
     assert marks("they said foulness") == [["reported", "targeted"]]
     assert marks("a moron you") == [["targeted"]]
-    assert marks("I will kill it") == [["threat"]]
+    assert marks("I will kill you") == [["threat"]] and marks("I will not kill you") == [["negated", "threat"]]
+    assert marks("I will kill it") == marks("He beat the record") == marks("They had to kill the process") == []
+    assert marks("the word moron") == [["reported"]]
+    assert marks("never kill. moron never kill") == [[]]
     assert marks("oxymoron morons") == []
     assert [(a, b, w) for a, b, w, _ in lexicon.matches("x. foul moron foul! y foul")] == [(2, 19, 2.0), (19, 26, 0.5)]
 
@@ -168,29 +171,37 @@ def clauses_brute(tokens, stems):
             clause.append(t)
             continue
         kind = [max([w for s, w in stems.items() if (t_ == s[:-1] if s.endswith("$") else t_.startswith(s))], default=0) for t_ in clause]
-        hits, marks = [], set()
+        hits, marks, of_harm, modal = [], set(), set(), {}
         for i, w in enumerate(clause):
             near = lambda group, steps: any(x in group and not kind[j] for j, x in enumerate(clause[max(0, i - steps) : i], max(0, i - steps)))  # noqa: E731, B023
             harm = not kind[i] and w in toxicity.HARMS
             if kind[i] or harm:
-                hits.append(kind[i] or 1.0)
-                marks |= {"negated"} if near(toxicity.NEGATIONS, 3) else set()
-                marks |= {"reported"} if near(toxicity.REPORTS, i) else set()
-                marks |= {"targeted"} if kind[i] and near(toxicity.TARGETS, 4) else set()
-                marks |= {"threat"} if harm and near(toxicity.MODALS, 4) else set()
+                own = {"negated"} if near(toxicity.NEGATIONS, 3) else set()
+                own |= {"reported"} if near(toxicity.REPORTS, i) or near(toxicity.NAMINGS, 1) else set()
+                if kind[i]:
+                    hits.append(kind[i])
+                    marks |= own | ({"targeted"} if near(toxicity.TARGETS, 4) else set())
+                else:
+                    of_harm |= own
+                    modal[i] = near(toxicity.MODALS, 4)
+            if not kind[i] and w in toxicity.TARGETS:
+                # the last harm word within three words that a modal stands before
+                if any(modal.get(j) for j in range(i - 3, i)):
+                    hits.append(1.0)
+                    marks.add("threat")
             if not kind[i] and w in toxicity.TARGETS and any(kind[max(0, i - 2) : i]):
                 marks.add("targeted")
         if hits:
-            out.append((sum(hits), sorted(marks)))
+            out.append((sum(hits), sorted(marks | of_harm if "threat" in marks else marks)))
         clause = []
     return out
 
 
 def test_grammar_against_brute_force():
     rng, stems = np.random.default_rng(11), {"moron$": 1.0, "foul": 0.5, "foulest": 0.75}
-    only = lambda group: [w for w in group if sum(w in g for g in (toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS, toxicity.MODALS, toxicity.HARMS)) == 1]
+    only = lambda group: [w for w in group if sum(w in g for g in (toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS, toxicity.NAMINGS, toxicity.MODALS, toxicity.HARMS)) == 1]
     vocabulary = ["moron", "fouling", "foulest", "foul", "kill", "hurt", "stone", "cloud", "moronic", ".", ";", "walk", "green"]
-    for group in (toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS, toxicity.MODALS):
+    for group in (toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS, toxicity.NAMINGS, toxicity.MODALS):
         vocabulary += only(group)[:4]
     lexicon = toxicity.Lexicon(stems)
     for _ in range(600):
@@ -209,6 +220,26 @@ def test_toxicity_repeated_rows_and_held_out_accuracy(spark):
     caught = [r["predicted"] for r in unseen if r["toxic"]]
     alone = [1 - r["predicted"] for r in unseen if not r["toxic"]]
     assert np.mean(caught) >= 0.9 and np.mean(alone) >= 0.98
+    assert_scores_follow_the_grammar(grader)
+
+
+def assert_scores_follow_the_grammar(grader):
+    """Marked clauses rank as they read, whatever the labels showed."""
+    stem = next(s.rstrip("$") for s in sorted(grader.lexicon.stems, key=lambda s: (-grader.lexicon.stems[s], s)))
+    score = lambda t: grader.grade(t)[0]
+    base = score("He walked home.")
+    assert score("He beat the record.") == score("They had to kill the process.") == base < toxicity.PREDICTED_FROM
+    assert score(f"You are a {stem}.") >= score(f"A {stem} came.") >= toxicity.PREDICTED_FROM
+    for milder in (f"You are not a {stem}.", f"The word {stem} has five letters.", f"She said they called a man {stem}."):
+        assert base <= score(milder) < score(f"A {stem} came.") and score(milder) < toxicity.PREDICTED_FROM
+    assert score("I will kill you.") >= toxicity.PREDICTED_FROM > score("I will not kill you.")
+
+
+def test_kinds_without_labels_keep_their_prior():
+    x, y = np.zeros((200, len(toxicity.KINDS))), np.zeros(200)
+    x[:100, toxicity.KINDS.index("negated")], y[:100] = 1.0, 1  # labels against the order: negated insults toxic, nothing else seen
+    w = dict(zip((*toxicity.KINDS, "base"), toxicity.logistic(x, y)))
+    assert w["threat"] >= w["plain"] and w["targeted"] >= w["plain"] and w["negated"] <= w["plain"] / 2 + 1e-9 and w["reported"] == pytest.approx(0.5)
 
 
 # 3
