@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text
 from paperloom.operators import features
+from paperloom.operators import lemmas as learned
 
 
 SETTINGS = "mode string, lemmas string, partitions int"
@@ -48,7 +49,9 @@ class TopicPipeline:
         for stage, name in ((self.counter, "tf_model"), (self.weights, "idf_model"), (model, "lda_model")):
             stage.write().overwrite().save(f"{path}/{name}")
         spark = SparkSession.active()
-        lemmas = "function" if callable(self.lemmas) else self.lemmas
+        lemmas = "learned" if isinstance(self.lemmas, learned.Dictionary) else "function" if callable(self.lemmas) else self.lemmas
+        if lemmas == "learned":
+            self.lemmas.save(f"{path}/lemmas")
         spark.createDataFrame([(self.mode, lemmas, self.partitions)], SETTINGS).write.mode("overwrite").json(f"{path}/settings")
 
     @staticmethod
@@ -57,6 +60,8 @@ class TopicPipeline:
         if found["lemmas"] == "function" and lemmatizer is None:
             raise ValueError(f"the model at {path} was trained with a lemmatiser of its own; hand it over to search")
         lemmas = lemmatizer if found["lemmas"] == "function" else found["lemmas"]
+        if lemmas == "learned":
+            lemmas = learned.Dictionary.load(spark, f"{path}/lemmas")
         return TopicPipeline(CountVectorizerModel.load(f"{path}/tf_model"), IDFModel.load(f"{path}/idf_model"), LocalLDAModel.load(f"{path}/lda_model"), found["mode"], lemmas, found["partitions"])
 
 
@@ -85,8 +90,12 @@ def train(
 
     A later candidate replaces the first only if it is strictly better. Scores are of ``docs``, or of
     ``held_out`` if given; with ``scores`` off, a single candidate isn't scored. The layout, which the result
-    depends on, follows the number of documents alone unless ``partitions`` is given.
+    depends on, follows the number of documents alone unless ``partitions`` is given. With ``lemmas`` "learned" a
+    dictionary is learned from ``docs`` and kept with the model.
     """
+    if lemmas == "learned":
+        plain = docs.select(text.clean_tokens(F.col(text_col), mode).alias("words"))
+        lemmas = learned.Dictionary.of(learned.learn(learned.term_table(plain)))
     candidates = tuple(dict.fromkeys(candidates))
     partitions = partitions or max(4, -(-docs.count() // DOCS_A_PARTITION))
     worded = pinned(docs, id_col, partitions).withColumn("words", text.clean_tokens(F.col(text_col), mode, lemmas)).select(id_col, "words").persist()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import html, text, vectors
-from paperloom.operators import explore, features, graph, similarity, topics
+from paperloom.operators import blocks, communities, explore, features, graph, lemmas, similarity, topics
 from paperloom.session import cut_lineage, kept, shared_path
 from paperloom.sources import readers, sinks
 
@@ -301,6 +301,25 @@ def lda_search(spark, sf_dir):
     return found.select("doc_id", "source", "similarity", "understood")
 
 
+def learned_lemmas(spark, sf_dir):
+    """Every term of each language with its learned lemma."""
+    docs = _documents(spark, sf_dir).select("lang", text.regex_tokens(F.col("text")).alias("words"))
+    terms = lemmas.term_table(docs, lang_col="lang")
+    return lemmas.applied(terms, lemmas.learn(terms)).select("lang", "term", "lemma", "n")
+
+
+def topic_communities(spark, sf_dir):
+    rows = _memberships(spark, sf_dir)
+    found = communities.community_table(graph.topic_counts(rows), graph.interesting(graph.chi_square_edges(rows), CHI))
+    return found.select(F.col("topic").cast("long").alias("topic"), F.col("community").cast("long").alias("community"), "size", F.round("modularity", 9).alias("modularity"))
+
+
+def lda_blocked_topics(spark, sf_dir):
+    """45 topics over all documents and the whole vocabulary, fitted in blocks."""
+    docs, _ = blocks.fit(blocks.weighted_cells(_worded(spark, sf_dir)), TOPICS, rounds=20)
+    return docs
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lda_search(spark, sf_dir)
 
@@ -314,6 +333,7 @@ QUERIES = {
         topic_weight_percentiles, topic_weight_histogram, weight_text_roundtrip, browse_topic_top10, doc_top5_topics, topic_label_lookup, topic_share_by_label, label_index,
         document_key_hash, abstract_between_markers, pdf_text_join, page_title, page_links, page_link_absolute, page_headings, page_all_text,
         upsert_documents, edge_text_roundtrip, seed_urls, lda_doc_topics, lda_topic_words, lda_model_selection, lda_search,
+        learned_lemmas, topic_communities, lda_blocked_topics,
     )
 }
 
@@ -367,7 +387,41 @@ _KEY = "0"
 for _i in range(1, 65, 8):
     _KEY = f"(({_KEY}) * {4294967296 % 100_000_000} + {_FOLD.format(i=_i)}) % 100000000"
 
+_LEARNED = f"""
+terms AS (
+  SELECT coalesce(lang, '') AS lang, term, count(*) AS n FROM (SELECT lang, unnest({_REGEX}) AS term FROM documents) GROUP BY ALL),
+cut AS (
+  SELECT lang, term, left(term, length(term) - k) AS stem, right(term, k) AS ending
+  FROM (SELECT lang, term, unnest(generate_series(0, least({lemmas.LONGEST}, length(term) - {lemmas.STEM}))) AS k FROM terms WHERE length(term) >= {lemmas.STEM})),
+looked_at AS (
+  SELECT lang, ending, count(*) AS shown FROM cut GROUP BY lang, ending
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) * (1 + length(ending)) DESC, ending) <= {lemmas.ENDINGS}),
+splits AS MATERIALIZED (
+  SELECT lang, ending, term, stem, shown FROM cut JOIN looked_at USING (lang, ending)),
+sizes AS (
+  SELECT lang, ceil(log2(count(*)))::BIGINT AS bits FROM terms GROUP BY lang),
+stems AS (
+  SELECT lang, count(DISTINCT stem) AS n_stems FROM splits GROUP BY lang),
+rules AS MATERIALIZED (
+  SELECT a.lang, a.ending, b.ending AS base, count(*) AS n, sum({lemmas.LETTER} * length(a.stem) - bits) - {lemmas.LETTER} * (length(a.ending) + length(b.ending) + 2) AS gain
+  FROM splits a JOIN splits b ON a.lang = b.lang AND a.stem = b.stem JOIN sizes s ON a.lang = s.lang JOIN stems t ON a.lang = t.lang
+  WHERE (length(a.ending) > length(b.ending) OR length(a.ending) = length(b.ending) AND a.ending > b.ending) AND (b.ending = '' OR left(a.ending, 1) <> left(b.ending, 1))
+  GROUP BY a.lang, a.ending, b.ending
+  HAVING gain > 0 AND n >= {lemmas.LEAST} AND n * any_value(n_stems) >= any_value(a.shown) * any_value(b.shown)),
+next AS MATERIALIZED (
+  SELECT s.lang, s.term, stem || base AS lemma FROM splits s JOIN rules r ON s.lang = r.lang AND s.ending = r.ending JOIN terms t ON s.lang = t.lang AND t.term = stem || base
+  QUALIFY row_number() OVER (PARTITION BY s.lang, s.term ORDER BY gain DESC, base) = 1),
+chains AS (
+  SELECT lang, term, lemma, 1 AS hops FROM next
+  UNION ALL SELECT c.lang, c.term, n.lemma, hops + 1 FROM chains c JOIN next n ON c.lang = n.lang AND c.lemma = n.term)
+"""
+
 ORACLES = {
+    "learned_lemmas": f"""
+WITH RECURSIVE {_LEARNED}
+SELECT t.lang, t.term, coalesce(c.lemma, t.term) AS lemma, n FROM terms t
+LEFT JOIN (SELECT lang, term, last(lemma ORDER BY hops) AS lemma FROM chains GROUP BY lang, term) c ON t.lang = c.lang AND t.term = c.term
+""",
     "tokenize_regex": f"SELECT doc_id, len(w)::BIGINT AS n_tokens, md5(coalesce(array_to_string(w, ' '), '')) AS tokens_md5 FROM (SELECT doc_id, {_REGEX} AS w FROM documents)",
     "tokens_letters_filter": (
         "SELECT doc_id, len(w)::BIGINT AS n_tokens, md5(coalesce(array_to_string(w, ' '), '')) AS tokens_md5 FROM (SELECT doc_id, "
