@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import discard, written
+from paperloom.llm.common import discard, freed, written
 from paperloom.llm.components import components
 from paperloom.llm.shingles import Words, chunks, mix
 
@@ -109,7 +109,7 @@ def members_of(rows: DataFrame) -> DataFrame:
                 sets, part = Sets(texts, GRAM), batch.slice(first, stop - first)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(sets.sizes), pa.array(sets.marks)], ["doc_id", "text_hash", "n", "f"])
 
-    return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, text_hash long, n long, f long")
+    return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(freed(run), f"doc_id {kind}, text_hash long, n long, f long")
 
 
 def packed_tokens(rows: DataFrame, buckets: int) -> DataFrame:
@@ -140,7 +140,7 @@ def packed_tokens(rows: DataFrame, buckets: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return rows.select("text").mapInArrow(run, PACKED)
+    return rows.select("text").mapInArrow(freed(run), PACKED)
 
 
 class Bucket:
@@ -250,7 +250,7 @@ def entities(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     total = members.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
     dealt = packed_tokens(rows, buckets).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    shared = written(dealt.mapInArrow(_shared, SHARED))
+    shared = written(dealt.mapInArrow(freed(_shared), SHARED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 4
@@ -264,7 +264,7 @@ def entities(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         if len(rest[0]) and (made := entity_batch(rest[0], rest[1], rest[2].view(np.uint64), rest[3], percent)) is not None:
             yield made
 
-    found = written(shared.repartition("f").sortWithinPartitions("f").mapInArrow(run, ENTITY))
+    found = written(shared.repartition("f").sortWithinPartitions("f").mapInArrow(freed(run), ENTITY))
     discard(shared)
     return found
 
@@ -310,7 +310,7 @@ def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (n - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(freed(run), "a long, b long")
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import written
+from paperloom.llm.common import freed, written
 
 LENGTH = 2048
 CLOSING = 0
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, row_id long, {PIECES}" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row_id"), F.col(text_col).alias("text")).mapInArrow(encode, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row_id"), F.col(text_col).alias("text")).mapInArrow(freed(encode), schema).withColumnRenamed("id", id_col)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import discard, written
+from paperloom.llm.common import discard, freed, written
 
 #: Rows of each class that the grammar is fitted on at most.
 SAMPLE = 6000
@@ -222,7 +222,7 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
 
     The bound on the statistic rises with the logarithm of the stems tried, as chance finds more among more.
     """
-    counts = rows.mapInArrow(_stem_counts, "stem string, toxic long, other long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = rows.mapInArrow(freed(_stem_counts), "stem string, toxic long, other long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     counts = written(counts.where((F.col("stem") == "") | (F.col("toxic") + F.col("other") >= LEAST_DOCS)))
     total = counts.where(F.col("stem") == "").agg(F.sum("toxic"), F.sum("other")).first()
     if not total[0] or not total[1]:
@@ -299,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 x = np.stack([shared.value.features(t)[0] for t in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in x.T], batch.column("toxic").cast(pa.float64())], [*KINDS, "toxic"])
 
-    made = rows.mapInArrow(features, ", ".join(f"{m} double" for m in (*KINDS, "toxic"))).toPandas()
+    made = rows.mapInArrow(freed(features), ", ".join(f"{m} double" for m in (*KINDS, "toxic"))).toPandas()
     if made["toxic"].nunique() < 2:
         return Grader(lexicon, None)
     made = made.sort_values(list(made.columns))
@@ -322,7 +322,7 @@ def score(docs: DataFrame, grader: Grader, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    graded = rows.mapInArrow(run, f"id {kind}, score double, clauses array<struct<start:int,end:int,weight:double,marks:array<string>>>")
+    graded = rows.mapInArrow(freed(run), f"id {kind}, score double, clauses array<struct<start:int,end:int,weight:double,marks:array<string>>>")
     return graded.select(
         F.col("id").alias(id_col),
         held_out(F.col("id")).alias("held_out"),
@@ -340,4 +340,4 @@ def clean(docs: DataFrame, grader: Grader, text_col: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([shared.value.grade(t.as_py())[0] < PREDICTED_FROM for t in batch.column(text_col)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
