@@ -83,6 +83,51 @@ def select(html: Column, tag: str, where: tuple[str, str] | None = None, take: s
     return run(html)
 
 
+class _Selectors(HTMLParser):
+    """Many selectors in one pass over a page: each event goes to those of its tag, which keep their own depth."""
+
+    def __init__(self, selectors: dict[str, tuple]):
+        super().__init__()
+        self.by_tag: dict[str, list[_Selector]] = {}
+        self.of = {name: _Selector(*chosen) for name, chosen in selectors.items()}
+        for selector in self.of.values():
+            self.by_tag.setdefault(selector.tag, []).append(selector)
+
+    def handle_starttag(self, tag, attrs):
+        for selector in self.by_tag.get(tag, ()):
+            selector.handle_starttag(tag, attrs)
+
+    def handle_startendtag(self, tag, attrs):
+        for selector in self.by_tag.get(tag, ()):
+            selector.handle_startendtag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        for selector in self.by_tag.get(tag, ()):
+            selector.handle_endtag(tag)
+
+    def handle_data(self, data):
+        for selector in self.of.values():
+            selector.handle_data(data)
+
+
+def selected(html: Column, **selectors: tuple) -> Column:
+    """A struct of arrays, a field for each selector (tag, where, take) as of :func:`select`: one parse a page for all of them."""
+    chosen = {name: (*s, *((None, "text")[len(s) - 1 :])) for name, s in selectors.items()}
+
+    @F.pandas_udf(", ".join(f"{name} array<string>" for name in chosen))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for page in batch:
+                parser = _Selectors(chosen)
+                parser.feed(page or "")
+                parser.close()
+                out.append([s.found for s in parser.of.values()])
+            yield pd.DataFrame(out, columns=list(chosen))
+
+    return run(html)
+
+
 class _Texts(HTMLParser):
     def __init__(self):
         super().__init__()

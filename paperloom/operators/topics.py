@@ -19,6 +19,8 @@ from paperloom.operators import lemmas as learned
 SETTINGS = "mode string, lemmas string, partitions int"
 #: Documents a partition of the layout that models are fitted on, if the number of partitions isn't given.
 DOCS_A_PARTITION = 1250
+#: Partitions at most, as each sends a topics x terms matrix in every iteration.
+MOST_PARTITIONS = 64
 
 
 @dataclass
@@ -97,7 +99,7 @@ def train(
         plain = docs.select(text.clean_tokens(F.col(text_col), mode).alias("words"))
         lemmas = learned.Dictionary.of(learned.learn(learned.term_table(plain)))
     candidates = tuple(dict.fromkeys(candidates))
-    partitions = partitions or max(4, -(-docs.count() // DOCS_A_PARTITION))
+    partitions = partitions or min(MOST_PARTITIONS, max(4, -(-docs.count() // DOCS_A_PARTITION)))
     worded = pinned(docs, id_col, partitions).withColumn("words", text.clean_tokens(F.col(text_col), mode, lemmas)).select(id_col, "words").persist()
     try:
         counts = features.term_counts(worded, id_col)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import html, text, vectors
-from paperloom.operators import blocks, communities, explore, features, graph, lemmas, similarity, topics
+from paperloom.operators import blocks, clustered, communities, explore, features, graph, layout, lemmas, similarity, topics
 from paperloom.session import cut_lineage, kept, shared_path
 from paperloom.sources import readers, sinks
 
@@ -260,7 +260,10 @@ def upsert_documents(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("doc_id", "lang", "source")
     labels = _table(spark, sf_dir, "labels")
     fresh = labels.select((F.col("doc_id") + 1).alias("doc_id"), F.lit("xx").alias("lang"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("source"))
-    return sinks.merged(docs, fresh, "doc_id")
+    path = shared_path(spark)
+    sinks.upsert_parts(path, docs, "doc_id")
+    sinks.upsert_parts(path, fresh, "doc_id")
+    return spark.read.parquet(path).drop("key_part")
 
 
 def edge_text_roundtrip(spark, sf_dir):
@@ -301,6 +304,36 @@ def lda_search(spark, sf_dir):
     return found.select("doc_id", "source", "similarity", "understood")
 
 
+def layout_texts(spark, sf_dir):
+    """Documents set as pages of a heading and two columns, a box a word, and read back from the boxes alone."""
+    words = F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")
+    rows = _documents(spark, sf_dir).select("doc_id", F.posexplode(words).alias("n", "text"))
+    page, at = F.floor(F.col("n") / 606), F.col("n") % 606  # six words a line, a line of heading, fifty lines a column
+    line, column = F.floor((at - 6) % 300 / 6), F.floor((at - 6) / 300)
+    x = F.when(at < 6, 350).otherwise(1000 * column) + 120 * (at % 6)
+    y = F.when(at < 6, 800).otherwise(740 - 14 * line - 4 * column)
+    glyphs = rows.select("doc_id", page.alias("page"), x.alias("x0"), (y - 10).alias("y0"), (x + 6 * F.least(F.length("text"), F.lit(18))).alias("x1"), y.alias("y1"), "text")
+    found = layout.page_texts(layout.lines(glyphs, column_gap=150.0))
+    return found.select("doc_id", "page", "n_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def cosine_topk_clustered(spark, sf_dir):
+    """``cosine_topk`` from a clustered table, of which only clusters that can hold a hit are read."""
+    path, rows = shared_path(spark), _table(spark, sf_dir, "embeddings")
+    clustered.build(rows, path, "vec_id", "embedding")
+    query = rows.where("vec_id = 0").select(vectors.doubles(F.col("embedding")).alias("v")).first()
+    found = clustered.Clusters(spark, path, "vec_id", "embedding").nearest(query["v"], 10) if query else similarity.nearest(rows, F.array(), "embedding", "vec_id", 0)
+    return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+def browse_topic_clustered(spark, sf_dir):
+    """``browse_topic_top10`` from a clustered table."""
+    path = shared_path(spark)
+    clustered.build(_distributions(spark, sf_dir), path)
+    found = clustered.Clusters(spark, path).documents_of_topic(3)
+    return found.select(F.col("number").cast("long").alias("number"), "doc_id", F.round("percent", 6).alias("percent"))
+
+
 def learned_lemmas(spark, sf_dir):
     """Every term of each language with its learned lemma."""
     docs = _documents(spark, sf_dir).select("lang", text.regex_tokens(F.col("text")).alias("words"))
@@ -333,7 +366,7 @@ QUERIES = {
         topic_weight_percentiles, topic_weight_histogram, weight_text_roundtrip, browse_topic_top10, doc_top5_topics, topic_label_lookup, topic_share_by_label, label_index,
         document_key_hash, abstract_between_markers, pdf_text_join, page_title, page_links, page_link_absolute, page_headings, page_all_text,
         upsert_documents, edge_text_roundtrip, seed_urls, lda_doc_topics, lda_topic_words, lda_model_selection, lda_search,
-        learned_lemmas, topic_communities, lda_blocked_topics,
+        layout_texts, cosine_topk_clustered, browse_topic_clustered, learned_lemmas, topic_communities, lda_blocked_topics,
     )
 }
 
@@ -517,3 +550,12 @@ LEFT JOIN (SELECT lang, term, last(lemma ORDER BY hops) AS lemma FROM chains GRO
         + ", ".join(f"('{k}', '{u}')" for k, v in readers.SEEDS.items() if isinstance(v, list) for u in v)
     ),
 }
+ORACLES |= {"cosine_topk_clustered": ORACLES["cosine_topk"], "browse_topic_clustered": ORACLES["browse_topic_top10"]}
+ORACLES["layout_texts"] = """
+WITH words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS n
+  FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents)),
+lines AS (
+  SELECT doc_id, n // 606 AS page, n // 6 AS line, string_agg(word, ' ' ORDER BY n) AS line_text FROM words GROUP BY ALL)
+SELECT doc_id, page, count(*) AS n_lines, md5(string_agg(line_text, chr(10) ORDER BY line)) AS text_md5 FROM lines GROUP BY doc_id, page
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import html, text
+from paperloom.session import kept as once
 
 # Columns of stored papers, and of the label file as its header spells them.
 PAPERS = "_id long, source string, title string, authors string, abstract string, keywords string, url string, content binary, text string"
@@ -64,7 +65,10 @@ def seeds(spark: SparkSession, pattern: str, first: int, last: int) -> DataFrame
 
 
 def binaries(spark: SparkSession, path: str, extract: Callable[[bytes], str]) -> tuple[DataFrame, DataFrame]:
-    """(kept, rejected): files below LARGEST bytes with the text an extractor finds, and the others with a reason."""
+    """(kept, rejected): files below LARGEST bytes with the text an extractor finds, and the others with a reason.
+
+    What the extractor makes of the files is written once, as both results read it.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +77,7 @@ def binaries(spark: SparkSession, path: str, extract: Callable[[bytes], str]) ->
             made = [pa.array([t[i] for t in tried], pa.string()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("content"), *made], ["path", "content", "text", "reason"])
 
-    small = files.where(F.col("length") < LARGEST).mapInArrow(run, "path string, content binary, text string, reason string")
+    small = once(files.where(F.col("length") < LARGEST).mapInArrow(run, "path string, content binary, text string, reason string"))
     large = files.where(F.col("length") >= LARGEST).select("path", F.lit("too large").alias("reason"))
     return small.where("reason is null").drop("reason"), small.where("reason is not null").select("path", "reason").unionByName(large)
 
@@ -104,13 +108,17 @@ def journal_abstract(pages: DataFrame) -> DataFrame:
 
 def proceedings_paper(pages: DataFrame, source: str, abstract: tuple[str, str] = ("class", "abstract"), keywords: tuple[str, str] | None = None) -> DataFrame:
     """Citation metadata of paper pages; ``source`` NIPS or SLML, with the attribute that marks their abstract."""
-    return pages.select(
+    meta = lambda name: ("meta", ("name", name), "content")
+    chosen = {"title": meta("citation_title"), "authors": meta("citation_author"), "url": meta("citation_pdf_url"), "abstract": ("p", abstract)}
+    found = pages.select(html.selected(F.col("html"), **chosen, **({"keywords": ("span", keywords)} if keywords else {})).alias("found"))
+    first = lambda name: F.try_element_at(f"found.{name}", F.lit(1)).alias(name)
+    return found.select(
         F.lit(source).alias("source"),
-        F.try_element_at(html.meta(F.col("html"), "citation_title"), F.lit(1)).alias("title"),
-        F.array_join(html.meta(F.col("html"), "citation_author"), ", ").alias("authors"),
-        F.try_element_at(html.select(F.col("html"), "p", abstract), F.lit(1)).alias("abstract"),
-        (F.array_join(html.select(F.col("html"), "span", keywords), ", ") if keywords else F.lit("")).alias("keywords"),
-        F.try_element_at(html.meta(F.col("html"), "citation_pdf_url"), F.lit(1)).alias("url"),
+        first("title"),
+        F.array_join("found.authors", ", ").alias("authors"),
+        first("abstract"),
+        (F.array_join("found.keywords", ", ") if keywords else F.lit("")).alias("keywords"),
+        first("url"),
     )
 
 
@@ -123,12 +131,13 @@ def listed_links(pages: DataFrame, skip: int = 0, keep: int | None = None) -> Da
 
 def preprint(pages: DataFrame) -> DataFrame:
     """Title, authors joined by '; ', and abstract of preprint pages; rows without a title are left out."""
-    picked = lambda tag, cls: F.array_join(html.select(F.col("html"), tag, ("class", cls)), "")
-    rows = pages.select(
+    chosen = {"title": ("h1", ("class", "title")), "authors": ("meta", ("name", "citation_author"), "content"), "abstract": ("blockquote", ("class", "abstract"))}
+    found = pages.select("url", html.selected(F.col("html"), **chosen).alias("found"))
+    rows = found.select(
         F.lit("ARXIV").alias("source"),
-        F.trim(picked("h1", "title")).alias("title"),
-        F.array_join(html.meta(F.col("html"), "citation_author"), "; ").alias("authors"),
-        F.trim(F.replace(picked("blockquote", "abstract"), F.lit("\n"), F.lit(" "))).alias("abstract"),
+        F.trim(F.array_join("found.title", "")).alias("title"),
+        F.array_join("found.authors", "; ").alias("authors"),
+        F.trim(F.replace(F.array_join("found.abstract", ""), F.lit("\n"), F.lit(" "))).alias("abstract"),
         F.lit("").alias("keywords"),
         "url",
     )

@@ -46,6 +46,34 @@ def upsert(path: str, incoming: DataFrame, key: str = "_id", order: str | None =
     files.delete(aside, True)
 
 
+def upsert_parts(path: str, incoming: DataFrame, key: str = "_id", order: str | None = None, parts: int = 64) -> None:
+    """Merges into a Parquet table at ``path`` that is dealt to ``parts`` folders by a hash of the key; only those with incoming keys are rewritten.
+
+    The merged folders are written beside the table first and then overwrite theirs; if a run breaks off in between, the next one
+    puts what was written in place before it begins. A table keeps the number of parts it was made with.
+    """
+    spark = incoming.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(conf)
+    beside = f"{path}.merging"
+
+    def put() -> None:
+        rows = spark.read.parquet(beside)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_part").parquet(path)
+        files.delete(place(beside), True)
+
+    if files.exists(place(f"{beside}/_SUCCESS")):
+        put()
+    dealt = incoming.withColumn("key_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    touched = [r["key_part"] for r in dealt.select("key_part").distinct().collect()]  # at most ``parts`` numbers
+    if not touched:
+        return
+    there = spark.read.parquet(path).where(F.col("key_part").isin(touched)) if files.exists(place(path)) else dealt.limit(0)
+    merged(there, dealt, key, order).repartition("key_part").write.mode("overwrite").parquet(beside)
+    put()
+
+
 def edge_lines(edges: DataFrame, weight: str) -> DataFrame:
     """(value): Edge(src,dst,weight) lines."""
     return edges.select(F.concat(F.lit("Edge("), F.concat_ws(",", F.col("src").cast("string"), F.col("dst").cast("string"), F.col(weight).cast("string")), F.lit(")")).alias("value"))
