@@ -283,19 +283,28 @@ def windows_at(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 def suffix_array(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of ``windows`` by their bytes, and where equal ones begin in it: sorted by eight bytes, ties by the next eight."""
-    n, words = len(windows), -(-LENGTH // 8)
-    padded = np.zeros((n, 8 * words), np.uint8)
-    padded[:, :LENGTH] = windows.view(np.uint8).reshape(n, LENGTH)
-    columns = padded.view(">u8").astype(np.uint64).T
-    order = np.argsort(columns[0], kind="stable")
-    same = np.concatenate([[False], columns[0][order][1:] == columns[0][order][:-1]])[:n]
-    for column in columns[1:]:
+    n = len(windows)
+    raw = windows.view(np.uint8).reshape(n, LENGTH)
+
+    def eight(at: int, rows: np.ndarray | slice) -> np.ndarray:
+        """Eight bytes of ``rows`` from ``at`` on, as numbers in their order."""
+        part = raw[rows, at : at + 8]
+        if part.shape[1] < 8:
+            part = np.hstack([part, np.zeros((len(part), 8 - part.shape[1]), np.uint8)])
+        return np.ascontiguousarray(part).view(">u8").reshape(-1).astype(np.uint64)
+
+    value = eight(0, slice(None))
+    order = np.argsort(value)
+    value = value[order]
+    same = np.concatenate([[False], value[1:] == value[:-1]])[:n]
+    for at in range(8, LENGTH, 8):
         tied = np.flatnonzero(same | np.append(same[1:], False))
         if not len(tied):
             break
         group, rows = np.cumsum(~same)[tied], order[tied]
-        by = np.lexsort((column[rows], group))
-        order[tied], value = rows[by], column[rows[by]]
+        value = eight(at, rows)
+        by = np.lexsort((value, group))
+        order[tied], value = rows[by], value[by]
         same[tied[1:]] = (group[1:] == group[:-1]) & (value[1:] == value[:-1])
     return order, np.flatnonzero(~same)
 

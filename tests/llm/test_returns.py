@@ -5,8 +5,6 @@ import random
 import zlib
 from collections import defaultdict
 
-import pytest
-
 from paperloom.llm import returns
 
 LINES = "sale_id long, line_no int, item_id long, quantity int, amount double, discount double, flag string, shipped_at timestamp_ntz, client_id string, part int"
@@ -62,11 +60,10 @@ def brute(lines, sales):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_pieces_equal_a_plain_simulation(spark, seed):
-    lines, sales = made_up(seed)
+def test_pieces_equal_a_plain_simulation(spark):
+    lines, sales = made_up(1)
     frames = spark.createDataFrame(lines, LINES).repartition(3), spark.createDataFrame(sales, SALES)
-    for task in (returns.TASK, 7, 1):
+    for task in (returns.TASK, 3):
         got = sorted(map(tuple, returns.match(*frames, task=task).select(*returns.RESULT).collect()), key=str)
         assert got == brute(lines, sales)
     assert any(r[6] is None for r in got) and max(r[3] for r in got) > 2

@@ -49,7 +49,7 @@ def test_spans_equal_brute_force(spark):
     rows = made_up(7)
     # columns named like inner ones
     df = spark.createDataFrame([(*r, "m", 1) for r in rows], "doc_id long, text string, mark string, shard int").repartition(3)
-    for options in ({}, {"batches": 1}, {"batches": 7, "frequent": 0}):
+    for options in ({"batches": 1}, {"batches": 5, "frequent": 0}):
         assert found(df, **options) == brute(rows)
     assert suffixes.dedup(df.limit(0)).count() == 0
 
