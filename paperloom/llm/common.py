@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 #: Python are bounded in bytes. Folders of values are written side by side, without a sort.
 WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     "spark.sql.maxConcurrentOutputFileWriters": "16",
 }
 
