@@ -16,22 +16,27 @@ from paperloom.llm.common import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar doesn't reject. Null and empty texts stay; repeated rows are judged alike; without labels all stay."""
     return toxicity.clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of line runs. Texts without a line, null ones too, stay; what loses all its lines goes."""
     return linededup.deduped(docs, long_words=linededup.LONG_WORDS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the first by id and text. Texts without a word link with nothing and stay."""
     return jaccard.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, 0 to 3 times. A null source is a source; texts without a word are never taken."""
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences. Null and empty texts are the closing id alone; rows of one id are packed each for itself."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)

@@ -20,7 +20,7 @@ def main(args: list[str] | None = None) -> None:
     train.add_argument("--optimizer", choices=["online", "em"], default="online")
     train.add_argument("--iterations", type=int, default=100)
     train.add_argument("--topics", type=int, nargs="+", default=[2])
-    train.add_argument("--lemmas", choices=["none", "rules"], default="none")
+    train.add_argument("--lemmas", choices=["none", "rules", "learned"], default="none")
     search = commands.add_parser("search")
     search.add_argument("path")
     search.add_argument("query")

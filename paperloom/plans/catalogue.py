@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import html, text, vectors
@@ -44,13 +44,13 @@ def _frequencies(spark, sf_dir):
 def _memberships(spark, sf_dir):
     """(doc_id, topics): the stand-in memberships, as numbers of the TOPICS most frequent terms, which are found first."""
     words = F.array_distinct(F.filter(text.regex_tokens(F.col("text")), lambda w: F.length(w) > 2))
-    docs = _documents(spark, sf_dir)
-    held = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    docs = kept(_documents(spark, sf_dir).select("doc_id", words.alias("words")))  # read for the terms and for the memberships
+    held = docs.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = [r["term"] for r in held.orderBy(F.desc("df"), "term").limit(TOPICS).collect()]
     if not terms:
         return docs.select("doc_id", F.array().cast("array<int>").alias("topics"))
     number = F.create_map(*[F.lit(x) for i, t in enumerate(terms) for x in (t, i)])
-    own = F.array_intersect(words, F.array(*[F.lit(t) for t in terms]))
+    own = F.array_intersect("words", F.array(*[F.lit(t) for t in terms]))
     return cut_lineage(docs.select("doc_id", F.transform(own, lambda w: number[w]).alias("topics")))
 
 
@@ -208,8 +208,8 @@ def topic_label_lookup(spark, sf_dir):
 
 def topic_share_by_label(spark, sf_dir):
     found = explore.share_by_label(_distributions(spark, sf_dir), _labels(spark))
-    numbered = found.select("label", F.col("topic").cast("long").alias("topic"), F.round("percent", 6).alias("percent")).coalesce(1)
-    return numbered.select((F.monotonically_increasing_id() + 1).alias("number"), "*")
+    number = F.row_number().over(Window.orderBy("label", "topic"))  # a row a label
+    return found.select(number.cast("long").alias("number"), "label", F.col("topic").cast("long").alias("topic"), F.round("percent", 6).alias("percent"))
 
 
 def label_index(spark, sf_dir):

@@ -7,10 +7,13 @@ from html import escape
 from pyspark.sql import DataFrame
 
 
-def table(rows: DataFrame, columns: dict[str, str], link: tuple[str, str] | None = None) -> str:
-    """The ``columns`` of ``rows`` under their titles, every value escaped; ``link`` names a column and the one with its address."""
+def table(rows: DataFrame, columns: dict[str, str], link: tuple[str, str] | None = None, most: int = 1000) -> str:
+    """The ``columns`` of at most ``most`` rows under their titles, every value escaped; ``link`` names a column and the one with its address."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows for a page")
     out = ["<table border=1>", "<tr>" + "".join(f"<th>{escape(t)}</th>" for t in columns.values()) + "</tr>"]
-    for row in rows.collect():
+    for row in found:
         cells = []
         for name in columns:
             shown = "" if row[name] is None else escape(str(row[name]))
