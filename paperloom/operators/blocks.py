@@ -74,7 +74,7 @@ def start_of(keys: np.ndarray, k: int, seed: int) -> np.ndarray:
     x = keys.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
     for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
-    return 0.7 + 0.6 * ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53
+    return 0.85 + 0.3 * ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53
 
 
 def _matrix(raw: bytes, k: int) -> np.ndarray:
@@ -114,7 +114,7 @@ def layout(cells: DataFrame, id_col: str, groups: int, blocks: int) -> tuple[Dat
     return docs, terms, kept(placed.groupBy("group").applyInPandas(pack, STATE))
 
 
-def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", steps: int = 3, alpha: float | None = None, eta: float | None = None, groups: int | None = None, blocks: int | None = None, seed: int = 1, prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", steps: int = 8, alpha: float | None = None, eta: float | None = None, groups: int | None = None, blocks: int | None = None, seed: int = 1, prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Document topics (id, topics) and term topics (term, weights) of ``cells`` (id, term, weight), written.
 
     ``topics`` add up to 1; ``weights`` are a term's variational weights, one a topic. Documents without a cell have no row.

@@ -51,7 +51,7 @@ def plain(spark, rows, k, rounds, steps=3, seed=1):
 def test_blocks_change_nothing(spark, groups, cut):
     rows = themed(1)
     cells = spark.createDataFrame(rows, "doc_id long, term string, weight double").repartition(3)
-    docs, terms = blocks.fit(cells, 3, rounds=4, groups=groups, blocks=cut)
+    docs, terms = blocks.fit(cells, 3, rounds=4, steps=3, groups=groups, blocks=cut)
     want_docs, want_terms = plain(spark, rows, 3, 4)
     got_docs, got_terms = {r["doc_id"]: r["topics"] for r in docs.collect()}, {r["term"]: r["weights"] for r in terms.collect()}
     assert got_docs.keys() == want_docs.keys() and got_terms.keys() == want_terms.keys()
