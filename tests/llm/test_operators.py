@@ -832,3 +832,20 @@ def test_word_hashes_tell_structured_words_apart():
     assert hashes[0] == hashes[3] and len(set(hashes)) == len(hashes) - 1
     alone = [Words([t.encode()]).hashes.tolist() for t in texts]
     assert [h for one in alone for h in one] == hashes
+
+
+def test_log_mel_in_blocks(monkeypatch):
+    signal = np.random.default_rng(4).normal(size=6000).astype(np.float32)
+    whole = audio.log_mel(signal)
+    monkeypatch.setattr(audio, "BLOCK", 7)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(whole, audio.log_mel(signal)))
+
+
+def test_inner_names_may_clash(spark, docs):
+    odd = docs.selectExpr("*", *[f"1 as {c}" for c in ("hash", "place", "least", "later", "copies", "score", "clauses", "id", "label", "word", "n")])
+    plain, same = (sorted(map(tuple, substrings.dedup(d).select("doc_id", "n_words", "kept").collect()), key=str) for d in (docs, odd))
+    assert plain == same
+    grader = toxicity.Grader(toxicity.Lexicon({"same$": 1.0}), toxicity.ordered(toxicity.PRIOR))
+    plain, same = (sorted(map(tuple, toxicity.score(d, grader).select("doc_id", "score", "predicted").collect())) for d in (docs, odd))
+    assert plain == same and any(r[2] for r in plain)
+    assert sorted(toxicity.clean(odd, grader).columns) == sorted(odd.columns)
