@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators import explore, graph, similarity, topics
-from paperloom.session import cut_lineage
+from paperloom.functions import text
+from paperloom.operators import blocks, explore, features, graph, similarity, topics
+from paperloom.session import cut_lineage, kept
 from paperloom.sources import sinks
 
 
@@ -37,6 +38,41 @@ def search(spark: SparkSession, path: str, query: str, n: int = 10, id_col: str
     return similarity.search(topics.TopicPipeline.load(spark, path, lemmatizer), corpus, query, n, id_col)
 
 
+def train_blocks(docs: DataFrame, path: str, candidates: tuple[int, ...] = (2,), text_col: str = "text", id_col: str = "doc_id", at_once: int = 2, **options) -> DataFrame:
+    """Like :func:`train`, over the whole vocabulary in blocks: term topics, distributions and a log (k, fold_in, chosen) below ``path``.
+
+    Several candidates are scored by folding in: half of each document's terms infers, the other half is scored. Documents without a
+    weighted term have a null distribution.
+    """
+    spark = docs.sparkSession
+    worded = kept(docs.select(id_col, text.clean_tokens(F.col(text_col)).alias("words")))
+    counts = kept(features.term_counts(worded, id_col))
+    inverse = kept(features.inverse_frequencies(features.document_frequencies(counts), worded))
+    cells = kept(features.tfidf(counts, inverse).select(id_col, "term", F.col("tfidf").alias("weight")))
+    if len(set(candidates)) > 1:
+        chosen, scores, (of_docs, of_terms) = blocks.choose(cells, cells, candidates, at_once, id_col, **options)
+    else:
+        chosen, scores = candidates[0], {candidates[0]: None}
+        of_docs, of_terms = blocks.fit(cells, chosen, id_col=id_col, **options)
+    of_terms.join(inverse.select("term", "idf"), "term").write.mode("overwrite").parquet(f"{path}/termTopics")
+    docs.drop("content").join(of_docs, id_col, "left").write.mode("overwrite").parquet(f"{path}/topicDistribution.parquet")
+    log = spark.createDataFrame([(k, score, k == chosen) for k, score in scores.items()], "k int, fold_in double, chosen boolean")
+    sinks.write_log(log, f"{path}/log")
+    return log
+
+
+def search_blocks(spark: SparkSession, path: str, query: str, n: int = 10, id_col: str = "doc_id") -> DataFrame:
+    """The ``n`` documents below ``path``, trained in blocks, that are closest to a text; none if no word of it is known."""
+    terms = spark.read.parquet(f"{path}/termTopics")
+    asked = spark.createDataFrame([(0, query)], f"{id_col} int, text string").select(id_col, text.clean_tokens(F.col("text")).alias("words"))
+    cells = features.term_counts(asked, id_col).join(terms.select("term", "idf"), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    vector = blocks.infer(cells, terms.select("term", "weights"), id_col).first()
+    corpus = spark.read.parquet(f"{path}/topicDistribution.parquet").where("topics is not null")
+    if vector is None:
+        return corpus.withColumn("similarity", F.lit(0.0)).limit(0)
+    return similarity.nearest(corpus, F.array(*[F.lit(x) for x in vector["topics"]]), "topics", id_col, n)
+
+
 def relationship(spark: SparkSession, path: str, out: str, threshold: float = 0.0004795, chi: float = 19.5) -> dict[str, DataFrame]:
     """Topic graphs of the distributions below ``path``, written below ``out``: all that the job reports, by name."""
     docs = spark.read.parquet(f"{path}/topicDistribution.parquet").select("topics")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import blocks
+from paperloom.plans import jobs
 
 
 def test_digamma():
@@ -90,3 +91,18 @@ def test_themes_are_found_chosen_and_resumed(spark):
     assert {r["term"] for r in both.collect()} == {r["term"] for r in terms.collect()}
     assert per_weight(held, both) > per_weight(held, terms) - 0.2
     assert sum(blocks.totals(both)) == pytest.approx(sum(r[2] for r in train.collect()) + len({r["term"] for r in terms.collect()}), rel=1e-6)
+
+
+def test_jobs_in_blocks(spark, tmp_path):
+    deal = random.Random(9)
+    themes = ["graph vertex edge path cluster".split(), "prior posterior sampling likelihood bayes".split()]
+    rows = [(i, " ".join(deal.choices(themes[i % 2], k=12)), b"x") for i in range(30)] + [(98, None, None), (99, "the a of", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, content binary")
+    path = str(tmp_path / "model")
+    log = jobs.train_blocks(docs, path, (1, 2), rounds=8, groups=2, blocks=2)
+    assert [r["k"] for r in log.collect() if r["chosen"]] == [2]
+    found = jobs.search_blocks(spark, path, "Vertex and edge of a graph", 8)
+    assert found.count() == 8 and all(r["doc_id"] % 2 == 0 and r["similarity"] > 0.9 for r in found.collect())
+    assert jobs.search_blocks(spark, path, "unknown words").count() == 0
+    stored = spark.read.parquet(f"{path}/topicDistribution.parquet")
+    assert stored.count() == 32 and stored.where("topics is null").count() == 2 and "content" not in stored.columns
