@@ -349,7 +349,7 @@ def topic_communities(spark, sf_dir):
 
 def lda_blocked_topics(spark, sf_dir):
     """45 topics over all documents and the whole vocabulary, fitted in blocks."""
-    docs, _ = blocks.fit(blocks.weighted_cells(_worded(spark, sf_dir)), TOPICS, rounds=20)
+    docs, _ = blocks.fit(blocks.weighted_cells(_worded(spark, sf_dir)), TOPICS, rounds=10)
     return docs
 
 
