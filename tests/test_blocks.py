@@ -69,7 +69,7 @@ def test_themes_are_found_chosen_and_resumed(spark):
     rows = themed(2, n=300)
     cells = spark.createDataFrame(rows, "doc_id long, term string, weight double").cache()
     train, held = cells.where("doc_id % 5 <> 0"), cells.where("doc_id % 5 = 0")
-    docs, terms = blocks.fit(train, 3, rounds=15)
+    docs, terms = blocks.fit(train, 3, rounds=8)
     theme = {}
     for r in docs.collect():
         if max(r["topics"]) > 0.6:
@@ -77,7 +77,7 @@ def test_themes_are_found_chosen_and_resumed(spark):
     assert len(theme) == 3 and len({max(set(v), key=v.count) for v in theme.values()}) == 3
     inferred = blocks.infer(held, terms)
     assert inferred.count() == held.where("weight > 0").select("doc_id").distinct().count()
-    options = {"rounds": 5, "groups": 2, "blocks": 2}
+    options = {"rounds": 3, "groups": 2, "blocks": 2}
     started = time.time()
     best, scores, _ = blocks.choose(train, held, (1, 3), at_once=1, **options)
     middle = time.time()
@@ -86,8 +86,8 @@ def test_themes_are_found_chosen_and_resumed(spark):
     assert per_weight(held, chosen) == pytest.approx(scores[3])
     print(f"one after the other {middle - started:.1f} s, at once {time.time() - middle:.1f} s")
     # two steps over the halves come near one fit over all, and no term of the first is lost
-    _, first = blocks.fit(train.where("doc_id % 2 = 0 or term = 'once'"), 3, rounds=15)
-    _, both = blocks.fit(train.where("doc_id % 2 = 1 and term <> 'once'"), 3, rounds=15, prior=first)
+    _, first = blocks.fit(train.where("doc_id % 2 = 0 or term = 'once'"), 3, rounds=8)
+    _, both = blocks.fit(train.where("doc_id % 2 = 1 and term <> 'once'"), 3, rounds=8, prior=first)
     assert {r["term"] for r in both.collect()} == {r["term"] for r in terms.collect()}
     assert per_weight(held, both) > per_weight(held, terms) - 0.2
     assert sum(blocks.totals(both)) == pytest.approx(sum(r[2] for r in train.collect()) + len({r["term"] for r in terms.collect()}), rel=1e-6)
