@@ -46,6 +46,19 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f * (1 / 132)))))
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the gamma function, for positive numbers."""
+    x, out = np.array(x, float), np.zeros(np.shape(x))
+    for _ in range(10):
+        low = x < 10
+        if not low.any():
+            break
+        out[low] -= np.log(x[low])
+        x[low] += 1
+    f = 1 / (x * x)
+    return out + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - f * (1 / 360 - f * (1 / 1260 - f / 1680))) / x
+
+
 def settle(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, gamma: np.ndarray, rows: np.ndarray, alpha: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """New topic weights of documents, and expected counts of terms, from cells in the order of documents.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel, IDFModel
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text
-from paperloom.operators import features
+from paperloom.operators import blocks, features
 from paperloom.operators import lemmas as learned
 
 
@@ -72,6 +76,47 @@ def pinned(docs: DataFrame, id_col: str, partitions: int) -> DataFrame:
     return docs.repartitionByRange(partitions, id_col).sortWithinPartitions(id_col)
 
 
+def bounds(model: LDAModel, vectors: DataFrame) -> tuple[float, float]:
+    """What ``logLikelihood`` and ``logPerplexity`` of a model give for sparse ``features``, in one pass over their cells.
+
+    MLlib's methods take the exponentials of all topics x terms anew for each document, and the second turns each into a dense
+    vector besides. A document's variational weights are its topics times its weight and the prior's.
+    """
+    local = model.toLocal() if model.isDistributed() else model
+    alpha, weights = local.estimatedDocConcentration().toArray(), local.topicsMatrix().toArray()  # terms x topics
+    k = len(alpha)
+    eta = 1.1 if model.isDistributed() else 1 / k  # the optimizers' own, which ``train`` leaves
+    logs = blocks.digamma(weights) - blocks.digamma(weights.sum(axis=0))
+    whole = float(((eta - weights) * logs).sum() + (blocks.log_gamma(weights) - math.lgamma(eta)).sum() + k * math.lgamma(eta * len(weights)) - blocks.log_gamma(weights.sum(axis=0)).sum())
+    prior = math.lgamma(alpha.sum()) - blocks.log_gamma(alpha).sum()
+    held = vectors.sparkSession.sparkContext.broadcast(logs)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                features, topics = part.column("features"), part.column("topics")
+                terms, own = (pc.struct_field(features, name) for name in ("indices", "values"))
+                doc = np.repeat(np.arange(len(own)), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                weight, term = own.flatten().to_numpy(zero_copy_only=False), terms.flatten().to_numpy(zero_copy_only=False)
+                sizes = np.bincount(doc, weight, len(own))
+                some = np.bincount(doc, weight != 0, len(own)) > 0
+                gamma = topics.flatten().to_numpy(zero_copy_only=False).reshape(-1, k) * (sizes + alpha.sum())[:, None]
+                gamma[~some] = alpha
+                share = blocks.digamma(gamma) - blocks.digamma(gamma.sum(axis=1))[:, None]
+                each = share[doc] + held.value[term]
+                top = each.max(axis=1) if len(each) else np.zeros(0)
+                cells = weight * (top + np.log(np.exp(each - top[:, None]).sum(axis=1)))
+                docs = ((alpha - gamma) * share).sum(axis=1) + blocks.log_gamma(gamma).sum(axis=1) + prior - blocks.log_gamma(gamma.sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array([float(cells.sum() + docs[some].sum())]), pa.array([float(sizes.sum())])], ["bound", "weight"])
+
+    given = model.transform(vectors).select("features", vector_to_array("topicDistribution").alias("topics"))
+    row = given.mapInArrow(scored, "bound double, weight double").agg(F.sum("bound").alias("bound"), F.sum("weight").alias("weight")).first()
+    held.destroy()
+    likelihood = whole + (row["bound"] or 0.0)
+    return likelihood, (-likelihood / row["weight"] if row["weight"] else math.inf)
+
+
 def train(
     docs: DataFrame,
     candidates: tuple[int, ...] = (2,),
@@ -100,28 +145,23 @@ def train(
         lemmas = learned.Dictionary.of(learned.learn(learned.term_table(plain)))
     candidates = tuple(dict.fromkeys(candidates))
     partitions = partitions or min(MOST_PARTITIONS, max(4, -(-docs.count() // DOCS_A_PARTITION)))
-    worded = pinned(docs, id_col, partitions).withColumn("words", text.clean_tokens(F.col(text_col), mode, lemmas)).select(id_col, "words").persist()
+    worded = docs.select(id_col, text.clean_tokens(F.col(text_col), mode, lemmas).alias("words"))
+    terms = features.vocabulary(features.document_frequencies(features.term_counts(worded, id_col)), vocabulary_size, least_docs)
+    words = pinned(docs, id_col, partitions).select(id_col, text.clean_tokens(F.col(text_col), mode, lemmas).alias("words"))
+    counter, weights, made = features.vectorise(words, terms)
     try:
-        counts = features.term_counts(worded, id_col)
-        terms = features.vocabulary(features.document_frequencies(counts), vocabulary_size, least_docs)
-        counter, weights, made = features.vectorise(worded, terms)
-        made = made.select(id_col, "features").persist()
-        try:
-            scored_on = made
-            if held_out is not None:
-                scored_on = weights.transform(counter.transform(held_out.withColumn("words", text.clean_tokens(F.col(text_col), mode, lemmas))))
-            best, found = None, []
-            for k in candidates:
-                model = LDA(k=k, seed=seed, optimizer=optimizer, maxIter=iterations).fit(made)
-                scored = scores or len(candidates) > 1
-                likelihood = model.logLikelihood(scored_on) if scored else None
-                found.append((k, likelihood, model.logPerplexity(scored_on) if scored else None))
-                if best is None or likelihood > best[0]:
-                    best = (likelihood, model)
-        finally:
-            made.unpersist()
+        scored_on = made
+        if held_out is not None:
+            scored_on = weights.transform(counter.transform(held_out.withColumn("words", text.clean_tokens(F.col(text_col), mode, lemmas))))
+        best, found = None, []
+        for k in candidates:
+            model = LDA(k=k, seed=seed, optimizer=optimizer, maxIter=iterations).fit(made)
+            likelihood, perplexity = bounds(model, scored_on) if scores or len(candidates) > 1 else (None, None)
+            found.append((k, likelihood, perplexity))
+            if best is None or likelihood > best[0]:
+                best = (likelihood, model)
     finally:
-        worded.unpersist()
+        made.unpersist()
     return TopicPipeline(counter, weights, best[1], mode, lemmas, partitions), found
 
 

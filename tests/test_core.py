@@ -363,3 +363,24 @@ def test_entities_that_a_tag_cuts_in_two(spark):
     pages = ["<title>a &amp;&am</title><style>p{}</style>&lt;b", "<p>x &amp;amp; &a<i>mp</i>", "<script>var t='</p>' &am</script>p&nbsp;", "&am", None]
     rows = spark.createDataFrame(list(enumerate(pages)), "id int, page string").select("id", html.all_text("page").alias("t"))
     assert [r["t"] for r in rows.orderBy("id").collect()] == ["a &&{}<b", "x &amp; &", "var t='</p>' &\xa0", "&am", ""]
+
+
+@pytest.mark.parametrize("optimizer", ["online", "em"])
+def test_bounds_are_those_of_the_model(spark, optimizer):
+    deal = random.Random(3)
+    docs = [(d, " ".join(deal.choices([f"w{chr(97 + v)}x" for v in range(d % 2 * 8, d % 2 * 8 + 12)], k=d % 30))) for d in range(60)]
+    words = topics.pinned(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", 3).select("doc_id", F.split("text", " ").alias("words"))
+    _, _, made = features.vectorise(words, [f"w{chr(97 + v)}x" for v in range(20)])
+    model = topics.LDA(k=3, seed=1, optimizer=optimizer, maxIter=10).fit(made)
+    likelihood, perplexity = topics.bounds(model, made)
+    assert likelihood == pytest.approx(model.logLikelihood(made), rel=1e-4) and perplexity == pytest.approx(model.logPerplexity(made), rel=1e-4)
+
+
+def test_scoring_takes_time_by_cells_not_by_the_vocabulary(spark):
+    letters = "abcdefghijklmnopqrst"
+    terms = [a + b + c + d for a in letters for b in letters for c in letters for d in letters]
+    began = time.time()
+    _, _, made = features.vectorise(spark.range(600).select("id", F.split(F.repeat(F.lit("abca dabb tttt "), 3), " ").alias("words")), terms)
+    model = topics.LDA(k=4, seed=1, maxIter=1).fit(made)
+    topics.bounds(model, made)
+    assert time.time() - began < 20
