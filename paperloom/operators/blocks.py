@@ -3,8 +3,8 @@
 Documents are dealt to groups and terms to blocks. A group's task holds its documents' topic weights and the rows of the
 terms that stand in it, never topics x vocabulary; a block's task adds up what the groups say about its terms. Both meet once a
 round: groups take the term rows, settle their documents and pass on expected counts; blocks sum these and send each group
-the rows it needs. What travels is topics x the terms of each group. A round is one job and one written table, and
-the driver sees one number a topic.
+the rows it needs. What travels is topics x the terms of each group, of ``WAVE`` groups at a time, and what is written is topics x
+terms and documents; both are deleted as soon as the next is there. The driver sees one number a topic.
 
 A round is one of batch variational Bayes for LDA, with ``steps`` updates of each document's weights, which are
 kept from round to round. The start is drawn from a term's own hash, and sums run in a fixed order: a fit is repeatable for a given
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.session import kept
+from paperloom.session import discard, kept
 
 #: Bytes of a group's or a block's matrix on average.
 BYTES = 16 << 20
+#: Groups whose rows travel at once, which bounds the disk that a round takes.
+WAVE = 64
+#: While a round is written: its shuffle files go at the end.
+CLEANED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 CELLS, GAMMA, ROWS, SUMS, PRIOR = 0, 1, 2, 3, 4
 STATE = "kind int, group int, block int, ids binary, others binary, values binary"
 NAMES = [x.split()[0] for x in STATE.split(", ")]
@@ -82,6 +87,20 @@ def settle(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, gamma: np.ndar
     return gamma, counts * rows
 
 
+def settle_parts(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, gamma: np.ndarray, rows: np.ndarray, alpha: float, steps: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`settle` over runs of whole documents of at most ``cells`` cells, or of one document."""
+    out, counts, at = np.array(gamma), np.zeros_like(rows), 0
+    while at < len(doc):
+        end = int(np.searchsorted(doc, doc[at + cells])) if at + cells < len(doc) else len(doc)
+        end = end if end > at else int(np.searchsorted(doc, doc[at], "right"))
+        first, last = doc[at], doc[end - 1] + 1
+        used, own = np.unique(term[at:end], return_inverse=True)
+        out[first:last], part = settle(doc[at:end] - first, own, weight[at:end], gamma[first:last], rows[used], alpha, steps)
+        counts[used] += part
+        at = end
+    return out, counts
+
+
 def start_of(keys: np.ndarray, k: int, seed: int) -> np.ndarray:
     """The first weights of terms, near 1, from hashes of their keys."""
     x = keys.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
@@ -124,7 +143,7 @@ def layout(cells: DataFrame, id_col: str, groups: int, blocks: int) -> tuple[Dat
         out += [(ROWS, group, int(b), part["key"].to_numpy("<i8").tobytes(), None, None) for b, part in own.groupby("block", sort=True)]
         return pd.DataFrame(out, columns=NAMES)
 
-    return docs, terms, kept(placed.groupBy("group").applyInPandas(pack, STATE))
+    return docs, terms, kept(placed.groupBy("group").applyInPandas(pack, STATE), **CLEANED)
 
 
 def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", steps: int = 8, alpha: float | None = None, eta: float | None = None, groups: int | None = None, blocks: int | None = None, seed: int = 1, prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -135,12 +154,13 @@ def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", step
     """
     spark = cells.sparkSession
     alpha, eta = alpha or 1 / k, eta or 1 / k
-    cells = kept(cells.where("weight > 0").select(id_col, "term", "weight"))
+    cells = kept(cells.where("weight > 0").select(id_col, "term", "weight"), **CLEANED)
     sizes = cells.agg(F.count_distinct(id_col).alias("d"), F.count_distinct("term").alias("v"), F.count(F.lit(1)).alias("n")).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = groups or max(min(least, sizes["d"]), -(-sizes["n"] * k * 8 // (4 * BYTES)), 1)
-    blocks = blocks or max(min(least, sizes["v"]), -(-sizes["v"] * k * 8 // BYTES), 1)
+    groups = groups or max(min(least, sizes["d"]), -(-sizes["n"] * k * 8 // (32 * BYTES)), 1)
+    blocks = blocks or max(min(least, sizes["v"]), -(-sizes["v"] * k * 8 // BYTES), -(-sizes["n"] * k * 8 // (16 * BYTES)), 1)
     docs, terms, fixed = layout(cells, id_col, groups, blocks)
+    discard(cells)
 
     def by_group(totals: list[float]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +178,7 @@ def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", step
                 order = sorted(own["keys"])
                 gamma = own.get("gamma", np.ones((int(doc.max()) + 1, k)))
                 chances = np.exp(digamma(np.vstack([own["rows"][b] for b in order])) - digamma(np.array(totals)))
-                gamma, counts = settle(doc, term, weight, gamma, chances, alpha, steps)
+                gamma, counts = settle_parts(doc, term, weight, gamma, chances, alpha, steps, 4 * BYTES // (8 * k))
                 yield _row(GAMMA, group, group % blocks, None, None, gamma)
                 at = 0
                 for b in order:
@@ -168,36 +188,52 @@ def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", step
 
         return run
 
-    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of what groups say, on top of the prior; with lists of terms alone, the start."""
-        parts: dict[int, list] = {}
-        known: dict[int, tuple] = {}
+    def by_block(whole: bool):
+        """Sums of what groups say, if ``whole`` on top of the prior; with lists of terms alone, the start."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: dict[int, list] = {}
+            known: dict[int, tuple] = {}
+            for kind, group, block, ids, _, values in _rows_of(batches):
+                if kind == GAMMA:
+                    yield _row(GAMMA, group, block, None, None, values)
+                elif kind == PRIOR:
+                    known[block] = np.frombuffer(ids, "<i8"), _matrix(values, k)
+                else:
+                    parts.setdefault(block, []).append((group, np.frombuffer(ids, "<i8"), None if values is None else _matrix(values, k)))
+            for block, said in parts.items():
+                said.sort(key=lambda p: p[0])
+                keys, place = np.unique(np.concatenate([ids for _, ids, _ in said]), return_inverse=True)
+                base = np.full((len(keys), k), eta if whole else 0.0)
+                old = np.zeros(len(keys), bool)
+                if block in known and len(known[block][0]):
+                    ids, rows = known[block]
+                    at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
+                    old = ids[at] == keys
+                    base[old] = rows[at[old]]
+                if said[0][2] is None:
+                    sums = np.where(old[:, None], base, start_of(keys, k, seed))
+                else:
+                    every = np.concatenate([counts for _, _, counts in said])
+                    order = np.argsort(place, kind="stable")
+                    sums = base + np.add.reduceat(every[order], np.flatnonzero(np.concatenate([[True], np.diff(place[order]) > 0])), axis=0)
+                yield _row(SUMS, said[0][0], block, keys, None, sums)
+
+        return run
+
+    def to_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of each list of terms, from a block's sums."""
+        lists: dict[int, list] = {}
+        sums: dict[int, tuple] = {}
         for kind, group, block, ids, _, values in _rows_of(batches):
-            if kind == GAMMA:
-                yield _row(GAMMA, group, block, None, None, values)
-            elif kind == PRIOR:
-                known[block] = np.frombuffer(ids, "<i8"), _matrix(values, k)
-            else:
-                parts.setdefault(block, []).append((group, np.frombuffer(ids, "<i8"), None if values is None else _matrix(values, k)))
-        for block, said in parts.items():
-            said.sort(key=lambda p: p[0])
-            keys, place = np.unique(np.concatenate([ids for _, ids, _ in said]), return_inverse=True)
-            base = np.full((len(keys), k), eta)
-            old = np.zeros(len(keys), bool)
-            if block in known and len(known[block][0]):
-                ids, rows = known[block]
-                at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
-                old = ids[at] == keys
-                base[old] = rows[at[old]]
-            if said[0][2] is None:
-                sums = np.where(old[:, None], base, start_of(keys, k, seed))
+            if kind == SUMS:
+                sums[block] = np.frombuffer(ids, "<i8"), _matrix(values, k)
             else:
-                every = np.concatenate([counts for _, _, counts in said])
-                order = np.argsort(place, kind="stable")
-                sums = base + np.add.reduceat(every[order], np.flatnonzero(np.concatenate([[True], np.diff(place[order]) > 0])), axis=0)
-            yield _row(SUMS, -1, block, keys, None, sums)
-            for group, ids, _ in said:
-                yield _row(ROWS, group, block, ids, None, sums[np.searchsorted(keys, ids)])
+                lists.setdefault(block, []).append((group, np.frombuffer(ids, "<i8")))
+        for block, wanted in lists.items():
+            keys, rows = sums[block]
+            for group, ids in wanted:
+                yield _row(ROWS, group, block, ids, None, rows[np.searchsorted(keys, ids)])
 
     def total_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, block, _, _, values in _rows_of(batches):
@@ -213,14 +249,20 @@ def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", step
         priors = kept(terms.join(prior, "term").select("block", "key", "weights").groupBy("block").applyInPandas(pack, STATE))
         unseen = kept(prior.join(terms.select("term"), "term", "left_anti"))
         others = np.array(totals(unseen) or np.zeros(k))
-    cell_rows = fixed.where(F.col("kind") == CELLS)
-    moving = fixed.where(F.col("kind") == ROWS)
+    lists, state = fixed.where(F.col("kind") == ROWS), None
     for turn in range(rounds + 1):
-        if turn:
-            moving = cell_rows.unionByName(state.where(F.col("kind").isin(GAMMA, ROWS))).repartitionById(groups, "group").mapInArrow(by_group(total), STATE)
-        state = kept(moving.unionByName(priors).repartitionById(blocks, "block").mapInArrow(by_block, STATE))
-        said = state.where(F.col("kind") == SUMS).mapInArrow(total_of, "block int, sums array<double>").orderBy("block").collect()  # a row a block
-        total = np.sum([others, *[r["sums"] for r in said]], axis=0).tolist()
+        before, said = state, []
+        for start in range(0, groups if turn else 0, WAVE):
+            wave = F.col("group").between(start, start + WAVE - 1)
+            rows = lists.where(wave).unionByName(before.where(F.col("kind") == SUMS)).repartitionById(blocks, "block").mapInArrow(to_groups, STATE)
+            own = fixed.where((F.col("kind") == CELLS) & wave).unionByName(before.where((F.col("kind") == GAMMA) & wave)).unionByName(rows)
+            counts = own.repartitionById(groups, "group").mapInArrow(by_group(total), STATE)
+            said.append(kept(counts.repartitionById(blocks, "block").mapInArrow(by_block(False), STATE), **CLEANED))
+        moving = reduce(DataFrame.unionByName, said) if turn else lists
+        state = kept(moving.unionByName(priors).repartitionById(blocks, "block").mapInArrow(by_block(True), STATE), **CLEANED)
+        discard(*said, *([before] if turn else []))
+        sums = state.where(F.col("kind") == SUMS).mapInArrow(total_of, "block int, sums array<double>").orderBy("block").collect()  # a row a block
+        total = np.sum([others, *[r["sums"] for r in sums]], axis=0).tolist()
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group, _, _, _, values in _rows_of(batches):
@@ -235,7 +277,9 @@ def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", step
     of_docs = state.where(F.col("kind") == GAMMA).mapInArrow(documents, "group int, doc int, topics array<double>")
     of_terms = state.where(F.col("kind") == SUMS).mapInArrow(weights_of, "block int, key long, weights array<double>")
     described = terms.join(of_terms, ["block", "key"]).select("term", "weights")
-    return kept(docs.join(of_docs, ["group", "doc"]).select(id_col, "topics")), kept(described if prior is None else described.unionByName(unseen))
+    found = kept(docs.join(of_docs, ["group", "doc"]).select(id_col, "topics"), **CLEANED), kept(described if prior is None else described.unionByName(unseen), **CLEANED)
+    discard(fixed, state, docs, terms, *([priors, unseen] if prior is not None else []))
+    return found
 
 
 def totals(term_topics: DataFrame) -> list[float]:

@@ -42,8 +42,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, where a plan reads it more than once."""
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def kept(df: DataFrame, **conf: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, where a plan reads it more than once; ``conf`` holds while it is written."""
+    spark = df.sparkSession
+    path, before = shared_path(spark), {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`kept` that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -106,3 +106,22 @@ def test_jobs_in_blocks(spark, tmp_path):
     assert jobs.search_blocks(spark, path, "unknown words").count() == 0
     stored = spark.read.parquet(f"{path}/topicDistribution.parquet")
     assert stored.count() == 32 and stored.where("topics is null").count() == 2 and "content" not in stored.columns
+
+
+def test_a_fit_leaves_its_results_alone(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(blocks, "WAVE", 2)
+    monkeypatch.setattr("paperloom.session._shared", lambda spark: str(tmp_path))
+    docs, terms = blocks.fit(spark.createDataFrame(themed(2), "doc_id long, term string, weight double"), 3, rounds=2, groups=5, blocks=3)
+    assert docs.count() == 121 and terms.count() == 61
+    assert sorted(f.name for f in tmp_path.iterdir()) == sorted(d.written_to.split("/")[-1] for d in (docs, terms))
+    want_docs, _ = plain(spark, themed(2), 3, 2, steps=8)
+    assert all(np.allclose(r["topics"], want_docs[r["doc_id"]], atol=1e-8) for r in docs.collect())
+
+
+def test_documents_in_parts_settle_as_at_once():
+    make = np.random.default_rng(1)
+    doc = np.sort(np.concatenate([np.arange(9), make.integers(0, 9, 80)]))
+    term, weight, rows = make.integers(0, 20, len(doc)), make.random(len(doc)) + 0.1, make.random((20, 3))
+    one = blocks.settle(doc, term, weight, np.ones((9, 3)), rows, 0.3, 4)
+    for cells in (1, 15, 1000):
+        assert all(np.allclose(a, b) for a, b in zip(one, blocks.settle_parts(doc, term, weight, np.ones((9, 3)), rows, 0.3, 4, cells)))
