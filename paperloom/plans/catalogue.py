@@ -313,7 +313,7 @@ def layout_texts(spark, sf_dir):
     x = F.when(at < 6, 350).otherwise(1000 * column) + 120 * (at % 6)
     y = F.when(at < 6, 800).otherwise(740 - 14 * line - 4 * column)
     glyphs = rows.select("doc_id", page.alias("page"), x.alias("x0"), (y - 10).alias("y0"), (x + 6 * F.least(F.length("text"), F.lit(18))).alias("x1"), y.alias("y1"), "text")
-    found = layout.page_texts(layout.lines(glyphs, column_gap=150.0))
+    found = layout.texts(glyphs, column_gap=150.0)
     return found.select("doc_id", "page", "n_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 

@@ -77,3 +77,18 @@ def test_cuts_equal_brute_force(spark):
                     want.append((page, b, c, n, "".join((" " if i and g[0] - line[i - 1][2] > 1.5 else "") + g[4] for i, g in enumerate(line))))
     got = layout.lines(spark.createDataFrame(rows, SCHEMA)).select("page", "block", "column", "line", "text").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_pages_are_shuffled_once(spark):
+    deal, rows = random.Random(9), []
+    for doc in (None, 1, 2):
+        for page in range(2):
+            rows += [(doc, page, float(deal.randint(0, 9)), float(y := deal.randint(0, 60)), float(deal.randint(0, 9)), float(y + 5), deal.choice(["b", "ab", "\u00e9", ""]), "", 1) for _ in range(40)]
+    glyphs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = layout.texts(glyphs)
+    want = layout.page_texts(layout.lines(glyphs)).collect()
+    assert len(want) == 6 and sorted(map(str, found.collect())) == sorted(map(str, want))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and layout.texts(glyphs.limit(0)).count() == 0
+    ends = layout.lines(spark.createDataFrame([(1, 0, 0.0, 0.0, 1.0, 9.0, "b", "", 1), (1, 0, 0.0, 0.0, 1.0, 9.0, "a", "", 1), (1, 0, float("nan"), 0.0, 2.0, 9.0, "c", "", 1)], SCHEMA)).select("column", "text")
+    assert [tuple(r) for r in ends.collect()] == [(1, "abc")]
