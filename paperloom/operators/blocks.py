@@ -346,5 +346,5 @@ def weighted_cells(docs: DataFrame, id_col: str = "doc_id", words_col: str = "wo
     from paperloom.operators import features
 
     counts = kept(features.term_counts(docs, id_col, words_col))
-    inverse = features.inverse_frequencies(features.document_frequencies(counts), docs)
+    inverse = kept(features.inverse_frequencies(features.document_frequencies(counts), docs))
     return features.tfidf(counts, inverse).select(id_col, "term", F.col("tfidf").alias("weight"))

@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import IDF, CountVectorizerModel, IDFModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Terms of the most documents that are joined by a broadcast.
+OFTEN = 20_000
+
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", words_col: str = "words") -> DataFrame:
     """(id, term, tf)."""
     return docs.select(id_col, F.explode(words_col).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def row_counts(docs: DataFrame, id_col: str = "doc_id", words_col: str = "words") -> DataFrame:
+    """(id, term, tf) of each row: :func:`term_counts` without its shuffle, where no id is repeated."""
+    names = [id_col, "term", "tf"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, words = batch.columns
+            coded = words.flatten().dictionary_encode("encode")
+            row = np.repeat(np.arange(len(ids)), words.value_lengths().fill_null(0).to_numpy())
+            cells, tf = np.unique(row * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_counts=True)
+            row, term = np.divmod(cells, max(1, len(coded.dictionary)))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), coded.dictionary.take(pa.array(term)), pa.array(tf)], names)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(words_col).alias("words")).mapInArrow(run, f"id {kind}, term string, tf long".replace("id ", f"`{id_col}` ", 1))
+
+
 def document_frequencies(counts: DataFrame) -> DataFrame:
     """(term, df, cf): documents that hold a term, and its occurrences."""
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -24,8 +48,16 @@ def inverse_frequencies(frequencies: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def tfidf(counts: DataFrame, inverse: DataFrame) -> DataFrame:
-    """(id, term, tf, tfidf)."""
-    return counts.join(inverse.select("term", "idf"), "term").withColumn("tfidf", F.col("tf") * F.col("idf"))
+    """(id, term, tf, tfidf); both tables are read twice.
+
+    The ``OFTEN`` terms of the most documents, which most counts are of, are joined where these lie; only counts of other
+    terms are shuffled, so that no partition gets the rows of a frequent term.
+    """
+    often = inverse.orderBy(F.desc("df"), "term").limit(OFTEN).select("term", F.col("idf").alias("often_idf"))
+    seen = counts.join(F.broadcast(often), "term", "left")
+    near = seen.where("often_idf is not null").withColumnRenamed("often_idf", "idf")
+    far = seen.where("often_idf is null").drop("often_idf").join(inverse.select("term", "idf"), "term")
+    return near.unionByName(far).withColumn("tfidf", F.col("tf") * F.col("idf"))
 
 
 def top_terms(weighted: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:

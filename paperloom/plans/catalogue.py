@@ -34,7 +34,10 @@ def _worded(spark, sf_dir):
 
 
 def _counts(spark, sf_dir):
-    return features.term_counts(_worded(spark, sf_dir))
+    docs, worded = _documents(spark, sf_dir), _worded(spark, sf_dir)
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
+        return features.row_counts(worded)
+    return features.term_counts(worded)
 
 
 def _frequencies(spark, sf_dir):
@@ -88,7 +91,7 @@ def inverse_doc_frequency(spark, sf_dir):
 
 def tfidf_top_terms(spark, sf_dir):
     counts = kept(_counts(spark, sf_dir))  # read for the frequencies and for the weights
-    inverse = features.inverse_frequencies(features.document_frequencies(counts), _documents(spark, sf_dir))
+    inverse = kept(features.inverse_frequencies(features.document_frequencies(counts), _documents(spark, sf_dir)))
     rounded = features.tfidf(counts, inverse).withColumn("tfidf", F.round("tfidf", 6))
     return features.top_terms(rounded, 5).select("doc_id", F.col("rank").cast("long").alias("rank"), "term", "tf", "tfidf")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import html, text, vectors
 from paperloom.operators import explore, features, graph, similarity, topics
 from paperloom.plans import catalogue, dispatch, jobs, pages
+from paperloom.session import kept
 from paperloom.sources import readers, sinks
 from paperloom.streaming import scoring
 
@@ -95,6 +96,30 @@ def test_idf_matches_ml(spark):
     assert list(made.orderBy("doc_id").first()["features"].toArray()) == pytest.approx([2 * math.log(2), math.log(4 / 3)])
 
 
+def test_frequent_terms_are_weighed_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(features, "OFTEN", 2)
+    words = [(i if i else None, ["all", "most" if i % 3 else "few", f"own{i}", f"own{i}", None]) for i in range(40)] + [(7, ["all", "own7"]), (None, None)]
+    docs = spark.createDataFrame(words, "doc_id long, words array<string>")
+    counts = kept(features.term_counts(docs))
+    inverse = kept(features.inverse_frequencies(features.document_frequencies(counts), docs))
+    weighed = features.tfidf(counts, inverse)
+    want = counts.join(inverse, "term").select("doc_id", "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))
+    assert sorted(map(str, weighed.select("doc_id", "term", "tf", "tfidf").collect())) == sorted(map(str, want.collect()))
+    assert weighed.count() == 121 - 1 and "BroadcastHashJoin" in weighed._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_counts_of_rows_and_of_repeated_ids(spark, tmp_path):
+    rows = [(1, ["a", "b", "a", "\u00e9"]), (2, None), (3, []), (None, ["b", None, None])]
+    docs = spark.createDataFrame(rows, "doc_id long, words array<string>").repartition(3)
+    found = sorted(map(str, features.row_counts(docs).collect()))
+    assert found == sorted(map(str, features.term_counts(docs).collect())) and len(found) == 5
+    for texts in (["red red car", "red bus"], ["red red car", None, ""]):
+        for ids in ([1, 2, 3], [1, 1, None], [None, None, 1]):
+            spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+            want = features.term_counts(catalogue._worded(spark, str(tmp_path)))
+            assert sorted(map(str, catalogue._counts(spark, str(tmp_path)).collect())) == sorted(map(str, want.collect()))
+
+
 def test_pairs_degrees_and_components(spark):
     docs = spark.createDataFrame([(1, [3, 1, 2]), (2, [])], "doc_id long, topics array<int>")
     assert sorted(tuple(r) for r in graph.pair_counts(docs).collect()) == [(1, 2, 1), (1, 3, 1), (2, 3, 1)]
