@@ -38,7 +38,7 @@ def splits(terms: DataFrame) -> DataFrame:
     spelt = rows.groupBy("lang", "ending").agg((F.count(F.lit(1)) * (1 + F.length("ending"))).alias("letters"))
     order = Window.partitionBy("lang").orderBy(F.desc("letters"), "ending")
     looked_at = spelt.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ENDINGS).select("lang", "ending")
-    return rows.join(looked_at, ["lang", "ending"])
+    return rows.join(F.broadcast(looked_at), ["lang", "ending"])
 
 
 def rules(terms: DataFrame, cut: DataFrame) -> DataFrame:
@@ -50,18 +50,18 @@ def rules(terms: DataFrame, cut: DataFrame) -> DataFrame:
     pairs = own.join(own.toDF("lang", "stem", "base"), ["lang", "stem"])
     longer = (F.length("ending") > F.length("base")) | ((F.length("ending") == F.length("base")) & (F.col("ending") > F.col("base")))
     pairs = pairs.where(longer & ((F.col("base") == "") | (F.left("ending", F.lit(1)) != F.left("base", F.lit(1)))))
-    found = pairs.join(bits, "lang").groupBy("lang", "ending", "base").agg(F.count(F.lit(1)).alias("stems"), F.sum(LETTER * F.length("stem") - F.col("bits")).alias("saved"))
-    found = found.withColumn("gain", F.col("saved") - LETTER * (F.length("ending") + F.length("base") + 2))
+    found = pairs.groupBy("lang", "ending", "base").agg(F.count(F.lit(1)).alias("stems"), F.sum(F.length("stem")).alias("letters")).join(bits, "lang")  # few rows by now
+    found = found.withColumn("gain", LETTER * F.col("letters") - F.col("stems") * F.col("bits") - LETTER * (F.length("ending") + F.length("base") + 2))
     found = found.join(shown, ["lang", "ending"]).join(shown.select("lang", F.col("ending").alias("base"), F.col("shown").alias("base_shown")), ["lang", "base"]).join(stems, "lang")
     often = F.col("stems") * F.col("all") >= F.col("shown") * F.col("base_shown")
     return found.where((F.col("gain") > 0) & (F.col("stems") >= LEAST) & often).select("lang", "ending", "base", "stems", "gain")
 
 
 def learn(terms: DataFrame) -> DataFrame:
-    """(lang, term, lemma, n), written: the dictionary of (lang, term, n)."""
-    terms = kept(terms)
+    """(lang, term, lemma, n), written: the dictionary of (lang, term, n), which is written first unless it is so already."""
+    terms = terms if hasattr(terms, "written_to") else kept(terms)
     cut = kept(splits(terms))
-    bases = cut.join(rules(terms, cut), ["lang", "ending"]).select("lang", "term", F.concat("stem", "base").alias("lemma"), "gain", "base")
+    bases = cut.join(F.broadcast(rules(terms, cut)), ["lang", "ending"]).select("lang", "term", F.concat("stem", "base").alias("lemma"), "gain", "base")
     bases = bases.join(terms.select("lang", F.col("term").alias("lemma")), ["lang", "lemma"])
     order = Window.partitionBy("lang", "term").orderBy(F.desc("gain"), "base")
     now = kept(bases.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("lang", "term", "lemma"))

@@ -340,7 +340,7 @@ def browse_topic_clustered(spark, sf_dir):
 def learned_lemmas(spark, sf_dir):
     """Every term of each language with its learned lemma."""
     docs = _documents(spark, sf_dir).select("lang", text.regex_tokens(F.col("text")).alias("words"))
-    terms = lemmas.term_table(docs, lang_col="lang")
+    terms = kept(lemmas.term_table(docs, lang_col="lang"))  # read to learn from and for the result
     return lemmas.applied(terms, lemmas.learn(terms)).select("lang", "term", "lemma", "n")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text
 from paperloom.operators import lemmas
-from paperloom.plans import jobs
+from paperloom.plans import catalogue, jobs
 from paperloom.operators.topics import TopicPipeline
 
 ENGLISH = "walk talk jump paint clean cook play order answer visit open listen gather cover water"
@@ -52,3 +52,12 @@ def test_models_keep_their_dictionary(spark, tmp_path):
     asked = spark.createDataFrame([(1, "walking walked WALKS"), (2, "walk walk walk")], "_id long, text string")
     (a, b) = [r["words"] for r in loaded.words(asked).orderBy("_id").collect()]
     assert a == b == ["walk"] * 3
+
+
+def test_documents_are_read_once_for_the_terms(spark, tmp_path):
+    texts = [(lang, form) for lang, _, form in families()] + [(None, "walks"), ("en", None)]
+    spark.createDataFrame(texts, "lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.learned_lemmas(spark, str(tmp_path))
+    assert not [f for f in found.inputFiles() if "documents.parquet" in f]
+    named = {(r["lang"], r["term"]): (r["lemma"], r["n"]) for r in found.collect()}
+    assert named["en", "walking"] == ("walk", 1) and named["", "walks"] == ("walks", 1)
