@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +25,39 @@ def topic_counts(docs: DataFrame, topics_col: str = "topics") -> DataFrame:
     return docs.select(F.explode(topics_col).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("docs"))
 
 
+#: Cells of the table of rows by topics that pairs are counted from at once, and topics whose pairs are counted at once.
+CELLS, ABREAST = 4_000_000, 512
+
+
+def _pairs(lists: pa.ListArray) -> Iterator[list[pa.Array]]:
+    """src, dst and cnt of some rows' distinct topics, from the product of their table with itself."""
+    names = pc.unique(lists.flatten())
+    if len(lists) > 1 and len(lists) * len(names) > CELLS:
+        half = len(lists) // 2
+        yield from _pairs(lists.slice(0, half))
+        yield from _pairs(lists.slice(half))
+        return
+    names = names.take(pc.array_sort_indices(names, null_placement="at_end"))
+    held = np.zeros((len(lists), len(names)), np.float32)  # counts up to CELLS are exact
+    held[pc.list_parent_indices(lists).to_numpy(), pc.index_in(lists.flatten(), value_set=names).to_numpy()] = 1
+    for first in range(0, len(names), ABREAST):
+        both = np.triu(held[:, first : first + ABREAST].T @ held, first + 1)
+        src, dst = np.nonzero(both)
+        if len(src):
+            yield [names.take(pa.array(src + first)), names.take(pa.array(dst)), pa.array(both[src, dst].astype(np.int64))]
+
+
 def pair_counts(docs: DataFrame, topics_col: str = "topics") -> DataFrame:
-    """(src, dst, cnt) with src < dst: documents that two topics occur in together."""
-    ordered = F.array_sort(F.array_distinct(topics_col))
-    rest = lambda a, i: F.transform(F.slice(ordered, i + 2, F.size(ordered)), lambda b: F.struct(a.alias("src"), b.alias("dst")))
-    pairs = docs.select(F.explode(F.flatten(F.transform(ordered, rest))).alias("pair"))
-    return pairs.groupBy("pair.src", "pair.dst").agg(F.count(F.lit(1)).alias("cnt"))
+    """(src, dst, cnt) with src < dst: documents that two topics occur in together. A task sums up the pairs of its rows first."""
+    distinct = docs.select(F.array_distinct(topics_col).alias("topics"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for made in _pairs(batch.column("topics")):
+                yield pa.RecordBatch.from_arrays(made, ["src", "dst", "cnt"])
+
+    kind = distinct.schema["topics"].dataType.elementType.simpleString()
+    return distinct.mapInArrow(run, f"src {kind}, dst {kind}, cnt long").groupBy("src", "dst").agg(F.sum("cnt").alias("cnt"))
 
 
 def chi_square_edges(docs: DataFrame, topics_col: str = "topics", correction: str = "signed") -> DataFrame:

@@ -346,7 +346,8 @@ def learned_lemmas(spark, sf_dir):
 
 def topic_communities(spark, sf_dir):
     rows = _memberships(spark, sf_dir)
-    found = communities.community_table(graph.topic_counts(rows), graph.interesting(graph.chi_square_edges(rows), CHI))
+    edges = cut_lineage(graph.interesting(graph.chi_square_edges(rows), CHI))  # read for the communities and for their modularity
+    found = communities.community_table(graph.topic_counts(rows), edges)
     return found.select(F.col("topic").cast("long").alias("topic"), F.col("community").cast("long").alias("community"), "size", F.round("modularity", 9).alias("modularity"))
 
 

@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -131,6 +132,25 @@ def test_pairs_degrees_and_components(spark):
     assert {r["topic"]: r["degree"] for r in graph.degrees(edges).collect()} == {0: 1, 1: 2, 2: 1, 4: 1, 5: 1}
 
 
+def test_pairs_are_summed_up_before_they_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CELLS", 60)
+    deal = random.Random(4)
+    for kind, names in (("int", list(range(-3, 9))), ("string", ["", "a", "\u00e9", "z", "\U0001f600"])):
+        rows = [(None,), ([],), ([names[0]],), (names * 2,)] + [([deal.choice([*names, None]) for _ in range(deal.randint(0, 9))],) for _ in range(60)]
+        want = {}
+        for (row,) in rows:
+            own = sorted({t for t in row or () if t is not None}) + [None] * (None in (row or ()))
+            for i, a in enumerate(own):
+                for b in own[i + 1 :]:
+                    want[a, b] = want.get((a, b), 0) + 1
+        found = graph.pair_counts(spark.createDataFrame(rows, f"topics array<{kind}>").repartition(3))
+        assert {(r["src"], r["dst"]): r["cnt"] for r in found.collect()} == want
+        assert "Generate" not in found._jdf.queryExecution().sparkPlan().toString()
+    held = np.array([[True] * 3, [True, False, True]])
+    (made,) = graph._pairs(pa.array([[i for i in range(3) if row[i]] for row in held]))
+    assert [c.to_pylist() for c in made] == [[0, 0, 1], [1, 2, 2], [1, 2, 1]]
+
+
 def test_long_path_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "src int, dst int")
     vertices = spark.createDataFrame([(i,) for i in range(41)], "topic int")
