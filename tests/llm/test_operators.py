@@ -5,7 +5,7 @@ import gzip
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -585,6 +585,45 @@ def test_jaccard_buckets_fold_in_parts():
     assert count.tolist() == [len(seen[x]) for x in sorted(seen) if len(set(seen[x])) > 1]
 
 
+def test_jaccard_packed_bytes_do_not_grow_with_buckets(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"u{rng.integers(0, 10**6)}" for _ in range(124)) for _ in range(200)]
+    size = {}
+    for buckets in (8, 512):
+        packed = jaccard.packed_tokens(documents(spark, texts), buckets)
+        binary = [c for c, kind in packed.dtypes if kind == "binary"]
+        size[buckets] = packed.agg(F.sum(sum(F.coalesce(F.length(c), F.lit(0)) for c in binary))).first()[0]
+    assert size[512] <= 1.1 * size[8] <= 1.1 * 11 * 200 * 120
+
+
+def test_jaccard_sample_drops_sets_that_link_with_nothing(spark):
+    rng = np.random.default_rng(10)
+    texts = near_copies(rng, 60, 100, 9) + [" ".join(f"u{k}_{i}" for i in range(n)) for k, n in enumerate(rng.integers(1, 200, 60))] + ["", None]
+    docs = documents(spark, texts)
+    members = {r["doc_id"]: (r["n"], r["f"]) for r in jaccard.members_of(docs.select("doc_id", "text")).collect()}
+    left = {r["f"] for r in jaccard.may_link(docs, sum(n for n, _ in members.values()), 80).collect()}
+    want = groups_brute(texts)
+    sizes = Counter(c for _, c in want.values())
+    assert {members[i][1] for i, (_, c) in want.items() if sizes[c] > 1} <= left
+    assert len(left - {members[i][1] for i in range(60)}) < 10
+
+
+@pytest.mark.parametrize("held", [1, 1 << 25])
+def test_jaccard_bucket_answers(monkeypatch, held):
+    """Rows of a bucket in a file or in memory, whole tokens and halves; a set that meets itself alone shares nothing."""
+    monkeypatch.setattr(jaccard, "HELD", held)
+    docs, low, high = [np.array(x, kind).tobytes() for x, kind in (([0, 0, 2, 2], "<u2"), ([5, 6, 7, 7], "<u4"), ([1, 2, 3, 4], "<u4"))]
+    other = [np.array(x, kind).tobytes() for x, kind in (([1], "<u2"), ([6], "<u4"), ([2], "<u4"))]
+    for whole in (True, False):
+        rows = [(0, 3, b"marks", b"sizes", None, None, None), (0, 3, None, None, docs, low, high if whole else None), (0, 4, None, None, *other[:2], other[2] if whole else None)]
+        found = [tuple(r.values()) for b in jaccard._answers(jaccard._batch([r], jaccard.PACKED) for r in rows) for r in b.to_pylist()]
+        assert found[0] == (3, b"marks", b"sizes", None, None, None)
+        if whole:
+            assert [(c, list(np.frombuffer(d, "<u2")), list(np.frombuffer(t, "<u8")), list(np.frombuffer(n, "<u4"))) for c, _, _, d, t, n in found[1:]] == [(3, [0], [2 << 32 | 6], [2]), (4, [1], [2 << 32 | 6], [2])]
+        else:
+            assert [(c, list(np.frombuffer(d, "<u2")), t, n) for c, _, _, d, t, n in found[1:]] == [(3, [0, 2, 2], None, None)]
+
+
 def test_jaccard_groups(spark):
     rng = np.random.default_rng(3)
     texts = TEXTS + near_copies(rng, 70, 120, 5) + ["common passage of seven words here now " + " ".join(f"u{k}_{i}" for i in range(20)) for k in range(40)] + ["A b C d", "a B c D", "a b c"]
