@@ -297,7 +297,9 @@ def entities(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     left = may_link(rows, members.agg(F.sum("n")).first()[0] or 0, percent)
     leads = written(members.join(left.distinct(), "f").groupBy("f").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n")))
     discard(left)
-    texts = rows.select(F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(["text_hash"]).join(leads, "text_hash", "left_semi")
+    texts = rows.select(F.xxhash64("text").alias("text_hash"), "text", F.lit(False).alias("left"))
+    both = texts.unionByName(leads.select("text_hash", F.lit(None).cast("string").alias("text"), F.lit(True).alias("left")))
+    texts = both.groupBy("text_hash").agg(F.max("text").alias("text"), F.max("left").alias("left")).where("left")
     texts = texts.sortWithinPartitions("text_hash")  # a repeated task makes the same chunks
 
     def judge(marks: np.ndarray, sizes: np.ndarray, docs: np.ndarray, token: np.ndarray, df: np.ndarray) -> pa.RecordBatch | None:
