@@ -81,6 +81,9 @@ def lemmatize(words: Column, mode: str | Callable[[str], str] = "none") -> Colum
 
 def clean_tokens(text: Column, mode: str = "regex", lemmas: str | Callable[[str], str] = "none") -> Column:
     """Tokens without English and domain stop words: the text side of training and of search alike."""
+    if mode == "regex" and lemmas == "none":  # tokens are in lower case already, so one look at each word does
+        words = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+")
+        return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*ENGLISH, *DOMAIN))
     words = regex_tokens(text) if mode == "regex" else letter_tokens(text)
     return without_domain_words(without_stop_words(lemmatize(words, lemmas)))
 

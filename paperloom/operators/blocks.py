@@ -4,7 +4,7 @@ Documents are dealt to groups and terms to blocks. A group's task holds its docu
 terms that stand in it, never topics x vocabulary; a block's task adds up what the groups say about its terms. Both meet once a
 round: groups take the term rows, settle their documents and pass on expected counts; blocks sum these and send each group
 the rows it needs. What travels is topics x the terms of each group, of ``WAVE`` groups at a time, and what is written is topics x
-terms and documents; both are deleted as soon as the next is there. The driver sees one number a topic.
+terms and documents; both are deleted as soon as the next is there. The driver sees a number a topic and block.
 
 A round is one of batch variational Bayes for LDA, with ``steps`` updates of each document's weights, which are
 kept from round to round. The start is drawn from a term's own hash, and sums run in a fixed order: a fit is repeatable for a given
@@ -21,6 +21,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,25 +31,38 @@ from paperloom.session import discard, kept
 BYTES = 16 << 20
 #: Groups whose rows travel at once, which bounds the disk that a round takes.
 WAVE = 64
+#: Cells of the documents that are settled together: their rows stay in a processor's cache.
+CELLS_AT_ONCE = 8192
 #: While a round is written: its shuffle files go at the end.
 CLEANED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 CELLS, GAMMA, ROWS, SUMS, PRIOR = 0, 1, 2, 3, 4
 STATE = "kind int, group int, block int, ids binary, others binary, values binary"
 NAMES = [x.split()[0] for x in STATE.split(", ")]
-KINDS = [pa.int32()] * 3 + [pa.binary()] * 3
+
+
+def _corrections(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x + 6, and what its logarithm is above the digamma function of x, without branches: six steps up, then the series."""
+    y, z = x * (x + 5), x + 6
+    e = 1 / z
+    f = e * e
+    series = 0.5 * e + f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f * (1 / 132)))))
+    return z, series + (2 * x + 5) * ((3 * y + 20) * y + 24) / (y * (y + 4) * (y + 6))
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
     """The logarithmic derivative of the gamma function, for positive numbers."""
-    x, out = np.array(x, float), np.zeros(np.shape(x))
-    for _ in range(6):  # up to where the series is exact to doubles
-        low = x < 6
-        if not low.any():
-            break
-        out[low] -= 1 / x[low]
-        x[low] += 1
-    f = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f * (1 / 132)))))
+    z, above = _corrections(np.array(x, float))
+    return np.log(z) - above
+
+
+def exp_digamma(x: np.ndarray) -> np.ndarray:
+    """The exponential of the digamma function of the rows of ``x``, some at a time so that they stay in the cache."""
+    x, size = np.asarray(x, float), max(1, 8192 // max(1, x.shape[-1]))
+    out = np.empty_like(x)
+    for at in range(0, len(x), size):
+        z, above = _corrections(x[at : at + size])
+        np.multiply(z, np.exp(-above), out=out[at : at + size])
+    return out
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -69,36 +83,41 @@ def settle(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, gamma: np.ndar
 
     ``rows`` are the exponentials of the expected logarithms of the terms' chances.
     """
-    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-    own = rows[term]
-    ratio = weight
-    for _ in range(steps):
-        share = np.exp(digamma(gamma) - digamma(gamma.sum(axis=1))[:, None])
-        ratio = weight / np.maximum(np.einsum("ij,ij->i", share[doc], own), 1e-100)
-        gamma = np.full_like(gamma, alpha)
-        if len(doc):
-            gamma[doc[at]] += share[doc[at]] * np.add.reduceat(own * ratio[:, None], at, axis=0)
-    share = np.exp(digamma(gamma) - digamma(gamma.sum(axis=1))[:, None])
-    ratio = weight / np.maximum(np.einsum("ij,ij->i", share[doc], own), 1e-100)
-    counts, order = np.zeros_like(rows), np.argsort(term, kind="stable")
-    if len(order):
-        starts = np.flatnonzero(np.concatenate([[True], term[order][1:] != term[order][:-1]]))
-        counts[term[order][starts]] = np.add.reduceat((share[doc] * ratio[:, None])[order], starts, axis=0)
-    return gamma, counts * rows
+    return settle_parts(doc, term, weight, gamma, rows, alpha, steps, CELLS_AT_ONCE)
 
 
 def settle_parts(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, gamma: np.ndarray, rows: np.ndarray, alpha: float, steps: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`settle` over runs of whole documents of at most ``cells`` cells, or of one document."""
-    out, counts, at = np.array(gamma), np.zeros_like(rows), 0
-    while at < len(doc):
-        end = int(np.searchsorted(doc, doc[at + cells])) if at + cells < len(doc) else len(doc)
-        end = end if end > at else int(np.searchsorted(doc, doc[at], "right"))
-        first, last = doc[at], doc[end - 1] + 1
-        used, own = np.unique(term[at:end], return_inverse=True)
-        out[first:last], part = settle(doc[at:end] - first, own, weight[at:end], gamma[first:last], rows[used], alpha, steps)
-        counts[used] += part
-        at = end
-    return out, counts
+    """:func:`settle` over runs of whole documents of at most ``cells`` cells, or of one document.
+
+    A run's rows are taken once for all steps; products are made document by document, the rest for all documents of the run.
+    """
+    k, out = rows.shape[1], np.full_like(gamma, alpha)
+    shares, ratios, term = np.zeros_like(gamma), np.empty(len(doc)), term.astype(np.intp)
+    starts = np.flatnonzero(np.diff(doc, prepend=-1))
+    ends = np.append(starts[1:], len(doc))
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + cells, "right")))
+        first, last = starts[i], ends[j - 1]
+        own, docs, weights, ratio = rows[term[first:last]], doc[starts[i:j]], weight[first:last], ratios[first:last]
+        found, sums, now = np.empty(last - first), np.empty((j - i, k)), gamma[docs]
+        cut = [slice(a, b) for a, b in zip((starts[i:j] - first).tolist(), (ends[i:j] - first).tolist())]
+        owns, founds, each = [own[c] for c in cut], [found[c] for c in cut], [ratio[c] for c in cut]
+        for step in range(steps + 1):
+            share = exp_digamma(now) / exp_digamma(now.sum(axis=1, keepdims=True))
+            for a, b, c in zip(owns, share, founds):
+                np.dot(a, b, out=c)
+            np.divide(weights, np.maximum(found, 1e-100, out=found), out=ratio)
+            if step < steps:
+                for a, b, c in zip(each, owns, sums):
+                    np.dot(a, b, out=c)
+                now = alpha + share * sums
+        out[docs], shares[docs] = now, share
+        i = j
+    counts, doc = np.empty((k, len(rows))), doc.astype(np.intp)
+    for topic, share in enumerate(np.ascontiguousarray(shares.T)):
+        counts[topic] = np.bincount(term, share[doc] * ratios, len(rows))
+    return out, np.multiply(counts.T, rows, order="C")
 
 
 def start_of(keys: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -109,41 +128,58 @@ def start_of(keys: np.ndarray, k: int, seed: int) -> np.ndarray:
     return 0.85 + 0.3 * ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53
 
 
-def _matrix(raw: bytes, k: int) -> np.ndarray:
+def _matrix(raw: pa.Buffer, k: int) -> np.ndarray:
     return np.frombuffer(raw, "<f8").reshape(-1, k)
 
 
-def _row(kind: int, group: int, block: int, *raw: np.ndarray | bytes | None) -> pa.RecordBatch:
-    values = [kind, group, block, *[x if x is None or isinstance(x, bytes) else x.tobytes() for x in raw]]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, KINDS)], NAMES)
+def _binary(raw: np.ndarray | pa.Buffer | None) -> pa.Array:
+    """An array of one value, which isn't copied."""
+    if raw is None:
+        return pa.nulls(1, pa.binary())
+    raw = pa.py_buffer(raw if isinstance(raw, pa.Buffer) else np.ascontiguousarray(raw))
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, raw.size], np.int32)), raw])
+
+
+def _row(kind: int, group: int, block: int, *raw: np.ndarray | pa.Buffer | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[pa.array([v], pa.int32()) for v in (kind, group, block)], *map(_binary, raw)], NAMES)
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of three numbers and three buffers, or nulls; buffers are views of their batch."""
     for batch in batches:
-        yield from zip(*[c.to_pylist() for c in batch.columns])
+        *numbers, ids, others, values = batch.columns
+        for at, row in enumerate(zip(*[c.to_pylist() for c in numbers])):
+            yield *row, *[c[at].as_buffer() if c[at].is_valid else None for c in (ids, others, values)]
 
 
-def layout(cells: DataFrame, id_col: str, groups: int, blocks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, group, doc) of documents, (term, block, key) of terms, and CELLS rows of (id, term, weight), all written.
+def layout(cells: DataFrame, id_col: str, groups: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """(id, group, doc) of documents, and CELLS rows of (id, term, weight), both written; a term goes by its hash, which gives its block too.
 
     A CELLS row holds all of a group: documents, places in the group's own list of terms, weights; the list goes with it, a row a block.
     """
-    docs = cells.select(id_col).distinct().withColumn("group", F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int"))
+    group = F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int").alias("group")
+    docs = cells.select(id_col, group).distinct()
     docs = kept(docs.withColumn("doc", F.row_number().over(Window.partitionBy("group").orderBy(id_col)) - 1))
-    terms = cells.select("term").distinct().withColumn("key", F.xxhash64("term"))
-    terms = kept(terms.withColumn("block", F.pmod(F.hash("term"), F.lit(blocks)).cast("int")))
-    placed = cells.join(docs, id_col).join(terms, "term").select("group", "doc", "block", "key", F.col("weight").cast("double"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc", "block", "key"], kind="stable")
-        own = pdf[["block", "key"]].drop_duplicates().sort_values(["block", "key"])
-        number = pd.MultiIndex.from_frame(own).get_indexer(pd.MultiIndex.from_frame(pdf[["block", "key"]]))
-        group = int(pdf["group"].iloc[0])
-        out = [(CELLS, group, -1, pdf["doc"].to_numpy("<i4").tobytes(), number.astype("<i4").tobytes(), pdf["weight"].to_numpy("<f8").tobytes())]
-        out += [(ROWS, group, int(b), part["key"].to_numpy("<i8").tobytes(), None, None) for b, part in own.groupby("block", sort=True)]
-        return pd.DataFrame(out, columns=NAMES)
-
-    return docs, terms, kept(placed.groupBy("group").applyInPandas(pack, STATE), **CLEANED)
+    placed = cells.select(group, F.col(id_col).alias("id"), F.xxhash64("term").alias("key"), F.col("weight").cast("double").alias("weight"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [batch for batch in batches if batch.num_rows]
+        every = pa.Table.from_batches(found).combine_chunks() if found else None
+        for number in pc.unique(every["group"]).to_pylist() if found else ():
+            own = every.filter(pc.equal(every["group"], number)).combine_chunks()
+            coded = own["id"].chunk(0).dictionary_encode()
+            doc = np.argsort(pc.array_sort_indices(coded.dictionary).to_numpy())[coded.indices.to_numpy()]
+            keys, term = np.unique(own["key"].to_numpy(), return_inverse=True)
+            of = np.mod(keys, blocks)  # the order of a group's list is by block, then by key
+            by_block = np.argsort(of, kind="stable")
+            place = np.argsort(by_block)[term]
+            order = np.lexsort((place, doc))
+            yield _row(CELLS, number, -1, doc[order].astype("<i4"), place[order].astype("<i4"), own["weight"].to_numpy()[order].astype("<f8"))
+            keys, of = keys[by_block], of[by_block]
+            for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(of)) + 1):
+                yield _row(ROWS, number, int(of[part[0]]), keys[part].astype("<i8"), None, None)
+
+    return docs, kept(placed.repartitionById(groups, "group").mapInArrow(pack, STATE), **CLEANED)
 
 
 def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", steps: int = 8, alpha: float | None = None, eta: float | None = None, groups: int | None = None, blocks: int | None = None, seed: int = 1, prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -154,12 +190,13 @@ def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", step
     """
     spark = cells.sparkSession
     alpha, eta = alpha or 1 / k, eta or 1 / k
-    cells = kept(cells.where("weight > 0").select(id_col, "term", "weight"), **CLEANED)
-    sizes = cells.agg(F.count_distinct(id_col).alias("d"), F.count_distinct("term").alias("v"), F.count(F.lit(1)).alias("n")).first()
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = groups or max(min(least, sizes["d"]), -(-sizes["n"] * k * 8 // (32 * BYTES)), 1)
-    blocks = blocks or max(min(least, sizes["v"]), -(-sizes["v"] * k * 8 // BYTES), -(-sizes["n"] * k * 8 // (16 * BYTES)), 1)
-    docs, terms, fixed = layout(cells, id_col, groups, blocks)
+    cells = kept(cells.where((F.col("weight") > 0) & F.col("term").isNotNull() & F.col(id_col).isNotNull()).select(id_col, "term", "weight"), **CLEANED)
+    terms = kept(cells.select("term").distinct().withColumn("key", F.xxhash64("term")), **CLEANED)
+    n, v, d = cells.count(), terms.count(), cells.select(id_col).distinct().count()
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # as more groups share more terms
+    groups = groups or max(min(least, d), -(-n * k * 8 // (32 * BYTES)), 1)
+    blocks = blocks or max(min(least, v), -(-v * k * 8 // BYTES), -(-n * k * 8 // (16 * BYTES)), 1)
+    docs, fixed = layout(cells, id_col, groups, blocks)
     discard(cells)
 
     def by_group(totals: list[float]):
@@ -177,12 +214,14 @@ def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", step
                 doc, term, weight = own["cells"]
                 order = sorted(own["keys"])
                 gamma = own.get("gamma", np.ones((int(doc.max()) + 1, k)))
-                chances = np.exp(digamma(np.vstack([own["rows"][b] for b in order])) - digamma(np.array(totals)))
-                gamma, counts = settle_parts(doc, term, weight, gamma, chances, alpha, steps, 4 * BYTES // (8 * k))
+                chances = np.vstack([own["rows"].pop(b) for b in order])
+                chances /= exp_digamma(np.array([totals]))
+                gamma, counts = settle(doc, term, weight, gamma, chances, alpha, steps)
+                counts[counts < eta * 2.0**-54 / groups] = 0  # all groups' together stay below the last place of a weight, which is eta at least; zeros pack well
                 yield _row(GAMMA, group, group % blocks, None, None, gamma)
                 at = 0
                 for b in order:
-                    n = len(own["rows"][b])
+                    n = len(own["keys"][b]) // 8
                     yield _row(SUMS, group, b, own["keys"][b], None, counts[at : at + n])
                     at += n
 
@@ -203,7 +242,7 @@ def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", step
                     parts.setdefault(block, []).append((group, np.frombuffer(ids, "<i8"), None if values is None else _matrix(values, k)))
             for block, said in parts.items():
                 said.sort(key=lambda p: p[0])
-                keys, place = np.unique(np.concatenate([ids for _, ids, _ in said]), return_inverse=True)
+                keys = np.unique(np.concatenate([ids for _, ids, _ in said]))
                 base = np.full((len(keys), k), eta if whole else 0.0)
                 old = np.zeros(len(keys), bool)
                 if block in known and len(known[block][0]):
@@ -214,15 +253,15 @@ def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", step
                 if said[0][2] is None:
                     sums = np.where(old[:, None], base, start_of(keys, k, seed))
                 else:
-                    every = np.concatenate([counts for _, _, counts in said])
-                    order = np.argsort(place, kind="stable")
-                    sums = base + np.add.reduceat(every[order], np.flatnonzero(np.concatenate([[True], np.diff(place[order]) > 0])), axis=0)
-                yield _row(SUMS, said[0][0], block, keys, None, sums)
+                    sums = base
+                    for _, ids, counts in said:  # a group names a term once
+                        sums[np.searchsorted(keys, ids)] += counts
+                yield _row(SUMS, said[0][0], block, keys, sums.sum(axis=0), sums)
 
         return run
 
     def to_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of each list of terms, from a block's sums."""
+        """The rows of each list of terms, from a block's sums, not yet over the topics' totals."""
         lists: dict[int, list] = {}
         sums: dict[int, tuple] = {}
         for kind, group, block, ids, _, values in _rows_of(batches):
@@ -232,13 +271,10 @@ def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", step
                 lists.setdefault(block, []).append((group, np.frombuffer(ids, "<i8")))
         for block, wanted in lists.items():
             keys, rows = sums[block]
+            rows = exp_digamma(rows)
             for group, ids in wanted:
                 yield _row(ROWS, group, block, ids, None, rows[np.searchsorted(keys, ids)])
 
-    def total_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, block, _, _, values in _rows_of(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_matrix(values, k).sum(axis=0).tolist()], pa.list_(pa.float64()))], ["block", "sums"])
-
     priors, others = fixed.limit(0), np.zeros(k)
     if prior is not None:
 
@@ -246,7 +282,7 @@ def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", step
             pdf = pdf.sort_values("key")
             return pd.DataFrame([(PRIOR, -1, int(pdf["block"].iloc[0]), pdf["key"].to_numpy("<i8").tobytes(), None, np.vstack(pdf["weights"]).astype("<f8").tobytes())], columns=NAMES)
 
-        priors = kept(terms.join(prior, "term").select("block", "key", "weights").groupBy("block").applyInPandas(pack, STATE))
+        priors = kept(terms.join(prior, "term").select(F.pmod("key", F.lit(blocks)).cast("int").alias("block"), "key", "weights").groupBy("block").applyInPandas(pack, STATE))
         unseen = kept(prior.join(terms.select("term"), "term", "left_anti"))
         others = np.array(totals(unseen) or np.zeros(k))
     lists, state = fixed.where(F.col("kind") == ROWS), None
@@ -257,26 +293,30 @@ def fit(cells: DataFrame, k: int, rounds: int = 30, id_col: str = "doc_id", step
             rows = lists.where(wave).unionByName(before.where(F.col("kind") == SUMS)).repartitionById(blocks, "block").mapInArrow(to_groups, STATE)
             own = fixed.where((F.col("kind") == CELLS) & wave).unionByName(before.where((F.col("kind") == GAMMA) & wave)).unionByName(rows)
             counts = own.repartitionById(groups, "group").mapInArrow(by_group(total), STATE)
-            said.append(kept(counts.repartitionById(blocks, "block").mapInArrow(by_block(False), STATE), **CLEANED))
+            if groups > WAVE:
+                counts = kept(counts.repartitionById(blocks, "block").mapInArrow(by_block(False), STATE), **CLEANED)
+            said.append(counts)
         moving = reduce(DataFrame.unionByName, said) if turn else lists
         state = kept(moving.unionByName(priors).repartitionById(blocks, "block").mapInArrow(by_block(True), STATE), **CLEANED)
-        discard(*said, *([before] if turn else []))
-        sums = state.where(F.col("kind") == SUMS).mapInArrow(total_of, "block int, sums array<double>").orderBy("block").collect()  # a row a block
-        total = np.sum([others, *[r["sums"] for r in sums]], axis=0).tolist()
+        discard(*(said if groups > WAVE else []), *([before] if turn else []))
+        sums = [np.frombuffer(r["others"], "<f8") for r in state.where(F.col("kind") == SUMS).select("block", "others").orderBy("block").collect()]  # a row a block
+        total = np.sum([others, *sums], axis=0).tolist()
+
+    def arrays(rows: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, k, dtype=np.int32), pa.array(rows.ravel()))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group, _, _, _, values in _rows_of(batches):
             gamma = _matrix(values, k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gamma), group, np.int32)), pa.array(np.arange(len(gamma), dtype=np.int32)), pa.array(list(gamma / gamma.sum(axis=1)[:, None]), pa.list_(pa.float64()))], ["group", "doc", "topics"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gamma), group, np.int32)), pa.array(np.arange(len(gamma), dtype=np.int32)), arrays(gamma / gamma.sum(axis=1)[:, None])], ["group", "doc", "topics"])
 
     def weights_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, block, ids, _, values in _rows_of(batches):
-            rows = _matrix(values, k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block, np.int32)), pa.array(np.frombuffer(ids, "<i8")), pa.array(list(rows), pa.list_(pa.float64()))], ["block", "key", "weights"])
+        for _, _, _, ids, _, values in _rows_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, "<i8")), arrays(_matrix(values, k))], ["key", "weights"])
 
     of_docs = state.where(F.col("kind") == GAMMA).mapInArrow(documents, "group int, doc int, topics array<double>")
-    of_terms = state.where(F.col("kind") == SUMS).mapInArrow(weights_of, "block int, key long, weights array<double>")
-    described = terms.join(of_terms, ["block", "key"]).select("term", "weights")
+    of_terms = state.where(F.col("kind") == SUMS).mapInArrow(weights_of, "key long, weights array<double>")
+    described = terms.join(of_terms, "key").select("term", "weights")
     found = kept(docs.join(of_docs, ["group", "doc"]).select(id_col, "topics"), **CLEANED), kept(described if prior is None else described.unionByName(unseen), **CLEANED)
     discard(fixed, state, docs, terms, *([priors, unseen] if prior is not None else []))
     return found
@@ -345,6 +385,6 @@ def weighted_cells(docs: DataFrame, id_col: str = "doc_id", words_col: str = "wo
     """(id, term, weight): TF-IDF of every term of (id, words), the input of :func:`fit`."""
     from paperloom.operators import features
 
-    counts = kept(features.term_counts(docs, id_col, words_col))
+    counts = kept(features.counts(docs, id_col, words_col))
     inverse = kept(features.inverse_frequencies(features.document_frequencies(counts), docs))
     return features.tfidf(counts, inverse).select(id_col, "term", F.col("tfidf").alias("weight"))

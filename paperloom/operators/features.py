@@ -36,6 +36,12 @@ def row_counts(docs: DataFrame, id_col: str = "doc_id", words_col: str = "words"
     return docs.select(F.col(id_col).alias("id"), F.col(words_col).alias("words")).mapInArrow(run, f"id {kind}, term string, tf long".replace("id ", f"`{id_col}` ", 1))
 
 
+def counts(docs: DataFrame, id_col: str = "doc_id", words_col: str = "words") -> DataFrame:
+    """:func:`term_counts`, by :func:`row_counts` if no id is repeated."""
+    repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return row_counts(docs, id_col, words_col) if repeated.isEmpty() else term_counts(docs, id_col, words_col)
+
+
 def document_frequencies(counts: DataFrame) -> DataFrame:
     """(term, df, cf): documents that hold a term, and its occurrences."""
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))

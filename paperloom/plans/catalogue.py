@@ -34,10 +34,7 @@ def _worded(spark, sf_dir):
 
 
 def _counts(spark, sf_dir):
-    docs, worded = _documents(spark, sf_dir), _worded(spark, sf_dir)
-    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
-        return features.row_counts(worded)
-    return features.term_counts(worded)
+    return features.counts(_worded(spark, sf_dir))
 
 
 def _frequencies(spark, sf_dir):

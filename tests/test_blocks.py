@@ -125,3 +125,38 @@ def test_documents_in_parts_settle_as_at_once():
     one = blocks.settle(doc, term, weight, np.ones((9, 3)), rows, 0.3, 4)
     for cells in (1, 15, 1000):
         assert all(np.allclose(a, b) for a, b in zip(one, blocks.settle_parts(doc, term, weight, np.ones((9, 3)), rows, 0.3, 4, cells)))
+
+
+def test_exponentials_of_digamma():
+    x = np.concatenate([np.geomspace(0.02, 1e9, 5000), [1.0]]).reshape(-1, 3)
+    assert np.allclose(blocks.exp_digamma(x), np.exp(blocks.digamma(x)), rtol=1e-12) and blocks.exp_digamma(x)[-1, -1] == pytest.approx(math.exp(-0.5772156649015329), rel=1e-13)
+
+
+def test_a_round_of_one_wave_is_written_once(spark, monkeypatch):
+    written, kept = [], blocks.kept
+    monkeypatch.setattr(blocks, "kept", lambda *a, **b: written.append(1) or kept(*a, **b))
+    cells = spark.createDataFrame(themed(4, n=20), "doc_id long, term string, weight double")
+    tables = []
+    for rounds in (1, 3):
+        written.clear()
+        blocks.fit(cells, 3, rounds=rounds, groups=2, blocks=2)
+        tables.append(len(written))
+    assert tables[1] - tables[0] == 2
+
+
+def test_settling_takes_the_rows_of_a_cell_once():
+    make = np.random.default_rng(2)
+    doc, rows = np.repeat(np.arange(600), 130), make.random((20_000, 45)) * 1e-4
+    term, weight, gamma = make.integers(0, 20_000, len(doc)), make.random(len(doc)) + 0.1, np.ones((600, 45))
+    began = time.process_time()
+    for _ in range(9):  # what a step costs if each goes over all cells in the order of memory
+        np.einsum("ij,ij->i", gamma[doc], rows[term])
+    middle = time.process_time()
+    blocks.settle(doc, term, weight, gamma, rows, 1 / 45, 8)
+    assert time.process_time() - middle < middle - began
+
+
+def test_cells_without_a_term_or_document_are_left_out(spark):
+    rows = [(1, "a", 1.0), (1, None, 2.0), (None, "a", 3.0), (2, None, 1.0), (3, "b", 2.0)]
+    docs, terms = blocks.fit(spark.createDataFrame(rows, "doc_id long, term string, weight double"), 2, rounds=2)
+    assert sorted(r["doc_id"] for r in docs.collect()) == [1, 3] and sorted(r["term"] for r in terms.collect()) == ["a", "b"]

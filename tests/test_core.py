@@ -395,6 +395,14 @@ def test_registered_topic_queries_keep_every_term(spark, tmp_path):
     assert pipeline.model.getMaxIter() == 100
 
 
+def test_clean_tokens_in_one_look_are_those_of_each_step(spark):
+    texts = ["The Abstract of X: genes, I'll not a cid-map!", "  ", "", None, "\u0130stanbul na\u00efve KELVIN\u212a a b cc", "can't stop1word2the3THE keyword"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    steps = text.without_domain_words(text.without_stop_words(text.regex_tokens(F.col("t"))))
+    found = rows.select(text.clean_tokens(F.col("t")).alias("one"), steps.alias("each")).collect()
+    assert all(r["one"] == r["each"] for r in found) and any("genes" in r["one"] for r in found)
+
+
 def test_nearest_breaks_ties_by_id(spark):
     rows = spark.createDataFrame([(2, [1.0, 0.0]), (1, [1.0, 0.0]), (3, [0.0, 1.0])], "id long, v array<double>")
     assert [r["id"] for r in similarity.nearest(rows, doubles([1, 0]), "v", "id", 2).collect()] == [1, 2]
