@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.session import discard, kept
+from paperloom.session import CLEANED, discard, kept
 
 #: Bytes of a group's or a block's matrix on average.
 BYTES = 16 << 20
@@ -33,8 +33,6 @@ BYTES = 16 << 20
 WAVE = 64
 #: Cells of the documents that are settled together: their rows stay in a processor's cache.
 CELLS_AT_ONCE = 8192
-#: While a round is written: its shuffle files go at the end.
-CLEANED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 CELLS, GAMMA, ROWS, SUMS, PRIOR = 0, 1, 2, 3, 4
 STATE = "kind int, group int, block int, ids binary, others binary, values binary"
 NAMES = [x.split()[0] for x in STATE.split(", ")]

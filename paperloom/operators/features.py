@@ -72,9 +72,17 @@ def top_terms(weighted: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
     return weighted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def occurrences(docs: DataFrame, words_col: str = "words") -> DataFrame:
+    """(term, cf): occurrences of each term, counted where they lie and then by term."""
+    return docs.select(F.explode(words_col).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+
+
 def vocabulary(frequencies: DataFrame, size: int = 262_144, least_docs: int = 1) -> list[str]:
-    """At most ``size`` terms in a total order, by occurrences and then by name, so that indices never vary."""
-    kept = frequencies.where(F.col("df") >= least_docs).orderBy(F.desc("cf"), "term").limit(size)
+    """At most ``size`` terms in a total order, by occurrences and then by name, so that indices never vary.
+
+    ``df`` isn't needed if one document is enough.
+    """
+    kept = (frequencies.where(F.col("df") >= least_docs) if least_docs > 1 else frequencies).orderBy(F.desc("cf"), "term").limit(size)
     return [r["term"] for r in kept.select("term").collect()]
 
 

@@ -10,14 +10,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
-from pyspark.ml.feature import CountVectorizerModel, IDFModel
+from pyspark.ml.feature import IDF, CountVectorizerModel, IDFModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from paperloom.functions import text
 from paperloom.operators import blocks, features
 from paperloom.operators import lemmas as learned
+from paperloom.session import CLEANED, discard, kept, settings
 
 
 SETTINGS = "mode string, lemmas string, partitions int"
@@ -46,8 +48,9 @@ class TopicPipeline:
         return docs.withColumn("words", text.clean_tokens(F.col(text_col), self.mode, self.lemmas))
 
     def infer(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """``docs`` with ``topics``, an array of doubles; all 0 without a known word."""
-        made = self.model.transform(self.weights.transform(self.counter.transform(self.words(docs, text_col))))
+        """``docs`` with ``topics``, an array of doubles; all 0 without a known word. Counts of :func:`counted` are taken as they are."""
+        known = docs if "raw_features" in docs.columns else self.counter.transform(self.words(docs, text_col))
+        made = self.model.transform(self.weights.transform(known))
         return made.select(*docs.columns, vector_to_array("topicDistribution").alias("topics"))
 
     def save(self, path: str) -> None:
@@ -143,25 +146,68 @@ def train(
     if lemmas == "learned":
         plain = docs.select(text.clean_tokens(F.col(text_col), mode).alias("words"))
         lemmas = learned.Dictionary.of(learned.learn(learned.term_table(plain)))
+    found = counted(docs.select(id_col, text.clean_tokens(F.col(text_col), mode, lemmas).alias("words")), vocabulary_size, least_docs, id_col)
+    if held_out is not None:
+        held_out = held_out.withColumn("words", text.clean_tokens(F.col(text_col), mode, lemmas))
+    try:
+        return choose(*found, candidates, iterations, optimizer, id_col, mode, lemmas, partitions, held_out, seed, scores)
+    finally:
+        discard(found[2])
+
+
+def counted(words: DataFrame, vocabulary_size: int = 262_144, least_docs: int = 1, id_col: str = "doc_id") -> tuple[CountVectorizerModel, IDFModel, DataFrame]:
+    """The count and IDF models of documents with ``words``, and their other columns with counts (``raw_features``), written.
+
+    Words are made once and counts once: words are written until the counts are, which all passes after that read.
+    """
+    words = kept(words, **CLEANED)
+    frequencies = features.occurrences(words) if least_docs <= 1 else features.document_frequencies(features.term_counts(words, id_col))
+    counter = features.counter_of(words.sparkSession, features.vocabulary(frequencies, vocabulary_size, least_docs), "words", "raw_features")
+    found = kept(counter.transform(words).drop("words"), **CLEANED)
+    discard(words)
+    return counter, IDF(inputCol="raw_features", outputCol="features").fit(found), found
+
+
+def choose(
+    counter: CountVectorizerModel,
+    weights: IDFModel,
+    docs: DataFrame,
+    candidates: tuple[int, ...] = (2,),
+    iterations: int = 100,
+    optimizer: str = "online",
+    id_col: str = "doc_id",
+    mode: str = "regex",
+    lemmas: str | Callable[[str], str] = "none",
+    partitions: int | None = None,
+    held_out: DataFrame | None = None,
+    seed: int = 1,
+    scores: bool = True,
+) -> tuple[TopicPipeline, list[tuple[int, float | None, float | None]]]:
+    """:func:`train` from what :func:`counted` gives; ``held_out`` have ``words``.
+
+    MLlib holds the vectors it trains on as objects only if its input isn't persisted itself; from a persisted one it would take
+    all of them out of their rows anew in every iteration, of which each looks at one in twenty. Its first look at the input
+    would shuffle it once more if plans were adaptive.
+    """
     candidates = tuple(dict.fromkeys(candidates))
     partitions = partitions or min(MOST_PARTITIONS, max(4, -(-docs.count() // DOCS_A_PARTITION)))
-    worded = docs.select(id_col, text.clean_tokens(F.col(text_col), mode, lemmas).alias("words"))
-    terms = features.vocabulary(features.document_frequencies(features.term_counts(worded, id_col)), vocabulary_size, least_docs)
-    words = pinned(docs, id_col, partitions).select(id_col, text.clean_tokens(F.col(text_col), mode, lemmas).alias("words"))
-    counter, weights, made = features.vectorise(words, terms)
+    made = weights.transform(pinned(docs.select(id_col, "raw_features"), id_col, partitions)).select(id_col, "features")
+    scored = scores or len(candidates) > 1
+    if scored:  # read for each fit and score; on disk, as memory is for the objects
+        made = made.persist(StorageLevel.DISK_ONLY)
     try:
-        scored_on = made
-        if held_out is not None:
-            scored_on = weights.transform(counter.transform(held_out.withColumn("words", text.clean_tokens(F.col(text_col), mode, lemmas))))
+        scored_on = made if held_out is None else weights.transform(counter.transform(held_out))
         best, found = None, []
         for k in candidates:
-            model = LDA(k=k, seed=seed, optimizer=optimizer, maxIter=iterations).fit(made)
-            likelihood, perplexity = bounds(model, scored_on) if scores or len(candidates) > 1 else (None, None)
+            with settings(docs.sparkSession, **{"spark.sql.adaptive.enabled": "false"}):
+                model = LDA(k=k, seed=seed, optimizer=optimizer, maxIter=iterations).fit(made.select("features"))
+            likelihood, perplexity = bounds(model, scored_on) if scored else (None, None)
             found.append((k, likelihood, perplexity))
             if best is None or likelihood > best[0]:
                 best = (likelihood, model)
     finally:
-        made.unpersist()
+        if scored:
+            made.unpersist()
     return TopicPipeline(counter, weights, best[1], mode, lemmas, partitions), found
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import html, text, vectors
 from paperloom.operators import blocks, clustered, communities, explore, features, graph, layout, lemmas, similarity, topics
-from paperloom.session import cut_lineage, kept, shared_path
+from paperloom.session import cut_lineage, discard, kept, shared_path
 from paperloom.sources import readers, sinks
 
 THRESHOLD, CHI, TIGHT_CHI, TOPICS = 0.045, 19.5, 300.0, 45
@@ -278,8 +278,10 @@ def seed_urls(spark, sf_dir):
 
 
 def _pipeline(spark, sf_dir, k=5, scores=False):
-    docs = _documents(spark, sf_dir)
-    return docs, topics.train(docs, (k,), scores=scores)
+    """The documents with counts in place of texts, written, for training and inference alike; the pipeline and its scores."""
+    words = _documents(spark, sf_dir).select("doc_id", "source", text.clean_tokens(F.col("text")).alias("words"))
+    counter, weights, docs = topics.counted(words)
+    return docs, topics.choose(counter, weights, docs, (k,), scores=scores)
 
 
 def lda_doc_topics(spark, sf_dir):
@@ -288,7 +290,9 @@ def lda_doc_topics(spark, sf_dir):
 
 
 def lda_topic_words(spark, sf_dir):
-    return topics.word_weights(topics.topic_words(_pipeline(spark, sf_dir)[1][0]))
+    docs, (pipeline, _) = _pipeline(spark, sf_dir)
+    discard(docs)
+    return topics.word_weights(topics.topic_words(pipeline))
 
 
 def lda_model_selection(spark, sf_dir):

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: While a table is written: its shuffle files go at the end.
+CLEANED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def session(name: str = "paperloom", **conf: str) -> SparkSession:
     """A session with the settings the library is tested with; ``conf`` overrides them."""
-    settings = {
+    own = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     }
-    return SparkSession.builder.appName(name).config(map=settings | conf).getOrCreate()
+    return SparkSession.builder.appName(name).config(map=own | conf).getOrCreate()
 
 
 def _shared(spark: SparkSession) -> str:
@@ -42,17 +47,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def kept(df: DataFrame, **conf: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, where a plan reads it more than once; ``conf`` holds while it is written."""
-    spark = df.sparkSession
-    path, before = shared_path(spark), {k: spark.conf.get(k, None) for k in conf}
+@contextmanager
+def settings(spark: SparkSession, **conf: str):
+    """``conf`` holds within, what was set before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in conf}
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        df.write.parquet(path)
+        yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def kept(df: DataFrame, **conf: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, where a plan reads it more than once; ``conf`` holds while it is written."""
+    spark = df.sparkSession
+    path = shared_path(spark)
+    with settings(spark, **conf):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table

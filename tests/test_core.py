@@ -395,6 +395,30 @@ def test_registered_topic_queries_keep_every_term(spark, tmp_path):
     assert pipeline.model.getMaxIter() == 100
 
 
+def test_topic_models_hold_objects_and_read_texts_once(spark, corpus, tmp_path, monkeypatch):
+    levels, calls, fit, clean = [], [], topics.LDA.fit, text.clean_tokens
+    monkeypatch.setattr(topics.LDA, "fit", lambda self, made: levels.append(made.storageLevel) or fit(self.setMaxIter(3), made))
+    monkeypatch.setattr(text, "clean_tokens", lambda *a: calls.append(1) or clean(*a))
+    corpus.write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalogue.lda_doc_topics(spark, str(tmp_path)).collect()
+    assert len(calls) == 1 and {r["doc_id"] for r in found} == set(range(26)) and all(sum(r["topics"]) == pytest.approx(float(r["doc_id"] < 24)) for r in found)
+    catalogue.lda_model_selection(spark, str(tmp_path)).collect()
+    assert len(calls) == 2 and len(levels) == 3
+    assert not any(x.useMemory or x.useDisk for x in levels)  # else MLlib doesn't hold what it made of the rows
+
+
+def test_written_counts_change_no_model(spark, corpus):
+    pipeline, _ = topics.train(corpus, (2,), iterations=3, scores=False)
+    words = topics.pinned(corpus, "doc_id", 4).select("doc_id", text.clean_tokens(F.col("text")).alias("words"))
+    terms = features.vocabulary(features.document_frequencies(features.term_counts(words)))
+    counter, _, made = features.vectorise(words, terms)
+    plain = topics.LDA(k=2, seed=1, optimizer="online", maxIter=3).fit(made)
+    assert pipeline.counter.vocabulary == counter.vocabulary and pipeline.model.topicsMatrix().toArray().tolist() == plain.topicsMatrix().toArray().tolist()
+    given = topics.counted(corpus.select("doc_id", text.clean_tokens(F.col("text")).alias("words")))[2]
+    both = [sorted(map(tuple, (pipeline.infer(d).select("doc_id", "topics").collect()))) for d in (corpus, given)]
+    assert both[0] == both[1]
+
+
 def test_clean_tokens_in_one_look_are_those_of_each_step(spark):
     texts = ["The Abstract of X: genes, I'll not a cid-map!", "  ", "", None, "\u0130stanbul na\u00efve KELVIN\u212a a b cc", "can't stop1word2the3THE keyword"]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
